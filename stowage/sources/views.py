@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
     "backup_records": """
         SELECT p_partkey AS id, m.id AS media_file_id, (p_partkey + CAST(floor(p_partkey / n) AS BIGINT)) % 5 AS destination_id, m.path AS local_path, m.sha256,
                CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 4 = 0 THEN m.mtime_ns - 1000000000 ELSE m.mtime_ns END AS mtime_ns,
-               CASE WHEN p_size % 3 = 0 THEN 'gzip' END AS compression, CASE WHEN p_size % 10 = 0 THEN 'failed' ELSE 'done' END AS status,
+               CASE WHEN m.sha256 < '5' THEN 'gzip' END AS compression, CASE WHEN p_size % 10 = 0 THEN 'failed' ELSE 'done' END AS status,
                CAST(NULL AS STRING) AS verify_status, p_size
         FROM part, doc_total, media_files m WHERE m.id = p_partkey % n
     """,
@@ -103,8 +103,8 @@ VIEWS: dict[str, str] = {
         SELECT CASE WHEN archive_row % 5 = 0 THEN replace(replace(object, 'archives/', 'index/'), '.tar', '.json') ELSE replace(object, '.tar', '.json') END AS key,
                CASE WHEN archive_row % 41 = 0 THEN '{"v": 1, "files": {' WHEN archive_row % 43 = 0 THEN '{"v":1,"object":"' || object || '","files":{}}'
                     ELSE '{"v":1,"archive_id":"' || archive_id || '","object":"' || object || '","type":"' || archive_type || '","files":{' ||
-                         $LIST('"' || CASE WHEN encrypted THEN $SHA('id:' || sha256) ELSE sha256 END || '":{"size":' || CAST(entry_size AS STRING) || ',"offset":' || CAST(entry_offset + CASE WHEN backup_record_id % 53 = 0 THEN 512 ELSE 0 END AS STRING) ||
-                         CASE WHEN compression IS NULL THEN '' ELSE ',"compression":"gzip"' END || ',"mtime":"' || CASE WHEN backup_record_id % 59 = 0 THEN 'bad' ELSE '2023-11-14T22:13:20Z' END || '","part":' || CAST(part_index + 1 AS STRING) || ',"paths":["' || local_path || '"]}') || '}}' END AS body
+                         $LIST('"' || CASE WHEN encrypted THEN $SHA('id:' || sha256) ELSE sha256 END || '":{"size":' || CAST(ascii(sha256) * 1000 + CASE WHEN sha256 > 'fd' THEN entry_size ELSE 7 END AS STRING) || ',"offset":' || CAST(entry_offset + CASE WHEN backup_record_id % 53 = 0 THEN 512 ELSE 0 END AS STRING) ||
+                         CASE WHEN compression IS NULL THEN '' ELSE ',"compression":"gzip"' END || ',"mtime":"' || CASE WHEN substring(sha256, 9, 1) = 'a' THEN 'bad' ELSE '2023-11-14T22:13:20Z' END || '","part":' || CAST(part_index + 1 AS STRING) || ',"paths":["' || local_path || '"]}') || '}}' END AS body
         FROM (SELECT y.* FROM (SELECT i.*, row_number() OVER (PARTITION BY archive_row, sha256 ORDER BY backup_record_id) AS k2 FROM index_entries i) AS y WHERE k2 = 1) AS z
         GROUP BY archive_row, archive_id, object, archive_type
     """,
@@ -160,9 +160,9 @@ def with_views(sql: str) -> str:
     names = needed(sql)
     sql = duck_sql(sql).strip()
     if not names:
-        return sql
+        return re.sub(r"^WITH\s", "WITH RECURSIVE ", sql)
     views = ", ".join(f"{n} AS ({duck_sql(VIEWS[n]).strip()})" for n in names)
-    return f"WITH {views}, " + sql[5:] if re.match(r"WITH\s", sql) else f"WITH {views} {sql}"
+    return f"WITH RECURSIVE {views}, " + sql[5:] if re.match(r"WITH\s", sql) else f"WITH {views} {sql}"
 
 
 class Tables:
