@@ -42,7 +42,7 @@ def swap_prefix(path: Column, before: Column, after: Column) -> Column:
 
 def glob_list(text: Column) -> Column:
     """One pattern a line: trimmed, without blanks, each once in the order of first sight."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(lines, lambda x: x != ""))
 
 

@@ -11,13 +11,13 @@ MIB = 1 << 20
 def format_bytes(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k))))
-    return out.otherwise(F.format_string("%.1f PB", n / F.lit(float(1024**5))))
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1)))
+    return out.otherwise(F.format_string("%.1f PB", F.bround(n / F.lit(float(1024**5)), 1)))
 
 
 def format_duration(seconds: Column) -> Column:
     s = seconds.cast("double")
-    return F.when(s < 60, F.format_string("%d sec", F.bround(s).cast("long"))).when(s < 3600, F.format_string("%d min", F.bround(s / 60).cast("long"))).when(s < 48 * 3600, F.format_string("%.1f hr", s / 3600)).otherwise(F.format_string("%.1f days", s / 86400))
+    return F.when(s < 60, F.format_string("%d sec", F.bround(s).cast("long"))).when(s < 3600, F.format_string("%d min", F.bround(s / 60).cast("long"))).when(s < 48 * 3600, F.format_string("%.1f hr", F.bround(s / 3600, 1))).otherwise(F.format_string("%.1f days", F.bround(s / 86400, 1)))
 
 
 def rfc3339(ns: Column) -> Column:
@@ -79,7 +79,7 @@ def _ceil_div(a: Column, b: Column) -> Column:
 
 def weekdays(csv: Column) -> Column:
     """'2,0, 2' -> [0, 2]; Monday is 0."""
-    parts = F.filter(F.transform(F.split(F.coalesce(csv, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(csv, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_sort(F.array_distinct(F.transform(parts, lambda x: x.cast("int"))))
 
 
