@@ -79,6 +79,14 @@ ORACLE_SQL: dict[str, str] = {
                shard_bytes::BIGINT AS shard_bytes, shard_rows::BIGINT AS shard_rows, 0::BIGINT AS shard_part
         FROM f QUALIFY row_number() OVER (PARTITION BY i ORDER BY depth) = 1
     """,
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+             s AS (SELECT doc_id, i, array_to_string(a[i : i + 12], ' ') AS w FROM (SELECT doc_id, a, unnest(generate_series(1, len(a) - 12)) AS i FROM d WHERE len(a) >= 13)),
+             f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+             g AS (SELECT DISTINCT s.doc_id, s.i + k AS pos FROM s JOIN f ON f.w = s.w AND s.doc_id > f.first, generate_series(0, 12) AS t(k)),
+             k AS (SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept FROM (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM d) AS p ANTI JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id)
+        SELECT d.doc_id, len(a)::BIGINT AS n_words, (len(a) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
              q AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS last FROM p)
@@ -87,4 +95,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
         FROM q
     """,
+    "op8_bm25_top_k": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents WHERE doc_id IS NOT NULL),
+             n AS (SELECT count(*) AS total, sum(len(a))::DOUBLE / count(*) AS mean FROM d),
+             t AS (SELECT doc_id, word, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(a) AS word, len(a) AS dl FROM d) GROUP BY doc_id, word),
+             i AS (SELECT word, ln(1 + (any_value(total) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t, n GROUP BY word),
+             s AS (SELECT q.doc_id AS query_id, t.doc_id, sum(round(1e6::DOUBLE * (idf * t.tf * (1.2::DOUBLE + 1) / (t.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * t.dl / mean))))::BIGINT)::BIGINT AS score
+                   FROM t q JOIN t ON t.word = q.word JOIN i ON i.word = q.word, n WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
