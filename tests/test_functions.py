@@ -1,0 +1,128 @@
+"""Scalar and path functions on the cases the rules were specified with."""
+
+from __future__ import annotations
+
+import fnmatch
+import hashlib
+import hmac
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from stowage.functions import paths, scalars
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("n", "text"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (5 * 1024**3, "5.0 GB"), (2 * 1024**5, "2.0 PB"), (int(585.25 * 1024), "585.2 KB")]
+)
+def test_format_bytes(spark, n, text):
+    assert one(spark, scalars.format_bytes(F.lit(n).cast("long"))) == text
+
+
+@pytest.mark.parametrize(("s", "text"), [(5, "5 sec"), (59.4, "59 sec"), (120, "2 min"), (7200, "2.0 hr"), (47 * 3600, "47.0 hr"), (72 * 3600, "3.0 days")])
+def test_format_duration(spark, s, text):
+    assert one(spark, scalars.format_duration(F.lit(float(s)))) == text
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+@pytest.mark.parametrize("delta", [-1, 0, 1])
+def test_split_sizes_round_the_chunk(spark, k, delta):
+    ceiling = 2 * scalars.MIB
+    size = k * ceiling + delta
+    parts = one(spark, scalars.split_sizes(F.lit(size).cast("long"), ceiling))
+    assert sum(parts) == size
+    assert max(parts) <= ceiling
+    assert max(parts) - min(parts) <= len(parts)
+
+
+def test_split_sizes_keep_precision(spark):
+    size = (1 << 53) + 1
+    assert sum(one(spark, scalars.split_sizes(F.lit(size).cast("long"), 1 << 50))) == size
+
+
+def test_split_aligned_cuts_between_chunks(spark):
+    size, unit, head = 20 + 10 * 116 + 50, 116, 20
+    parts = one(spark, scalars.split_aligned(F.lit(size).cast("long"), 500, unit, head))
+    assert sum(parts) == size
+    assert (parts[0] - head) % unit == 0
+    assert all(p % unit == 0 for p in parts[1:-1])
+    with pytest.raises(ValueError):
+        scalars.split_aligned(F.lit(1), 100, 116, 20)
+
+
+def test_classify_boundaries(spark):
+    top = 3 * scalars.MIB
+    sizes = {199: "clump", 200: "single", top - scalars.MIB: "single", top - scalars.MIB + 1: "part", 0: "clump"}
+    for size, kind in sizes.items():
+        assert one(spark, scalars.classify(F.lit(size).cast("long"), 200, top)) == kind
+    with pytest.raises(ValueError):
+        scalars.payload_ceiling(scalars.MIB)
+
+
+@pytest.mark.parametrize(
+    ("frequency", "at", "days", "after", "expected"),
+    [
+        ("daily", "14:00", None, "2024-01-03 09:00:00", "2024-01-03 14:00:00"),
+        ("daily", "08:00", None, "2024-01-03 09:00:00", "2024-01-04 08:00:00"),
+        ("weekly", "08:00", "0,4", "2024-01-03 09:00:00", "2024-01-05 08:00:00"),
+        ("weekly", "08:00", "2", "2024-01-03 09:00:00", "2024-01-10 08:00:00"),
+        ("weekly", "10:00", "", "2024-01-03 09:00:00", "2024-01-03 10:00:00"),
+        ("daily", "09:00", None, "2024-01-03 09:00:00", "2024-01-04 09:00:00"),
+    ],
+)
+def test_next_occurrence(spark, frequency, at, days, after, expected):
+    got = one(spark, scalars.next_occurrence(F.lit(after).cast("timestamp"), F.lit(frequency), F.lit(at), F.lit(days).cast("string")))
+    assert got == datetime.fromisoformat(expected)
+
+
+def test_times(spark):
+    assert one(spark, scalars.rfc3339(F.lit(1_700_000_000_999_999_999).cast("long"))) == "2023-11-14T22:13:20Z"
+    assert one(spark, scalars.mtime_to_ns(F.lit("2023-11-14T22:13:20Z"))) == 1_700_000_000 * 10**9
+    assert one(spark, scalars.mtime_to_ns(F.lit("never"))) == 0
+    assert one(spark, F.unix_micros(scalars.lenient_timestamp(F.lit("2024-01-02T03:04:05.1165869Z")))) % 10**6 == 116586
+    assert one(spark, scalars.lenient_timestamp(F.lit("soon"))) is None
+
+
+def test_hmac(spark):
+    key, message = bytes(range(32)), "content-id:abc"
+    expected = hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
+    assert one(spark, scalars.hmac_sha256(key, F.lit(message))) == expected
+    assert one(spark, scalars.hmac_sha256_column(F.lit(key), F.lit(message))) == expected
+
+
+@pytest.mark.parametrize("glob", ["*.tmp", "a/*", "?.txt", "[ab]c*", "[!a]b", "x.(y)+", "*"])
+def test_globs_match_as_the_shell_does(spark, glob):
+    for path in ("a.tmp", "a/b/c.tmp", "a/b", "b.txt", "bc/d", "ac", "cb", "ab", "x.(y)+", "x(y)", ""):
+        assert one(spark, F.rlike(F.lit(path), paths.glob_regex(F.lit(glob)))) == fnmatch.fnmatchcase(path, glob), (glob, path)
+
+
+def test_glob_lists(spark):
+    assert one(spark, paths.glob_list(F.lit(" b*\n\na\nb*\n"))) == ["b*", "a"]
+    assert one(spark, paths.glob_list(F.lit(None).cast("string"))) == []
+
+
+def test_paths(spark):
+    assert one(spark, paths.suffix(F.lit("Movie.Name.MKV"))) == "mkv"
+    assert one(spark, paths.suffix(F.lit(".hidden"))) == ""
+    assert one(spark, paths.relative(F.lit("/a/bc/d"), F.lit("/a/b"))) == "d"
+    assert one(spark, paths.relative(F.lit("/a/b/c/d"), F.lit("/a/b"))) == "c/d"
+    assert one(spark, paths.folder_category(F.lit("d"))) is None
+    assert one(spark, paths.swap_prefix(F.lit("/media/x"), F.lit("/data"), F.lit("/y"))) is None
+    ident = "0123abcd-0123-0123-0123-0123456789ab"
+    for path, index in ((f"p/archives/{ident}.tar", f"p/index/{ident}.json"), (f"p/{ident}.tar", f"p/{ident}.json"), (f"{ident}.tar", f"{ident}.json"), ("p/x.tar", None)):
+        assert one(spark, paths.index_key(F.lit(path))) == index
+    for path, problem in (("good-bucket/a", None), ("Bad/a", "bucket"), ("ab/x", "bucket"), ("good-bucket/../x", "parent"), ("", "empty")):
+        assert one(spark, paths.path_error(F.lit(path))) == problem
+
+
+def test_wanted_ranges(spark):
+    get = lambda total, enc: [tuple(r) for r in one(spark, scalars.wanted_ranges(F.lit(total).cast("long"), F.lit(enc), 100, 400, 36))]
+    assert get(200, False) == [(0, 200)]
+    assert get(201, False) == [(0, 100), (101, 100)]
+    assert get(436, True) == [(0, 436)]
+    assert get(437, True) == []
