@@ -111,7 +111,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     rest = n
     while rest:
         if rest & 1:
-            total[: len(words) - length] += level[length:] * np.uint64(pow(_C, length, 1 << 64))
+            total[: max(0, len(words) - length)] += level[length:] * np.uint64(pow(_C, length, 1 << 64))
             length += step
         rest >>= 1
         if rest:
