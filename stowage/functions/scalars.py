@@ -62,6 +62,11 @@ def split_aligned(size: Column, ceiling: int, unit: int, head: int) -> Column:
     return F.transform(F.sequence(F.lit(1).cast("long"), k), lambda i: F.least(i * body + head, size) - F.when(i > 1, (i - 1) * body + head).otherwise(0))
 
 
+def part_length(sizes: Column, part: Column) -> Column:
+    """The bytes of one part (from 1) of a file that was split into sizes; of a file that wasn't, the whole."""
+    return F.coalesce(F.try_element_at(sizes, part), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
 def member_cost(size: Column) -> Column:
     """An upper estimate of a tar member: header, content in blocks of 512, and room for a long name."""
     return F.lit(512) + _ceil_div(size, F.lit(512)) * 512 + F.lit(1024)
@@ -110,6 +115,14 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
 
 
+def key_check(key: bytes, label: str = "key-check") -> str:
+    """A short value that tells on the driver whether a candidate key is the one an archive was written with."""
+    import hashlib
+    import hmac
+
+    return hmac.new(key, label.encode(), hashlib.sha256).hexdigest()[:16]
+
+
 def hmac_sha256_column(key: Column, message: Column) -> Column:
     """The same with a key column of up to 64 bytes (binary)."""
     padded = F.rpad(F.hex(key), 128, "0")

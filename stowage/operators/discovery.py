@@ -46,6 +46,20 @@ def key_for_archive(parsed: DataFrame, keys: DataFrame, check_of: Column) -> Dat
     return parsed.filter("key_check is not null").select("archive_id", "key_check").join(F.broadcast(best), "key_check", "left").select("archive_id", F.coalesce("key_id", F.lit(-1)).alias("key_id"))
 
 
+def key_by_opening(sealed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The key version that opens an archive's sealed value, for archives without a check value; -1: none does.
+
+    sealed: archive_id, context, token; one value an archive is enough, so the smallest is tried. keys (id, retired_at, key) is a short list by nature, the current
+    one is tried first, then the newest.
+    """
+    from stowage.operators.content import unseal
+
+    one = sealed.groupBy("archive_id").agg(F.min(F.struct("context", "token")).alias("s")).select("archive_id", "s.*")
+    tried = one.crossJoin(F.broadcast(keys.select(F.col("id").alias("key_id"), "key", F.struct(F.col("retired_at").isNotNull(), -F.col("id")).alias("rank"))))
+    opened = F.when(unseal(F.col("token"), F.col("key"), F.col("context")).isNotNull(), F.col("rank"))
+    return tried.groupBy("archive_id").agg(F.coalesce(F.min_by("key_id", opened), F.lit(-1)).alias("key_id"))
+
+
 def key_match(found: DataFrame) -> DataFrame:
     """One word on whether the known keys open what is stored. found: encrypted, opened."""
     flags = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("encrypted"), F.lit(False)).alias("enc"), F.coalesce(F.bool_or(F.col("encrypted") & F.col("opened")), F.lit(False)).alias("yes"), F.coalesce(F.bool_or(F.col("encrypted") & ~F.col("opened")), F.lit(False)).alias("no"))

@@ -126,3 +126,10 @@ def test_wanted_ranges(spark):
     assert get(201, False) == [(0, 100), (101, 100)]
     assert get(436, True) == [(0, 436)]
     assert get(437, True) == []
+
+
+def test_part_length_and_key_check(spark):
+    sizes = scalars.split_sizes(F.lit(10).cast("long"), 4)
+    assert [one(spark, scalars.part_length(sizes, F.lit(k))) for k in (1, 3, 9)] == [4, 2, 10]
+    key = bytes(range(32))
+    assert scalars.key_check(key) == hmac.new(key, b"key-check", hashlib.sha256).hexdigest()[:16]
