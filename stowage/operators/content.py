@@ -101,11 +101,11 @@ def unseal(token: Column, key: Column, context: Column) -> Column:
 MAGIC = b"SBE1"
 
 
-def encrypt_blob(files: DataFrame, chunk: int) -> DataFrame:
+def encrypt_blob(files: DataFrame, chunk: int, magic: bytes = MAGIC) -> DataFrame:
     """files (id, content, key, prefix: 4 bytes) in chunks: id, header, i, sealed. The header (magic, nonce prefix, chunk size, plain size) authenticates each chunk."""
     size = F.octet_length("content")
     number = lambda n, width: F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
-    header = F.concat(F.lit(MAGIC), "prefix", number(F.lit(chunk), 4), number(size, 8))
+    header = F.concat(F.lit(magic), "prefix", number(F.lit(chunk), 4), number(size, 8))
     last = F.greatest(F.floor((size - 1) / chunk), F.lit(0)).cast("int")
     each = files.withColumn("header", header).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
     piece = F.substring("content", F.col("i") * chunk + 1, F.lit(chunk))

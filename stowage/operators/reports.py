@@ -139,6 +139,17 @@ def run_board(runs: DataFrame, kinds: tuple[str, ...] = ("backup", "restore", "s
     return board
 
 
+#: What is shown for each phase of a run.
+PHASES = {
+    "hashing": "Hashing files",
+    "preparing": "Compressing / encrypting files",
+    "packing": "Packing archives",
+    "uploading": "Uploading",
+    "restoring": "Restoring files",
+    "syncing": "Syncing from bucket",
+}
+
+
 def run_progress(runs: DataFrame, now_us: Column, stall_seconds: int = 120) -> DataFrame:
     """Percentage, rate, time left and heartbeat age of each run. Times are microseconds."""
     running = F.col("status") == "running"
@@ -147,7 +158,7 @@ def run_progress(runs: DataFrame, now_us: Column, stall_seconds: int = 120) -> D
     elapsed = (now_us - F.col("phase_started_us")) / 1e6
     rate = F.when(live & (done > 0) & (elapsed >= 3), done / elapsed)
     age = F.when(running, F.greatest(F.lit(0.0), (now_us - F.coalesce("heartbeat_us", "started_us")) / 1e6))
-    labels = F.create_map(*[F.lit(x) for kv in {"hashing": "Hashing files", "preparing": "Compressing / encrypting files", "packing": "Packing archives", "uploading": "Uploading", "restoring": "Restoring files", "syncing": "Syncing from bucket"}.items() for x in kv])
+    labels = F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv])
     return runs.select(
         "id", F.concat("kind", F.lit("-"), F.col("id").cast("string")).alias("key"), F.when(live, F.coalesce(labels[F.col("phase")], F.col("phase"))).alias("label"),
         F.when(live & F.col("phase").isin("uploading", "restoring", "syncing"), "bytes").otherwise("files").alias("unit"),
