@@ -12,7 +12,7 @@
 4. Each leaf is a shard: its home points are compared with all of its points, on all bits, and what links is handed on as a
    spanning forest. Connected components (components.py) then join the leaves.
 
-The trees come from a bounded sample of points that sets only vantage points, medians and how many ways a leaf is dealt;
+The trees come from a bounded sample of points (65,536, a thousandth of very many points, at most two million of eight bytes each) that sets only vantage points, medians and how many ways a leaf is dealt;
 every point is indexed and the result doesn't depend on the sample. Leaves that no vantage point splits
 are dealt by a hash of their home points, each part seeing all visitors.
 
@@ -36,7 +36,7 @@ from stowage.llm import kernels as K
 from stowage.llm.common import cut, text_bytes
 from stowage.llm.components import components
 
-SAMPLE = 65_536
+SAMPLE, LARGEST_SAMPLE = 65_536, 1 << 21
 LEAF = 512
 
 
@@ -242,12 +242,13 @@ def _forest_edges(points: np.ndarray, home: np.ndarray, within: int) -> tuple[np
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def link(points: DataFrame, masks: list[np.ndarray], radius: int, within: int, n_words: int = 1, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def link(points: DataFrame, masks: list[np.ndarray], radius: int, within: int, n_words: int = 1, leaf: int = LEAF, sample: int | None = None) -> DataFrame:
     """Links (a, b) that join all points (distinct, column fingerprint) that are at most `within` bits apart,
     as far as the trees' radius finds them: with three block masks and radius = within // 3, all of them."""
     total = points.count()
     if total < 2:
         return points.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
+    sample = sample or min(LARGEST_SAMPLE, max(SAMPLE, total >> 10))  # more leaves for more points; a block of 21 bits has no more than that to tell apart
     every = max(4, -(-total // sample))  # at most a quarter of the points, and at most `sample` on average
     taken = points if total < 64 else points.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(every)) == 0)
     drawn = np.array(sorted(bytes(r[0]) for r in taken.limit(2 * sample).collect()), dtype=object)
