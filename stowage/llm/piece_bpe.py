@@ -6,8 +6,9 @@ last token of the prefix is the one that is compatible with the last token of th
 encoding its two texts together gives the pair again. Ids are then recovered from the end backwards. No merge queue runs over
 the text, so the work is linear in its length.
 
-No piece spans the place where a space mark follows other characters, nor a character that only occurs in pieces of its
-own, so texts fall into segments that are encoded on their own and kept in a bounded table by each Python worker.
+No piece spans the place where a space mark follows other characters, a line end that is only a piece of its own, or the
+place between a letter and a sign that follows a letter in no piece. So texts fall into segments there, which are encoded on their own and
+kept in a bounded table by each Python worker.
 Runs of space marks all have one score, so they merge from the left, as far as the longest such piece; the last mark belongs
 to the following word if that word takes it.
 
@@ -32,7 +33,7 @@ from stowage.llm.common import text_bytes
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 FOREIGN = 1 << 21  # from here on: a character that is no piece
-KEPT = 300_000
+KEPT = 800_000
 LONGEST_KEPT = 64
 
 
@@ -63,10 +64,19 @@ class Codec:
             if len(p) == 1 or self.merged(p) == [p]:
                 self.automaton.add_word(p, (self.id_of[p], len(p)))
         self.automaton.make_automaton()
-        line_ends = all("\n" not in p for p in self.id_of)
-        self.segment = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if line_ends else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.ids = _Table(self, 0)
-        self.texts = _Table(self, 1)
+        self.segment = self._segment_pattern()
+        self.ids = _Table(self)
+        self.texts: dict[str, str] = {}  # decoded texts of segments that don't decode to themselves
+
+    def _segment_pattern(self) -> re.Pattern:
+        """Marks, other signs, letters; and on over a sign only where it does follow a letter in some piece."""
+        after_letters = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isalpha() and not b.isalpha()}
+        stop = MARK if any("\n" in p for p in self.id_of) else MARK + "\n"
+        signs = f"[^\\w{stop}]|[\\d_]"
+        joined = "|".join(re.escape(c) for c in sorted(after_letters - set(stop)))
+        run = f"(?:{signs})*[^\\W\\d_]*"
+        tail = f"(?:(?={joined})(?:{signs})+[^\\W\\d_]*)*" if joined else ""
+        return re.compile(f"\n|(?=[^\n]){MARK}*{run}{tail}" if "\n" in stop else f"(?=.|\n){MARK}*{run}{tail}")
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition, for texts of two pieces at most: the best-scored neighbours merge, the left ones first."""
@@ -102,7 +112,10 @@ class Codec:
         size = [0] * (n + 1)
         fits = self.compatible.get
         for end, (token, length) in self.automaton.iter(text):
-            begin = end + 1 - length
+            end += 1
+            if last[end] >= 0:
+                continue  # there is one such token only
+            begin = end - length
             if begin:
                 before = last[begin]
                 if before < 0:
@@ -113,7 +126,7 @@ class Codec:
                     ok = self._fits(before, token)
                 if not ok:
                     continue
-            last[end + 1], size[end + 1] = token, length
+            last[end], size[end] = token, length
         out, at = [], n
         while at:
             if last[at] < 0:  # no piece ends here: a character of its own
@@ -155,7 +168,7 @@ class Codec:
         return ("".join(out) + held.decode("utf-8", "replace")).replace(MARK, " ")
 
     def segments(self, text: str) -> list[str]:
-        return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [x for x in self.segment.findall(MARK + text.replace(" ", MARK)) if x] if text else []
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for s in self.segments(text) for i in self.ids[s].split()] + [self.end_id]
@@ -164,22 +177,26 @@ class Codec:
         """(number of ids, decimal ids joined by a space, decoded text)."""
         parts = self.segments(text)
         ids = " ".join([*map(self.ids.__getitem__, parts), str(self.end_id)])
-        return ids.count(" ") + 1, ids, "".join(map(self.texts.__getitem__, parts))[1:]
+        decoded = "".join(map(self.texts.get, parts, parts)) if self.texts else "".join(parts)
+        return ids.count(" ") + 1, ids, decoded.replace(MARK, " ")[1:]
 
 
 class _Table(dict):
-    """What is known of a segment: its ids as text, or its decoded text. Bounded; what isn't kept is made again."""
+    """The ids of segments, as text. Bounded; what isn't kept is made again."""
 
-    def __init__(self, codec: Codec, which: int) -> None:
+    def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec, self.which = codec, which
+        self.codec = codec
 
     def __missing__(self, segment: str) -> str:
         ids = self.codec.encode_segment(segment)
-        both = " ".join(map(str, ids)), self.codec.decode_ids(ids)
+        text = " ".join(map(str, ids))
+        decoded = self.codec.decode_ids(ids)
+        if decoded != segment.replace(MARK, " "):
+            self.codec.texts[segment] = decoded
         if len(segment) <= LONGEST_KEPT and len(self) < KEPT:
-            self.codec.ids[segment], self.codec.texts[segment] = both
-        return both[self.which]
+            self[segment] = text
+        return text
 
 
 _CODECS: dict[str, Codec] = {}
