@@ -39,7 +39,7 @@ def clear_failed(t: Tables) -> DataFrame:
     return mutations.clear_failed(t.backup_runs)[1]
 
 
-@query("SELECT id, password, CASE WHEN retired_at IS NULL THEN 1650000000 ELSE retired_at END AS retired_at FROM backup_key_versions UNION ALL SELECT (SELECT max(id) + 1 FROM backup_key_versions), 'new secret', NULL")
+@query("SELECT id, password, CAST(coalesce(retired_at, 1650000000) AS BIGINT) AS retired_at FROM backup_key_versions UNION ALL SELECT (SELECT max(id) + 1 FROM backup_key_versions), 'new secret', NULL")
 def rotate_key(t: Tables) -> DataFrame:
     return mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000).select("id", "password", "retired_at")
 
