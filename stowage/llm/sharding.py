@@ -26,23 +26,19 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _round(rows: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
-    """cell -> (depth, prefix, shard_bytes, shard_rows) for the depths low..low + bits; null where none fits.
+def _round(cells: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
+    """(root, cell, s) with s = (depth, prefix, shard_bytes, shard_rows) for cells that a bucket of depth low..low + bits takes; others are left out.
 
-    rows: root (the bucket that is being split), h, n_bytes.
+    cells: root (the bucket that is being split), cell (the next `bits` bits), b, n.
     """
-    shift = HASH_BITS - low - bits
-    cells = rows.groupBy("root", F.shiftright("h", shift).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
     by_depth = cells.withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("prefix", F.expr("shiftright(cell, up)"))
-    buckets = by_depth.groupBy("root", "up", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    buckets = cut(by_depth.groupBy("root", "up", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")), "shard-buckets")
     fits = buckets.filter((F.col("b") <= limit) | (F.col("n") == 1))
-    # the largest bucket that fits has the largest `up`; its parent doesn't fit
-    return (
-        fits.select("root", "up", "prefix", "b", "n")
-        .join(by_depth.select("root", "up", "prefix", "cell"), ["root", "up", "prefix"])
-        .groupBy("root", "cell")
-        .agg(F.max_by(F.struct((F.lit(low + bits) - F.col("up")).alias("depth"), "prefix", F.col("b").alias("shard_bytes"), F.col("n").alias("shard_rows")), "up").alias("s"))
-    )
+    parents = fits.select("root", (F.col("up") - 1).alias("up"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    shards = cut(fits.join(parents, ["root", "up", "prefix"], "left_anti").select("root", "up", "prefix", F.struct((F.lit(low + bits) - F.col("up")).alias("depth"), "prefix", F.col("b").alias("shard_bytes"), F.col("n").alias("shard_rows")).alias("s")), "shards")
+    # no depth above the shallowest shard is asked for: its few prefixes would bring all cells together
+    highest = shards.agg(F.coalesce(F.max("up"), F.lit(-1))).first()[0]
+    return by_depth.filter(F.col("up") <= highest).select("root", "up", "prefix", "cell").join(shards, ["root", "up", "prefix"]).select("root", "cell", "s")
 
 
 def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20) -> DataFrame:
@@ -59,13 +55,13 @@ def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20
     while True:
         step = min(bits, HASH_BITS - low)
         shift = HASH_BITS - low - step
-        found = cut(_round(rows, low, step, limit), "shard-directory")
         cell = F.shiftright("h", shift)
+        cells = cut(rows.groupBy("root", cell.alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")), "shard-cells")
+        found = cut(_round(cells, low, step, limit), "shard-directory")
         joined = rows.withColumn("cell", cell).join(found, ["root", "cell"], "left")
         put = joined.filter(F.col("s").isNotNull()).select("id", "n_bytes", F.col("s.depth").alias("shard_depth"), F.concat("root", F.lpad(F.conv(F.col("s.prefix").cast("string"), 10, 2), F.col("s.depth"), F.lit("0"))).alias("shard_prefix"), F.col("s.shard_bytes").alias("shard_bytes"), F.col("s.shard_rows").alias("shard_rows"), F.lit(0).cast("long").alias("shard_part"))
         done = put if done is None else done.unionByName(put)
-        cells = rows.groupBy("root", cell.alias("cell")).agg(F.lit(1).alias("one"))
-        if cells.join(found, ["root", "cell"], "left_anti").isEmpty():
+        if found.count() == cells.count():
             return _named(done, key)
         left = joined.filter(F.col("s").isNull()).select("id", "n_bytes", "h", "whole", "root")
         low += step
@@ -73,7 +69,7 @@ def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20
             if rehashed:
                 return _named(done.unionByName(_numbered(cut(left, "shard-copies"), limit)), key)
             # one hash, too many bytes: go on with the bits of the whole row
-            left = left.withColumn("root", F.concat("root", F.lpad(F.conv(F.col("h").cast("string"), 10, 2), HASH_BITS, "0"), F.lit("/"))).withColumn("h", hash60(F.col("whole")))
+            left = left.withColumn("root", F.concat("root", F.lpad(F.conv(F.col("h").cast("string"), 10, 2), HASH_BITS, "0"), F.lit("/"))).withColumn("h", hash60(F.col("whole").cast("string")))
             low, rehashed = 0, True
         rows = cut(left, "shard-rows")
 
