@@ -123,9 +123,17 @@ def key_check(key: bytes, label: str = "key-check") -> str:
     return hmac.new(key, label.encode(), hashlib.sha256).hexdigest()[:16]
 
 
-def hmac_sha256_column(key: Column, message: Column) -> Column:
-    """The same with a key column of up to 64 bytes (binary)."""
+def hmac_pads(key: Column) -> tuple[Column, Column]:
+    """The inner and outer pad of a key column of up to 64 bytes; take them once for each key, before a join."""
     padded = F.rpad(F.hex(key), 128, "0")
     flip = lambda pad: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(127), F.lit(2)), lambda i: F.lpad(F.hex(F.conv(F.substring(padded, i, F.lit(2)), 16, 10).cast("long").bitwiseXOR(F.lit(pad))), 2, "0")), ""))
-    first = F.sha2(F.concat(flip(0x36), message.cast("binary")), 256)
-    return F.sha2(F.concat(flip(0x5C), F.unhex(first)), 256)
+    return flip(0x36), flip(0x5C)
+
+
+def hmac_with_pads(inner: Column, outer: Column, message: Column) -> Column:
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def hmac_sha256_column(key: Column, message: Column) -> Column:
+    """HMAC with a key column."""
+    return hmac_with_pads(*hmac_pads(key), message)

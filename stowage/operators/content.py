@@ -83,9 +83,11 @@ def crc32c(content: pd.Series) -> pd.Series:
 
 def content_ids(records: DataFrame, keys: DataFrame, present: DataFrame, label: str = "content-id:") -> DataFrame:
     """Keyed ids of all records for all key versions that don't have one yet; running it again adds nothing. keys is a short list by nature."""
-    pairs = records.filter("sha256 is not null").select(F.col("id").alias("record_id"), "sha256").crossJoin(F.broadcast(keys.select(F.col("id").alias("key_version_id"), F.unhex("master_key").alias("key"))))
+    inner, outer = scalars.hmac_pads(F.unhex("master_key"))
+    padded = keys.select(F.col("id").alias("key_version_id"), inner.alias("inner"), outer.alias("outer"))
+    pairs = records.filter("sha256 is not null").select(F.col("id").alias("record_id"), "sha256").crossJoin(F.broadcast(padded))
     missing = pairs.join(present.select("record_id", "key_version_id"), ["record_id", "key_version_id"], "left_anti")
-    return missing.select("record_id", "key_version_id", scalars.hmac_sha256_column(F.col("key"), F.concat(F.lit(label), "sha256")).alias("content_id"))
+    return missing.select("record_id", "key_version_id", scalars.hmac_with_pads(F.col("inner"), F.col("outer"), F.concat(F.lit(label), "sha256")).alias("content_id"))
 
 
 def seal(plain: Column, key: Column, nonce: Column, context: Column) -> Column:
