@@ -1,4 +1,4 @@
-"""Putting the package on executors that don't have it installed."""
+"""What a session needs: the package on its executors, and a folder that they share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
+    return folder or tempfile.mkdtemp(prefix="stowage-")
