@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.session import settle
 
 #: The extensions of each media type, and those that are never content.
 EXTENSIONS = {
@@ -64,13 +65,16 @@ def catalog_upsert(listing: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def numbered_after(files: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """new with ids that go on after the largest of files, in the order of a column."""
+    """new with ids that go on after the largest of files, in the order of a column.
+
+    Range partitions are numbered and written once; a row's id is its place in its partition after the counts of those before.
+    """
     base = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
-    ordered = new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    ranged = settle(new.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()), "ranged")
     place = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    counts = ordered.groupBy("part").count()
+    counts = ranged.groupBy("part").count()
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    return ordered.withColumn("place", place).join(F.broadcast(before.drop("count")), "part").crossJoin(F.broadcast(base)).withColumn("id", F.col("base") + F.col("before") + F.col("place")).drop("part", "place", "before", "base")
+    return ranged.withColumn("place", place).join(F.broadcast(before.drop("count")), "part").crossJoin(F.broadcast(base)).withColumn("id", F.col("base") + F.col("before") + F.col("place")).drop("part", "place", "before", "base")
 
 
 def merge_stale(files: DataFrame, records: DataFrame, locations: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -31,3 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
     return folder or tempfile.mkdtemp(prefix="stowage-")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what isn't a function of the rows alone, such as a partition number, then stays the same."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
