@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from stowage.llm.common import cut, text_bytes
 
 UNIT = 192
+ROWS = 256
 
 # -- validators: the end of the medium that starts at `at`, or 0
 
@@ -149,15 +150,16 @@ def sniff(df: DataFrame, id_col: str, blob_col: str, declared_col: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, out = [], []
-            for i in range(batch.num_rows):
-                blob, declared = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                for at, end, kind, depth in find_media(blob) if blob else []:
-                    row.append(i)
-                    out.append((declared, kind, at, end - at, depth, kind == declared, blob[at:end]))
-            columns = list(zip(*out)) or [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "declared", "type", "start", "length", "depth", "declared_right", "media"])
+            for lo in range(0, batch.num_rows, ROWS):  # media are held for a few rows at a time
+                some, row, out = batch.slice(lo, ROWS), [], []
+                for i in range(some.num_rows):
+                    blob, declared = some.column(1)[i].as_py(), some.column(2)[i].as_py()
+                    for at, end, kind, depth in find_media(blob) if blob else []:
+                        row.append(i)
+                        out.append((declared, kind, at, end - at, depth, kind == declared, blob[at:end]))
+                columns = list(zip(*out)) or [[]] * 7
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "declared", "type", "start", "length", "depth", "declared_right", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(declared_col).alias("declared")).mapInArrow(run, f"id {kind}, declared string, type string, start long, length long, depth int, declared_right boolean, media binary")
@@ -234,8 +236,8 @@ def store_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, ROWS):
+                some = batch.slice(lo, ROWS)
                 n, declared, cells = [], [], []
                 for text in some.column(1).to_pylist():
                     kind, cell = _stored(text + b" " * (-len(text) % UNIT if text else UNIT))
