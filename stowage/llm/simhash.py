@@ -212,6 +212,23 @@ def random_masks(n_words: int, trees: int, bits: int) -> list[np.ndarray]:
     return out
 
 
+def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of n points to the least point of its component under the links (i, j): at most n of what may be n * n."""
+    if len(i) <= n:
+        return i, j
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        now = label.copy()
+        np.minimum.at(now, i, least)
+        np.minimum.at(now, j, least)
+        now = now[now]
+        if (now == label).all():
+            at = np.flatnonzero(label != np.arange(n))
+            return at, label[at]
+        label = now
+
+
 def _forest_edges(points: np.ndarray, home: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between home points and all points of a leaf, as index pairs."""
     parent = np.arange(len(points))
@@ -233,7 +250,8 @@ def _forest_edges(points: np.ndarray, home: np.ndarray, within: int) -> tuple[np
         i, j = np.nonzero(d <= within)
         i = rows[i]
         keep = i != j
-        for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+        i, j = _stars(i[keep], j[keep], len(points))
+        for x, y in zip(i.tolist(), j.tolist()):
             p, q = find(x), find(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
