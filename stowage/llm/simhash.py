@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm import jaccard
 from stowage.llm import kernels as K
 from stowage.llm.common import cut, text_bytes
 from stowage.llm.components import components
@@ -43,23 +44,6 @@ LEAF = 512
 # -- fingerprints
 
 
-def _majority(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each document the bits set in over half of its hashes, as uint64. doc: the document of each hash."""
-    n_docs, out = len(first) - 1, np.zeros(len(first) - 1, np.uint64)
-    total = np.diff(first)
-    bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-    lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for lane in range(8):
-        seen = np.bincount(doc * 256 + lanes[:, lane], minlength=n_docs * 256).reshape(n_docs, 256) @ bits
-        major = (2 * seen > total[:, None]).astype(np.uint64)
-        out |= (major << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * lane)
-    return out
-
-
-def _shingle_counts(n_words: np.ndarray, size: int) -> np.ndarray:
-    return np.where(n_words == 0, 0, np.maximum(n_words - size + 1, 1))
-
-
 def xxh64_fingerprint(text: bytes, size: int) -> int:
     """SimHash of one text over XXH64 (seed 42) of its shingles of `size` words, A-Z lower-cased."""
     words = text.lower().split()
@@ -83,27 +67,6 @@ def contract_fingerprints(texts: pa.Array, size: int) -> list[bytes]:
     return [xxh64_fingerprint(t or b"", size).to_bytes(8, "big") for t in texts.to_pylist()]
 
 
-def wide_fingerprints(texts: pa.Array, size: int, n_words: int = 4) -> list[bytes]:
-    """Fingerprints of n_words * 64 bits, from vectorised shingle hashes; for stages that need more recall than 64 bits give."""
-    out: list[bytes] = []
-    raw, at = K.flat(texts)
-    for lo, hi in K.parts(at):
-        part, offsets = K.LOWER[raw[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
-        starts, ends, first = K.spans(part, offsets)
-        words = K.word_hashes(part, starts, ends)
-        n = np.diff(first)
-        counts = _shingle_counts(n, size)
-        hashes = K.ngram_hashes(words, size)
-        keep = np.arange(len(words)) < np.repeat(first[:-1] + counts, n)
-        for d in np.flatnonzero((n > 0) & (n < size)):  # the whole sequence
-            hashes[first[d]] = K.ngram_hashes(words[first[d] : first[d + 1]], int(n[d]))[0]
-        hashes, doc = hashes[keep], np.repeat(np.arange(hi - lo), counts)
-        shingle_first = np.concatenate([[0], np.cumsum(counts)])
-        cols = [_majority(K.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))), doc, shingle_first) for k in range(n_words)]
-        out += [row.tobytes() for row in np.stack(cols, axis=1).astype(">u8")] if hi > lo else []
-    return out
-
-
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, make: Callable[[pa.Array, int], list[bytes]] = contract_fingerprints) -> DataFrame:
     """(doc_id, fingerprint): the fingerprint as big-endian bytes."""
     kind = df.schema[id_col].dataType
@@ -203,15 +166,6 @@ def block_masks(n_words: int, blocks: int) -> list[np.ndarray]:
     return out
 
 
-def random_masks(n_words: int, trees: int, bits: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(7)
-    out = []
-    for _ in range(trees):
-        chosen = rng.choice(64 * n_words, bits, replace=False)
-        out.append(np.array([sum(1 << int(x - 64 * w) for x in chosen if 64 * w <= x < 64 * w + 64) for w in range(n_words)], np.uint64))
-    return out
-
-
 def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from each of n points to the least point of its component under the links (i, j): at most n of what may be n * n."""
     if len(i) <= n:
@@ -314,13 +268,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 4, wi
     return prints.join(groups, "fingerprint").select(F.col("doc_id").alias(id_col), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def wide_groups(df: DataFrame, id_col: str, text_col: str, size: int = 5, within: int = 46, trees: int = 6) -> DataFrame:
-    """(id, component_id) under 256-bit fingerprints of shingles of `size` words.
-
-    A similarity of s (Jaccard) is a cosine of 2s / (1 + s), and arccos of that over pi is the share of bits that
-    differ: 0.15 at 0.8, 39 +- 6 of 256 bits, so 46 bits find 0.9 of the pairs that are 0.8 alike and nearly all from 0.85 on. Texts at random differ in 128 +- 8. The trees lie over random 21-bit
-    masks with radius 1; measured, six of them find 0.998 of the pairs within 40 bits.
-    """
-    prints = cut(fingerprints(df, id_col, text_col, size, wide_fingerprints), "fingerprints")
-    groups = group_fingerprints(prints, random_masks(4, trees, 21), 1, within, 4)
-    return prints.join(groups, "fingerprint").select(F.col("doc_id").alias(id_col), "component_id")
+def wide_groups(df: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
+    """(id, component_id) where links are pairs whose shingles of `size` words are 4/5 alike (jaccard.py): 64 bits miss many of them."""
+    rows = cut(df.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "rows")
+    found = cut(rows.select("n", "doc_id").join(jaccard.groups(rows.select("n", "text"), size), "n"), "groups")
+    ids = cut(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
+    return found.join(ids, "root").select(F.col("doc_id").alias(id_col), "component_id")
