@@ -6,14 +6,14 @@ last token of the prefix is the one that is compatible with the last token of th
 encoding its two texts together gives the pair again. Ids are then recovered from the end backwards. No merge queue runs over
 the text, so the work is linear in its length.
 
-No piece spans the place where a space mark follows other characters, a line end that is only a piece of its own, or the
-place between a letter and a sign that follows a letter in no piece. So texts fall into segments there, which are encoded on their own and
-kept in a bounded table by each Python worker.
-Runs of space marks all have one score, so they merge from the left, as far as the longest such piece; the last mark belongs
-to the following word if that word takes it.
+Between two characters that stand side by side in no piece nothing ever merges. So texts fall into segments at such places, which are
+encoded on their own; both the words between space marks and their segments are kept in bounded tables by each Python worker.
+Runs of space marks all have one score, the worst, so they merge last and from the left: a stack of the lengths merged so far gives them. The last
+mark of a run belongs to the following word if that word takes it.
 
 Decoding maps ids to pieces, bytes of fallback pieces to characters, marks to spaces, and drops the space that encoding puts
-first. Defined cases: null and empty texts have the end id alone and decode to the empty text; a null id is kept; an empty table gives no rows.
+first. Defined cases: null and empty texts have the end id alone and decode to the empty text; a null id is kept; repeated rows and ids are
+rows of their own; a text of any length is encoded whole, in time linear in it; an empty table gives no rows. Only id and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from stowage.llm.common import text_bytes
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 FOREIGN = 1 << 21  # from here on: a character that is no piece
-KEPT = 800_000
+#: The most words, segments and pairs that a worker keeps, and the longest of them.
+KEPT = 400_000
 LONGEST_KEPT = 64
 
 
@@ -53,30 +54,25 @@ class Codec:
         self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.runs = {len(p): i for p, i in self.id_of.items() if p.strip(MARK) == ""}
-        if any(MARK in p[1:] and p.strip(MARK) for p in self.id_of):
-            raise ValueError("a piece spans a space mark")
-        for p in list(self.score):
-            if len(p) > 1 and p.strip(MARK) == "":
-                del self.score[p]  # runs of marks are merged by rule
+        others = [x for p, x in self.score.items() if len(p) > 1 and p.strip(MARK)]
+        worst = {self.score[MARK * n] for n in self.runs if n > 1}
+        if any(MARK in p[1:] and p.strip(MARK) for p in self.id_of) or len(worst) > 1 or worst and others and max(worst) >= min(others) or 1 not in self.runs:
+            raise ValueError("a piece spans a space mark, or runs of marks don't merge last")
+        for n in self.runs:
+            if n > 1:
+                del self.score[MARK * n]  # they are merged by rule
         self.compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             if len(p) == 1 or self.merged(p) == [p]:
                 self.automaton.add_word(p, (self.id_of[p], len(p)))
         self.automaton.make_automaton()
-        self.segment = self._segment_pattern()
-        self.ids = _Table(self)
-        self.texts: dict[str, str] = {}  # decoded texts of segments that don't decode to themselves
-
-    def _segment_pattern(self) -> re.Pattern:
-        """Marks, other signs, letters; and on over a sign only where it does follow a letter in some piece."""
-        after_letters = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isalpha() and not b.isalpha()}
-        stop = MARK if any("\n" in p for p in self.id_of) else MARK + "\n"
-        signs = f"[^\\w{stop}]|[\\d_]"
-        joined = "|".join(re.escape(c) for c in sorted(after_letters - set(stop)))
-        run = f"(?:{signs})*[^\\W\\d_]*"
-        tail = f"(?:(?={joined})(?:{signs})+[^\\W\\d_]*)*" if joined else ""
-        return re.compile(f"\n|(?=[^\n]){MARK}*{run}{tail}" if "\n" in stop else f"(?=.|\n){MARK}*{run}{tail}")
+        self.neighbours = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
+        lines = any("\n" in p for p in self.neighbours)
+        # a word: marks and what follows up to the next mark; a line end is a word of its own if no piece joins it to anything
+        self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if lines else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+        self.words = _Words(self)
+        self.segments = _Segments(self)
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition, for texts of two pieces at most: the best-scored neighbours merge, the left ones first."""
@@ -101,7 +97,7 @@ class Codec:
         if known is None:
             a, b = self._text(left), self._text(right)
             known = self.merged(a + b) == [a, b]
-            if len(self.compatible) < 4 * KEPT:
+            if len(self.compatible) < KEPT:
                 self.compatible[key] = known
         return known
 
@@ -136,21 +132,32 @@ class Codec:
         out.reverse()
         return out
 
-    def encode_segment(self, segment: str) -> list[int]:
-        marks = len(segment) - len(segment.lstrip(MARK))
-        if marks > 1:
-            found = self.tokens(segment[marks - 1 :])
-            lone = self.pieces[found[0]] == MARK if found[0] < FOREIGN else False
-            run = marks if lone else marks - 1
-            longest = max(self.runs)
-            head = [self.runs[longest]] * (run // longest) + ([self.runs[run % longest]] if run % longest else [])
-            found = head + found[lone:]
-        else:
-            found = self.tokens(segment)
-        if max(found) < FOREIGN:
+    def run(self, n: int) -> list[int]:
+        """The ids of n space marks that nothing else takes: of equal scores the leftmost pair merges first."""
+        stack: list[int] = []
+        for _ in range(n):
+            stack.append(1)
+            while len(stack) > 1 and stack[-2] + stack[-1] in self.runs:
+                stack[-2:] = [stack[-2] + stack[-1]]
+        return [self.runs[k] for k in stack]
+
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of space marks and the characters that follow them."""
+        body = word.lstrip(MARK)
+        marks = len(word) - len(body)
+        if not body:
+            return self.run(marks)
+        text = MARK + body if marks else body
+        at = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
+        found = [i for a, b in zip([0, *at], [*at, len(text)]) for i in self.segments[text[a:b]]]
+        if marks < 2:
             return found
+        own = found[0] == self.runs[1]  # the word doesn't take its mark
+        return self.run(marks if own else marks - 1) + found[own:]
+
+    def encode_segment(self, segment: str) -> list[int]:
         out = []
-        for token in found:
+        for token in self.tokens(segment):
             out += [token] if token < FOREIGN else [self.bytes_from + b for b in chr(token - FOREIGN).encode("utf-8", "surrogatepass")]
         return out
 
@@ -167,36 +174,46 @@ class Codec:
             out.append(self.pieces[i])
         return ("".join(out) + held.decode("utf-8", "replace")).replace(MARK, " ")
 
-    def segments(self, text: str) -> list[str]:
-        return [x for x in self.segment.findall(MARK + text.replace(" ", MARK)) if x] if text else []
+    def split(self, text: str) -> list[str]:
+        return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for s in self.segments(text) for i in self.ids[s].split()] + [self.end_id]
+        return [int(i) for w in self.split(text) for i in self.words[w][0].split()] + [self.end_id]
 
     def encode_text(self, text: str) -> tuple[int, str, str]:
         """(number of ids, decimal ids joined by a space, decoded text)."""
-        parts = self.segments(text)
-        ids = " ".join([*map(self.ids.__getitem__, parts), str(self.end_id)])
-        decoded = "".join(map(self.texts.get, parts, parts)) if self.texts else "".join(parts)
-        return ids.count(" ") + 1, ids, decoded.replace(MARK, " ")[1:]
+        parts = list(map(self.words.__getitem__, self.split(text)))
+        ids = " ".join([*(p[0] for p in parts), str(self.end_id)])
+        return ids.count(" ") + 1, ids, "".join([p[1] for p in parts])[1:]
+
+
+class _Words(dict):
+    """(ids as text, decoded text) of each word. Bounded; what isn't kept is made again."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        ids = self.codec.encode_word(word)
+        made = " ".join(map(str, ids)), self.codec.decode_ids(ids)
+        if len(word) <= LONGEST_KEPT and len(self) < KEPT:
+            self[word] = made
+        return made
 
 
-class _Table(dict):
-    """The ids of segments, as text. Bounded; what isn't kept is made again."""
+class _Segments(dict):
+    """The ids of each segment. Bounded as well."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, segment: str) -> str:
+    def __missing__(self, segment: str) -> list[int]:
         ids = self.codec.encode_segment(segment)
-        text = " ".join(map(str, ids))
-        decoded = self.codec.decode_ids(ids)
-        if decoded != segment.replace(MARK, " "):
-            self.codec.texts[segment] = decoded
         if len(segment) <= LONGEST_KEPT and len(self) < KEPT:
-            self[segment] = text
-        return text
+            self[segment] = ids
+        return ids
 
 
 _CODECS: dict[str, Codec] = {}
