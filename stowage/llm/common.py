@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this setting the shuffle files of a write go when the write is through.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,23 +28,44 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
+def database(spark: SparkSession) -> str:
+    """A database whose tables lie in the shared folder, so that dropping a table deletes its files."""
+    folder = shared_dir(spark)
+    name = f"stowage_{hashlib.md5(folder.encode()).hexdigest()[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}/tables'")
+    return name
+
+
+def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again. buckets: into how many, by which column.
 
     This cuts the lineage, so a lost executor never repeats more than one step, and gives adaptive execution
-    plain tables to join, whose skewed partitions it can split. The shuffle files of steps already written
-    are let go.
+    plain tables to join, whose skewed partitions it can split. The shuffle files of the write are let go. drop() deletes the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    full = f"{database(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd")
+    if buckets:
+        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
+    before = spark.conf.get(LET_GO, "false")
+    spark.conf.set(LET_GO, "true")
+    try:
+        writer.saveAsTable(full)
+    finally:
+        spark.conf.set(LET_GO, before)
+    out = spark.table(full)
+    out.cut_table = full
     return out
 
 
+def drop(*frames: DataFrame | None) -> None:
+    """Delete the tables of frames that cut() made, once nothing reads them any more."""
+    for df in frames:
+        full = getattr(df, "__dict__", {}).get("cut_table")
+        if full:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {full}")
+
+
 def crc32_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

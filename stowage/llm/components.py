@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut
+from stowage.llm.common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends are left out. An edge from a node to itself keeps that node.
     """
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    nodes = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = cut(_down(edges), "edges")
     before = None
     while (state := _state(now)) != before:
@@ -26,12 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: neighbours above a vertex go to the least of its neighbourhood
-        now = cut(_down(now.select(F.col("b").alias("k"), F.col("a").alias("v")).join(least, F.col("k") == F.col("a")).select(F.col("v").alias("a"), F.col("m").alias("b"))), "edges")
-        least = cut(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        met = now.select(F.col("b").alias("k"), F.col("a").alias("v")).join(least, F.col("k") == F.col("a"))
+        large = cut(_down(met.select(F.col("v").alias("a"), F.col("m").alias("b"))), "edges")
+        drop(now, least)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         # small star: neighbours below a vertex, and the vertex, go to the least of them
-        moved = now.select(F.col("a").alias("k"), F.col("b").alias("v")).join(least, F.col("k") == F.col("a")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        met = large.select(F.col("a").alias("k"), F.col("b").alias("v")).join(least, F.col("k") == F.col("a"))
+        moved = met.select(F.col("v").alias("a"), F.col("m").alias("b"))
         now = cut(_down(moved.union(least.select("a", F.col("m").alias("b")))), "edges")
-    return nodes.join(now.groupBy("a").agg(F.min("b").alias("root")), F.col("node") == F.col("a"), "left").select("node", F.coalesce("root", "node").alias("root"))
+        drop(large, least)
+    roots = now.groupBy("a").agg(F.min("b").alias("root"))
+    return nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _down(edges: DataFrame) -> DataFrame:

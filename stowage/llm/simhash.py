@@ -268,9 +268,20 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 4, wi
     return prints.join(groups, "fingerprint").select(F.col("doc_id").alias(id_col), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def wide_groups(df: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """(id, component_id) where links are pairs whose shingles of `size` words are 4/5 alike (jaccard.py): 64 bits miss many of them."""
-    rows = cut(df.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "rows")
-    found = cut(rows.select("n", "doc_id").join(jaccard.groups(rows.select("n", "text"), size), "n"), "groups")
-    ids = cut(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
-    return found.join(ids, "root").select(F.col("doc_id").alias(id_col), "component_id")
+def candidate_links(rows: DataFrame, size: int = 5, within: int = 4) -> DataFrame:
+    """Pairs (a, b) of numbers of the written table rows (n, text), n distinct: rows of equal fingerprints, and links of the forest."""
+    prints = cut(fingerprints(rows, "n", "text", size), "fingerprints")
+    points = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "points")
+    equal = prints.join(points, "fingerprint").filter(F.col("doc_id") != F.col("least")).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    edges = cut(link(points.select("fingerprint"), block_masks(1, 3), within // 3, within), "links")
+    left, right = points.select(F.col("fingerprint").alias("a"), F.col("least").alias("n")), points.select(F.col("fingerprint").alias("b"), F.col("least").alias("m"))
+    far = edges.join(left, "a").join(right, "b").select(F.col("n").alias("a"), F.col("m").alias("b"))
+    return equal.unionByName(far)
+
+
+def near_copies(rows: DataFrame, size: int = 5) -> DataFrame:
+    """(n, root) for the written table rows (n, text): groups of rows whose shingle sets are 4/5 alike.
+
+    The forest's links come first and each is tested on the shingle sets; since 64 bits miss many such pairs, a prefix filter adds the rest (jaccard.py).
+    """
+    return jaccard.groups(rows, size, cut(candidate_links(rows, size), "candidates"))

@@ -93,18 +93,25 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {500: 500}
 
 
-def test_wide_groups_catch_near_copies_and_leave_others(spark):
+def test_near_copies_are_caught_and_others_left(spark):
+    """Pairs from 0.8 up, by how many of 300 words are changed, against a comparison of all pairs; SimHash alone misses many of them."""
     rng = np.random.default_rng(2)
     rows = []
-    for d in range(40):
+    for d in range(60):
         base = [f"t{x}" for x in rng.integers(0, 5000, 300)]
-        near = list(base)
-        for at in rng.choice(300, 4, replace=False):
-            near[at] = "changed"
-        rows += [(3 * d, " ".join(base)), (3 * d + 1, " ".join(near)), (3 * d + 2, " ".join(f"u{x}" for x in rng.integers(0, 5000, 300)))]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.wide_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert sum(got[3 * d + 1] == 3 * d for d in range(40)) >= 39
-    assert all(got[3 * d] == 3 * d and got[3 * d + 2] == 3 * d + 2 for d in range(40))
+        for changes in (0, d % 8 + 1):
+            near = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                near[at] = f"changed{d}"
+            rows.append((len(rows), " ".join(near)))
+        rows.append((len(rows), " ".join(f"u{x}" for x in rng.integers(0, 5000, 300))))
+    df = spark.createDataFrame(rows, "n long, text string")
+    got = {r["n"]: r["root"] for r in simhash.near_copies(df).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert [got[i] for i in range(len(rows))] == groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    by_print = {(r["a"], r["b"]) for r in simhash.candidate_links(df).collect()}
+    assert by_print
+    assert sum(got[a] == got[b] for a, b in by_print) > 0.9 * len(by_print)
 
 
 # -- 3
