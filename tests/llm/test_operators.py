@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,7 +308,7 @@ def test_archives(spark, tmp_path):
 
 def test_search_is_exact(spark):
     texts = [(i, t) for i, t in TEXTS if i is not None]
-    got = bm25.top_k(awkward(spark), awkward(spark).filter("doc_id % 2 = 0").dropDuplicates(["doc_id"]), "doc_id", "text", k=3, block=2).collect()
+    got = bm25.top_k(awkward(spark), awkward(spark).filter("doc_id % 2 = 0").dropDuplicates(["doc_id"]), "doc_id", "text", k=3, entries=40).collect()
     bags = [(i, Counter(words((t or "").lower()))) for i, t in texts]
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
     df = Counter(w for _, b in bags for w in b)
@@ -322,6 +323,54 @@ def test_search_is_exact(spark):
     assert bm25.top_k(awkward(spark).limit(0), awkward(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_search_skips_blocks_and_shards_share_thresholds(spark, monkeypatch):
+    """Shards of 512 documents, several blocks of queries, two waves: equal to a search that scores everything, and most blocks are skipped."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(40)]
+    texts = []
+    for i in range(3_000):
+        topic = [f"t{i // 15}w{x}" for x in rng.integers(0, 30, 12)]
+        texts.append(" ".join(list(rng.choice(common, 25)) + topic))
+    bags = [Counter(t.split()) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    n, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+    weight = [{w: int(np.rint(1e6 * (np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))))) for w, c in b.items()} for b in bags]
+    monkeypatch.setattr(bm25, "SHARD", 512)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in bm25.top_k(rows, rows.filter("doc_id % 20 = 0"), "doc_id", "text", k=10, entries=2_000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["doc_id"]))
+    for q in range(0, 3_000, 20):
+        scored = sorted((-s, i) for i, w in enumerate(weight) if (s := sum(w.get(x, 0) for x in bags[q])))[:10]
+        assert [x[1:] for x in sorted(got[q])] == scored
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])
+    lists = [bm25._distinct(d, w) for _, d, w, _ in bm25._bags(docs)]
+    assert len(lists) == 6  # the same shards, here by hand
+    word = np.unique(np.concatenate([w for _, w, _ in lists]))
+    counts = np.bincount(np.searchsorted(word, np.concatenate([w for _, w, _ in lists])))
+    own = [bm25._distinct(d, w)[1] for _, d, w, _ in bm25._bags(docs.slice(700, 1))][0]
+    block = bm25.Queries(np.zeros(len(own), np.int64), own.view(np.int64), counts[np.searchsorted(word, own)], n, mean)
+    scored, plain = [], bm25.Search._score
+    monkeypatch.setattr(bm25.Search, "_score", lambda self, shard, a, w, s, wanted: scored.append(wanted.sum()) or plain(self, shard, a, w, s, wanted))
+    search = bm25.Search(block, 10)
+    for made in _index_rows(docs):
+        search.shard(bm25.Shard(made, block))
+    assert sum(scored) < 30  # of 48
+    assert len(search.score[0]) == 10
+
+
+def _index_rows(docs):
+    """What build_index makes of a batch, without Spark."""
+    held = []
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            held.extend(run(iter([docs])))
+
+    bm25.build_index(Frame())
+    return [{c: b.column(c)[0].as_buffer() for c in ("ids", "lengths", "words", "first", "doc", "tf")} for b in held]
+
+
 # -- 9
 
 
