@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,30 +45,88 @@ def glob_list(text: Column) -> Column:
 
 
 def glob_regex(glob: Column) -> Column:
-    """A shell pattern as an anchored regular expression; * and ? cross slashes, [..] and [!..] are classes."""
-    quoted = F.regexp_replace(glob, r"([.\\+^${}()|])", r"\\$1")
-    open_class = F.regexp_replace(quoted, r"\[!", "[^")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(open_class, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A shell pattern as an anchored regular expression.
+
+    * and ? cross slashes; [..] and [!..] are classes, in which a ] that comes first stands for itself and a range that runs backwards is empty;
+    a bracket that isn't closed stands for itself.
+    """
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?+\]?+[^\]]*\]|."), F.lit(0))
+    quoted = lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}])", r"\\$1")
+
+    def member(x: Column) -> Column:
+        lo, hi = F.substring(x, 1, 1), F.substring(x, 3, 1)
+        span = F.when(F.ascii(lo) <= F.ascii(hi), F.concat(quoted(lo), F.lit("-"), quoted(hi))).otherwise("")
+        return F.when(F.length(x) == 3, span).otherwise(quoted(x))
+
+    def one_of(token: Column) -> Column:
+        negated = F.startswith(token, F.lit("[!")) & (F.length(token) > 3)
+        body = F.substring(token, F.when(negated, 3).otherwise(2), F.length(token) - F.when(negated, 3).otherwise(2))
+        inside = F.array_join(F.transform(F.regexp_extract_all(body, F.lit("(?s).-.|."), F.lit(0)), member), "")
+        full = F.concat(F.when(negated, "[^").otherwise("["), inside, F.lit("]"))
+        return F.when(inside != "", full).when(negated, ".").otherwise("(?!)")
+
+    part = lambda x: F.when(x == "*", ".*").when(x == "?", ".").when(F.length(x) > 1, one_of(x)).otherwise(quoted(x))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, part), ""), F.lit(r"\z"))
+
+
+def glob_regexes(text: Column) -> Column:
+    """The regular expressions of a list of patterns, one a line; take them once for each list, before it is joined to paths."""
+    return F.transform(glob_list(text), glob_regex)
+
+
+def matches_any(path: Column, regexes: Column) -> Column:
+    """Whether a path matches one of the expressions of glob_regexes."""
+    return F.coalesce(F.exists(regexes, lambda g: F.rlike(path, g)), F.lit(False))
+
 
+def scheme(path: Column) -> Column:
+    """gs or s3 for a path with such a scheme (gcs is gs), '' for others."""
+    found = F.lower(F.regexp_extract(F.trim(path), "^(?i)(gs|gcs|s3)://", 1))
+    return F.when(found == "gcs", "gs").otherwise(found)
 
-def matches_any(path: Column, globs: Column) -> Column:
-    return F.exists(globs, lambda g: F.rlike(path, glob_regex(g)))
+
+def _rest(path: Column) -> Column:
+    return F.regexp_replace(F.trim(path), "^(?i)(?:gs|gcs|s3)://", "")
 
 
 def bucket(path: Column) -> Column:
-    return F.regexp_extract(path, r"^([^/]*)", 1)
+    """The bucket of gs://bucket/folder, gcs://.., s3://.. or of the same without a scheme."""
+    return F.regexp_extract(_rest(path), "^([^/]*)", 1)
+
+
+def bucket_prefix(path: Column) -> Column:
+    """The normalised folder of a bucket path; null where path_error refuses it for its folder."""
+    return normalize_prefix(F.regexp_replace(_rest(path), "^[^/]*/?", ""))
+
+
+def _segments(*parts: Column) -> Column:
+    """Components of folder parts: blanks round them, empty ones and '.' go, backslashes are slashes."""
+    joined = F.concat_ws("/", *[F.replace(p, F.lit("\\"), F.lit("/")) for p in parts])
+    return F.filter(F.transform(F.split(joined, "/"), lambda x: F.trim(x)), lambda x: ~x.isin("", "."))
 
 
-def normalize_prefix(prefix: Column) -> Column:
-    """A prefix without empty components, with one slash at its end; '' for none."""
-    parts = F.filter(F.split(F.coalesce(prefix, F.lit("")), "/"), lambda x: x != "")
-    return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "/"), F.lit("/"))).otherwise("")
+def normalize_prefix(*parts: Column) -> Column:
+    """Folder parts joined: no slash first, one slash last; '' for none; null if a component is '..', which could climb out."""
+    found = _segments(*parts)
+    whole = F.when(F.size(found) > 0, F.concat(F.array_join(found, "/"), F.lit("/"))).otherwise("")
+    return F.when(~F.array_contains(found, ".."), whole)
 
 
-def path_error(path: Column) -> Column:
-    """Why a bucket path is refused, or null. Bucket names: 3 to 63 of a-z 0-9 . _ -, ends alphanumeric."""
-    parts = F.split(path, "/")
-    return F.when(path.isNull() | (F.trim(path) == ""), "empty").when(~F.rlike(bucket(path), F.lit("^[a-z0-9][a-z0-9._-]{1,61}[a-z0-9]$")), "bucket").when(F.array_contains(parts, ".."), "parent")
+def format_bucket_path(kind: str, name: Column, prefix: Column) -> Column:
+    """kind://bucket or kind://bucket/folder, without a slash last."""
+    return F.concat(F.lit(f"{kind}://"), name, F.rtrim(F.concat(F.lit("/"), normalize_prefix(prefix)), F.lit("/")))
+
+
+def path_error(path: Column, kind: str | None = None) -> Column:
+    """Why a bucket path is refused, or null: empty, scheme (not that of kind, gs or s3), bucket, parent.
+
+    Bucket names have 3 to 63 of a-z 0-9 . - (and _ but in s3), and begin and end with a letter or digit.
+    """
+    wide, narrow = "^[a-z0-9][a-z0-9._-]{1,61}[a-z0-9]$", "^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$"
+    named = F.when(scheme(path) == "s3", F.rlike(bucket(path), F.lit(narrow))).otherwise(F.rlike(bucket(path), F.lit(wide)))
+    other = scheme(path) != kind if kind else F.lit(False)
+    empty = path.isNull() | (F.trim(path) == "")
+    return F.when(empty, "empty").when(other, "scheme").when(~named, "bucket").when(bucket_prefix(path).isNull(), "parent")
 
 
 def archive_parts(key: Column) -> tuple[Column, Column]:
@@ -94,8 +150,3 @@ def index_key(archive_path: Column) -> Column:
     folder, ident = archive_parts(archive_path)
     old = F.rlike(archive_path, F.lit(rf"archives/{UUID}\.tar$"))
     return F.concat(folder, F.when(old, "index/").otherwise(""), ident, F.lit(".json"))
-
-
-def fnmatch_sql(glob: str) -> str:
-    """The regular expression of a literal pattern, for tests and SQL."""
-    return "(?s)^" + re.sub(r"([.\\+^${}()|])", r"\\\1", glob).replace("[!", "[^").replace("*", ".*").replace("?", ".") + "$"

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, scalars
+from stowage.operators.catalog import numbered_after
+from stowage.operators.ordered import next_fit, running
 
 #: Skip reasons that don't make a run partial.
 EXPECTED = ("excluded", "unchanged", "already_backed_up", "already_missing")
@@ -30,7 +29,7 @@ def is_unchanged(force_all: bool, disk_ns: Column, disk_size: Column, stored_ns:
 
 def skip_reasons(files: DataFrame, locations: DataFrame, before: DataFrame, after: DataFrame, records: DataFrame, present: DataFrame, destination: int, force_all: bool = False) -> DataFrame:
     """id, path, reason: the first reason that applies, or candidate. before and after: listings round the reads."""
-    own = locations.select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"), paths.glob_list(F.col("exclude_globs")).alias("globs"))
+    own = locations.select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"), paths.glob_regexes(F.col("exclude_globs")).alias("globs"))
     done = records.filter(F.col("destination_id") == destination).join(present, "id").select(F.col("media_file_id").alias("id"), F.col("mtime_ns").alias("stored_ns"), "present")
     seen = before.select("path", F.col("size").alias("disk_size"), F.col("mtime_ns").alias("disk_ns"))
     later = after.select("path", F.col("size").alias("later_size"), F.col("mtime_ns").alias("later_ns"))
@@ -62,61 +61,16 @@ def adopt_existing(candidates: DataFrame, records: DataFrame, links: DataFrame,
     return candidates.join(source.join(usable, "record_id"), "match_key", "left").select("id", "match_key", "record_id")
 
 
-def adopted_links(adopted: DataFrame, links: DataFrame) -> DataFrame:
-    """The links that the adopted files' records get: those of the copied record."""
-    return adopted.filter("record_id is not null").select("id", F.col("record_id").alias("backup_record_id")).join(links, "backup_record_id").select(F.col("id").alias("media_file_id"), "backup_archive_id", "part_index", "archive_offset", "archive_length")
-
-
 def dedup_groups(files: DataFrame) -> DataFrame:
-    """One row for each content: the first path stands for it, and all paths in order."""
-    return files.groupBy("sha256").agg(F.min("rel_path").alias("rel_path"), F.min_by("size_bytes", "rel_path").alias("size_bytes"), F.array_sort(F.collect_list("rel_path")).alias("paths"))
+    """One row for each content: the first path stands for it, and how many paths have it. content_paths names them."""
+    first = F.min("rel_path").alias("rel_path"), F.min_by("size_bytes", "rel_path").alias("size_bytes")
+    return files.groupBy("sha256").agg(*first, F.count("rel_path").alias("copies"))
 
 
-def next_fit(rows: DataFrame, group: str, order: list[str], cost: str, limit: int) -> DataFrame:
-    """rows with `bin`, from 0 within each group: each row joins the open bin while its cost fits, else opens the next one.
-
-    Next-fit is sequential within a group, and a running sum can't express it. Each group runs in one task over sorted batches, holding one number; only
-    the groups (libraries, runs) run side by side. Rows carry narrow columns only. A row that exceeds the limit alone has a bin of its own.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, at, filled = None, 0, 0
-        for frame in frames:
-            bins = []
-            for key, c in zip(frame[group].tolist(), frame[cost].tolist()):
-                if key != name:
-                    name, at, filled = key, 0, 0
-                elif filled and filled + c > limit:
-                    at, filled = at + 1, 0
-                filled += c
-                bins.append(at)
-            yield frame.assign(bin=bins)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", bin long"
-    return rows.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
-
-
-def next_fit_doubling(rows: DataFrame, order: list[str], cost: str, limit: int, cut) -> DataFrame:
-    """next_fit of one group that is too large for a task, by pointer doubling over row numbers.
-
-    Each row points to the row that would open the next bin if it opened one: the first whose prefix sum exceeds its own start
-    plus the limit. Reachability from the first row doubles in length each round, so log2(rows) joins find all openers. `cut` writes a table
-    between rounds. rows need a column `n`, consecutive from 0 in the order.
-    """
-    prefix = Window.orderBy(*order)  # the one ordered pass; row numbers and sums can come from numbered_after instead
-    summed = cut(rows.withColumn("to", F.sum(cost).over(prefix.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col(cost)).select("n", "from", "to"))
-    probes = summed.select((F.col("from") + limit).alias("v"), F.lit(0).alias("kind"), F.col("n").alias("who")).union(summed.select("to", F.lit(1), "n"))
-    after = Window.orderBy(F.col("v").asc(), F.col("kind").desc()).rowsBetween(1, Window.unboundedFollowing)
-    jump = probes.withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("who"))).over(after)).filter("kind = 0").select(F.col("who").alias("n"), F.greatest("next", F.col("who") + 1).alias("next"))
-    hop, reach = cut(jump), cut(summed.filter("n = 0").select("n"))
-    while True:
-        wider = cut(reach.union(reach.join(hop.filter("next is not null"), "n").select(F.col("next").alias("n"))).distinct())
-        if wider.count() == reach.count():
-            break
-        reach, h2 = wider, hop.select(F.col("n").alias("next"), F.col("next").alias("far"))
-        hop = cut(hop.join(h2, "next", "left").select("n", F.col("far").alias("next")))
-    opens = reach.select("n", F.lit(1).alias("opens"))
-    return rows.join(opens, "n", "left").withColumn("bin", F.sum(F.coalesce("opens", F.lit(0))).over(Window.orderBy("n")) - 1).drop("opens")
+def content_paths(files: DataFrame, page: int = 10_000) -> DataFrame:
+    """sha256, page, paths: all paths of each content in order, `page` of them a row, so a content of any number of copies is never one cell."""
+    placed = running(files.select("sha256", "rel_path").distinct(), "sha256", ["rel_path"])
+    return placed.groupBy("sha256", F.floor(F.col("n") / page).alias("page")).agg(F.array_sort(F.collect_list("rel_path")).alias("paths"))
 
 
 def clump_plan(contents: DataFrame, min_size: int, clump_size: int, max_size: int) -> DataFrame:
@@ -142,33 +96,58 @@ def record_archives(members: DataFrame, records: DataFrame, links: DataFrame) ->
     """(next records, next links) after a run stored members (archive_id, media_file_id, destination_id, sha256, part_index, offset, length).
 
     A record of a touched file and destination is updated or added, and its old links are replaced by the new ones; others stay.
+    New records are numbered after the largest id, in the order of file and destination.
     """
-    touched = members.groupBy("media_file_id", "destination_id").agg(F.min("sha256").alias("new_sha"))
-    top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    old = records.select("id", "media_file_id", "destination_id", "sha256", "status").join(touched, ["media_file_id", "destination_id"], "full_outer")
-    fresh = old.filter("id is null").select("media_file_id", "destination_id", "new_sha")
-    # ids follow the file and destination, so that they don't depend on the partitioning
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.col("media_file_id") * 16 + F.col("destination_id"))
-    kept = old.filter("id is not null").select("id", "media_file_id", "destination_id", F.coalesce("new_sha", "sha256").alias("sha256"), F.when(F.col("new_sha").isNotNull(), "done").otherwise(F.col("status")).alias("status"))
-    after = kept.unionByName(numbered.select("id", "media_file_id", "destination_id", F.col("new_sha").alias("sha256"), F.lit("done").alias("status")))
-    ids = after.select(F.col("id").alias("backup_record_id"), "media_file_id", "destination_id")
-    new_links = members.join(ids, ["media_file_id", "destination_id"]).select("backup_record_id", F.col("archive_id").alias("backup_archive_id"), "part_index", "offset", "length")
-    stay = links.join(new_links.select("backup_record_id").distinct(), "backup_record_id", "left_anti").select("backup_record_id", "backup_archive_id", "part_index", F.col("archive_offset").alias("offset"), F.col("archive_length").alias("length"))
+    key = ["media_file_id", "destination_id"]
+    touched = members.groupBy(*key).agg(F.min("sha256").alias("new_sha"))
+    old = records.select("id", *key, "sha256", "status").join(touched, key, "left")
+    fresh = touched.join(records.select(*key), key, "left_anti").withColumn("order", F.struct(*key))
+    status = F.when(F.col("new_sha").isNotNull(), "done").otherwise(F.col("status")).alias("status")
+    kept = old.select("id", *key, F.coalesce("new_sha", "sha256").alias("sha256"), status)
+    added = numbered_after(records, fresh, "order").select("id", *key, F.col("new_sha").alias("sha256"), F.lit("done").alias("status"))
+    after = kept.unionByName(added)
+    ids = after.select(F.col("id").alias("backup_record_id"), *key)
+    new_links = members.join(ids, key).select("backup_record_id", F.col("archive_id").alias("backup_archive_id"), "part_index", "offset", "length")
+    stay = links.join(new_links.select("backup_record_id").distinct(), "backup_record_id", "left_anti")
+    stay = stay.select("backup_record_id", "backup_archive_id", "part_index", F.col("archive_offset").alias("offset"), F.col("archive_length").alias("length"))
     return after, stay.unionByName(new_links)
 
 
-def build_index(members: DataFrame) -> DataFrame:
-    """The index document of each archive as JSON. A key that comes twice in one archive is an error, by the map's own rule."""
-    entry = F.struct("size", "mtime", "offset", F.array_sort("paths").alias("paths"), "compression", "part")
-    files = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("entry_key").alias("key"), entry.alias("value")))))
-    doc = members.groupBy("archive_id", "object", "type").agg(files.alias("files"))
-    return doc.select("archive_id", F.to_json(F.struct(F.lit(1).alias("v"), "archive_id", "object", "type", "files")).alias("body"))
+#: A fixed value of the index format: how entries of keyed archives are named.
+KEY_SCHEME = "content_id_v1"
+
 
+def build_index(members: DataFrame) -> DataFrame:
+    """The index document of each archive as JSON: archive_id, body.
 
-def results_json(reasons: DataFrame, by: str) -> DataFrame:
-    """One JSON list of (path, reason) for each run, in path order."""
+    members: archive_id, object, type, created_at, archive_size, key_check, sha256, content_id, size, mtime, member, offset, paths, paths_enc,
+    compression, part, parts, sha256_enc; what doesn't apply is null. Entries are named by content id where members have one, which all or none of
+    an archive must, with the sealed hash; otherwise by hash. A name that comes twice in one archive is an error too, by the map's own rule.
+    """
+    named = members.withColumn("name", F.coalesce("content_id", "sha256"))
+    fields = "size", "mtime", "member", "offset", "paths", "paths_enc", "compression", "part", "parts", "sha256_enc"
+    files = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name").alias("key"), F.struct(*fields).alias("value")))))
+    keyed, plain = F.count("content_id").alias("keyed"), F.count_if(F.col("content_id").isNull()).alias("plain")
+    unsealed = F.count_if(F.col("content_id").isNotNull() & F.col("sha256_enc").isNull()).alias("unsealed")
+    head = "archive_id", "object", "type", "created_at", F.col("archive_size").alias("size_of"), "key_check"
+    doc = named.groupBy(*head).agg(files.alias("files"), keyed, plain, unsealed, F.bool_or(F.col("paths_enc").isNotNull()).alias("sealed"))
+    is_keyed = F.col("keyed") > 0
+    body = F.to_json(
+        F.struct(
+            F.lit(1).alias("v"), "archive_id", "object", "type", "created_at", F.col("size_of").alias("size"), "files",
+            F.when(is_keyed, KEY_SCHEME).alias("key_scheme"), F.when(is_keyed, F.col("key_check")).alias("key_check"), F.when(F.col("sealed"), True).alias("encrypted"),
+        )
+    )
+    mixed = F.raise_error(F.concat(F.lit("members with and without a content id in archive "), "archive_id"))
+    lost = F.raise_error(F.concat(F.lit("a content id without its sealed hash in archive "), "archive_id"))
+    return doc.select("archive_id", F.when(is_keyed & (F.col("plain") > 0), mixed).when(F.col("unsealed") > 0, lost).otherwise(body).alias("body"))
+
+
+def results_json(reasons: DataFrame, by: str, page: int = 10_000) -> DataFrame:
+    """JSON lists of (path, reason) for each run, in path order: by, page, results; `page` entries a row, so a run of any size is no single cell."""
+    placed = running(reasons, by, ["path"])
     each = F.array_sort(F.collect_list(F.struct("path", "reason")))
-    return reasons.groupBy(by).agg(F.to_json(each).alias("results"))
+    return placed.groupBy(by, F.floor(F.col("n") / page).alias("page")).agg(F.to_json(each).alias("results"))
 
 
 def effective_encryption(libraries: DataFrame, has_key: bool) -> DataFrame:
@@ -176,9 +155,9 @@ def effective_encryption(libraries: DataFrame, has_key: bool) -> DataFrame:
 
 
 def target_prefix(locations: DataFrame) -> DataFrame:
-    """Where each library's objects go: the archive's bucket and folder, then the library's own folder."""
+    """Where each library's objects go: the archive's bucket and folder, then the library's own folder. A prefix that would climb out is null."""
     archives = locations.filter("is_backup_target").select(F.col("id").alias("archive_location_id"), F.col("path").alias("target"))
     joined = locations.filter("not is_backup_target").join(archives, "archive_location_id")
-    base = F.regexp_replace("target", "^[^/]*/?", "")
-    return joined.select("id", paths.bucket(F.col("target")).alias("bucket"), paths.normalize_prefix(F.concat_ws("/", base, F.col("archive_subpath"))).alias("prefix"))
-
+    base = paths.bucket_prefix(F.col("target"))
+    prefix = F.when(base.isNotNull(), paths.normalize_prefix(base, F.coalesce("archive_subpath", F.lit(""))))
+    return joined.select("id", paths.bucket(F.col("target")).alias("bucket"), prefix.alias("prefix"))

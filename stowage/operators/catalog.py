@@ -124,6 +124,14 @@ def watch_sync(items: DataFrame, files: DataFrame, before: str, after: str) -> D
     return files.select("id", "path").join(best, "path").select("id", F.col("s.Played").alias("watched"), F.col("s.PlayCount").alias("play_count"), F.col("s.LastPlayedDate").alias("last_played"))
 
 
+def watch_counts(items: DataFrame, files: DataFrame, before: str, after: str) -> DataFrame:
+    """How many items there are, and how many of them have and haven't a file at their path with one prefix exchanged."""
+    known = files.select("path", F.lit(True).alias("known")).distinct()
+    swapped = items.select(paths.swap_prefix(F.col("Path"), F.lit(before), F.lit(after)).alias("path"))
+    joined = swapped.join(known, "path", "left")
+    return joined.agg(F.count(F.lit(1)).alias("items"), F.count("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("unmatched"))
+
+
 def watch_library(files: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
     """The first prefix of a short list that a path starts with names its library."""
     chain = F.lit(None).cast("string")

@@ -5,6 +5,7 @@ Contents come as a table (key, content) or from binaryFile; filter by metadata f
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -12,12 +13,14 @@ import tarfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stowage.functions import scalars
+from stowage.operators.ordered import running
 
 SAMPLE = 1 << 20
 MIN_SAVING = 0.05
@@ -43,41 +46,71 @@ def fingerprint(content: pd.Series) -> pd.Series:
     return content.map(one, na_action="ignore")
 
 
-def _crc32c_table() -> list[int]:
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        table.append(n)
-    return table
+CASTAGNOLI = 0x82F63B78  # a fixed value: the polynomial of CRC32C, its bits reversed
+LANE = 1024
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to a CRC, for each byte."""
+    n = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        n = np.where(n & 1, n >> 1 ^ CASTAGNOLI, n >> 1).astype(np.uint32)
+    return n
+
+
+def _zeros_operator(length: int) -> np.ndarray:
+    """What `length` zero bytes do to a CRC, as a table for each of its four bytes: a linear map, so it is squared and multiplied like a power."""
+    table = _crc_table()
+
+    def apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return tables[0][x & 0xFF] ^ tables[1][x >> 8 & 0xFF] ^ tables[2][x >> 16 & 0xFF] ^ tables[3][x >> 24]
+
+    units = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    power = np.stack([table[u & 0xFF] ^ (u >> 8) for u in units])
+    total = units
+    while length:
+        if length & 1:
+            total = np.stack([apply(power, t) for t in total])
+        power = np.stack([apply(power, p) for p in power])
+        length >>= 1
+    return total
 
 
 @F.pandas_udf(StringType())
 def crc32c(content: pd.Series) -> pd.Series:
-    """Base64 of the big-endian CRC32C (Castagnoli), as object stores report it. All rows advance together, a byte a step."""
-    import base64
+    """Base64 of the big-endian CRC32C (Castagnoli), as object stores report it.
 
-    import numpy as np
-
-    table = np.array(_crc32c_table(), np.uint32)
+    Contents are cut into lanes of LANE bytes from their ends; all lanes of all rows advance together, a byte a step, and a row's lanes are then
+    joined from left to right by the map that LANE zero bytes are.
+    """
+    table, shift = _crc_table(), _zeros_operator(LANE)
+    rows = [i for i, c in enumerate(content) if c is not None]
     out: list[str | None] = [None] * len(content)
-    rows = sorted((i for i, c in enumerate(content) if c is not None), key=lambda i: -len(content.iloc[i]))
-    if not rows:
-        return pd.Series(out)
-    sizes = np.array([len(content.iloc[i]) for i in rows])
-    crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
-    step = 4096
-    for lo in range(0, int(sizes[0]), step):
-        live = int((sizes > lo).sum())
-        block = np.zeros((live, step), np.uint8)
-        for k in range(live):
-            piece = content.iloc[rows[k]][lo : lo + step]
-            block[k, : len(piece)] = np.frombuffer(piece, np.uint8)
-        for at in range(min(step, int(sizes[0]) - lo)):
-            n = int((sizes > lo + at).sum())
-            crc[:n] = table[(crc[:n] ^ block[:n, at]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+    sizes = np.array([len(content.iloc[i]) for i in rows], np.int64)
+    lanes = np.maximum(1, -(-sizes // LANE))
+    first = np.cumsum(lanes) - lanes
+    block = np.zeros((int(lanes.sum()), LANE), np.uint8)
+    for k, i in enumerate(rows):
+        block[first[k] : first[k] + lanes[k]].reshape(-1)[int(lanes[k]) * LANE - int(sizes[k]) :] = np.frombuffer(content.iloc[i], np.uint8)
+    crc = np.zeros(len(block), np.uint32)
+    skip = np.zeros(len(block), np.int64)  # a row's first lane is short: it starts where its bytes do, from all ones
+    skip[first] = lanes * LANE - sizes
+    fresh = np.argsort(skip[first], kind="stable")
+    begun = np.sort(skip[first], kind="stable")
+    by_step = np.ascontiguousarray(block.T)
+    for at in range(LANE):
+        lo, hi = np.searchsorted(begun, [at, at + 1])
+        crc[first[fresh[lo:hi]]] = 0xFFFFFFFF
+        crc = table[(crc ^ by_step[at]) & 0xFF] ^ (crc >> np.uint32(8))
+        crc[first[fresh[hi:]]] = 0
+    crc[first[sizes == 0]] = 0xFFFFFFFF
+    total = crc[first]
+    for step in range(1, int(lanes.max(initial=1))):
+        live = np.flatnonzero(lanes > step)
+        x = total[live]
+        total[live] = shift[0][x & 0xFF] ^ shift[1][x >> 8 & 0xFF] ^ shift[2][x >> 16 & 0xFF] ^ shift[3][x >> 24] ^ crc[first[live] + step]
     for k, i in enumerate(rows):
-        out[i] = base64.b64encode(int(crc[k] ^ 0xFFFFFFFF).to_bytes(4, "big")).decode()
+        out[i] = base64.b64encode(int(total[k] ^ 0xFFFFFFFF).to_bytes(4, "big")).decode()
     return pd.Series(out)
 
 
@@ -113,19 +146,20 @@ def encrypt_blob(files: DataFrame, chunk: int, magic: bytes = MAGIC) -> DataFram
     piece = F.substring("content", F.col("i") * chunk + 1, F.lit(chunk))
     nonce = F.concat("prefix", number(F.col("i"), 8))
     sealed = F.aes_encrypt(piece, F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, F.col("header"))
-    return each.select("id", "header", "key", "i", F.substring(sealed, 13, 1 << 30).alias("sealed"))
+    return each.select("id", "header", "key", "i", F.substring(sealed, F.lit(13), F.octet_length(sealed)).alias("sealed"))
 
 
-def decrypt_blob(chunks: DataFrame) -> DataFrame:
-    """id, content; null where a chunk fails, is missing, or the total isn't what the header says."""
+def decrypt_blob(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
+    """id, content; null where the header isn't the format's, a chunk fails or is missing, or the total isn't what the header says."""
     nonce = F.concat(F.substring("header", 5, 4), F.unhex(F.lpad(F.hex(F.col("i").cast("long")), 16, "0")))
     opened = F.try_aes_decrypt(F.concat(nonce, "sealed"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("header"))
     each = chunks.withColumn("plain", opened)
-    joined = each.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("i", "plain"))).alias("c"), F.bool_and(F.col("plain").isNotNull()).alias("ok"), F.count(F.lit(1)).alias("n"), F.max("i").alias("last"))
-    whole = F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["plain"]))
+    every = F.bool_and(F.col("plain").isNotNull()).alias("ok"), F.count(F.lit(1)).alias("n"), F.max("i").alias("last")
+    joined = each.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("i", "plain"))).alias("c"), *every)
+    whole = F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["plain"])), ""))
     size = F.conv(F.hex(F.substring("header", 13, 8)), 16, 10).cast("long")
-    content = F.when(F.col("ok") & (F.col("n") == F.col("last") + 1) & (F.octet_length(whole) == size), whole)
-    return joined.select("id", content.alias("content"))
+    right = F.col("ok") & (F.substring("header", 1, 4) == F.lit(magic)) & (F.col("n") == F.col("last") + 1) & (F.octet_length(whole) == size)
+    return joined.select("id", F.when(right, whole).alias("content"))
 
 
 def gzip_plan(files: DataFrame) -> DataFrame:
@@ -161,6 +195,14 @@ def prepare_plan(files: DataFrame, packed: DataFrame) -> DataFrame:
     return files.join(packed.select(F.col("id").alias("sha256"), "stored", "compressed"), "sha256").select("path", F.concat("sha256", F.when(F.col("compressed"), ".gz").otherwise(".file")).alias("member"), F.octet_length("stored").alias("stored_size"), "compressed")
 
 
+def deal_to_archives(members: DataFrame, group: str, order: str, archive_bytes: int) -> DataFrame:
+    """members with `archive`: the group's name and a number, from running sums of n_bytes in the order. An archive holds less than archive_bytes and
+    one more member, whatever a group's size. Only narrow columns go through it; contents are joined afterwards."""
+    placed = running(members, group, [order], "n_bytes")
+    number = F.floor((F.col("to") - F.col("n_bytes")) / archive_bytes).cast("string")
+    return placed.select(*members.columns, F.concat_ws("-", group, number).alias("archive"))
+
+
 def write_archives(members: DataFrame) -> DataFrame:
     """One PAX tar for each archive (archive, member, content): archive, tar, and the offsets read back from it."""
 

@@ -57,7 +57,7 @@ def merge_ranges(pieces: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
 def range_read(ranges: DataFrame, objects: DataFrame) -> DataFrame:
     """The bytes of each range (object key, offset, length), where objects (key, content) is a table of stored objects.
 
-    Ranges come sorted by object, so a task opens an object once. Objects that aren't a table are read by range_read_files.
+    Objects that aren't a table are read by range_read_files, which sorts the ranges by object and opens each once.
     """
     joined = ranges.join(objects, "key")
     return joined.select("key", "offset", "length", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("data"))
@@ -122,9 +122,6 @@ def index_entry_lookup(records: DataFrame, links: DataFrame, archives: DataFrame
     return keyed.join(entries, ["archive_id", "entry_key"], "left")
 
 
-VERDICT_ORDER = "missing mismatch"
-
-
 def verify_shallow(records: DataFrame, links: DataFrame, archives: DataFrame, listing: DataFrame, entries: DataFrame, content_id: Column, local: DataFrame) -> DataFrame:
     """One verdict a record: the first failing check of its archives in order.
 
@@ -145,6 +142,24 @@ def verify_shallow(records: DataFrame, links: DataFrame, archives: DataFrame, li
     return judged.select("id", F.when(F.col("sha256").isNull(), "mismatch").when(F.col("bad").isNotNull(), F.col("bad.verdict")).when(~F.col("same"), "changed").otherwise("match").alias("verdict"))
 
 
+def verify_ends(stored: DataFrame, local: DataFrame, sample: int) -> DataFrame:
+    """id, verdict: whether what shallow verification reads of each stored object (key, content) equals the local file's (id, content) bytes there.
+
+    Only the wanted ranges of an object are taken, merged where they touch, and joined to the same ranges of the file. Verdicts: match, mismatch (other bytes or size), missing.
+    """
+    sized = local.select("id", F.col("id").cast("string").alias("key"), F.col("content").alias("own"), F.octet_length("content").cast("long").alias("size"))
+    want = F.explode(scalars.wanted_ranges(F.col("size"), F.lit(False), sample, 4 * sample))
+    ranges = sized.filter("size > 0").select(F.col("key").alias("backup_archive_id"), want.alias("w")).select("backup_archive_id", F.col("w.start").alias("offset"), F.least("w.length", F.lit(1 << 31)).alias("length"))
+    merged = merge_ranges(ranges, gap=0).withColumnRenamed("backup_archive_id", "key")
+    read = range_read(merged, stored).withColumnRenamed("data", "there")
+    here = F.substring("own", F.col("offset").cast("int") + 1, F.col("length").cast("int"))
+    compared = read.join(sized.select("key", "own"), "key").groupBy("key").agg(F.bool_and(F.col("there") == here).alias("same"))
+    sizes = stored.select("key", F.octet_length("content").cast("long").alias("stored_size"))
+    judged = sized.select("id", "key", "size").join(sizes, "key", "left").join(compared, "key", "left")
+    right = (F.col("stored_size") == F.col("size")) & F.coalesce("same", F.lit(True))
+    return judged.select("id", F.when(F.col("stored_size").isNull(), "missing").when(right, "match").otherwise("mismatch").alias("verdict"))
+
+
 def verify_apply(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The next records: a verdict replaces verify_status where there is one."""
     return records.join(verdicts.select("id", "verdict"), "id", "left").select("id", F.coalesce("verdict", "verify_status").alias("verify_status"), F.col("verdict").isNotNull().alias("verified"))

@@ -174,5 +174,24 @@ def nfo_enrich(t: Tables) -> DataFrame:
            ELSE regexp_full_match(substr(m.path, length(m.source) + 7), '(?s)de/doc-.[05]\..*') END AS excluded FROM media_files m
 """)
 def exclude_globs(t: Tables) -> DataFrame:
-    joined = t.media_files.join(t.storage_locations.select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"), "exclude_globs"), "storage_location_id")
-    return joined.select("id", "path", paths.matches_any(paths.relative(F.col("path"), F.col("root")), paths.glob_list(F.col("exclude_globs"))).alias("excluded"))
+    joined = t.media_files.join(t.storage_locations.select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"), paths.glob_regexes(F.col("exclude_globs")).alias("globs")), "storage_location_id")
+    return joined.select("id", "path", paths.matches_any(paths.relative(F.col("path"), F.col("root")), F.col("globs")).alias("excluded"))
+
+
+GLOBS = {"unclosed": "*[0-9", "literal": "doc-[[]*", "negated": "doc-[!0-4]*", "bracket": "doc-[]1]*.t?t", "backwards": "doc-[9-0]*", "dash": "*[-]2*.[mj]*"}
+
+
+@query(r"SELECT id, filename || '[0-9' AS name, true AS unclosed, false AS literal, regexp_full_match(filename || '[0-9', 'doc-[^0-4].*') AS negated, false AS bracket, false AS backwards, regexp_full_match(filename || '[0-9', '.*[-]2.*\.[mj].*') AS dash FROM media_files")
+def glob_cases(t: Tables) -> DataFrame:
+    """Patterns with brackets that are closed, unclosed, negated, and ranges that run backwards."""
+    name = F.concat("filename", F.lit("[0-9"))
+    hit = lambda g: paths.matches_any(F.col("name"), F.array(paths.glob_regex(F.lit(g))))
+    return t.media_files.select("id", name.alias("name")).select("id", "name", *[hit(g).alias(k) for k, g in GLOBS.items()])
+
+
+@query(f"""
+    WITH {_ITEMS}, s AS (SELECT CASE WHEN starts_with(Path, '/media') THEN '/mnt' || substr(Path, 7) END AS path FROM w)
+    SELECT count(*)::BIGINT AS items, count(*) FILTER (path IN (SELECT path FROM media_files))::BIGINT AS matched, count(*) FILTER (path IS NULL OR path NOT IN (SELECT path FROM media_files))::BIGINT AS unmatched FROM s
+""")
+def watch_counts(t: Tables) -> DataFrame:
+    return catalog.watch_counts(catalog.watch_items(t.watch_pages), t.media_files, "/media", "/mnt")

@@ -21,7 +21,7 @@ def listing_prefix(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT string_split(substr(key, 7), '/')[1] AS folder FROM object_listing WHERE starts_with(key, 'vault/') AND contains(substr(key, 7), '/')")
 def listing_subfolders(t: Tables) -> DataFrame:
-    rest = F.substring("key", 7, 10_000)
+    rest = F.substring("key", F.lit(7), F.length("key"))
     return t.object_listing.filter(F.startswith("key", F.lit("vault/"))).filter(F.contains(rest, F.lit("/"))).select(F.split(rest, "/")[0].alias("folder")).distinct()
 
 

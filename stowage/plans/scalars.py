@@ -65,7 +65,7 @@ def index_keys(t: Tables) -> DataFrame:
 @query("SELECT id, 'base/' || source || CASE WHEN id % 3 = 0 THEN '' ELSE '/x' END || '/' AS prefix, split_part(path, '/', 2) AS bucket FROM media_files")
 def bucket_paths(t: Tables) -> DataFrame:
     messy = F.concat(F.lit("/base//"), "source", F.when(F.col("id") % 3 == 0, "//").otherwise("/x/"))
-    return t.media_files.select("id", paths.normalize_prefix(messy).alias("prefix"), paths.bucket(F.substring("path", 2, 1000)).alias("bucket"))
+    return t.media_files.select("id", paths.normalize_prefix(messy).alias("prefix"), paths.bucket(F.substring("path", F.lit(2), F.length("path"))).alias("bucket"))
 
 
 @query("""

@@ -95,10 +95,20 @@ def test_hmac(spark):
     assert one(spark, scalars.hmac_sha256_column(F.lit(key), F.lit(message))) == expected
 
 
-@pytest.mark.parametrize("glob", ["*.tmp", "a/*", "?.txt", "[ab]c*", "[!a]b", "x.(y)+", "*"])
-def test_globs_match_as_the_shell_does(spark, glob):
-    for path in ("a.tmp", "a/b/c.tmp", "a/b", "b.txt", "bc/d", "ac", "cb", "ab", "x.(y)+", "x(y)", ""):
-        assert one(spark, F.rlike(F.lit(path), paths.glob_regex(F.lit(glob)))) == fnmatch.fnmatchcase(path, glob), (glob, path)
+def test_globs_match_as_the_shell_does(spark):
+    """Classes, negated ones, brackets that aren't closed, ranges that run backwards, and signs that mean something in expressions."""
+    globs = ["*.tmp", "a/*", "?.txt", "[ab]c*", "[!a]b", "x.(y)+", "*", "[abc", "a[!b", "[]a]x", "[!]a]x", "[z-a]x", "[!z-a]x", "[a-c-e]x", "[--a]x", "[a&&b]x", "[^a]b", "[\\]x", "a{1}$", "[", "[]", "[!]", "**/.x/**", "é?", "[à-é]x"]
+    names = ["x.tmp", "a/b/c.tmp", "a/", "b.txt", "bb.txt", "ac1", "zb", "ab", "x.(y)+", "", "[abc", "a[!b", "]x", "ax", "bx", "ex", "-x", "&x", "^b", "\\x", "a{1}$", "[", "[]", "[!]", "q/.x/y", "éa", "èx", "a\nb", "x\n"]
+    pairs = [(g, n) for g in globs for n in names]
+    table = spark.createDataFrame(pairs, "g string, n string")
+    got = [(r["g"], r["n"]) for r in table.filter(F.rlike("n", paths.glob_regex(F.col("g")))).collect()]
+    assert sorted(got) == sorted((g, n) for g, n in pairs if fnmatch.fnmatchcase(n, g))
+
+
+def test_a_bad_pattern_stops_no_library(spark):
+    table = spark.createDataFrame([("[abc\n*.tmp", "x.tmp"), ("[abc", "[abc"), (None, "y"), ("", "z")], "globs string, path string")
+    hit = paths.matches_any(F.col("path"), paths.glob_regexes(F.col("globs")))
+    assert [r[0] for r in table.select(hit).collect()] == [True, True, False, False]
 
 
 def test_glob_lists(spark):
@@ -133,3 +143,34 @@ def test_part_length_and_key_check(spark):
     assert [one(spark, scalars.part_length(sizes, F.lit(k))) for k in (1, 3, 9)] == [4, 2, 10]
     key = bytes(range(32))
     assert scalars.key_check(key) == hmac.new(key, b"key-check", hashlib.sha256).hexdigest()[:16]
+
+
+@pytest.mark.parametrize(
+    ("path", "expected"),
+    [
+        ("gs://my-bucket", ("gs", "my-bucket", "")),
+        ("gs://my-bucket/", ("gs", "my-bucket", "")),
+        ("gs://my-bucket/folder1/sub//deep/", ("gs", "my-bucket", "folder1/sub/deep/")),
+        ("GS://my-bucket/a", ("gs", "my-bucket", "a/")),
+        ("gcs://legacy_bucket", ("gs", "legacy_bucket", "")),
+        (" s3://b-1/a\\b/./ c ", ("s3", "b-1", "a/b/c/")),
+        ("plain-bucket/x", ("", "plain-bucket", "x/")),
+    ],
+)
+def test_bucket_paths_are_taken_apart(spark, path, expected):
+    p = F.lit(path)
+    assert one(spark, F.struct(paths.scheme(p), paths.bucket(p), paths.bucket_prefix(p))) == expected
+    assert one(spark, paths.path_error(p, expected[0] or None)) is None
+
+
+@pytest.mark.parametrize(("path", "kind"), [("", "gs"), ("my-bucket", "gs"), ("s3://b/x", "gs"), ("gs://", "gs"), ("gs://A_Bucket", "gs"), ("gs://a", "gs"), ("gs://-bad", "gs"), ("gs://bad-/x", "gs"), ("s3://under_score", "s3"), ("gs://good/../x", "gs"), (None, "gs")])
+def test_bad_bucket_paths_are_refused(spark, path, kind):
+    assert one(spark, paths.path_error(F.lit(path).cast("string"), kind)) is not None
+
+
+def test_prefixes_join_and_paths_are_formatted(spark):
+    assert one(spark, paths.normalize_prefix(F.lit("a/b"), F.lit("/c/"), F.lit(""))) == "a/b/c/"
+    assert one(spark, paths.normalize_prefix(F.lit(""))) == ""
+    assert one(spark, paths.normalize_prefix(F.lit("folder"), F.lit("../other"))) is None
+    assert one(spark, paths.format_bucket_path("gs", F.lit("b"), F.lit("x/y/"))) == "gs://b/x/y"
+    assert one(spark, paths.format_bucket_path("s3", F.lit("b"), F.lit(""))) == "s3://b"

@@ -8,7 +8,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.operators import backup, catalog, content, discovery, ledger, mutations, reports
+from stowage.operators import backup, catalog, content, discovery, ledger, mutations, ordered, reports
 from stowage.streaming import progress
 
 
@@ -36,26 +36,60 @@ def _next_fit(costs, limit):
     return out
 
 
-def test_next_fit_both_ways(spark, tmp_path):
+def test_next_fit_both_ways(spark):
+    """Streams and pointer doubling, with rows of no cost, rows over the limit, and several groups in several partitions."""
     import random
 
     rng = random.Random(3)
-    costs = [rng.choice([0, 1, 5, 9, 40]) for _ in range(300)]
-    data = spark.createDataFrame([(i, "g", c) for i, c in enumerate(costs)], "n long, g string, c long")
-    expected = _next_fit(costs, 30)
-    got = [r["bin"] for r in backup.next_fit(data, "g", ["n"], "c", 30).orderBy("n").collect()]
-    assert got == expected
-    positive = [c + 1 for c in costs]
-    count = iter(range(10_000))
-
-    def cut(df):
-        path = str(tmp_path / f"t{next(count)}")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    shifted = data.withColumn("c", F.col("c") + 1)
-    doubled = [r["bin"] for r in backup.next_fit_doubling(shifted, ["n"], "c", 30, cut).orderBy("n").collect()]
-    assert doubled == _next_fit(positive, 30)
+    costs = {g: [rng.choice([0, 1, 5, 9, 40]) for _ in range(n)] for g, n in (("a", 300), ("b", 1), ("c", 40))}
+    costs["d"] = [0, 0, 50, 0, 31, 0, 0, 30, 1]
+    data = spark.createDataFrame([(g, i, c) for g, cs in costs.items() for i, c in enumerate(cs)], "g string, i long, c long").repartition(7)
+    expected = sorted((g, i, b) for g, cs in costs.items() for i, b in enumerate(_next_fit(cs, 30)))
+    for group_rows in (1_000, 50, 0):
+        got = ordered.next_fit(data, "g", ["i"], "c", 30, group_rows)
+        assert rows(got.select("g", "i", "bin")) == expected, group_rows
+
+
+def test_running_numbers_and_sums(spark):
+    data = spark.createDataFrame([("x" if i % 3 else "y", i, i % 5) for i in range(500)] + [(None, 1, 2), (None, 2, 3)], "g string, i long, c long").repartition(5)
+    got = {(r["g"], r["i"]): (r["n"], r["to"]) for r in ordered.running(data, "g", ["i"], "c").collect()}
+    assert got[(None, 2)] == (1, 5)
+    for g in "xy":
+        own = [i for i in range(500) if (i % 3 > 0) == (g == "x")]
+        assert [got[(g, i)] for i in own] == [(k, sum(j % 5 for j in own[: k + 1])) for k in range(len(own))]
+
+
+def test_records_of_many_archives_have_ids_of_their_own(spark):
+    """A file at 20 archives: every record has its own id, after the largest."""
+    members = spark.createDataFrame([(a, f, d, f"h{f}", 0, 0, 5) for f in (1, 2) for d in range(20) for a in (100 + d,)], "archive_id long, media_file_id long, destination_id long, sha256 string, part_index long, offset long, length long")
+    records = spark.createDataFrame([(7, 1, 3, "old", "failed"), (9, 5, 1, "x", "done")], "id long, media_file_id long, destination_id long, sha256 string, status string")
+    links = spark.createDataFrame([(7, 50, 0, 1, 1), (9, 51, 0, 2, 2)], "backup_record_id long, backup_archive_id long, part_index long, archive_offset long, archive_length long")
+    after, linked = (df.collect() for df in backup.record_archives(members, records, links))
+    assert sorted(r["id"] for r in after) == [7, 9, *range(10, 49)]
+    assert {(r["sha256"], r["status"]) for r in after if r["id"] == 7} == {("h1", "done")}
+    assert len({r["backup_record_id"] for r in linked}) == len(linked) == 41
+    assert (9, 51) in {(r["backup_record_id"], r["backup_archive_id"]) for r in linked}
+    assert (7, 50) not in {(r["backup_record_id"], r["backup_archive_id"]) for r in linked}
+
+
+def test_archives_are_bounded_whatever_the_group(spark):
+    members = spark.createDataFrame([("hot", i, 40) for i in range(1000)] + [("cold", 5000, 10_000_000_000)], "source string, id long, n_bytes long")
+    got = content.deal_to_archives(members, "source", "id", 1000).groupBy("archive").agg(F.sum("n_bytes").alias("s"), F.count("id").alias("n")).collect()
+    assert max(r["s"] for r in got if r["archive"].startswith("hot")) <= 1040
+    assert sum(r["n"] for r in got) == 1001
+
+
+def test_beats_of_any_span_and_order_are_kept(spark, tmp_path):
+    """1000 beats over 200 days in 130 files: none is late."""
+    from stowage.plans import streams
+    from stowage.sources.views import Tables
+
+    day = "event_id long, user_id long, event_type string, value double, ts timestamp"
+    made = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919 % 1000) * 17_280).alias("ts"))
+    made.repartition(130).write.parquet(str(tmp_path / "events.parquet"))
+    assert spark.read.schema(day).parquet(str(tmp_path / "events.parquet")).count() == 1000
+    got = streams.run_to_end(Tables(spark, str(tmp_path)), lambda s, lateness: progress.throttle(streams._beats(s), lateness=lateness))
+    assert got.agg(F.sum("beats")).first()[0] == 1000
 
 
 def test_inventory_case(spark):
@@ -78,11 +112,36 @@ def test_index_documents(spark):
     assert [(r["sha256"], r["size_bytes"], r["mtime_ns"], r["paths"], len(r["parts"]), r["copies"]) for r in found] == [("h1", 3, 1_700_000_000 * 10**9, ["x"], 2, 2)]
 
 
-def test_repeated_keys_of_one_archive_are_an_error(spark):
-    members = spark.createDataFrame([("A", "o", "clump", "h", 1), ("A", "o", "clump", "h", 2)], "archive_id string, object string, type string, entry_key string, size long")
-    full = members.withColumns({"mtime": F.lit("m"), "offset": F.lit(0), "paths": F.array(F.lit("p")), "compression": F.lit(None).cast("string"), "part": F.lit(1)})
-    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
-        backup.build_index(full).collect()
+def _index_members(spark, rows):
+    df = spark.createDataFrame(rows, "archive_id string, sha256 string, content_id string, sha256_enc string, paths_enc string, paths array<string>, part int, parts int")
+    same = {"object": F.lit("o"), "type": F.lit("clump"), "created_at": F.lit("t"), "archive_size": F.lit(9), "key_check": F.lit("kc"), "size": F.lit(3), "mtime": F.lit("m"), "member": F.lit("f"), "offset": F.lit(512), "compression": F.lit(None).cast("string")}
+    return df.withColumns(same)
+
+
+def test_index_documents_of_both_kinds(spark):
+    import json
+
+    plain = _index_members(spark, [("A", "h1", None, None, None, ["p"], None, None), ("A", "h2", None, None, None, ["q"], 1, 2)])
+    doc = json.loads(backup.build_index(plain).first()["body"])
+    assert doc["files"]["h2"] == {"size": 3, "mtime": "m", "member": "f", "offset": 512, "paths": ["q"], "part": 1, "parts": 2}
+    assert "key_scheme" not in doc and "encrypted" not in doc
+    keyed = _index_members(spark, [("B", "h1", "c1", "s1", "pe", None, None, None)])
+    doc = json.loads(backup.build_index(keyed).first()["body"])
+    assert doc["files"] == {"c1": {"size": 3, "mtime": "m", "member": "f", "offset": 512, "paths_enc": "pe", "sha256_enc": "s1"}}
+    assert (doc["key_scheme"], doc["key_check"], doc["encrypted"]) == ("content_id_v1", "kc", True)
+
+
+@pytest.mark.parametrize(
+    ("rows", "said"),
+    [
+        ([("A", "h", None, None, None, ["p"], None, None), ("A", "h", None, None, None, ["q"], None, None)], "DUPLICATED_MAP_KEY"),
+        ([("A", "h", None, None, None, ["p"], None, None), ("A", "g", "c", "s", "e", None, None, None)], "with and without a content id"),
+        ([("A", "g", "c", None, "e", None, None, None)], "without its sealed hash"),
+    ],
+)
+def test_bad_archives_have_no_index_document(spark, rows, said):
+    with pytest.raises(Exception, match=said):
+        backup.build_index(_index_members(spark, rows)).collect()
 
 
 def test_folder_expand_is_by_component(spark):
