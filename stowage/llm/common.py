@@ -46,7 +46,7 @@ def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> Dat
     full = f"{database(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd")
     if buckets:
-        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
+        writer = writer.bucketBy(*buckets)
     before = spark.conf.get(LET_GO, "false")
     spark.conf.set(LET_GO, "true")
     try:

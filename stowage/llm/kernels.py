@@ -133,6 +133,18 @@ def sliding(x: np.ndarray, width: int, combine: np.ufunc, fill: int) -> np.ndarr
     return out
 
 
+def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of x[i : i + width] stands, for each i; of equals the first. Past the end nothing is looked at."""
+    at, have = np.arange(len(x)), 1
+    while have < width:
+        step = min(have, width - have)
+        moved = at.copy()
+        moved[: len(x) - step] = at[step:]
+        at = np.where(x[moved] < x[at], moved, at)
+        have += step
+    return at
+
+
 def doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values (rows) by document; first has one more entry than documents."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)

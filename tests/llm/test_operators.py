@@ -208,13 +208,39 @@ def _plain_dedup(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [2, 5, 13])
+@pytest.mark.parametrize("length", [2, 5, 7, 13, 50, 100])
 def test_repeated_words_go(spark, length):
     got = substring.dedup_words(awkward(spark), "doc_id", "text", length).toPandas()
     assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == _plain_dedup(TEXTS, length)
     assert substring.dedup_words(awkward(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_levels_double():
+    for length in range(1, 200):
+        sizes = substring.levels(length)
+        assert sizes[-1] == length
+        assert all(a < b <= 2 * a for a, b in zip(sizes, sizes[1:]))
+    assert substring.levels(13) == [7, 13]
+    assert substring.levels(50) == [7, 13, 25, 50]
+
+
+@pytest.mark.parametrize("length", [8, 13, 30])
+def test_windows_at_every_place_and_of_every_length(spark, length):
+    """Passages of 1 to 60 words of a small vocabulary, at all places of documents, with repeats inside them; and copies of whole documents."""
+    rng = np.random.default_rng(length)
+    pool = [[f"p{k}w{x}" for x in rng.integers(0, 12, size)] for k, size in enumerate(range(1, 61))]
+    rows = []
+    for i in range(150):
+        text = []
+        for _ in range(rng.integers(1, 5)):
+            chosen = pool[rng.integers(0, len(pool))]
+            text += chosen[: rng.integers(1, len(chosen) + 1)] + [f"x{rng.integers(0, 40)}" for _ in range(rng.integers(0, 9))]
+        rows.append((int(rng.integers(0, 120)), " ".join(text)))
+    rows += [(i + 200, rows[i][1]) for i in range(0, 60, 3)] + [(None, rows[5][1])]
+    got = substring.dedup_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", length).toPandas()
+    assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == _plain_dedup(rows, length)
+
+
 def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
     """Sampled hot keys are salted and pre-aggregated; the result is the plain one."""
     monkeypatch.setattr(substring, "SAMPLE_DOCS", 100)
