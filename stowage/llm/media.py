@@ -6,7 +6,9 @@ stands in other data by chance is rejected. What is valid corrects the declared
 inside another medium or behind foreign bytes are carved out.
 
 Defined cases: a null blob has no media; a null declared type is never right; a truncated medium is not valid; media that
-end at the same place are reported outermost first. An empty table gives no rows.
+end at the same place are reported outermost first. A null or empty text is stored as 192 blanks with n_bytes 0; a text of any length is one medium;
+null and repeated ids are rows of their own, and equal texts are stored alike. The stored form that op4 tells of is the medium, which a cell holds behind foreign bytes.
+Only the named columns are read, so extra ones can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm import kernels as K
 from stowage.llm.common import cut, text_bytes
 
 UNIT = 192
-ROWS = 256
+HELD = 4 << 20  # about how many bytes of blobs or texts are held with what is made of them
 
 # -- validators: the end of the medium that starts at `at`, or 0
 
@@ -150,8 +153,8 @@ def sniff(df: DataFrame, id_col: str, blob_col: str, declared_col: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):  # media are held for a few rows at a time
-                some, row, out = batch.slice(lo, ROWS), [], []
+            for lo, hi in K.parts(K.flat(batch.column(1))[1], HELD):  # media are held for a few rows at a time
+                some, row, out = batch.slice(lo, hi - lo), [], []
                 for i in range(some.num_rows):
                     blob, declared = some.column(1)[i].as_py(), some.column(2)[i].as_py()
                     for at, end, kind, depth in find_media(blob) if blob else []:
@@ -236,8 +239,8 @@ def store_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                some = batch.slice(lo, ROWS)
+            for lo, hi in K.parts(K.flat(batch.column(1))[1], HELD):
+                some = batch.slice(lo, hi - lo)
                 n, declared, cells = [], [], []
                 for text in some.column(1).to_pylist():
                     kind, cell = _stored(text + b" " * (-len(text) % UNIT if text else UNIT))

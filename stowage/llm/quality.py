@@ -3,10 +3,11 @@
 A text is cut into runs of letters and digits and runs of signs. Features are the hashed n-grams of one and two runs, of one to
 three run shapes (capitals, lower case, digits, the signs themselves), and of whether a run repeats the one before. A feature's value is
 its count over the number of runs. Training is FTRL-Proximal (per-coordinate rates, L1 and L2) over at most `sample` labelled
-texts, a documented bound, in an order set by hash. A score is one sparse dot product, taken on the executors in vectorised runs.
+texts of at most `sample_bytes` in all, documented bounds, in an order set by hash; each text is taken whole. A score is one sparse dot product, taken on the executors in vectorised runs.
 
 Defined cases: null and empty texts have only the constant feature, hence a fixed score; rows without a label train nothing; with no labels at all
-every score is 0.5; repeated labels of one id count once, the smaller. An empty table gives no rows. Only id and text are read for scores.
+every score is 0.5; repeated labels of one id count once, the smaller; of several texts of one labelled id the smallest trains. For scores repeated rows and ids
+are rows of their own, a text of any length is read whole, and only id and text are read, so extra columns can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm import kernels as K
-from stowage.llm.common import text_bytes
+from stowage.llm.common import cut, drop, text_bytes
 
 BITS = 18
 CONSTANT = 1 << BITS
@@ -82,14 +83,15 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 6_000, epochs: int = 4) -> np.ndarray | None:
-    """Weights from at most `sample` rows of df that have a label 0 or 1."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 6_000, epochs: int = 4, sample_bytes: int = 64 << 20) -> np.ndarray | None:
+    """Weights from at most `sample` texts of df that have a label 0 or 1, and no more than fill `sample_bytes`, the first whatever its size."""
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_mark"))
     n = marks.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1_000_000))
-    drawn = marks.withColumn("_draw", draw).filter(F.col("_draw") < int(min(1.0, sample / n) * 1_000_000)).limit(2 * sample)
+    few = marks.withColumn("_draw", draw).filter(F.col("_draw") < int(min(1.0, 1.2 * sample / n) * 1_000_000))
+    drawn = few.orderBy("_draw", id_col).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +108,14 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                 some = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["draw", "mark", "feature", "value"])
 
-    # the broadcast side has at most 2 * sample rows of an id and two numbers
-    rows = df.join(F.broadcast(drawn), id_col).select("_draw", F.col("_mark").cast("int").alias("mark"), text_bytes(text_col).alias("text"))
-    got = rows.mapInArrow(run, "draw long, mark int, feature binary, value binary").collect()
+    # the broadcast side has at most `sample` rows of an id and two numbers
+    labelled = df.join(F.broadcast(drawn), id_col).select("_draw", F.col(id_col).alias("id"), F.col("_mark").cast("int").alias("mark"), text_bytes(text_col).alias("text"))
+    texts = cut(labelled.groupBy("_draw", "id", "mark").agg(F.min("text").alias("text")), "labelled")
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("_draw", "id"))  # over at most `sample` rows
+    within = texts.select("id", (upto - F.octet_length("text")).alias("before"), upto.alias("upto")).filter((F.col("upto") <= sample_bytes) | (F.col("before") == 0))
+    rows = texts.join(F.broadcast(within.select("id")), "id", "left_semi").select("_draw", "mark", "text")
+    got = rows.mapInArrow(run, "draw long, mark int, feature binary, value binary").toArrow().to_pylist()
+    drop(texts)
     examples = sorted((r["draw"], r["mark"], bytes(r["feature"]), bytes(r["value"])) for r in got)
     if not examples:
         return None

@@ -13,8 +13,9 @@
    spanning forest. Connected components (components.py) then join the leaves.
 
 The trees come from a bounded sample of points (65,536, a thousandth of very many points, at most two million of eight bytes each) that sets only vantage points, medians and how many ways a leaf is dealt;
-every point is indexed and the result doesn't depend on the sample. Leaves that no vantage point splits
-are dealt by a hash of their home points, each part seeing all visitors.
+every point is indexed and the result doesn't depend on the sample. A leaf that no vantage point splits holds points that are
+alike in its block; it gets a forest of its own over the other bits, with three blocks again, and so on while there are bits. A leaf that is
+still too large is dealt as a grid, parts of its home points by parts of its visitors, so a group is bounded in both.
 
 Defined cases: null and empty texts have the zero fingerprint and link like any other; a null id gets a
 fingerprint and a component, but is never a component's id unless all its ids are null; rows with one id are separate rows; an empty
@@ -39,6 +40,7 @@ from stowage.llm.components import components
 
 SAMPLE, LARGEST_SAMPLE = 65_536, 1 << 21
 LEAF = 512
+BLOCKS = 3
 
 
 # -- fingerprints
@@ -91,25 +93,34 @@ def _distance(points: np.ndarray, other: np.ndarray, mask: np.ndarray) -> np.nda
 
 
 class Tree:
-    """A vantage-point tree under the Hamming distance of the bits in mask. Node 0 is the root; children are negative for leaves."""
+    """A vantage-point tree under the Hamming distance of the bits in mask. Node 0 is the root; children are negative for leaves.
 
-    def __init__(self, sample: np.ndarray, mask: np.ndarray, radius: int, leaf: int, weight: float) -> None:
+    used: the bits that this tree and those above it tell apart. Leaves are numbered through all trees that share `ways`, a leaf's number of parts.
+    """
+
+    def __init__(self, sample: np.ndarray, mask: np.ndarray, radius: int, leaf: int, weight: float, used: np.ndarray | None = None, ways: list[int] | None = None) -> None:
         """weight: how many points one point of the sample stands for. leaf: most points wanted in a leaf."""
         self.mask, self.radius = mask, radius
+        self.used = mask if used is None else used | mask
         self.vantage: list[np.ndarray] = []
         self.mu: list[int] = []
         self.children: list[list[int]] = []
-        self.ways: list[int] = []
+        self.ways: list[int] = [] if ways is None else ways
+        self.forests: dict[int, list[Tree]] = {}
         self._grow(sample, leaf, weight)
 
     def _grow(self, sample: np.ndarray, leaf: int, weight: float) -> None:
         todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sample)), -1, 0)]
         while todo:
             rows, parent, side = todo.pop()
-            node = self._split(sample, rows, todo) if len(rows) * weight > leaf and len(rows) >= 8 else None
+            large = len(rows) * weight > leaf and len(rows) >= 8
+            node = self._split(sample, rows, todo) if large else None
             if node is None:
                 node = -1 - len(self.ways)
                 self.ways.append(max(1, round(len(rows) * weight / (4 * leaf))))
+                masks = free_masks(self.used, BLOCKS) if large and self.ways[-1] > 1 else []
+                if masks:
+                    self.forests[-1 - node] = [Tree(sample[rows], m, self.radius, leaf, weight, self.used, self.ways) for m in masks]
             if parent >= 0:
                 self.children[parent][side] = node
             else:
@@ -138,23 +149,33 @@ class Tree:
         todo += [(rows[d <= m], node, 0), (rows[d > m], node, 1)]
         return node
 
-    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, points: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, home): every leaf that a row's ball of the radius reaches; home: the row lies in it."""
-        done: list[tuple[np.ndarray, int, np.ndarray]] = []
-        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool) if home is None else home)]
         while todo:
-            node, rows, home = todo.pop()
+            node, rows, own = todo.pop()
             if not len(rows):
                 continue
             if node < 0:
-                done.append((rows, -1 - node, home))
+                for tree in self.forests.get(-1 - node, []):
+                    r, leaves, h = tree.route(points[rows], own)
+                    done.append((rows[r], leaves, h))
+                if -1 - node not in self.forests:
+                    done.append((rows, np.full(len(rows), -1 - node), own))
                 continue
             d, mu = _distance(points[rows], self.vantage[node], self.mask), self.mu[node]
             near, far = d - self.radius <= mu, d + self.radius > mu
-            todo += [(self.children[node][0], rows[near], (home & (d <= mu))[near]), (self.children[node][1], rows[far], (home & (d > mu))[far])]
-        if not done:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        return np.concatenate([r for r, _, _ in done]), np.concatenate([np.full(len(r), leaf) for r, leaf, _ in done]), np.concatenate([h for _, _, h in done])
+            todo += [(self.children[node][0], rows[near], (own & (d <= mu))[near]), (self.children[node][1], rows[far], (own & (d > mu))[far])]
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+
+def free_masks(used: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """The bits that aren't used dealt to blocks in turn; none if there are too few to tell points apart."""
+    free = [(w, b) for w in range(len(used)) for b in range(64) if not int(used[w]) >> b & 1]
+    if len(free) < 4 * blocks:
+        return []
+    return [np.array([sum(1 << b for v, b in free[k::blocks] if v == w) for w in range(len(used))], np.uint64) for k in range(blocks)]
 
 
 def block_masks(n_words: int, blocks: int) -> list[np.ndarray]:
@@ -232,14 +253,18 @@ def link(points: DataFrame, masks: list[np.ndarray], radius: int, within: int, n
         for batch in batches:
             x = _points(batch.column(0), n_words)
             for t, tree in enumerate(shared.value):
-                rows, leaves, home = tree.route(x)
-                ways = np.array(tree.ways)[leaves]
-                own = K.mix(x[:, 0].copy() + np.uint64(t)) % np.iinfo(np.int32).max
-                # a home point goes to one part of its leaf as home, and to the others as a visitor
-                copies = np.repeat(np.arange(len(rows)), ways)
-                way = np.arange(len(copies)) - np.repeat(np.cumsum(ways) - ways, ways)
-                is_home = home[copies] & (own[rows[copies]] % ways[copies] == way)
-                yield pa.RecordBatch.from_arrays([pa.array(((t << 40) | (leaves[copies].astype(np.int64) << 12) | (way % 4096)).astype(np.int64)), batch.column(0).take(pa.array(rows[copies])), pa.array(is_home)], ["shard", "fingerprint", "home"])
+                row, leaf, home = tree.route(x)
+                ways = np.array(tree.ways)[leaf]
+                part = (K.mix(x[:, 0].copy() + np.uint64(t)) % np.uint64(1 << 31)).astype(np.int64)[row] % ways
+                one, dealt, own = np.flatnonzero(ways == 1), np.flatnonzero(ways > 1), np.flatnonzero((ways > 1) & home)
+                # a dealt leaf is a grid: home points go to all parts of their row, and every point goes to all parts of its column
+                across, along = _counts(ways[own]), _counts(ways[dealt])
+                own, dealt = np.repeat(own, ways[own]), np.repeat(dealt, ways[dealt])
+                at = np.concatenate([one, own, dealt])
+                cell = np.concatenate([np.zeros(len(one), np.int64), part[own] << 32 | across, along << 32 | part[dealt]])
+                is_home = np.concatenate([home[one], np.ones(len(own), bool), np.zeros(len(dealt), bool)])
+                columns = [pa.array(t << 40 | leaf[at]), pa.array(cell), batch.column(0).take(pa.array(row[at])), pa.array(is_home)]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "cell", "fingerprint", "home"])
 
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values = group["fingerprint"].to_numpy()
@@ -247,8 +272,13 @@ def link(points: DataFrame, masks: list[np.ndarray], radius: int, within: int, n
         a, b = _forest_edges(x, group["home"].to_numpy(), within)
         return pd.DataFrame({"a": values[a], "b": values[b]})
 
-    routed = points.select("fingerprint").mapInArrow(route, "shard long, fingerprint binary, home boolean")
-    return routed.groupBy("shard").applyInPandas(search, "a binary, b binary")
+    routed = points.select("fingerprint").mapInArrow(route, "leaf long, cell long, fingerprint binary, home boolean")
+    return routed.groupBy("leaf", "cell").applyInPandas(search, "a binary, b binary")
+
+
+def _counts(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def group_fingerprints(prints: DataFrame, masks: list[np.ndarray], radius: int, within: int, n_words: int = 1) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 7: WARC archives, and a normaliser of monolithic gzip.
 
 write_archives() puts pages in WARC records; an archive is one gzip stream over the whole file, as naive writers make them, and one
-cell of a table (archives stay under a byte limit, so a cell is bounded). normalise() inflates such a stream once, rewrites each
-record as a gzip member of its own, and makes the sidecar index: where each member lies. read_records() reads through the index, so that
+cell of a table (archives stay under a byte limit, so a cell is bounded). normalise() inflates such a stream once (whatever members it has: one, or several
+one after another), rewrites each record as a gzip member of its own, and makes the sidecar index: where each member lies. read_records() reads through the index, so that
 single records can be had without inflating the rest. export_files() writes archives and indexes as files.
 
 Of pages with equal payloads of at least `least` bytes the one with the largest id is the response and the others are revisits of it,
@@ -10,7 +10,8 @@ which hold no payload: their HTTP headers tell its length.
 
 Defined cases: a null payload is empty; a null id is never the response others refer to, unless all ids are null (then all are responses);
 of rows with one id and payload, one after the other, each is a response, as none has a larger id; a null url is written as
-`urn:none`; an empty table gives no archives.
+`urn:none`; ids may be of any type that casts to text and back; a payload of any length is one record, of which an archive holds at least one; header bytes
+that aren't UTF-8 are read as Latin-1; a stream that is cut off is an error. Only id, url and payload are read, so extra columns can't clash. An empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import cut, text_bytes
@@ -40,6 +42,10 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, body_col: str, least
     return joined.select("id", "url", "payload", "digest", F.when(F.coalesce(F.col("id") != F.col("response"), F.col("response").isNotNull()), F.col("response")).alias("refers_to"))
 
 
+def _name(ident: object) -> str:
+    return "none" if ident is None else "id-" + quote(str(ident), safe="")
+
+
 def record(ident: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.0 record of an HTTP response, or a revisit of one by an identical payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -54,7 +60,10 @@ def record(ident: str, url: str, payload: bytes, digest: str, refers_to: str | N
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """The headers and block of the record that starts at `at`, and where the next one starts."""
     end = data.index(b"\r\n\r\n", at)
-    lines = data[at:end].decode().split("\r\n")
+    try:
+        lines = data[at:end].decode().split("\r\n")
+    except UnicodeDecodeError:
+        lines = data[at:end].decode("latin-1").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -64,6 +73,18 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, data[start : start + size], start + size + 4
 
 
+def inflate(stream: bytes) -> bytes:
+    """All members of a gzip stream, one after another; zero bytes may fill its end."""
+    out = []
+    while stream.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(stream))
+        if not member.eof:
+            raise ValueError("a gzip stream is cut off")
+        stream = member.unused_data
+    return b"".join(out)
+
+
 def write_archives(roles: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """archive (its name), stream: one gzip stream for each archive."""
 
@@ -77,7 +98,8 @@ def write_archives(roles: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         for batch in batches:
             ids, urls, digests, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for ident, url, body, digest, ref in zip(ids, urls, batch.column(2), digests, refers):
-                made = record("none" if ident is None else str(ident), (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A"), body.as_py(), digest, None if ref is None else str(ref))
+                place = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+                made = record(_name(ident), place, body.as_py(), digest, None if ref is None else _name(ref))
                 out.append(squeeze.compress(made))
                 name.update(made[:400])
                 size += len(made)
@@ -87,7 +109,7 @@ def write_archives(roles: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         if size:
             yield row()
 
-    return roles.select("id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, stream binary")
+    return roles.select(F.col("id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string")).mapInArrow(run, "archive string, stream binary")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -96,7 +118,7 @@ def normalise(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, members, index, at, place = zlib.decompress(batch.column(1)[i].as_py(), 31), [], [], 0, 0
+                data, members, index, at, place = inflate(batch.column(1)[i].as_py()), [], [], 0, 0
                 while at < len(data):
                     headers, _, after = parse(data, at)
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -135,16 +157,18 @@ def read_records(normalised: DataFrame) -> DataFrame:
     return normalised.mapInArrow(run, "archive string, record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string")
 
 
-def page_id(column: str):
-    """The id in <urn:page:...>, null for `none`."""
-    return F.expr(f"try_cast(regexp_extract({column}, '^<urn:page:(.*)>$', 1) as long)")
+def page_id(column: str, kind: str) -> Column:
+    """The id in <urn:page:id-...>, null for `none`."""
+    found = F.regexp_extract(column, "^<urn:page:id-(.*)>$", 1)
+    return F.when(F.rlike(column, F.lit("^<urn:page:id-")), F.url_decode(found).try_cast(kind))
 
 
 def archive_pages(pages: DataFrame, id_col: str, url_col: str, body_col: str, least: int = 1000) -> DataFrame:
     """id, payload_bytes, payload_digest, record_type, refers_to as the archives have them after normalising."""
     archives = cut(write_archives(with_roles(pages, id_col, url_col, body_col, least)), "archives")
     records = read_records(cut(normalise(archives), "normalised"))
-    return records.select(page_id("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    return records.select(page_id("record_id", kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", page_id("refers_to", kind).alias("refers_to"))
 
 
 def export_files(normalised: DataFrame, folder: str) -> DataFrame:

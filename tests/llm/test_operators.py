@@ -88,6 +88,28 @@ def test_trees_find_all_pairs(spark):
     assert pairs(mine) == pairs(root)
 
 
+@pytest.mark.parametrize("same", [21, 35, 60])
+def test_dense_blocks_are_split_by_other_bits_and_in_the_end_dealt(spark, same):
+    """Points that agree in the bits of one block, of two, or nearly all: the links are still exact, and no group holds all of them."""
+    rng = np.random.default_rng(same)
+    order = [b for k in range(3) for b in range(k, 64, 3)]  # the first block's bits first
+    free = sum(1 << b for b in order[same:])
+    base = rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(free)
+    near = base[:250] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(250)], np.uint64)
+    points = np.unique(np.concatenate([base, near]))
+    df = spark.createDataFrame([(bytearray(int(p).to_bytes(8, "big")),) for p in points], "fingerprint binary")
+    edges = simhash.link(df, simhash.block_masks(1, 3), 1, 4, leaf=8)
+    label = {bytes(r["node"]): bytes(r["root"]) for r in components.components(edges).collect()}
+    mine = [label.get(int(p).to_bytes(8, "big"), int(p).to_bytes(8, "big")) for p in points]
+    root = groups([int(p) for p in points], lambda a, b: (a ^ b).bit_count() <= 4)
+    pairs = lambda x: {frozenset(i for i, y in enumerate(x) if y == z) for z in set(x)}
+    assert pairs(mine) == pairs(root)
+    tree = simhash.Tree(points.reshape(-1, 1), simhash.block_masks(1, 3)[0], 1, 8, 1.0)
+    row, leaf, home = tree.route(points.reshape(-1, 1))
+    assert same == 60 or np.bincount(leaf).max() < len(points) / 2
+    assert (np.bincount(row[home], minlength=len(points)) >= 1).all()
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (None, 3)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -139,6 +161,24 @@ def test_pieces_and_packing(spark):
     assert packing.pack_documents(awkward(spark).limit(0), "doc_id", "text", RANKS).count() == 0
 
 
+def test_groups_exchange_bins_and_come_close_to_the_bound(spark):
+    """Many groups: every piece is placed once, later rounds save bins, and the whole is near the bound of all pieces together."""
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate([rng.integers(1, 2049, 6_000), rng.integers(300, 420, 3_000)])
+    parts = spark.createDataFrame([(i, 0, 0, int(x), i) for i, x in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    bins = {}
+    for rounds in (1, 8):
+        got = packing.pack(parts, 2048, group_rows=600, rounds=rounds).toPandas()
+        assert sorted(got.doc_id) == list(range(len(lengths)))
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert (g.offset == g.length.cumsum() - g.length).all()
+            assert g.length.sum() <= 2048
+        bins[rounds] = got.sequence_id.nunique()
+    bound = packing.lower_bound(lengths, 2048)
+    assert bound <= bins[8] <= bins[1]
+    assert bins[8] <= 1.02 * bound
+
+
 def test_bounds_hold_and_packing_meets_them():
     rng = np.random.default_rng(1)
     for capacity, sizes in ((10, [6, 6, 6, 4, 4, 4]), (10, [4, 4, 4, 3, 3, 3]), (12, [7, 7, 5, 5, 6]), (10, [])):
@@ -289,6 +329,98 @@ def test_language_edge_cases(spark):
     assert unknown.families == {"other": ["x1", "x2"]}
 
 
+def test_letters_are_those_of_unicode():
+    assert [langid.has_letter(t.encode()) for t in ("½ ² ①", "12 _", "", "日", "ª", "ß1", "a", "\u0301", "!")] == [False, False, False, True, True, True, True, False, False]
+
+
+def test_languages_are_predicted_as_a_plain_loop_does(spark):
+    """Every margin as the sum over a text's trigrams, one by one, and the votes counted by hand."""
+    d = docs(spark)
+    model = langid.fit(d, "doc_id", "text", "lang")
+    rows = [(i, t) for i, (_, t) in enumerate(TEXTS)] + [(100 + i, r["text"]) for i, r in enumerate(d.limit(40).collect())]
+    got = {r["n"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "n long, text string"), model, "n", "text").collect()}
+
+    def fold(text):
+        out = []
+        raw = text.encode()
+        for k, b in enumerate(raw):
+            if 65 <= b <= 90:
+                b += 32
+            elif k and raw[k - 1] == 0xC3 and 0x80 <= b <= 0x9E:
+                b += 32
+            out.append(b if 97 <= b <= 122 or b >= 128 else 32)
+        return out
+
+    for n, text in rows:
+        x = fold(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert got[n] == ("und", 0.0)
+            continue
+        margins, count = np.zeros(len(model.machines)), 0
+        for k, b in enumerate(x):
+            if b != 32:
+                code = ((x[k - 1] if k else 32) << 16 | b << 8 | (x[k + 1] if k + 1 < len(x) else 32)) * 2_654_435_761 & 0xFFFFFFFF
+                margins += model.weights[code >> 19]
+                count += 1
+        margins = langid.SCALE * margins / max(1, count) + model.weights[-1]
+        said = {}
+        for group, names in (("", list(model.families)), *model.families.items()):
+            duels = [(a, b, m) for (g, a, b), m in zip(model.machines, margins) if g == group]
+            votes = {c: sum((a == c and m >= 0) or (b == c and m < 0) for a, b, m in duels) for c in names}
+            total = {c: sum(m if a == c else -m for a, b, m in duels if c in (a, b)) for c in names}
+            best = max(names, key=lambda c: (votes[c], total[c]))
+            said[group] = best, min((m if a == best else -m for a, b, m in duels if best in (a, b)), default=20.0)
+        family, sure = said[""]
+        language, inner = said[family]
+        assert got[n][0] == language
+        assert got[n][1] == pytest.approx(1 / (1 + np.exp(-3 * min(sure, inner, 20.0))), abs=2e-3)
+
+
+def test_only_the_bounded_number_of_languages_trains(spark):
+    d = docs(spark).withColumn("lang", F.concat(F.lit("x"), (F.col("doc_id") % 7).cast("string")))
+    assert len(langid.fit(d, "doc_id", "text", "lang", sample=50, languages=3).languages) == 3
+
+
+def test_scores_are_plain_sums_and_training_a_plain_loop(spark, monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(TEXTS) if i != 9]
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=quality.CONSTANT + 1).astype(np.float32)
+    got = {r["n"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "n long, text string"), weights, "n", "text").collect()}
+    for n, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        feature, _, runs = quality.features(raw, np.array([0, len(raw)]))
+        margin = sum(quality.SCALE * float(weights[f]) for f in feature.tolist()) / max(1, int(runs[0])) + float(weights[quality.CONSTANT])
+        assert got[n] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))), rel=1e-4)
+    model, z, s = quality.Ftrl(), {}, {}
+    for _ in range(50):
+        at, value, label = rng.choice(40, 5, replace=False), rng.random(5), int(rng.integers(0, 2))
+        model.learn(at, value, label, 1.0)
+        w = {}
+        for i in at.tolist():
+            zi, ni = z.get(i, 0.0), s.get(i, 0.0)
+            w[i] = 0.0 if abs(zi) <= model.l1 else -(zi - np.sign(zi) * model.l1) / ((model.beta + ni**0.5) / model.alpha + model.l2)
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in zip(at.tolist(), value))))
+        for i, v in zip(at.tolist(), value):
+            g = (p - label) * v
+            z[i] = z.get(i, 0.0) + g - ((s.get(i, 0.0) + g * g) ** 0.5 - s.get(i, 0.0) ** 0.5) / model.alpha * w[i]
+            s[i] = s.get(i, 0.0) + g * g
+    for i in z:
+        assert model.z[i] == pytest.approx(z[i])
+        assert model.n[i] == pytest.approx(s[i])
+
+
+def test_training_keeps_its_bounds(spark, monkeypatch):
+    """No more texts and bytes than asked for, and one text of an id that is repeated."""
+    learned = []
+    monkeypatch.setattr(quality.Ftrl, "learn", lambda self, at, value, label, weight: learned.append(at.tobytes()))
+    df = spark.createDataFrame([(i % 50, f"text {i} of {i % 50}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    for sample, size, most in ((20, 1 << 20, 20), (50, 40, 4), (50, 1, 1)):
+        learned.clear()
+        quality.fit(df, labels, "doc_id", "text", "quality", sample=sample, epochs=1, sample_bytes=size)
+        assert 0 < len(learned) <= most
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
@@ -329,6 +461,29 @@ def test_archives(spark, tmp_path):
     assert members == len(rows)
 
 
+def test_streams_of_several_members_and_odd_headers_are_read_whole(spark):
+    import gzip
+
+    made = [warc.record(f"id-{i}", f"http://x/{i}", f"body {i}".encode(), hashlib.sha1(f"body {i}".encode()).hexdigest(), None) for i in range(3)]
+    made[1] = made[1].replace(b"WARC-Date:", b"X-Odd: caf\xe9\r\nWARC-Date:")
+    streams = [b"".join(map(gzip.compress, made)) + b"\0" * 7, gzip.compress(b"".join(made)), gzip.compress(made[0] + made[1]) + gzip.compress(made[2])]
+    archives = spark.createDataFrame([(str(k), bytearray(x)) for k, x in enumerate(streams)], "archive string, stream binary")
+    found = warc.read_records(warc.normalise(archives)).collect()
+    assert Counter((r["archive"], r["record_id"]) for r in found) == Counter((str(k), f"<urn:page:id-{i}>") for k in range(3) for i in range(3))
+    with pytest.raises(ValueError, match="cut off"):
+        warc.inflate(gzip.compress(made[0])[:-3])
+
+
+def test_ids_of_other_types_come_back(spark):
+    body = "q" * 1200
+    for kind, ids in (("string", ["a>b", "none", "x y+%", "é", None]), ("int", [1, 2, -3, None]), ("decimal(12,2)", ["1.50", "2.00"])):
+        pages = spark.createDataFrame([(i, body) for i in ids], "page_id string, html string").select(F.col("page_id").cast(kind), "html", F.lit("u").alias("url"))
+        got = warc.archive_pages(pages, "page_id", "url", "html").collect()
+        assert Counter(r["page_id"] for r in got) == Counter(r["page_id"] for r in pages.collect())
+        top = max(r["page_id"] for r in got if r["page_id"] is not None)
+        assert {r["refers_to"] for r in got if r["page_id"] != top} == {top}
+
+
 # -- 8
 
 
