@@ -195,6 +195,18 @@ def prepare_plan(files: DataFrame, packed: DataFrame) -> DataFrame:
     return files.join(packed.select(F.col("id").alias("sha256"), "stored", "compressed"), "sha256").select("path", F.concat("sha256", F.when(F.col("compressed"), ".gz").otherwise(".file")).alias("member"), F.octet_length("stored").alias("stored_size"), "compressed")
 
 
+def prepare_sealed(files: DataFrame, packed: DataFrame, key: Column, prefix: Column, content_id: Column, chunk: int) -> DataFrame:
+    """prepare_plan for an encrypted archive: each content is encrypted once, and its member is named by its content id.
+
+    files: path, sha256; packed: id (the hash), stored (after gzip_plan, or as it is). key, prefix (4 random bytes, never two contents of one key alike) and content_id
+    are columns of packed's id. The size is that of what was sealed, header included.
+    """
+    keyed = packed.select("id", F.col("stored").alias("content"), key.alias("key"), prefix.alias("prefix"))
+    sealed = encrypt_blob(keyed, chunk).groupBy("id", "header").agg(F.sum(F.octet_length("sealed")).alias("body"))
+    made = sealed.select(F.col("id").alias("sha256"), F.concat(content_id, F.lit(".file")).alias("member"), (F.col("body") + F.octet_length("header")).alias("stored_size"))
+    return files.join(made, "sha256").select("path", "member", "stored_size")
+
+
 def deal_to_archives(members: DataFrame, group: str, order: str, archive_bytes: int) -> DataFrame:
     """members with `archive`: the group's name and a number, from running sums of n_bytes in the order. An archive holds less than archive_bytes and
     one more member, whatever a group's size. Only narrow columns go through it; contents are joined afterwards."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import scalars
+from stowage.operators.catalog import numbered_after
 
 ENTRY = "struct<size:bigint,mtime:string,member:string,offset:bigint,paths:array<string>,paths_enc:string,compression:string,part:bigint,parts:bigint,sha256_enc:string>"
 INDEX = f"v int, archive_id string, object string, type string, created_at string, size bigint, files map<string,{ENTRY}>, key_scheme string, key_check string, encrypted boolean"
@@ -21,22 +22,38 @@ def parse_index(documents: DataFrame) -> DataFrame:
 
 def entries(parsed: DataFrame) -> DataFrame:
     """One row for each entry of the good documents: archive_id, object, type, key, entry."""
-    return parsed.filter("not bad").select("archive_id", "object", F.coalesce("type", F.lit("single")).alias("type"), F.coalesce("encrypted", F.lit(False)).alias("encrypted"), F.explode("files").alias("key", "entry"))
+    return parsed.filter("not bad").select("archive_id", "object", F.coalesce("type", F.lit("single")).alias("type"), F.coalesce("encrypted", F.lit(False)).alias("encrypted"), "key_scheme", F.explode("files").alias("key", "entry"))
 
 
-def discover(parsed: DataFrame, listing: DataFrame, real_hash: Column, resolved_paths: Column) -> DataFrame:
-    """Files by content hash, from the documents whose archive object is listed.
+def open_entries(each: DataFrame, keys: DataFrame) -> DataFrame:
+    """entries() with sha256 and paths. Keyed entries are opened: sha256_enc and paths_enc under their archive's key, with the entry's key as context.
+
+    keys: archive_id, key (bytes). What no key opens is null; entries of unkeyed archives are named by their hash and have plain paths.
+    """
+    from stowage.operators.content import unseal
+
+    joined = each.join(keys.select("archive_id", F.col("key").alias("own_key")), "archive_id", "left")
+    opened = lambda name: unseal(F.col(f"entry.{name}"), F.col("own_key"), F.col("key"))
+    real = F.when(F.col("entry.sha256_enc").isNotNull(), opened("sha256_enc")).otherwise(F.when(F.col("key_scheme").isNull(), F.col("key")))
+    paths = F.when(F.col("entry.paths_enc").isNotNull(), F.from_json(opened("paths_enc"), "array<string>")).otherwise(F.col("entry.paths"))
+    return joined.withColumn("sha256", real).withColumn("paths", paths).drop("own_key")
+
+
+def discover(each: DataFrame, listing: DataFrame) -> DataFrame:
+    """Files by content hash, from entries (see entries) with sha256 and paths whose archive object is listed.
 
     All entries of a hash must agree in size, time and compression, or the file is dropped. Paths are the first ones
-    that can be read. The hash column may be null where no key opens the entry; such entries have no identity and go.
+    that can be read. The hash may be null where no key opens the entry; such entries have no identity and go.
     """
-    live = parsed.filter("not bad").join(listing.select(F.col("key").alias("object")).distinct(), "object", "left_semi")
-    each = entries(live).withColumn("sha256", real_hash).withColumn("paths", resolved_paths).filter("sha256 is not null")
+    live = each.filter("sha256 is not null").join(listing.select(F.col("key").alias("object")).distinct(), "object", "left_semi")
     same = F.struct("entry.size", "entry.mtime", "entry.compression")
-    part = F.struct(F.coalesce("entry.part", F.lit(0)).alias("part"), "archive_id", F.coalesce("entry.offset", F.lit(0)).alias("offset"), "type", "encrypted")
-    grouped = each.groupBy("sha256").agg(F.count_distinct(same).alias("kinds"), F.first("entry.size").alias("size_bytes"), F.first("entry.mtime").alias("mtime"), F.first("entry.compression").alias("compression"), F.min_by("paths", F.when(F.col("paths").isNotNull(), F.struct("archive_id", "key"))).alias("paths"), F.array_sort(F.collect_list(part)).alias("parts"))
+    part = F.struct(F.coalesce("entry.part", F.lit(0)).alias("part"), "archive_id", F.coalesce("entry.offset", F.lit(0)).alias("offset"), "type", "encrypted", "object")
+    first_paths = F.min_by("paths", F.when(F.col("paths").isNotNull(), F.struct("archive_id", "key"))).alias("paths")
+    facts = [F.first(f"entry.{c}").alias(n) for c, n in (("size", "size_bytes"), ("mtime", "mtime"), ("compression", "compression"))]
+    grouped = live.groupBy("sha256").agg(F.count_distinct(same).alias("kinds"), *facts, first_paths, F.array_sort(F.collect_list(part)).alias("parts"))
     whole = grouped.filter("kinds = 1 and size_bytes is not null").drop("kinds")
-    return whole.withColumn("mtime_ns", scalars.mtime_to_ns(F.col("mtime"))).withColumn("copies", F.size(F.array_distinct(F.transform("parts", lambda p: p["archive_id"])))).drop("mtime")
+    copies = F.size(F.array_distinct(F.transform("parts", lambda p: p["archive_id"]))).alias("copies")
+    return whole.select("sha256", "size_bytes", "compression", "paths", "parts", scalars.mtime_to_ns(F.col("mtime")).alias("mtime_ns"), copies)
 
 
 def key_for_archive(parsed: DataFrame, keys: DataFrame, check_of: Column) -> DataFrame:
@@ -86,11 +103,43 @@ def sync_archives(discovered: DataFrame, archives: DataFrame, listing: DataFrame
     return joined.select("archive_id", F.when(F.col("path").isNull(), "new").when(F.col("stored").isNull(), "vanished").otherwise("known").alias("state"))
 
 
+def without_vanished(discovered: DataFrame, states: DataFrame) -> DataFrame:
+    """The content none of whose archives has vanished (see sync_archives)."""
+    gone = states.filter("state = 'vanished'").select("archive_id")
+    lost = discovered.select("sha256", F.explode("parts").alias("p")).select("sha256", F.col("p.archive_id").alias("archive_id")).join(gone, "archive_id", "left_semi")
+    return discovered.join(lost.select("sha256").distinct(), "sha256", "left_anti")
+
+
 def sync_apply(plan: DataFrame, files: DataFrame) -> DataFrame:
     """The files table with recovered paths added; a path that exists keeps its id."""
-    from stowage.operators.catalog import numbered_after
-
     fresh = plan.filter("status = 'candidate'").groupBy("path").agg(F.min("size_bytes").alias("size_bytes"), F.min("sha256").alias("sha256"))
     new = fresh.join(files.select("path"), "path", "left_anti")
     kept = files.select("id", "path", "size_bytes", "sha256")
     return kept.unionByName(numbered_after(files, new, "path").select("id", "path", "size_bytes", "sha256"))
+
+
+def sync_archive_rows(discovered: DataFrame, archives: DataFrame) -> DataFrame:
+    """The archives table (id, archive_id, path, encrypted, archive_type) with a row for each archive that it didn't know, numbered in order of archive_id."""
+    part = discovered.select(F.explode("parts").alias("p")).select("p.archive_id", F.col("p.object").alias("path"), "p.encrypted", F.col("p.type").alias("archive_type"))
+    new = part.groupBy("archive_id").agg(*[F.min(c).alias(c) for c in ("path", "encrypted", "archive_type")]).join(archives.select("archive_id"), "archive_id", "left_anti")
+    columns = "id", "archive_id", "path", "encrypted", "archive_type"
+    return archives.select(*columns).unionByName(numbered_after(archives, new, "archive_id").select(*columns))
+
+
+def sync_members(plan: DataFrame, discovered: DataFrame, files: DataFrame, archives: DataFrame, destination: int, max_size: int) -> DataFrame:
+    """What recovered paths hold in which archive, as members for backup.record_archives: a part of a split file has its own length, not the file's.
+
+    files and archives: the tables after sync_apply and sync_archive_rows. Of several copies of a part that of the smallest archive_id is linked.
+    """
+    parts = discovered.select("sha256", "size_bytes", F.explode("parts").alias("p")).select("sha256", "size_bytes", "p.*")
+    one = parts.groupBy("sha256", "size_bytes", "part").agg(F.min_by(F.struct("archive_id", "offset", "type"), "archive_id").alias("c")).select("sha256", "size_bytes", "part", "c.*")
+    index = F.row_number().over(Window.partitionBy("sha256").orderBy("part")) - 1
+    sizes = scalars.split_sizes(F.col("size_bytes"), scalars.payload_ceiling(max_size))
+    length = F.when(F.col("type") == "part", scalars.part_length(sizes, F.col("part").cast("int"))).otherwise(F.col("size_bytes"))
+    placed = one.withColumn("part_index", index.cast("long")).withColumn("length", length.cast("long"))
+    # of several contents at one path the one that the file's row has
+    chosen = plan.filter("status = 'candidate'").groupBy("path").agg(F.min("sha256").alias("sha256"))
+    wanted = chosen.join(files.select(F.col("id").alias("media_file_id"), "path"), "path")
+    row = archives.groupBy("archive_id").agg(F.min("id").alias("row_id"))
+    joined = wanted.join(placed, "sha256").join(row, "archive_id")
+    return joined.select(F.col("row_id").alias("archive_id"), "media_file_id", F.lit(destination).cast("long").alias("destination_id"), "sha256", "part_index", "offset", "length")

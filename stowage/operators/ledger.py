@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, scalars
+from stowage.session import settle
 
 MERGE_GAP = 256 * 1024
 
@@ -82,26 +83,32 @@ def range_read_files(ranges: DataFrame, root: str) -> DataFrame:
     return ranges.repartition("key").sortWithinPartitions("key", "offset").mapInPandas(run, "key string, offset long, length long, data binary")
 
 
+def _named_objects(listing: DataFrame) -> DataFrame:
+    """key, size, folder, ident, is_archive of the listed archive and index objects, from one pass over the listing."""
+    (folder, ident), (ifolder, iident) = paths.archive_parts(F.col("key")), paths.index_parts(F.col("key"))
+    named = listing.select("key", "size", F.coalesce(folder, ifolder).alias("folder"), F.coalesce(ident, iident).alias("ident"), ident.isNotNull().alias("is_archive"))
+    return named.filter("ident is not null")
+
+
 def inventory(listing: DataFrame, archives: DataFrame) -> DataFrame:
     """key, finding for archive objects and index objects that don't match the ledger or each other."""
-    folder, ident = paths.archive_parts(F.col("key"))
-    found = listing.select("key", folder.alias("folder"), ident.alias("ident")).filter("ident is not null")
-    ifolder, iident = paths.index_parts(F.col("key"))
-    indexes = listing.select(F.col("key").alias("index_key"), ifolder.alias("folder"), iident.alias("ident")).filter("ident is not null")
+    named = settle(_named_objects(listing).drop("size"), "objects")
+    found, indexes = named.filter("is_archive"), named.filter("not is_archive").withColumnRenamed("key", "index_key")
     known = archives.select(F.col("path").alias("key")).distinct()
-    untracked = found.join(known, "key", "left_anti").select("key", F.lit("untracked").alias("finding"))
-    missing = known.join(found, "key", "left_anti").select("key", F.lit("missing").alias("finding"))
-    pairs = found.join(indexes, ["folder", "ident"], "full_outer")
-    odd = pairs.filter("key is null or index_key is null").select(F.coalesce("key", "index_key").alias("key"), F.when(F.col("key").isNull(), "orphan_index").otherwise("no_index").alias("finding"))
-    return untracked.unionByName(missing).unionByName(odd)
+    # a key listed or in the ledger, but not both; and a (folder, id) with an archive or an index, but not both
+    tracked = found.select("key", F.lit(1).alias("listed"), F.lit(0).alias("kept")).unionByName(known.select("key", F.lit(0).alias("listed"), F.lit(1).alias("kept")))
+    sides = tracked.groupBy("key").agg(F.max("listed").alias("listed"), F.max("kept").alias("kept")).filter("listed <> kept")
+    unmatched = sides.select("key", F.when(F.col("listed") == 1, "untracked").otherwise("missing").alias("finding"))
+    pairs = found.join(indexes, ["folder", "ident"], "full_outer").filter("key is null or index_key is null")
+    odd = pairs.select(F.coalesce("key", "index_key").alias("key"), F.when(F.col("key").isNull(), "orphan_index").otherwise("no_index").alias("finding"))
+    return unmatched.unionByName(odd)
 
 
 def discover_report(listing: DataFrame) -> DataFrame:
-    folder, ident = paths.archive_parts(F.col("key"))
-    ifolder, iident = paths.index_parts(F.col("key"))
-    found = listing.select("size", folder.alias("folder"), ident.alias("ident")).filter("ident is not null")
-    indexes = listing.select(ifolder.alias("folder"), iident.alias("ident"), F.lit(1).alias("has")).filter("ident is not null").distinct()
-    return found.join(indexes, ["folder", "ident"], "left").agg(F.count(F.lit(1)).alias("found_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("found_size"), F.count_if(F.col("has").isNull()).alias("no_index_count"))
+    named = settle(_named_objects(listing), "objects")
+    indexes = named.filter("not is_archive").select("folder", "ident", F.lit(1).alias("has")).distinct()
+    found = named.filter("is_archive").join(indexes, ["folder", "ident"], "left")
+    return found.agg(F.count(F.lit(1)).alias("found_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("found_size"), F.count_if(F.col("has").isNull()).alias("no_index_count"))
 
 
 def prefix_counts(archives: DataFrame) -> DataFrame:
@@ -126,20 +133,27 @@ def verify_shallow(records: DataFrame, links: DataFrame, archives: DataFrame, li
     """One verdict a record: the first failing check of its archives in order.
 
     First all objects' metadata (missing, then size or checksum), then the index entries (missing, other offset or compression), then whether the local file is
-    still the one that was stored (changed). local: media_file_id, same (null: gone).
+    still the one that was stored (changed). entries: archive_id, entry_key, entry_offset, entry_compression, a written table with a row of null key for an index
+    without entries; it and the listing are read once and an archive is judged once, before the links meet it. local: media_file_id, same (null: gone).
     """
     found = listing.select(F.col("key").alias("path"), F.col("size").alias("object_size"), F.col("crc32c").alias("object_crc"))
-    facts = trusted(archives).select(F.col("id").alias("backup_archive_id"), "path", "size_bytes", "crc32c", "archive_type")
-    entry = index_entry_lookup(records, links, archives, entries, content_id)
-    joined = entry.join(facts, "backup_archive_id").join(found, "path", "left").join(records.select(F.col("id").alias("backup_record_id"), "compression"), "backup_record_id")
+    indexed = entries.select("archive_id", F.lit(True).alias("has_index")).distinct()
+    step = lambda n, verdict: F.struct(F.lit(n).alias("step"), F.lit(verdict).alias("verdict"))
     bad_size = (F.col("object_size") != F.col("size_bytes")) | F.coalesce(F.col("crc32c").isNotNull() & ~F.col("crc32c").eqNullSafe(F.col("object_crc")), F.lit(False))
+    state = F.when(F.col("object_size").isNull(), step(1, "missing")).when(bad_size, step(1, "mismatch")).when(F.col("has_index").isNull(), step(2, "missing"))
+    judged = trusted(archives).join(found, "path", "left").join(indexed, "archive_id", "left")
+    judged = judged.select(F.col("id").alias("backup_archive_id"), "archive_id", "encrypted", "archive_type", state.alias("state"))
+    linked = links.join(records.select(F.col("id").alias("backup_record_id"), "sha256", "compression"), "backup_record_id").join(judged, "backup_archive_id")
+    keyed = linked.withColumn("entry_key", F.when(F.col("encrypted"), content_id).otherwise(F.col("sha256")))
+    joined = keyed.join(entries.filter("entry_key is not null"), ["archive_id", "entry_key"], "left")
     bad_entry = ((F.col("archive_type") != "part") & (F.col("entry_offset") != F.col("archive_offset"))) | ~F.col("entry_compression").eqNullSafe(F.col("compression"))
-    step = lambda n, verdict: F.struct(F.lit(n).alias("step"), F.col("part_index").alias("part"), F.lit(verdict).alias("verdict"))
-    metadata = F.when(F.col("object_size").isNull(), step(1, "missing")).when(bad_size, step(1, "mismatch"))
-    index = F.when(F.col("has_index").isNull(), step(2, "missing")).when(F.col("entry_offset").isNull() | bad_entry, step(2, "mismatch"))
-    first = joined.withColumn("bad", F.coalesce(metadata, index)).groupBy("backup_record_id").agg(F.min("bad").alias("bad"))
-    judged = records.join(first, F.col("id") == F.col("backup_record_id")).join(local, "media_file_id", "left")
-    return judged.select("id", F.when(F.col("sha256").isNull(), "mismatch").when(F.col("bad").isNotNull(), F.col("bad.verdict")).when(~F.col("same"), "changed").otherwise("match").alias("verdict"))
+    index = F.when(F.col("entry_offset").isNull() | bad_entry, step(2, "mismatch"))
+    failed = F.coalesce("state", index)
+    ranked = F.when(failed.isNotNull(), F.struct(failed["step"].alias("step"), F.col("part_index").alias("part"), failed["verdict"].alias("verdict")))
+    first = joined.groupBy("backup_record_id").agg(F.min(ranked).alias("bad"))
+    whole = records.join(first, F.col("id") == F.col("backup_record_id")).join(local, "media_file_id", "left")
+    verdict = F.when(F.col("sha256").isNull(), "mismatch").when(F.col("bad").isNotNull(), F.col("bad.verdict")).when(~F.col("same"), "changed").otherwise("match")
+    return whole.select("id", verdict.alias("verdict"))
 
 
 def verify_ends(stored: DataFrame, local: DataFrame, sample: int) -> DataFrame:

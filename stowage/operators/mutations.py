@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
@@ -52,6 +52,17 @@ def rotate_key(keys: DataFrame, password: str, salt: str, now: int) -> DataFrame
     return retired.unionByName(new)
 
 
+def backfill(records: DataFrame, keys: DataFrame, content_id: Column, present: DataFrame) -> DataFrame:
+    """record_id, key_version_id, content_id that records lack under the current key version; running it again adds nothing.
+
+    content_id: a column of a record's sha256 and the key version's columns (scalars.hmac_with_pads for keyed ids). present: record_id, key_version_id.
+    """
+    current = keys.filter("retired_at is null").withColumnRenamed("id", "key_version_id")  # one row
+    pairs = records.filter("sha256 is not null").select(F.col("id").alias("record_id"), "sha256").crossJoin(F.broadcast(current))
+    missing = pairs.join(present, ["record_id", "key_version_id"], "left_anti")
+    return missing.select("record_id", "key_version_id", content_id.alias("content_id"))
+
+
 def evolve_schema(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """Adds the columns that are missing, with their defaults; what exists stays as it is."""
     have = {c.lower() for c in table.columns}

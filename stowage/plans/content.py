@@ -94,6 +94,15 @@ def prepare_plan(t: Tables) -> DataFrame:
     return content.prepare_plan(files, content.gzip_plan(once))
 
 
+@query("SELECT m.path, $SHA('id:' || m.sha256) || '.file' AS member, (n + 20 + greatest((n + 1023) // 1024, 1) * 16)::BIGINT AS stored_size FROM media_files m JOIN (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) d ON d.doc_id = m.id")
+def prepare_sealed(t: Tables) -> DataFrame:
+    """Contents as they are, encrypted once for each hash in chunks of 1024 bytes."""
+    files = t.media_files.select("path", "sha256", "id")
+    once = files.groupBy("sha256").agg(F.min_by("id", "path").alias("id")).join(_files(t), "id").select(F.col("sha256").alias("id"), F.col("content").alias("stored"))
+    key, prefix = F.unhex(F.sha2(F.lit("key"), 256)), F.unhex(F.substring("id", 1, 8))
+    return content.prepare_sealed(files, once, key, prefix, F.sha2(F.concat(F.lit("id:"), "id"), 256), 1024)
+
+
 ARCHIVE_BYTES = 1 << 20
 _TARS = f"""
     w AS (SELECT source || '-' || (sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text))) // {ARCHIVE_BYTES} AS archive, octet_length(encode(text)) AS n FROM documents),

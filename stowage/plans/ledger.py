@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stowage.functions import paths, scalars
 from stowage.operators import discovery, ledger
 from stowage.plans.registry import query
+from stowage.session import settle
 from stowage.sources.views import Tables
 
 U = paths.UUID
@@ -154,14 +155,12 @@ _VERDICTS = f"""
 
 
 def _verdicts(t: Tables) -> DataFrame:
-    indexed = discovery.parse_index(t.index_documents).filter("archive_id is not null").select("archive_id", F.lit(True).alias("has_index")).distinct()
-    entries = indexed.join(_entries(t), "archive_id", "left")
-    # an archive with an index but without the entry must be told from one without an index
-    keyed = entries.select("archive_id", "entry_key", "entry_offset", "entry_compression")
+    """The index documents are parsed once and kept as narrow rows, with one of null key for each document, so that an index without the entry differs from none."""
+    parsed = discovery.parse_index(t.index_documents).filter("archive_id is not null")
+    entry = F.explode(F.concat(F.map_entries(F.when(F.col("bad"), F.create_map().cast("map<string," + discovery.ENTRY + ">")).otherwise(F.col("files"))), F.array(F.lit(None).cast("struct<key:string,value:" + discovery.ENTRY + ">"))))
+    rows = parsed.select("archive_id", entry.alias("e")).select("archive_id", F.col("e.key").alias("entry_key"), F.col("e.value.offset").alias("entry_offset"), F.col("e.value.compression").alias("entry_compression"))
     local = t.media_files.select(F.col("id").alias("media_file_id"), (F.col("id") % 8 != 3).alias("same"))
-    archives = t.backup_archives
-    links = t.backup_record_archives.join(archives.select(F.col("id").alias("backup_archive_id"), "archive_id").join(indexed, "archive_id", "left").select("backup_archive_id", "has_index"), "backup_archive_id")
-    return ledger.verify_shallow(t.backup_records, links, archives, t.object_listing, keyed, _content_id(), local)
+    return ledger.verify_shallow(t.backup_records, t.backup_record_archives, t.backup_archives, t.object_listing, settle(rows, "index-entries"), _content_id(), local)
 
 
 @query(f"WITH {_VERDICTS} SELECT id, verdict FROM u")

@@ -44,6 +44,14 @@ def rotate_key(t: Tables) -> DataFrame:
     return mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000).select("id", "password", "retired_at")
 
 
+@query("SELECT r.id AS record_id, (SELECT max(id) + 1 FROM backup_key_versions) AS key_version_id, $SHA('new secret:salt' || ':' || r.sha256) AS content_id FROM backup_records r WHERE r.sha256 IS NOT NULL")
+def rotate_backfill(t: Tables) -> DataFrame:
+    """After a rotation every record gets a content id under the new key; a digest stands for the keyed one, which content_ids makes."""
+    rotated = mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000)
+    made = F.sha2(F.concat("password", F.lit(":"), "kdf_salt", F.lit(":"), "sha256"), 256)
+    return mutations.backfill(t.backup_records, rotated, made, t.backup_records.select(F.col("id").alias("record_id"), F.lit(1).cast("long").alias("key_version_id")))
+
+
 @query("SELECT id, status, 0 AS retries, CAST(NULL AS VARCHAR) AS note FROM backup_runs")
 def evolve_schema(t: Tables) -> DataFrame:
     return mutations.evolve_schema(t.backup_runs.select("id", "status"), {"retries": ("int", 0), "note": ("string", None), "Status": ("string", "x")})

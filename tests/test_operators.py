@@ -108,7 +108,8 @@ def test_index_documents(spark):
     parsed = discovery.parse_index(docs)
     assert [r["key"] for r in parsed.filter("bad").orderBy("key").collect()] == ["4", "5"]
     listing = spark.createDataFrame([("o/A.tar",), ("o/B.tar",), ("o/C.tar",)], "key string")
-    found = discovery.discover(parsed, listing, F.col("key"), F.col("entry.paths")).collect()
+    each = discovery.entries(parsed).withColumn("sha256", F.col("key")).withColumn("paths", F.col("entry.paths"))
+    found = discovery.discover(each, listing).collect()
     assert [(r["sha256"], r["size_bytes"], r["mtime_ns"], r["paths"], len(r["parts"]), r["copies"]) for r in found] == [("h1", 3, 1_700_000_000 * 10**9, ["x"], 2, 2)]
 
 
