@@ -47,7 +47,8 @@ def glob_list(text: Column) -> Column:
 def glob_regex(glob: Column) -> Column:
     """A shell pattern as an anchored regular expression.
 
-    * and ? cross slashes; [..] and [!..] are classes, in which a ] that comes first stands for itself and a range that runs backwards is empty;
+    * and ? cross slashes; [..] and [!..] are classes, in which a ] that comes first stands for itself and a range that
+    runs backwards is empty;
     a bracket that isn't closed stands for itself.
     """
     tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?+\]?+[^\]]*\]|."), F.lit(0))
@@ -70,7 +71,9 @@ def glob_regex(glob: Column) -> Column:
 
 
 def glob_regexes(text: Column) -> Column:
-    """The regular expressions of a list of patterns, one a line; take them once for each list, before it is joined to paths."""
+    """The regular expressions of a list of patterns, one a line; take them once for each list, before it is joined to
+    paths.
+    """
     return F.transform(glob_list(text), glob_regex)
 
 
@@ -106,7 +109,9 @@ def _segments(*parts: Column) -> Column:
 
 
 def normalize_prefix(*parts: Column) -> Column:
-    """Folder parts joined: no slash first, one slash last; '' for none; null if a component is '..', which could climb out."""
+    """Folder parts joined: no slash first, one slash last; '' for none; null if a component is '..', which could climb
+    out.
+    """
     found = _segments(*parts)
     whole = F.when(F.size(found) > 0, F.concat(F.array_join(found, "/"), F.lit("/"))).otherwise("")
     return F.when(~F.array_contains(found, ".."), whole)
@@ -123,10 +128,14 @@ def path_error(path: Column, kind: str | None = None) -> Column:
     Bucket names have 3 to 63 of a-z 0-9 . - (and _ but in s3), and begin and end with a letter or digit.
     """
     wide, narrow = "^[a-z0-9][a-z0-9._-]{1,61}[a-z0-9]$", "^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$"
-    named = F.when(scheme(path) == "s3", F.rlike(bucket(path), F.lit(narrow))).otherwise(F.rlike(bucket(path), F.lit(wide)))
+    named = F.when(
+        scheme(path) == "s3", F.rlike(bucket(path), F.lit(narrow))
+    ).otherwise(F.rlike(bucket(path), F.lit(wide)))
     other = scheme(path) != kind if kind else F.lit(False)
     empty = path.isNull() | (F.trim(path) == "")
-    return F.when(empty, "empty").when(other, "scheme").when(~named, "bucket").when(bucket_prefix(path).isNull(), "parent")
+    return F.when(empty, "empty").when(other, "scheme").when(~named, "bucket").when(
+        bucket_prefix(path).isNull(), "parent"
+    )
 
 
 def archive_parts(key: Column) -> tuple[Column, Column]:

@@ -17,17 +17,24 @@ def format_bytes(n: Column) -> Column:
 
 def format_duration(seconds: Column) -> Column:
     s = seconds.cast("double")
-    return F.when(s < 60, F.format_string("%d sec", F.bround(s).cast("long"))).when(s < 3600, F.format_string("%d min", F.bround(s / 60).cast("long"))).when(s < 48 * 3600, F.format_string("%.1f hr", F.bround(s / 3600, 1))).otherwise(F.format_string("%.1f days", F.bround(s / 86400, 1)))
+    return F.when(s < 60, F.format_string("%d sec", F.bround(s).cast("long"))).when(
+        s < 3600, F.format_string("%d min", F.bround(s / 60).cast("long"))
+    ).when(s < 48 * 3600, F.format_string("%.1f hr", F.bround(s / 3600, 1))).otherwise(F.format_string("%.1f days", F.bround(s / 86400, 1)))
 
 
 def rfc3339(ns: Column) -> Column:
     """Nanoseconds since the epoch as UTC text in whole seconds, rounded down."""
-    return F.date_format(F.timestamp_seconds(F.floor(ns / F.lit(1_000_000_000).cast("decimal(20,0)")).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(
+        F.timestamp_seconds(F.floor(ns / F.lit(1_000_000_000).cast("decimal(20,0)")).cast("long")),
+        "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    )
 
 
 def mtime_to_ns(text: Column) -> Column:
     """The inverse of rfc3339; 0 for null and for text that is no such time."""
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))) * F.lit(1_000_000_000), F.lit(0))
+    return F.coalesce(
+        F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))) * F.lit(1_000_000_000), F.lit(0)
+    )
 
 
 def lenient_timestamp(text: Column) -> Column:
@@ -59,7 +66,10 @@ def split_aligned(size: Column, ceiling: int, unit: int, head: int) -> Column:
         raise ValueError("a part can't hold one chunk")
     body = per_part * unit
     k = F.greatest(_ceil_div(size - head, F.lit(body)), F.lit(1).cast("long"))
-    return F.transform(F.sequence(F.lit(1).cast("long"), k), lambda i: F.least(i * body + head, size) - F.when(i > 1, (i - 1) * body + head).otherwise(0))
+    return F.transform(
+        F.sequence(F.lit(1).cast("long"), k),
+        lambda i: F.least(i * body + head, size) - F.when(i > 1, (i - 1) * body + head).otherwise(0),
+    )
 
 
 def part_length(sizes: Column, part: Column) -> Column:
@@ -89,22 +99,33 @@ def weekdays(csv: Column) -> Column:
 
 
 def next_occurrence(after: Column, frequency: Column, time_of_day: Column, days: Column) -> Column:
-    """The first time after `after` at time_of_day ('HH:MM') on a day that counts: any for 'daily', else those of `days`, else that of `after`."""
+    """The first time after `after` at time_of_day ('HH:MM') on a day that counts: any for 'daily', else those of
+    `days`, else that of `after`.
+    """
     wanted = weekdays(days)
-    allowed = F.when(frequency == "daily", F.sequence(F.lit(0), F.lit(6))).when(F.size(wanted) > 0, wanted).otherwise(F.array(F.weekday(after)))
+    allowed = F.when(
+        frequency == "daily", F.sequence(F.lit(0), F.lit(6))
+    ).when(F.size(wanted) > 0, wanted).otherwise(F.array(F.weekday(after)))
     at = F.split(time_of_day, ":")
     day = F.date_trunc("day", after)
-    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.timestamp_add("MINUTE", at[0].cast("int") * 60 + at[1].cast("int") + d * 1440, day))
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda d: F.timestamp_add("MINUTE", at[0].cast("int") * 60 + at[1].cast("int") + d * 1440, day),
+    )
     return F.array_min(F.filter(each, lambda c: (c > after) & F.array_contains(allowed, F.weekday(c))))
 
 
-def wanted_ranges(total: Column, encrypted: Column, sample: int = MIB, budget: int = 4 * MIB, extra: int = 36) -> Column:
+def wanted_ranges(
+    total: Column, encrypted: Column, sample: int = MIB, budget: int = 4 * MIB, extra: int = 36
+) -> Column:
     """Which (start, length) of a file's stored bytes a shallow verification reads."""
     piece = lambda start, length: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"))
     whole = F.array(piece(F.lit(0), total))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     ends = F.array(piece(F.lit(0), F.lit(sample)), piece(total - sample, F.lit(sample)))
-    return F.when(encrypted, F.when(total > budget + extra, none).otherwise(whole)).when(total <= 2 * sample, whole).otherwise(ends)
+    return F.when(
+        encrypted, F.when(total > budget + extra, none).otherwise(whole)
+    ).when(total <= 2 * sample, whole).otherwise(ends)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

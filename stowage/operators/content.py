@@ -1,6 +1,7 @@
 """Jobs over file contents: hashes, fingerprints, keyed ids, sealing, compression, archives, restoring.
 
-Contents come as a table (key, content) or from binaryFile; filter by metadata first, so that only files that are needed are read.
+Contents come as a table (key, content) or from binaryFile; filter by metadata first, so that only files that are
+needed are read.
 """
 
 from __future__ import annotations
@@ -59,7 +60,9 @@ def _crc_table() -> np.ndarray:
 
 
 def _zeros_operator(length: int) -> np.ndarray:
-    """What `length` zero bytes do to a CRC, as a table for each of its four bytes: a linear map, so it is squared and multiplied like a power."""
+    """What `length` zero bytes do to a CRC, as a table for each of its four bytes: a linear map, so it is squared and
+    multiplied like a power.
+    """
     table = _crc_table()
 
     def apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -80,7 +83,8 @@ def _zeros_operator(length: int) -> np.ndarray:
 def crc32c(content: pd.Series) -> pd.Series:
     """Base64 of the big-endian CRC32C (Castagnoli), as object stores report it.
 
-    Contents are cut into lanes of LANE bytes from their ends; all lanes of all rows advance together, a byte a step, and a row's lanes are then
+    Contents are cut into lanes of LANE bytes from their ends; all lanes of all rows advance together, a byte a step,
+    and a row's lanes are then
     joined from left to right by the map that LANE zero bytes are.
     """
     table, shift = _crc_table(), _zeros_operator(LANE)
@@ -91,7 +95,9 @@ def crc32c(content: pd.Series) -> pd.Series:
     first = np.cumsum(lanes) - lanes
     block = np.zeros((int(lanes.sum()), LANE), np.uint8)
     for k, i in enumerate(rows):
-        block[first[k] : first[k] + lanes[k]].reshape(-1)[int(lanes[k]) * LANE - int(sizes[k]) :] = np.frombuffer(content.iloc[i], np.uint8)
+        block[first[k] : first[k] + lanes[k]].reshape(-1)[
+            int(lanes[k]) * LANE - int(sizes[k]) :
+        ] = np.frombuffer(content.iloc[i], np.uint8)
     crc = np.zeros(len(block), np.uint32)
     skip = np.zeros(len(block), np.int64)  # a row's first lane is short: it starts where its bytes do, from all ones
     skip[first] = lanes * LANE - sizes
@@ -108,36 +114,52 @@ def crc32c(content: pd.Series) -> pd.Series:
     for step in range(1, int(lanes.max(initial=1))):
         live = np.flatnonzero(lanes > step)
         x = total[live]
-        total[live] = shift[0][x & 0xFF] ^ shift[1][x >> 8 & 0xFF] ^ shift[2][x >> 16 & 0xFF] ^ shift[3][x >> 24] ^ crc[first[live] + step]
+        total[live] = shift[0][x & 0xFF] ^ shift[1][x >> 8 & 0xFF] ^ shift[2][x >> 16 & 0xFF] ^ shift[3][x >> 24] ^ crc[
+            first[live] + step
+        ]
     for k, i in enumerate(rows):
         out[i] = base64.b64encode(int(total[k] ^ 0xFFFFFFFF).to_bytes(4, "big")).decode()
     return pd.Series(out)
 
 
 def content_ids(records: DataFrame, keys: DataFrame, present: DataFrame, label: str = "content-id:") -> DataFrame:
-    """Keyed ids of all records for all key versions that don't have one yet; running it again adds nothing. keys is a short list by nature."""
+    """Keyed ids of all records for all key versions that don't have one yet; running it again adds nothing. keys is a
+    short list by nature.
+    """
     inner, outer = scalars.hmac_pads(F.unhex("master_key"))
     padded = keys.select(F.col("id").alias("key_version_id"), inner.alias("inner"), outer.alias("outer"))
-    pairs = records.filter("sha256 is not null").select(F.col("id").alias("record_id"), "sha256").crossJoin(F.broadcast(padded))
+    pairs = records.filter("sha256 is not null").select(
+        F.col("id").alias("record_id"), "sha256"
+    ).crossJoin(F.broadcast(padded))
     missing = pairs.join(present.select("record_id", "key_version_id"), ["record_id", "key_version_id"], "left_anti")
-    return missing.select("record_id", "key_version_id", scalars.hmac_with_pads(F.col("inner"), F.col("outer"), F.concat(F.lit(label), "sha256")).alias("content_id"))
+    return missing.select(
+        "record_id",
+        "key_version_id",
+        scalars.hmac_with_pads(F.col("inner"), F.col("outer"), F.concat(F.lit(label), "sha256")).alias("content_id"),
+    )
 
 
 def seal(plain: Column, key: Column, nonce: Column, context: Column) -> Column:
     """Base64 of nonce, AES-256-GCM ciphertext and tag; context is authenticated too."""
-    return F.base64(F.aes_encrypt(plain.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, context.cast("binary")))
+    return F.base64(
+        F.aes_encrypt(plain.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, context.cast("binary"))
+    )
 
 
 def unseal(token: Column, key: Column, context: Column) -> Column:
     """The text, or null for a wrong key, context or token."""
-    return F.try_aes_decrypt(F.try_to_binary(token, F.lit("base64")), key, F.lit("GCM"), F.lit("DEFAULT"), context.cast("binary")).cast("string")
+    return F.try_aes_decrypt(
+        F.try_to_binary(token, F.lit("base64")), key, F.lit("GCM"), F.lit("DEFAULT"), context.cast("binary")
+    ).cast("string")
 
 
 MAGIC = b"SBE1"
 
 
 def encrypt_blob(files: DataFrame, chunk: int, magic: bytes = MAGIC) -> DataFrame:
-    """files (id, content, key, prefix: 4 bytes) in chunks: id, header, i, sealed. The header (magic, nonce prefix, chunk size, plain size) authenticates each chunk."""
+    """files (id, content, key, prefix: 4 bytes) in chunks: id, header, i, sealed. The header (magic, nonce prefix,
+    chunk size, plain size) authenticates each chunk.
+    """
     size = F.octet_length("content")
     number = lambda n, width: F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
     header = F.concat(F.lit(magic), "prefix", number(F.lit(chunk), 4), number(size, 8))
@@ -146,11 +168,15 @@ def encrypt_blob(files: DataFrame, chunk: int, magic: bytes = MAGIC) -> DataFram
     piece = F.substring("content", F.col("i") * chunk + 1, F.lit(chunk))
     nonce = F.concat("prefix", number(F.col("i"), 8))
     sealed = F.aes_encrypt(piece, F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, F.col("header"))
-    return each.select("id", "header", "key", "i", F.substring(sealed, F.lit(13), F.octet_length(sealed)).alias("sealed"))
+    return each.select(
+        "id", "header", "key", "i", F.substring(sealed, F.lit(13), F.octet_length(sealed)).alias("sealed")
+    )
 
 
 def decrypt_blob(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
-    """id, content; null where the header isn't the format's, a chunk fails or is missing, or the total isn't what the header says."""
+    """id, content; null where the header isn't the format's, a chunk fails or is missing, or the total isn't what the
+    header says.
+    """
     nonce = F.concat(F.substring("header", 5, 4), F.unhex(F.lpad(F.hex(F.col("i").cast("long")), 16, "0")))
     opened = F.try_aes_decrypt(F.concat(nonce, "sealed"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("header"))
     each = chunks.withColumn("plain", opened)
@@ -158,19 +184,25 @@ def decrypt_blob(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
     joined = each.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("i", "plain"))).alias("c"), *every)
     whole = F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["plain"])), ""))
     size = F.conv(F.hex(F.substring("header", 13, 8)), 16, 10).cast("long")
-    right = F.col("ok") & (F.substring("header", 1, 4) == F.lit(magic)) & (F.col("n") == F.col("last") + 1) & (F.octet_length(whole) == size)
+    right = F.col("ok") & (
+        F.substring("header", 1, 4) == F.lit(magic)
+    ) & (F.col("n") == F.col("last") + 1) & (F.octet_length(whole) == size)
     return joined.select("id", F.when(right, whole).alias("content"))
 
 
 def gzip_plan(files: DataFrame) -> DataFrame:
-    """id, extension, content -> id, stored (bytes), compressed: gzip where it saves 5 % or more; extensions decide first."""
+    """id, extension, content -> id, stored (bytes), compressed: gzip where it saves 5 % or more; extensions decide
+    first.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for ident, gated, data in frame[["id", "gated", "content"]].itertuples(index=False):
                 data = bytes(data)
-                sample = data[:SAMPLE] + (data[len(data) // 2 : len(data) // 2 + SAMPLE] if len(data) > 4 * SAMPLE else b"")
+                sample = data[:SAMPLE] + (
+                    data[len(data) // 2 : len(data) // 2 + SAMPLE] if len(data) > 4 * SAMPLE else b""
+                )
                 stored = data
                 if not gated and data and len(zlib.compress(sample, 6)) <= len(sample) * (1 - MIN_SAVING):
                     packed = gzip.compress(data, 6, mtime=0)
@@ -187,28 +219,48 @@ def gzip_ends(stored: DataFrame) -> DataFrame:
     at = F.octet_length("stored")
     word = lambda start: F.conv(F.concat(*[F.hex(F.substring(F.col("stored"), start + k, F.lit(1))) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
     is_gzip = (at >= 18) & (F.hex(F.substring("stored", 1, 2)) == "1F8B")
-    return stored.select("id", is_gzip.alias("gzip"), F.when(is_gzip, word(at - 7)).alias("crc"), F.when(is_gzip, word(at - 3)).alias("plain_size"))
+    return stored.select(
+        "id",
+        is_gzip.alias("gzip"),
+        F.when(is_gzip, word(at - 7)).alias("crc"),
+        F.when(is_gzip, word(at - 3)).alias("plain_size"),
+    )
 
 
 def prepare_plan(files: DataFrame, packed: DataFrame) -> DataFrame:
-    """Each path with the stored form of its content, which is made once for each hash. files: path, sha256; packed: id (the hash), stored, compressed."""
-    return files.join(packed.select(F.col("id").alias("sha256"), "stored", "compressed"), "sha256").select("path", F.concat("sha256", F.when(F.col("compressed"), ".gz").otherwise(".file")).alias("member"), F.octet_length("stored").alias("stored_size"), "compressed")
+    """Each path with the stored form of its content, which is made once for each hash. files: path, sha256; packed: id
+    (the hash), stored, compressed.
+    """
+    return files.join(packed.select(F.col("id").alias("sha256"), "stored", "compressed"), "sha256").select(
+        "path",
+        F.concat("sha256", F.when(F.col("compressed"), ".gz").otherwise(".file")).alias("member"),
+        F.octet_length("stored").alias("stored_size"),
+        "compressed",
+    )
 
 
-def prepare_sealed(files: DataFrame, packed: DataFrame, key: Column, prefix: Column, content_id: Column, chunk: int) -> DataFrame:
+def prepare_sealed(
+    files: DataFrame, packed: DataFrame, key: Column, prefix: Column, content_id: Column, chunk: int
+) -> DataFrame:
     """prepare_plan for an encrypted archive: each content is encrypted once, and its member is named by its content id.
 
-    files: path, sha256; packed: id (the hash), stored (after gzip_plan, or as it is). key, prefix (4 random bytes, never two contents of one key alike) and content_id
+    files: path, sha256; packed: id (the hash), stored (after gzip_plan, or as it is). key, prefix (4 random bytes,
+    never two contents of one key alike) and content_id
     are columns of packed's id. The size is that of what was sealed, header included.
     """
     keyed = packed.select("id", F.col("stored").alias("content"), key.alias("key"), prefix.alias("prefix"))
     sealed = encrypt_blob(keyed, chunk).groupBy("id", "header").agg(F.sum(F.octet_length("sealed")).alias("body"))
-    made = sealed.select(F.col("id").alias("sha256"), F.concat(content_id, F.lit(".file")).alias("member"), (F.col("body") + F.octet_length("header")).alias("stored_size"))
+    made = sealed.select(
+        F.col("id").alias("sha256"),
+        F.concat(content_id, F.lit(".file")).alias("member"),
+        (F.col("body") + F.octet_length("header")).alias("stored_size"),
+    )
     return files.join(made, "sha256").select("path", "member", "stored_size")
 
 
 def deal_to_archives(members: DataFrame, group: str, order: str, archive_bytes: int) -> DataFrame:
-    """members with `archive`: the group's name and a number, from running sums of n_bytes in the order. An archive holds less than archive_bytes and
+    """members with `archive`: the group's name and a number, from running sums of n_bytes in the order. An archive
+    holds less than archive_bytes and
     one more member, whatever a group's size. Only narrow columns go through it; contents are joined afterwards."""
     placed = running(members, group, [order], "n_bytes")
     number = F.floor((F.col("to") - F.col("n_bytes")) / archive_bytes).cast("string")
@@ -228,9 +280,15 @@ def write_archives(members: DataFrame) -> DataFrame:
         buffer.seek(0)
         with tarfile.open(fileobj=buffer) as tar:
             read = [(m.name, m.offset_data, m.size) for m in tar]
-        return pd.DataFrame([(key[0], buffer.getvalue(), [n for n, _, _ in read], [o for _, o, _ in read], [s for _, _, s in read])], columns=["archive", "tar", "names", "offsets", "sizes"])
+        return pd.DataFrame(
+            [(key[0], buffer.getvalue(), [n for n, _, _ in read], [o for _, o, _ in read], [s for _, _, s in read])],
+            columns=["archive", "tar", "names", "offsets", "sizes"],
+        )
 
-    return members.groupBy("archive").applyInPandas(run, f"archive {members.schema['archive'].dataType.simpleString()}, tar binary, names array<string>, offsets array<long>, sizes array<long>")
+    return members.groupBy("archive").applyInPandas(
+        run,
+        f"archive {members.schema['archive'].dataType.simpleString()}, tar binary, names array<string>, offsets array<long>, sizes array<long>",
+    )
 
 
 def restore(parts: DataFrame, expected: DataFrame) -> DataFrame:
@@ -247,7 +305,9 @@ def restore(parts: DataFrame, expected: DataFrame) -> DataFrame:
             verdict = "ok" if hashlib.sha256(plain).hexdigest() == row["sha256"].iloc[0] else "mismatch"
         except (OSError, EOFError, zlib.error):
             plain, verdict = None, "mismatch"
-        return pd.DataFrame([(key[0], verdict, plain if verdict == "ok" else None)], columns=["id", "verdict", "content"])
+        return pd.DataFrame(
+            [(key[0], verdict, plain if verdict == "ok" else None)], columns=["id", "verdict", "content"]
+        )
 
     kind = parts.schema["id"].dataType.simpleString()
     return parts.join(expected, "id").groupBy("id").applyInPandas(run, f"id {kind}, verdict string, content binary")

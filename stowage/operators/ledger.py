@@ -1,4 +1,6 @@
-"""The ledger of which bytes of which archive hold a file: parts, ranges, inventory against the listing, verification."""
+"""The ledger of which bytes of which archive hold a file: parts, ranges, inventory against the listing,
+verification.
+"""
 
 from __future__ import annotations
 
@@ -23,36 +25,74 @@ def ledger_parts(records: DataFrame, links: DataFrame, archives: DataFrame) -> D
     """For each record its parts in order, and the bytes that are stored for it."""
     joined = links.join(trusted(archives).select(F.col("id").alias("backup_archive_id"), "path"), "backup_archive_id")
     part = F.struct("part_index", "path", "archive_offset", "archive_length")
-    held = joined.groupBy("backup_record_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("archive_length").alias("stored_bytes"))
-    return records.join(held, F.col("id") == F.col("backup_record_id")).select("id", "media_file_id", "parts", "stored_bytes")
+    held = joined.groupBy("backup_record_id").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.sum("archive_length").alias("stored_bytes")
+    )
+    return records.join(
+        held, F.col("id") == F.col("backup_record_id")
+    ).select("id", "media_file_id", "parts", "stored_bytes")
 
 
 def stored_pieces(links: DataFrame, start: Column, length: Column) -> DataFrame:
-    """(record, archive, offset, length) of the bytes that cover [start, start + length) of each record's stored bytes."""
-    before = F.sum("archive_length").over(Window.partitionBy("backup_record_id").orderBy("part_index").rowsBetween(Window.unboundedPreceding, -1))
-    placed = links.withColumn("from", F.coalesce(before, F.lit(0))).withColumn("to", F.col("from") + F.col("archive_length"))
+    """(record, archive, offset, length) of the bytes that cover [start, start + length) of each record's stored
+    bytes.
+    """
+    before = F.sum("archive_length").over(
+        Window.partitionBy("backup_record_id").orderBy("part_index").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = links.withColumn("from", F.coalesce(before, F.lit(0))).withColumn(
+        "to", F.col("from") + F.col("archive_length")
+    )
     low, high = F.greatest(start, F.col("from")), F.least(start + length, F.col("to"))
-    return placed.withColumn("lo", low).withColumn("hi", high).filter("lo < hi").select("backup_record_id", "backup_archive_id", (F.col("archive_offset") + F.col("lo") - F.col("from")).alias("offset"), (F.col("hi") - F.col("lo")).alias("length"))
+    return placed.withColumn("lo", low).withColumn("hi", high).filter("lo < hi").select(
+        "backup_record_id",
+        "backup_archive_id",
+        (F.col("archive_offset") + F.col("lo") - F.col("from")).alias("offset"),
+        (F.col("hi") - F.col("lo")).alias("length"),
+    )
 
 
-def wanted_pieces(records: DataFrame, links: DataFrame, archives: DataFrame, sample: int = scalars.MIB, budget: int = 4 * scalars.MIB) -> DataFrame:
+def wanted_pieces(
+    records: DataFrame, links: DataFrame, archives: DataFrame, sample: int = scalars.MIB, budget: int = 4 * scalars.MIB
+) -> DataFrame:
     """The stored bytes that a shallow verification of each record reads."""
-    joined = links.join(trusted(archives).select(F.col("id").alias("backup_archive_id"), "encrypted"), "backup_archive_id")
-    totals = joined.groupBy("backup_record_id").agg(F.sum("archive_length").alias("total"), F.min_by("encrypted", "part_index").alias("first_encrypted"))
-    ranges = totals.withColumn("want", F.explode(scalars.wanted_ranges(F.col("total"), F.col("first_encrypted"), sample, budget))).select("backup_record_id", F.col("want.start").alias("start"), F.col("want.length").alias("want"))
-    before = F.sum("archive_length").over(Window.partitionBy("backup_record_id").orderBy("part_index").rowsBetween(Window.unboundedPreceding, -1))
+    joined = links.join(
+        trusted(archives).select(F.col("id").alias("backup_archive_id"), "encrypted"), "backup_archive_id"
+    )
+    totals = joined.groupBy("backup_record_id").agg(
+        F.sum("archive_length").alias("total"), F.min_by("encrypted", "part_index").alias("first_encrypted")
+    )
+    ranges = totals.withColumn(
+        "want", F.explode(scalars.wanted_ranges(F.col("total"), F.col("first_encrypted"), sample, budget))
+    ).select("backup_record_id", F.col("want.start").alias("start"), F.col("want.length").alias("want"))
+    before = F.sum("archive_length").over(
+        Window.partitionBy("backup_record_id").orderBy("part_index").rowsBetween(Window.unboundedPreceding, -1)
+    )
     placed = joined.withColumn("from", F.coalesce(before, F.lit(0)))
     both = placed.join(ranges, "backup_record_id")
-    lo, hi = F.greatest("start", "from"), F.least(F.col("start") + F.col("want"), F.col("from") + F.col("archive_length"))
-    return both.withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi").select("backup_record_id", "backup_archive_id", (F.col("archive_offset") + F.col("lo") - F.col("from")).alias("offset"), (F.col("hi") - F.col("lo")).alias("length"))
+    lo, hi = F.greatest("start", "from"), F.least(
+        F.col("start") + F.col("want"), F.col("from") + F.col("archive_length")
+    )
+    return both.withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi").select(
+        "backup_record_id",
+        "backup_archive_id",
+        (F.col("archive_offset") + F.col("lo") - F.col("from")).alias("offset"),
+        (F.col("hi") - F.col("lo")).alias("length"),
+    )
 
 
 def merge_ranges(pieces: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
     """Ranges of one archive that overlap or lie at most `gap` apart become one read."""
     order = Window.partitionBy("backup_archive_id").orderBy("offset", "end")
-    ends = pieces.withColumn("end", F.col("offset") + F.col("length")).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = ends.withColumn("new", F.when(F.col("reach").isNull() | (F.col("offset") - F.col("reach") > gap), 1).otherwise(0)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("backup_archive_id", "run").agg(F.min("offset").alias("offset"), F.max("end").alias("end")).select("backup_archive_id", "offset", (F.col("end") - F.col("offset")).alias("length"))
+    ends = pieces.withColumn("end", F.col("offset") + F.col("length")).withColumn(
+        "reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    marked = ends.withColumn(
+        "new", F.when(F.col("reach").isNull() | (F.col("offset") - F.col("reach") > gap), 1).otherwise(0)
+    ).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("backup_archive_id", "run").agg(
+        F.min("offset").alias("offset"), F.max("end").alias("end")
+    ).select("backup_archive_id", "offset", (F.col("end") - F.col("offset")).alias("length"))
 
 
 def range_read(ranges: DataFrame, objects: DataFrame) -> DataFrame:
@@ -61,11 +101,18 @@ def range_read(ranges: DataFrame, objects: DataFrame) -> DataFrame:
     Objects that aren't a table are read by range_read_files, which sorts the ranges by object and opens each once.
     """
     joined = ranges.join(objects, "key")
-    return joined.select("key", "offset", "length", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("data"))
+    return joined.select(
+        "key",
+        "offset",
+        "length",
+        F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("data"),
+    )
 
 
 def range_read_files(ranges: DataFrame, root: str) -> DataFrame:
-    """The same from files below a URI that executors reach: ranges of one object are read in one task, from one opening."""
+    """The same from files below a URI that executors reach: ranges of one object are read in one task, from one
+    opening.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -80,13 +127,21 @@ def range_read_files(ranges: DataFrame, root: str) -> DataFrame:
                 data.append(handle.read_at(int(length), int(offset)))
             yield frame[["key", "offset", "length"]].assign(data=data)
 
-    return ranges.repartition("key").sortWithinPartitions("key", "offset").mapInPandas(run, "key string, offset long, length long, data binary")
+    return ranges.repartition("key").sortWithinPartitions("key", "offset").mapInPandas(
+        run, "key string, offset long, length long, data binary"
+    )
 
 
 def _named_objects(listing: DataFrame) -> DataFrame:
     """key, size, folder, ident, is_archive of the listed archive and index objects, from one pass over the listing."""
     (folder, ident), (ifolder, iident) = paths.archive_parts(F.col("key")), paths.index_parts(F.col("key"))
-    named = listing.select("key", "size", F.coalesce(folder, ifolder).alias("folder"), F.coalesce(ident, iident).alias("ident"), ident.isNotNull().alias("is_archive"))
+    named = listing.select(
+        "key",
+        "size",
+        F.coalesce(folder, ifolder).alias("folder"),
+        F.coalesce(ident, iident).alias("ident"),
+        ident.isNotNull().alias("is_archive"),
+    )
     return named.filter("ident is not null")
 
 
@@ -96,11 +151,18 @@ def inventory(listing: DataFrame, archives: DataFrame) -> DataFrame:
     found, indexes = named.filter("is_archive"), named.filter("not is_archive").withColumnRenamed("key", "index_key")
     known = archives.select(F.col("path").alias("key")).distinct()
     # a key listed or in the ledger, but not both; and a (folder, id) with an archive or an index, but not both
-    tracked = found.select("key", F.lit(1).alias("listed"), F.lit(0).alias("kept")).unionByName(known.select("key", F.lit(0).alias("listed"), F.lit(1).alias("kept")))
-    sides = tracked.groupBy("key").agg(F.max("listed").alias("listed"), F.max("kept").alias("kept")).filter("listed <> kept")
+    tracked = found.select("key", F.lit(1).alias("listed"), F.lit(0).alias("kept")).unionByName(
+        known.select("key", F.lit(0).alias("listed"), F.lit(1).alias("kept"))
+    )
+    sides = tracked.groupBy("key").agg(
+        F.max("listed").alias("listed"), F.max("kept").alias("kept")
+    ).filter("listed <> kept")
     unmatched = sides.select("key", F.when(F.col("listed") == 1, "untracked").otherwise("missing").alias("finding"))
     pairs = found.join(indexes, ["folder", "ident"], "full_outer").filter("key is null or index_key is null")
-    odd = pairs.select(F.coalesce("key", "index_key").alias("key"), F.when(F.col("key").isNull(), "orphan_index").otherwise("no_index").alias("finding"))
+    odd = pairs.select(
+        F.coalesce("key", "index_key").alias("key"),
+        F.when(F.col("key").isNull(), "orphan_index").otherwise("no_index").alias("finding"),
+    )
     return unmatched.unionByName(odd)
 
 
@@ -108,92 +170,175 @@ def discover_report(listing: DataFrame) -> DataFrame:
     named = settle(_named_objects(listing), "objects")
     indexes = named.filter("not is_archive").select("folder", "ident", F.lit(1).alias("has")).distinct()
     found = named.filter("is_archive").join(indexes, ["folder", "ident"], "left")
-    return found.agg(F.count(F.lit(1)).alias("found_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("found_size"), F.count_if(F.col("has").isNull()).alias("no_index_count"))
+    return found.agg(
+        F.count(F.lit(1)).alias("found_count"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("found_size"),
+        F.count_if(F.col("has").isNull()).alias("no_index_count"),
+    )
 
 
 def prefix_counts(archives: DataFrame) -> DataFrame:
-    return archives.select("id", F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("prefix")).distinct().groupBy("prefix").agg(F.count(F.lit(1)).alias("archives"))
+    return archives.select(
+        "id", F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("prefix")
+    ).distinct().groupBy("prefix").agg(F.count(F.lit(1)).alias("archives"))
 
 
 def archive_key(archives: DataFrame, keys: DataFrame) -> DataFrame:
     """The key version that opens each archive; the current one where the recorded one is null or gone."""
     current = keys.filter("retired_at is null").agg(F.max("id").alias("current"))
     known = keys.select(F.col("id").alias("known"))
-    return archives.join(F.broadcast(known), F.col("key_version_id") == F.col("known"), "left").crossJoin(F.broadcast(current)).select("id", F.coalesce("known", "current").alias("key_id"))
+    return archives.join(
+        F.broadcast(known), F.col("key_version_id") == F.col("known"), "left"
+    ).crossJoin(F.broadcast(current)).select("id", F.coalesce("known", "current").alias("key_id"))
 
 
-def index_entry_lookup(records: DataFrame, links: DataFrame, archives: DataFrame, entries: DataFrame, content_id: Column) -> DataFrame:
+def index_entry_lookup(
+    records: DataFrame, links: DataFrame, archives: DataFrame, entries: DataFrame, content_id: Column
+) -> DataFrame:
     """The index entry of each link: under the file's hash, or under its content id in archives that are keyed."""
-    joined = links.join(trusted(archives).select(F.col("id").alias("backup_archive_id"), "archive_id", "encrypted"), "backup_archive_id").join(records.select(F.col("id").alias("backup_record_id"), "sha256"), "backup_record_id")
+    joined = links.join(
+        trusted(archives).select(F.col("id").alias("backup_archive_id"), "archive_id", "encrypted"), "backup_archive_id"
+    ).join(records.select(F.col("id").alias("backup_record_id"), "sha256"), "backup_record_id")
     keyed = joined.withColumn("entry_key", F.when(F.col("encrypted"), content_id).otherwise(F.col("sha256")))
     return keyed.join(entries, ["archive_id", "entry_key"], "left")
 
 
-def verify_shallow(records: DataFrame, links: DataFrame, archives: DataFrame, listing: DataFrame, entries: DataFrame, content_id: Column, local: DataFrame) -> DataFrame:
+def verify_shallow(
+    records: DataFrame,
+    links: DataFrame,
+    archives: DataFrame,
+    listing: DataFrame,
+    entries: DataFrame,
+    content_id: Column,
+    local: DataFrame,
+) -> DataFrame:
     """One verdict a record: the first failing check of its archives in order.
 
-    First all objects' metadata (missing, then size or checksum), then the index entries (missing, other offset or compression), then whether the local file is
-    still the one that was stored (changed). entries: archive_id, entry_key, entry_offset, entry_compression, a written table with a row of null key for an index
-    without entries; it and the listing are read once and an archive is judged once, before the links meet it. local: media_file_id, same (null: gone).
+    First all objects' metadata (missing, then size or checksum), then the index entries (missing, other offset or
+    compression), then whether the local file is
+    still the one that was stored (changed). entries: archive_id, entry_key, entry_offset, entry_compression, a written
+    table with a row of null key for an index
+    without entries; it and the listing are read once and an archive is judged once, before the links meet it. local:
+    media_file_id, same (null: gone).
     """
-    found = listing.select(F.col("key").alias("path"), F.col("size").alias("object_size"), F.col("crc32c").alias("object_crc"))
+    found = listing.select(
+        F.col("key").alias("path"), F.col("size").alias("object_size"), F.col("crc32c").alias("object_crc")
+    )
     indexed = entries.select("archive_id", F.lit(True).alias("has_index")).distinct()
     step = lambda n, verdict: F.struct(F.lit(n).alias("step"), F.lit(verdict).alias("verdict"))
-    bad_size = (F.col("object_size") != F.col("size_bytes")) | F.coalesce(F.col("crc32c").isNotNull() & ~F.col("crc32c").eqNullSafe(F.col("object_crc")), F.lit(False))
-    state = F.when(F.col("object_size").isNull(), step(1, "missing")).when(bad_size, step(1, "mismatch")).when(F.col("has_index").isNull(), step(2, "missing"))
+    bad_size = (F.col("object_size") != F.col("size_bytes")) | F.coalesce(
+        F.col("crc32c").isNotNull() & ~F.col("crc32c").eqNullSafe(F.col("object_crc")), F.lit(False)
+    )
+    state = F.when(
+        F.col("object_size").isNull(), step(1, "missing")
+    ).when(bad_size, step(1, "mismatch")).when(F.col("has_index").isNull(), step(2, "missing"))
     judged = trusted(archives).join(found, "path", "left").join(indexed, "archive_id", "left")
-    judged = judged.select(F.col("id").alias("backup_archive_id"), "archive_id", "encrypted", "archive_type", state.alias("state"))
-    linked = links.join(records.select(F.col("id").alias("backup_record_id"), "sha256", "compression"), "backup_record_id").join(judged, "backup_archive_id")
+    judged = judged.select(
+        F.col("id").alias("backup_archive_id"), "archive_id", "encrypted", "archive_type", state.alias("state")
+    )
+    linked = links.join(
+        records.select(F.col("id").alias("backup_record_id"), "sha256", "compression"), "backup_record_id"
+    ).join(judged, "backup_archive_id")
     keyed = linked.withColumn("entry_key", F.when(F.col("encrypted"), content_id).otherwise(F.col("sha256")))
     joined = keyed.join(entries.filter("entry_key is not null"), ["archive_id", "entry_key"], "left")
-    bad_entry = ((F.col("archive_type") != "part") & (F.col("entry_offset") != F.col("archive_offset"))) | ~F.col("entry_compression").eqNullSafe(F.col("compression"))
+    bad_entry = (
+        (F.col("archive_type") != "part") & (F.col("entry_offset") != F.col("archive_offset"))
+    ) | ~F.col("entry_compression").eqNullSafe(F.col("compression"))
     index = F.when(F.col("entry_offset").isNull() | bad_entry, step(2, "mismatch"))
     failed = F.coalesce("state", index)
-    ranked = F.when(failed.isNotNull(), F.struct(failed["step"].alias("step"), F.col("part_index").alias("part"), failed["verdict"].alias("verdict")))
+    ranked = F.when(
+        failed.isNotNull(),
+        F.struct(failed["step"].alias("step"), F.col("part_index").alias("part"), failed["verdict"].alias("verdict")),
+    )
     first = joined.groupBy("backup_record_id").agg(F.min(ranked).alias("bad"))
     whole = records.join(first, F.col("id") == F.col("backup_record_id")).join(local, "media_file_id", "left")
-    verdict = F.when(F.col("sha256").isNull(), "mismatch").when(F.col("bad").isNotNull(), F.col("bad.verdict")).when(~F.col("same"), "changed").otherwise("match")
+    verdict = F.when(F.col("sha256").isNull(), "mismatch").when(
+        F.col("bad").isNotNull(), F.col("bad.verdict")
+    ).when(~F.col("same"), "changed").otherwise("match")
     return whole.select("id", verdict.alias("verdict"))
 
 
 def verify_ends(stored: DataFrame, local: DataFrame, sample: int) -> DataFrame:
-    """id, verdict: whether what shallow verification reads of each stored object (key, content) equals the local file's (id, content) bytes there.
+    """id, verdict: whether what shallow verification reads of each stored object (key, content) equals the local
+    file's (id, content) bytes there.
 
-    Only the wanted ranges of an object are taken, merged where they touch, and joined to the same ranges of the file. Verdicts: match, mismatch (other bytes or size), missing.
+    Only the wanted ranges of an object are taken, merged where they touch, and joined to the same ranges of the file.
+    Verdicts: match, mismatch (other bytes or size), missing.
     """
-    sized = local.select("id", F.col("id").cast("string").alias("key"), F.col("content").alias("own"), F.octet_length("content").cast("long").alias("size"))
+    sized = local.select(
+        "id",
+        F.col("id").cast("string").alias("key"),
+        F.col("content").alias("own"),
+        F.octet_length("content").cast("long").alias("size"),
+    )
     want = F.explode(scalars.wanted_ranges(F.col("size"), F.lit(False), sample, 4 * sample))
-    ranges = sized.filter("size > 0").select(F.col("key").alias("backup_archive_id"), want.alias("w")).select("backup_archive_id", F.col("w.start").alias("offset"), F.least("w.length", F.lit(1 << 31)).alias("length"))
+    ranges = sized.filter("size > 0").select(F.col("key").alias("backup_archive_id"), want.alias("w")).select(
+        "backup_archive_id", F.col("w.start").alias("offset"), F.least("w.length", F.lit(1 << 31)).alias("length")
+    )
     merged = merge_ranges(ranges, gap=0).withColumnRenamed("backup_archive_id", "key")
     read = range_read(merged, stored).withColumnRenamed("data", "there")
     here = F.substring("own", F.col("offset").cast("int") + 1, F.col("length").cast("int"))
-    compared = read.join(sized.select("key", "own"), "key").groupBy("key").agg(F.bool_and(F.col("there") == here).alias("same"))
+    compared = read.join(sized.select("key", "own"), "key").groupBy("key").agg(
+        F.bool_and(F.col("there") == here).alias("same")
+    )
     sizes = stored.select("key", F.octet_length("content").cast("long").alias("stored_size"))
     judged = sized.select("id", "key", "size").join(sizes, "key", "left").join(compared, "key", "left")
     right = (F.col("stored_size") == F.col("size")) & F.coalesce("same", F.lit(True))
-    return judged.select("id", F.when(F.col("stored_size").isNull(), "missing").when(right, "match").otherwise("mismatch").alias("verdict"))
+    return judged.select(
+        "id",
+        F.when(F.col("stored_size").isNull(), "missing").when(right, "match").otherwise("mismatch").alias("verdict"),
+    )
 
 
 def verify_apply(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The next records: a verdict replaces verify_status where there is one."""
-    return records.join(verdicts.select("id", "verdict"), "id", "left").select("id", F.coalesce("verdict", "verify_status").alias("verify_status"), F.col("verdict").isNotNull().alias("verified"))
-
-
-def restore_plan(files: DataFrame, records: DataFrame, links: DataFrame, archives: DataFrame, listing: DataFrame, replace_older: bool = True) -> DataFrame:
-    """Per selected file: restore, skipped (the local file is as new), or failed; with the archive and offset of its first part for the order of reads."""
-    first = links.join(trusted(archives).select(F.col("id").alias("backup_archive_id")), "backup_archive_id").groupBy("backup_record_id").agg(F.min_by(F.struct("backup_archive_id", "archive_offset"), "part_index").alias("first"))
-    usable = records.filter("status = 'done'").join(first, F.col("id") == F.col("backup_record_id")).select("media_file_id", F.col("id").alias("record_id"), F.col("mtime_ns").alias("stored_ns"), "first")
-    best = usable.groupBy("media_file_id").agg(F.min_by(F.struct("record_id", "stored_ns", "first"), "record_id").alias("r"))
+    return records.join(verdicts.select("id", "verdict"), "id", "left").select(
+        "id",
+        F.coalesce("verdict", "verify_status").alias("verify_status"),
+        F.col("verdict").isNotNull().alias("verified"),
+    )
+
+
+def restore_plan(
+    files: DataFrame,
+    records: DataFrame,
+    links: DataFrame,
+    archives: DataFrame,
+    listing: DataFrame,
+    replace_older: bool = True,
+) -> DataFrame:
+    """Per selected file: restore, skipped (the local file is as new), or failed; with the archive and offset of its
+    first part for the order of reads.
+    """
+    first = links.join(trusted(archives).select(F.col("id").alias("backup_archive_id")), "backup_archive_id").groupBy(
+        "backup_record_id"
+    ).agg(F.min_by(F.struct("backup_archive_id", "archive_offset"), "part_index").alias("first"))
+    usable = records.filter("status = 'done'").join(first, F.col("id") == F.col("backup_record_id")).select(
+        "media_file_id", F.col("id").alias("record_id"), F.col("mtime_ns").alias("stored_ns"), "first"
+    )
+    best = usable.groupBy("media_file_id").agg(
+        F.min_by(F.struct("record_id", "stored_ns", "first"), "record_id").alias("r")
+    )
     local = listing.groupBy("path").agg(F.max("mtime_ns").alias("local_ns"))
     joined = files.join(best, F.col("id") == F.col("media_file_id"), "left").join(local, "path", "left")
     newer = F.lit(replace_older) & (F.col("local_ns") >= F.col("r.stored_ns"))
     action = F.when(F.col("r").isNull(), "failed").when(F.coalesce(newer, F.lit(False)), "skipped").otherwise("restore")
-    return joined.select("id", action.alias("action"), F.coalesce("r.record_id", F.lit(-1)).alias("record_id"), F.coalesce("r.first.backup_archive_id", F.lit(-1)).alias("archive_id"), F.coalesce("r.first.archive_offset", F.lit(-1)).alias("archive_offset"))
+    return joined.select(
+        "id",
+        action.alias("action"),
+        F.coalesce("r.record_id", F.lit(-1)).alias("record_id"),
+        F.coalesce("r.first.backup_archive_id", F.lit(-1)).alias("archive_id"),
+        F.coalesce("r.first.archive_offset", F.lit(-1)).alias("archive_offset"),
+    )
 
 
 def upload_confirm(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Staged objects whose stored size or checksum isn't what was sent, or that aren't stored."""
-    stored = listing.select(F.col("key").alias("path"), F.col("size").alias("stored_size"), F.col("crc32c").alias("stored_crc"))
+    stored = listing.select(
+        F.col("key").alias("path"), F.col("size").alias("stored_size"), F.col("crc32c").alias("stored_crc")
+    )
     joined = manifest.join(stored, "path", "left")
-    why = F.when(F.col("stored_size").isNull(), "absent").when(F.col("stored_size") != F.col("size_bytes"), "size").when(F.col("crc32c").isNotNull() & ~F.col("crc32c").eqNullSafe(F.col("stored_crc")), "checksum")
+    why = F.when(F.col("stored_size").isNull(), "absent").when(
+        F.col("stored_size") != F.col("size_bytes"), "size"
+    ).when(F.col("crc32c").isNotNull() & ~F.col("crc32c").eqNullSafe(F.col("stored_crc")), "checksum")
     return joined.select("path", why.alias("problem")).filter("problem is not null")

@@ -11,25 +11,46 @@ from stowage.functions import paths
 def rewrite_prefix(files: DataFrame, location: int, before: str, after: str) -> DataFrame:
     """Paths of a moved library, by whole components."""
     hit = (F.col("storage_location_id") == location) & paths.under(F.col("path"), F.lit(before))
-    return files.withColumn("path", F.when(hit, paths.swap_prefix(F.col("path"), F.lit(before), F.lit(after))).otherwise(F.col("path")))
+    return files.withColumn(
+        "path", F.when(hit, paths.swap_prefix(F.col("path"), F.lit(before), F.lit(after))).otherwise(F.col("path"))
+    )
 
 
-def untrack(locations: DataFrame, files: DataFrame, location: int, tracked: bool = False) -> tuple[DataFrame, DataFrame]:
+def untrack(
+    locations: DataFrame, files: DataFrame, location: int, tracked: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(locations, files): untracking marks all files missing; tracking again only clears the flag."""
-    flagged = locations.withColumn("untracked", F.when(F.col("id") == location, F.lit(not tracked)).otherwise(F.col("untracked")))
+    flagged = locations.withColumn(
+        "untracked", F.when(F.col("id") == location, F.lit(not tracked)).otherwise(F.col("untracked"))
+    )
     if tracked:
         return flagged, files
-    return flagged, files.withColumn("is_missing", F.col("is_missing") | F.coalesce(F.col("storage_location_id") == location, F.lit(False)))
+    return flagged, files.withColumn(
+        "is_missing", F.col("is_missing") | F.coalesce(F.col("storage_location_id") == location, F.lit(False))
+    )
 
 
-def cascade_delete(location: int, locations: DataFrame, files: DataFrame, records: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
-    """All tables without a library, its files, their records and the records' links; references to a deleted archive become null."""
+def cascade_delete(
+    location: int, locations: DataFrame, files: DataFrame, records: DataFrame, links: DataFrame
+) -> dict[str, DataFrame]:
+    """All tables without a library, its files, their records and the records' links; references to a deleted archive
+    become null.
+    """
     kept_files = files.filter(~F.coalesce(F.col("storage_location_id") == location, F.lit(False)))
     gone = files.filter(F.col("storage_location_id") == location).select(F.col("id").alias("media_file_id"))
-    kept_records = records.join(gone, "media_file_id", "left_anti").filter(~F.coalesce(F.col("destination_id") == location, F.lit(False)))
+    kept_records = records.join(gone, "media_file_id", "left_anti").filter(
+        ~F.coalesce(F.col("destination_id") == location, F.lit(False))
+    )
     kept_links = links.join(kept_records.select(F.col("id").alias("backup_record_id")), "backup_record_id", "left_semi")
-    kept = locations.filter(F.col("id") != location).withColumn("archive_location_id", F.when(F.col("archive_location_id") != location, F.col("archive_location_id")))
-    return {"storage_locations": kept, "media_files": kept_files, "backup_records": kept_records, "backup_record_archives": kept_links}
+    kept = locations.filter(F.col("id") != location).withColumn(
+        "archive_location_id", F.when(F.col("archive_location_id") != location, F.col("archive_location_id"))
+    )
+    return {
+        "storage_locations": kept,
+        "media_files": kept_files,
+        "backup_records": kept_records,
+        "backup_record_archives": kept_links,
+    }
 
 
 def clear_failed(runs: DataFrame, kind: str | None = None, run: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -47,18 +68,34 @@ def rotate_key(keys: DataFrame, password: str, salt: str, now: int) -> DataFrame
     same = keys.filter((F.col("retired_at").isNull()) & (F.col("password") == password) & (F.col("kdf_salt") == salt))
     if not same.isEmpty():
         return keys
-    new = keys.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id")).select("id", F.lit(password).alias("password"), F.lit(salt).alias("kdf_salt"), F.lit(now).cast("long").alias("created_at"), F.lit(None).cast("long").alias("retired_at"))
-    retired = keys.select("id", "password", "kdf_salt", F.col("created_at").cast("long").alias("created_at"), F.coalesce("retired_at", F.lit(now)).cast("long").alias("retired_at"))
+    new = keys.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id")).select(
+        "id",
+        F.lit(password).alias("password"),
+        F.lit(salt).alias("kdf_salt"),
+        F.lit(now).cast("long").alias("created_at"),
+        F.lit(None).cast("long").alias("retired_at"),
+    )
+    retired = keys.select(
+        "id",
+        "password",
+        "kdf_salt",
+        F.col("created_at").cast("long").alias("created_at"),
+        F.coalesce("retired_at", F.lit(now)).cast("long").alias("retired_at"),
+    )
     return retired.unionByName(new)
 
 
 def backfill(records: DataFrame, keys: DataFrame, content_id: Column, present: DataFrame) -> DataFrame:
-    """record_id, key_version_id, content_id that records lack under the current key version; running it again adds nothing.
+    """record_id, key_version_id, content_id that records lack under the current key version; running it again adds
+    nothing.
 
-    content_id: a column of a record's sha256 and the key version's columns (scalars.hmac_with_pads for keyed ids). present: record_id, key_version_id.
+    content_id: a column of a record's sha256 and the key version's columns (scalars.hmac_with_pads for keyed ids).
+    present: record_id, key_version_id.
     """
     current = keys.filter("retired_at is null").withColumnRenamed("id", "key_version_id")  # one row
-    pairs = records.filter("sha256 is not null").select(F.col("id").alias("record_id"), "sha256").crossJoin(F.broadcast(current))
+    pairs = records.filter("sha256 is not null").select(
+        F.col("id").alias("record_id"), "sha256"
+    ).crossJoin(F.broadcast(current))
     missing = pairs.join(present, ["record_id", "key_version_id"], "left_anti")
     return missing.select("record_id", "key_version_id", content_id.alias("content_id"))
 
@@ -66,7 +103,9 @@ def backfill(records: DataFrame, keys: DataFrame, content_id: Column, present: D
 def evolve_schema(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """Adds the columns that are missing, with their defaults; what exists stays as it is."""
     have = {c.lower() for c in table.columns}
-    return table.withColumns({name: F.lit(default).cast(kind) for name, (kind, default) in columns.items() if name.lower() not in have})
+    return table.withColumns(
+        {name: F.lit(default).cast(kind) for name, (kind, default) in columns.items() if name.lower() not in have}
+    )
 
 
 def rename_values(table: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
@@ -74,13 +113,16 @@ def rename_values(table: DataFrame, column: str, names: dict[str, str]) -> DataF
 
 
 def publish(spark: SparkSession, snapshot: DataFrame, root: str, name: str, version: int) -> str:
-    """Writes a snapshot as a new version directory, then moves the pointer to it; a reader sees one version or the other, and a failed write nothing.
+    """Writes a snapshot as a new version directory, then moves the pointer to it; a reader sees one version or the
+    other, and a failed write nothing.
 
     There is one writer for each table.
     """
     path = f"{root}/{name}/v={version}"
     snapshot.write.mode("errorifexists").parquet(path)
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_current")
+    spark.range(1).select(
+        F.lit(version).alias("version")
+    ).coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_current")
     return path
 
 

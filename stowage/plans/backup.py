@@ -33,7 +33,9 @@ def _after(t: Tables) -> DataFrame:
 
 def _reasons(t: Tables) -> DataFrame:
     present = backup.archives_present(t.backup_records, t.backup_record_archives, t.backup_archives, t.object_listing)
-    return backup.skip_reasons(t.media_files, t.storage_locations, t.listing, _after(t), t.backup_records, present, DESTINATION)
+    return backup.skip_reasons(
+        t.media_files, t.storage_locations, t.listing, _after(t), t.backup_records, present, DESTINATION
+    )
 
 
 @query(f"WITH {_PRESENT} SELECT id, present FROM pr")
@@ -57,9 +59,13 @@ def changed_during_read(t: Tables) -> DataFrame:
     return t.listing.join(later, "path").filter("size <> later_size or mtime_ns <> later_ns").select("path")
 
 
-@query(f"WITH {_REASONS} SELECT storage_location_id, CASE WHEN bool_or(reason NOT IN ('candidate', 'excluded', 'unchanged', 'already_backed_up', 'already_missing')) THEN 'partial' ELSE 'done' END AS status FROM rs GROUP BY 1")
+@query(
+    f"WITH {_REASONS} SELECT storage_location_id, CASE WHEN bool_or(reason NOT IN ('candidate', 'excluded', 'unchanged', 'already_backed_up', 'already_missing')) THEN 'partial' ELSE 'done' END AS status FROM rs GROUP BY 1"
+)
 def run_status(t: Tables) -> DataFrame:
-    return backup.run_status(_reasons(t).join(t.media_files.select("id", "storage_location_id"), "id"), "storage_location_id")
+    return backup.run_status(
+        _reasons(t).join(t.media_files.select("id", "storage_location_id"), "id"), "storage_location_id"
+    )
 
 
 PAGE = 500
@@ -84,13 +90,17 @@ def adopt_existing(t: Tables) -> DataFrame:
     candidates = t.media_files.select("id", F.col("sha256").alias("match_key"))
     records = t.backup_records.select("id", F.col("sha256").alias("match_key"), "destination_id", "status")
     archives = t.backup_archives.withColumn("encrypted", F.col("encrypted") & (F.col("id") % 10 != 0))
-    adopted = backup.adopt_existing(candidates, records, t.backup_record_archives, archives, t.object_listing, DESTINATION, False, None)
+    adopted = backup.adopt_existing(
+        candidates, records, t.backup_record_archives, archives, t.object_listing, DESTINATION, False, None
+    )
     return adopted.select("id", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
 
 
 def _adoptable(t: Tables) -> DataFrame:
     """Records with their content ids under the second key version."""
-    return t.backup_records.select("id", F.sha2(F.concat(F.lit("2:"), "sha256"), 256).alias("match_key"), "destination_id", "status")
+    return t.backup_records.select(
+        "id", F.sha2(F.concat(F.lit("2:"), "sha256"), 256).alias("match_key"), "destination_id", "status"
+    )
 
 
 @query(f"""
@@ -103,17 +113,25 @@ def adopt_encrypted(t: Tables) -> DataFrame:
     """Adoption by content id: only archives that are encrypted under the run's own key version are copied."""
     candidates = t.media_files.select("id", F.sha2(F.concat(F.lit("2:"), "sha256"), 256).alias("match_key"))
     own = F.when(F.col("id") % 5 != 3, 2).otherwise(1)
-    archives = t.backup_archives.withColumn("encrypted", F.col("encrypted") | (F.col("id") % 3 == 1)).withColumn("key_version_id", own)
-    adopted = backup.adopt_existing(candidates, _adoptable(t), t.backup_record_archives, archives, t.object_listing, DESTINATION, True, 2)
+    archives = t.backup_archives.withColumn(
+        "encrypted", F.col("encrypted") | (F.col("id") % 3 == 1)
+    ).withColumn("key_version_id", own)
+    adopted = backup.adopt_existing(
+        candidates, _adoptable(t), t.backup_record_archives, archives, t.object_listing, DESTINATION, True, 2
+    )
     return adopted.select("id", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
 
 
-@query("SELECT sha256, min(path) AS rel_path, arg_min(size_bytes, path) AS size_bytes, count(*)::BIGINT AS copies FROM media_files GROUP BY sha256")
+@query(
+    "SELECT sha256, min(path) AS rel_path, arg_min(size_bytes, path) AS size_bytes, count(*)::BIGINT AS copies FROM media_files GROUP BY sha256"
+)
 def dedup_groups(t: Tables) -> DataFrame:
     return backup.dedup_groups(t.media_files.select("sha256", F.col("path").alias("rel_path"), "size_bytes"))
 
 
-@query("WITH n AS (SELECT sha256, path, (row_number() OVER (PARTITION BY sha256 ORDER BY path) - 1) // 2 AS page FROM media_files) SELECT sha256, page, string_agg(path, '|' ORDER BY path) AS paths FROM n GROUP BY 1, 2")
+@query(
+    "WITH n AS (SELECT sha256, path, (row_number() OVER (PARTITION BY sha256 ORDER BY path) - 1) // 2 AS page FROM media_files) SELECT sha256, page, string_agg(path, '|' ORDER BY path) AS paths FROM n GROUP BY 1, 2"
+)
 def content_paths(t: Tables) -> DataFrame:
     pages = backup.content_paths(t.media_files.select("sha256", F.col("path").alias("rel_path")), page=2)
     return pages.select("sha256", "page", F.array_join("paths", "|").alias("paths"))
@@ -147,7 +165,13 @@ def clump_plan(t: Tables) -> DataFrame:
     SELECT n.id, n.l AS storage_location_id, f.bin FROM n JOIN f ON f.l = n.l AND f.i = n.i
 """)
 def byte_batches(t: Tables) -> DataFrame:
-    return ordered.next_fit(t.media_files.select("id", "storage_location_id", "size_bytes"), "storage_location_id", ["id"], "size_bytes", 20_000).select("id", "storage_location_id", "bin")
+    return ordered.next_fit(
+        t.media_files.select("id", "storage_location_id", "size_bytes"),
+        "storage_location_id",
+        ["id"],
+        "size_bytes",
+        20_000,
+    ).select("id", "storage_location_id", "bin")
 
 
 @query(f"""
@@ -169,12 +193,26 @@ _MEMBERS = f"""
 
 
 def _recorded(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """What a run that stored all files that are there at one archive, and the watched ones at another too, makes of the ledger."""
+    """What a run that stored all files that are there at one archive, and the watched ones at another too, makes of
+    the ledger.
+    """
     number = lambda x: F.lit(x).cast("long")
-    at = F.when(F.col("watched"), F.array(number(DESTINATION), number(DESTINATION + 1))).otherwise(F.array(number(DESTINATION)))
-    each = t.media_files.withColumn("destination_id", F.explode(at)).filter(~F.col("is_missing") | (F.col("destination_id") != DESTINATION))
+    at = F.when(
+        F.col("watched"), F.array(number(DESTINATION), number(DESTINATION + 1))
+    ).otherwise(F.array(number(DESTINATION)))
+    each = t.media_files.withColumn("destination_id", F.explode(at)).filter(
+        ~F.col("is_missing") | (F.col("destination_id") != DESTINATION)
+    )
     archive = (F.col("id") % 40 + 900_000).alias("archive_id")
-    members = each.select(archive, F.col("id").alias("media_file_id"), "destination_id", "sha256", number(0).alias("part_index"), (F.col("id") * 1024).alias("offset"), F.col("size_bytes").alias("length"))
+    members = each.select(
+        archive,
+        F.col("id").alias("media_file_id"),
+        "destination_id",
+        "sha256",
+        number(0).alias("part_index"),
+        (F.col("id") * 1024).alias("offset"),
+        F.col("size_bytes").alias("length"),
+    )
     return backup.record_archives(members, t.backup_records, t.backup_record_archives)
 
 
@@ -202,18 +240,30 @@ def archive_records(t: Tables) -> DataFrame:
     FROM k GROUP BY archive_id, object, archive_type, encrypted
 """)
 def build_index(t: Tables) -> DataFrame:
-    """Plain and keyed archives. A digest stands for the sealed hash and paths, since SQL engines can't seal (see discover_sealed)."""
+    """Plain and keyed archives. A digest stands for the sealed hash and paths, since SQL engines can't seal (see
+    discover_sealed).
+    """
     one = t.index_entries.groupBy("archive_id", "object", F.col("archive_type").alias("type"), "encrypted", "sha256")
-    members = one.agg(F.min("entry_size").alias("size"), F.min("entry_offset").alias("offset"), F.array_sort(F.collect_list("local_path")).alias("paths"))
+    members = one.agg(
+        F.min("entry_size").alias("size"),
+        F.min("entry_offset").alias("offset"),
+        F.array_sort(F.collect_list("local_path")).alias("paths"),
+    )
     keyed, is_part = F.col("encrypted"), F.col("type") == "part"
     listed = F.array_join(F.transform("paths", lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ",")
     sealed = members.withColumns({
-        "content_id": F.when(keyed, F.sha2(F.concat(F.lit("id:"), "sha256"), 256)), "sha256_enc": F.when(keyed, F.md5("sha256")), "paths_enc": F.when(keyed, F.md5(listed)),
-        "created_at": F.lit("2023-11-14T22:13:20Z"), "mtime": F.lit("2023-11-14T22:13:20Z"), "compression": F.lit(None).cast("string"), "part": F.when(is_part, 1), "parts": F.when(is_part, 2),
+        "content_id": F.when(
+            keyed, F.sha2(F.concat(F.lit("id:"), "sha256"), 256)
+        ), "sha256_enc": F.when(keyed, F.md5("sha256")), "paths_enc": F.when(keyed, F.md5(listed)),
+        "created_at": F.lit("2023-11-14T22:13:20Z"), "mtime": F.lit(
+            "2023-11-14T22:13:20Z"
+        ), "compression": F.lit(None).cast("string"), "part": F.when(is_part, 1), "parts": F.when(is_part, 2),
         "key_check": F.substring(F.md5("archive_id"), 1, 16),
     })
     sizes = members.groupBy("archive_id").agg(F.sum("size").alias("archive_size"))
-    named = sealed.withColumn("member", F.concat(F.coalesce("content_id", "sha256"), F.lit(".file"))).withColumn("paths", F.when(~keyed, F.col("paths")))
+    named = sealed.withColumn(
+        "member", F.concat(F.coalesce("content_id", "sha256"), F.lit(".file"))
+    ).withColumn("paths", F.when(~keyed, F.col("paths")))
     return backup.build_index(named.join(sizes, "archive_id"))
 
 
@@ -222,7 +272,9 @@ def effective_encryption(t: Tables) -> DataFrame:
     return backup.effective_encryption(t.storage_locations.filter("not is_backup_target"), True)
 
 
-@query("SELECT l.id, string_split(a.path, '/')[1] AS bucket, 'base/' || CASE WHEN l.archive_subpath IS NULL THEN '' ELSE l.archive_subpath || '/' END AS prefix FROM storage_locations l JOIN storage_locations a ON a.id = l.archive_location_id WHERE NOT l.is_backup_target")
+@query(
+    "SELECT l.id, string_split(a.path, '/')[1] AS bucket, 'base/' || CASE WHEN l.archive_subpath IS NULL THEN '' ELSE l.archive_subpath || '/' END AS prefix FROM storage_locations l JOIN storage_locations a ON a.id = l.archive_location_id WHERE NOT l.is_backup_target"
+)
 def target_prefix(t: Tables) -> DataFrame:
     return backup.target_prefix(t.storage_locations)
 
@@ -231,7 +283,9 @@ def target_prefix(t: Tables) -> DataFrame:
     SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'bucket' WHEN 2 THEN 'parent' END AS problem FROM part
 """)
 def path_errors(t: Tables) -> DataFrame:
-    name = F.when(F.col("p_partkey") % 6 == 0, "  ").when(F.col("p_partkey") % 6 == 1, F.concat(F.lit("Bad_"), "p_brand")).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("good-bucket/a/../"), "p_name")).otherwise(F.concat(F.lit("good-bucket/"), "p_name"))
+    name = F.when(F.col("p_partkey") % 6 == 0, "  ").when(
+        F.col("p_partkey") % 6 == 1, F.concat(F.lit("Bad_"), "p_brand")
+    ).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("good-bucket/a/../"), "p_name")).otherwise(F.concat(F.lit("good-bucket/"), "p_name"))
     return t.part.select(F.col("p_partkey").alias("id"), paths.path_error(name).alias("problem"))
 
 
@@ -244,17 +298,37 @@ def path_errors(t: Tables) -> DataFrame:
     FROM part
 """)
 def bucket_schemes(t: Tables) -> DataFrame:
-    """Paths with schemes of both kinds, blanks, backslashes, empty and dotted components, and names that are refused."""
+    """Paths with schemes of both kinds, blanks, backslashes, empty and dotted components, and names that are
+    refused.
+    """
     size, case = F.col("p_size").cast("string"), F.col("p_partkey") % 8
     made = [
-        F.concat(F.lit("  GS://bucket-"), size, F.lit("//a/./b"), size, F.lit("/ ")), F.concat(F.lit("gcs://legacy_"), size), F.concat(F.lit("s3://bucket."), size, F.lit("/x\\y")),
-        F.concat(F.lit("s3://bad_"), size), F.lit("/mnt/x"), F.lit("gs://-bad"), F.lit("S3://bucket/../up"), F.concat(F.lit("gs://bucket/ f "), size, F.lit(" /g//")),
+        F.concat(
+            F.lit("  GS://bucket-"), size, F.lit("//a/./b"), size, F.lit("/ ")
+        ), F.concat(F.lit("gcs://legacy_"), size), F.concat(F.lit("s3://bucket."), size, F.lit("/x\\y")),
+        F.concat(F.lit("s3://bad_"), size), F.lit("/mnt/x"), F.lit("gs://-bad"), F.lit("S3://bucket/../up"), F.concat(
+            F.lit("gs://bucket/ f "), size, F.lit(" /g//")
+        ),
     ]
     path = F.lit(None).cast("string")
     for k, x in enumerate(made):
         path = F.when(case == k, x).otherwise(path)
     named, kind = t.part.withColumn("path", path), F.when(case.isin(2, 3), "s3").otherwise("gs")
-    wanted = F.when(kind == "s3", paths.path_error(F.col("path"), "s3")).otherwise(paths.path_error(F.col("path"), "gs"))
-    parts = named.select(F.col("p_partkey").alias("id"), case.alias("case"), paths.scheme(F.col("path")).alias("scheme"), paths.bucket(F.col("path")).alias("bucket"), paths.bucket_prefix(F.col("path")).alias("p"), wanted.alias("problem"))
-    whole = F.when(F.col("problem").isNull() & (F.col("scheme") == "gs"), paths.format_bucket_path("gs", F.col("bucket"), F.col("p")))
-    return parts.select("id", "scheme", "bucket", F.coalesce("p", F.lit("-")).alias("prefix"), "problem", whole.alias("canonical"))
+    wanted = F.when(
+        kind == "s3", paths.path_error(F.col("path"), "s3")
+    ).otherwise(paths.path_error(F.col("path"), "gs"))
+    parts = named.select(
+        F.col("p_partkey").alias("id"),
+        case.alias("case"),
+        paths.scheme(F.col("path")).alias("scheme"),
+        paths.bucket(F.col("path")).alias("bucket"),
+        paths.bucket_prefix(F.col("path")).alias("p"),
+        wanted.alias("problem"),
+    )
+    whole = F.when(
+        F.col("problem").isNull() & (F.col("scheme") == "gs"),
+        paths.format_bucket_path("gs", F.col("bucket"), F.col("p")),
+    )
+    return parts.select(
+        "id", "scheme", "bucket", F.coalesce("p", F.lit("-")).alias("prefix"), "problem", whole.alias("canonical")
+    )

@@ -25,15 +25,21 @@ def _gated(t: Tables) -> DataFrame:
     return catalog.gate_and_tag(t.listing, t.storage_locations)
 
 
-@query("SELECT source, lang AS category, count(*)::BIGINT AS documents, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2")
+@query(
+    "SELECT source, lang AS category, count(*)::BIGINT AS documents, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2"
+)
 def scan_folder(t: Tables) -> DataFrame:
-    """A real scan: the documents are written as text files below a folder for each source and language, and the folder is listed. No content is read."""
+    """A real scan: the documents are written as text files below a folder for each source and language, and the folder
+    is listed. No content is read.
+    """
     root = f"{shared_dir(t.spark)}/library-{uuid.uuid4().hex}"
     texts = t.documents.filter("source is not null and lang is not null")
     texts.select("source", "lang", "text").write.partitionBy("source", "lang").option("lineSep", "\n").text(root)
     listed = catalog.list_files(t.spark, root)
     part = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]*)/", 1))
-    found = listed.groupBy(part("source").alias("source"), part("lang").alias("category")).agg(F.sum("size").alias("bytes"))
+    found = listed.groupBy(
+        part("source").alias("source"), part("lang").alias("category")
+    ).agg(F.sum("size").alias("bytes"))
     counts = texts.groupBy("source", F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("documents"))
     return counts.join(found, ["source", "category"]).select("source", "category", "documents", "bytes")
 
@@ -44,10 +50,14 @@ def scan_listing(t: Tables) -> DataFrame:
     return t.listing.select("path", "size", "mtime_ns")
 
 
-@query("SELECT l.id, count(s.path)::BIGINT AS files, coalesce(sum(s.size), 0)::BIGINT AS bytes FROM storage_locations l LEFT JOIN listing s ON s.storage_location_id = l.id WHERE NOT l.is_backup_target AND NOT l.untracked GROUP BY l.id")
+@query(
+    "SELECT l.id, count(s.path)::BIGINT AS files, coalesce(sum(s.size), 0)::BIGINT AS bytes FROM storage_locations l LEFT JOIN listing s ON s.storage_location_id = l.id WHERE NOT l.is_backup_target AND NOT l.untracked GROUP BY l.id"
+)
 def scan_totals(t: Tables) -> DataFrame:
     wanted = t.storage_locations.filter("not is_backup_target and not untracked").select("id")
-    return wanted.join(t.listing, F.col("id") == F.col("storage_location_id"), "left").groupBy("id").agg(F.count("path").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return wanted.join(t.listing, F.col("id") == F.col("storage_location_id"), "left").groupBy("id").agg(
+        F.count("path").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
+    )
 
 
 @query(f"WITH {_GATED} SELECT path, filename, ext AS extension FROM k")
@@ -60,12 +70,16 @@ def media_type_tag(t: Tables) -> DataFrame:
     return _gated(t).groupBy("media_type").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query(f"WITH {_GATED} SELECT path, CASE WHEN len(string_split(substr(path, length(root) + 2), '/')) > 1 THEN string_split(substr(path, length(root) + 2), '/')[1] END AS genre FROM k")
+@query(
+    f"WITH {_GATED} SELECT path, CASE WHEN len(string_split(substr(path, length(root) + 2), '/')) > 1 THEN string_split(substr(path, length(root) + 2), '/')[1] END AS genre FROM k"
+)
 def folder_category(t: Tables) -> DataFrame:
     return _gated(t).select("path", "genre")
 
 
-@query("SELECT m.id, CASE WHEN starts_with(m.path, '/mnt/src1/') THEN substr(m.path, 11) ELSE m.filename END AS rel_path FROM media_files m")
+@query(
+    "SELECT m.id, CASE WHEN starts_with(m.path, '/mnt/src1/') THEN substr(m.path, 11) ELSE m.filename END AS rel_path FROM media_files m"
+)
 def rel_path(t: Tables) -> DataFrame:
     return t.media_files.select("id", paths.relative(F.col("path"), F.lit("/mnt/src1")).alias("rel_path"))
 
@@ -77,12 +91,16 @@ _DIFF = """
 """
 
 
-@query(f"WITH {_DIFF} SELECT path, id, change, change IN ('added', 'changed') OR (change = 'updated' AND fingerprint IS NULL) AS refingerprint FROM d")
+@query(
+    f"WITH {_DIFF} SELECT path, id, change, change IN ('added', 'changed') OR (change = 'updated' AND fingerprint IS NULL) AS refingerprint FROM d"
+)
 def scan_diff(t: Tables) -> DataFrame:
     return catalog.scan_diff(t.listing, t.media_files)
 
 
-@query(f"WITH {_GATED} SELECT m.id, m.path FROM media_files m WHERE NOT m.is_missing AND m.path NOT IN (SELECT path FROM k) AND m.path NOT IN (SELECT path FROM listing)")
+@query(
+    f"WITH {_GATED} SELECT m.id, m.path FROM media_files m WHERE NOT m.is_missing AND m.path NOT IN (SELECT path FROM k) AND m.path NOT IN (SELECT path FROM listing)"
+)
 def missing_files(t: Tables) -> DataFrame:
     return catalog.missing_files(t.media_files, _gated(t), t.listing).select("id", "path")
 
@@ -108,21 +126,31 @@ def catalog_upsert(t: Tables) -> DataFrame:
 def merge_stale(t: Tables) -> DataFrame:
     columns = ["id", "path", "filename", "fingerprint", "storage_location_id"]
     files = t.media_files.select(*columns)
-    moved = files.filter("id % 6 = 0").withColumn("id", F.col("id") + 10_000_000).withColumn("path", F.replace("path", F.lit("/mnt/"), F.lit("/old/")))
-    records = t.backup_records.filter("id % 3 <> 0").select("media_file_id").union(t.backup_records.filter("id % 2 = 0").select(F.col("media_file_id") + 10_000_000))
+    moved = files.filter("id % 6 = 0").withColumn("id", F.col("id") + 10_000_000).withColumn(
+        "path", F.replace("path", F.lit("/mnt/"), F.lit("/old/"))
+    )
+    records = t.backup_records.filter("id % 3 <> 0").select("media_file_id").union(
+        t.backup_records.filter("id % 2 = 0").select(F.col("media_file_id") + 10_000_000)
+    )
     return catalog.merge_stale(files.unionByName(moved), records, t.storage_locations)
 
 
-@query("SELECT id FROM media_files WHERE storage_location_id = 103 AND id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+@query(
+    "SELECT id FROM media_files WHERE storage_location_id = 103 AND id IN (SELECT p_partkey FROM part WHERE p_size > 25)"
+)
 def select_ids(t: Tables) -> DataFrame:
-    return catalog.select_ids(t.media_files, t.part.filter("p_size > 25").select(F.col("p_partkey").alias("id")), 103).select("id")
+    return catalog.select_ids(
+        t.media_files, t.part.filter("p_size > 25").select(F.col("p_partkey").alias("id")), 103
+    ).select("id")
 
 
 _FOLDERS = "w AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN '/mnt/' || source ELSE '/mnt/' || source || '/' || genre END AS folder FROM media_files WHERE id % 71 = 0)"
 
 
 def _folders(t: Tables) -> DataFrame:
-    folder = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/mnt/"), "source")).otherwise(F.concat(F.lit("/mnt/"), "source", F.lit("/"), "genre"))
+    folder = F.when(
+        F.col("id") % 2 == 0, F.concat(F.lit("/mnt/"), "source")
+    ).otherwise(F.concat(F.lit("/mnt/"), "source", F.lit("/"), "genre"))
     return t.media_files.filter("id % 71 = 0").select(folder.alias("folder")).distinct()
 
 
@@ -131,9 +159,15 @@ def folder_expand(t: Tables) -> DataFrame:
     return catalog.folder_expand(t.media_files.select("id", "path"), _folders(t))
 
 
-@query(f"WITH {_FOLDERS} SELECT id FROM media_files WHERE id % 5 = 0 UNION SELECT m.id FROM media_files m JOIN w ON starts_with(m.path, w.folder || '/')")
+@query(
+    f"WITH {_FOLDERS} SELECT id FROM media_files WHERE id % 5 = 0 UNION SELECT m.id FROM media_files m JOIN w ON starts_with(m.path, w.folder || '/')"
+)
 def bulk_select(t: Tables) -> DataFrame:
-    return catalog.bulk_select(t.media_files.select("id", "path"), t.documents.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("id")), _folders(t))
+    return catalog.bulk_select(
+        t.media_files.select("id", "path"),
+        t.documents.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("id")),
+        _folders(t),
+    )
 
 
 _ITEMS = """
@@ -158,7 +192,9 @@ def watch_sync(t: Tables) -> DataFrame:
 PREFIXES = [("/mnt/src1/en", "English one"), ("/mnt/src1", "One and teens"), ("/mnt/src", "Rest")]
 
 
-@query("SELECT id, CASE " + " ".join(f"WHEN starts_with(path, '{p}') THEN '{n}'" for p, n in PREFIXES) + " END AS library FROM media_files")
+@query(
+    "SELECT id, CASE " + " ".join(f"WHEN starts_with(path, '{p}') THEN '{n}'" for p, n in PREFIXES) + " END AS library FROM media_files"
+)
 def watch_library(t: Tables) -> DataFrame:
     return catalog.watch_library(t.media_files, PREFIXES)
 
@@ -179,10 +215,28 @@ _NFO = """
 def nfo_enrich(t: Tables) -> DataFrame:
     p = t.part
     text = lambda c: F.col(c).cast("string")
-    year = F.when(F.col("p_partkey") % 5 == 0, "n/a").when(F.col("p_partkey") % 5 == 1, "1999.0").otherwise((F.col("p_size") + 1950).cast("string"))
-    full = F.concat(F.lit("<movie><title>"), "p_name", F.lit("</title><plot>"), "p_type", F.lit("</plot><year>"), year, F.lit("</year><imdbid>tt"), text("p_partkey"), F.lit("</imdbid><rating>"), text("p_size"), F.lit(".5</rating></movie>"))
-    xml = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("<movie><title>"), "p_name")).when(F.col("p_partkey") % 7 == 1, F.concat(F.lit("<show><title>"), "p_name", F.lit("</title></show>"))).otherwise(full)
-    return catalog.nfo_fields(p.select(F.col("p_partkey").alias("id"), xml.alias("xml")), "xml").select("id", "title", "overview", "year", "imdb_id", "rating")
+    year = F.when(F.col("p_partkey") % 5 == 0, "n/a").when(F.col("p_partkey") % 5 == 1, "1999.0").otherwise(
+        (F.col("p_size") + 1950).cast("string")
+    )
+    full = F.concat(
+        F.lit("<movie><title>"),
+        "p_name",
+        F.lit("</title><plot>"),
+        "p_type",
+        F.lit("</plot><year>"),
+        year,
+        F.lit("</year><imdbid>tt"),
+        text("p_partkey"),
+        F.lit("</imdbid><rating>"),
+        text("p_size"),
+        F.lit(".5</rating></movie>"),
+    )
+    xml = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("<movie><title>"), "p_name")).when(
+        F.col("p_partkey") % 7 == 1, F.concat(F.lit("<show><title>"), "p_name", F.lit("</title></show>"))
+    ).otherwise(full)
+    return catalog.nfo_fields(
+        p.select(F.col("p_partkey").alias("id"), xml.alias("xml")), "xml"
+    ).select("id", "title", "overview", "year", "imdb_id", "rating")
 
 
 @query(r"""
@@ -190,19 +244,39 @@ def nfo_enrich(t: Tables) -> DataFrame:
            ELSE regexp_full_match(substr(m.path, length(m.source) + 7), '(?s)de/doc-.[05]\..*') END AS excluded FROM media_files m
 """)
 def exclude_globs(t: Tables) -> DataFrame:
-    joined = t.media_files.join(t.storage_locations.select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"), paths.glob_regexes(F.col("exclude_globs")).alias("globs")), "storage_location_id")
-    return joined.select("id", "path", paths.matches_any(paths.relative(F.col("path"), F.col("root")), F.col("globs")).alias("excluded"))
-
-
-GLOBS = {"unclosed": "*[0-9", "literal": "doc-[[]*", "negated": "doc-[!0-4]*", "bracket": "doc-[]1]*.t?t", "backwards": "doc-[9-0]*", "dash": "*[-]2*.[mj]*"}
-
-
-@query(r"SELECT id, filename || '[0-9' AS name, true AS unclosed, false AS literal, regexp_full_match(filename || '[0-9', 'doc-[^0-4].*') AS negated, false AS bracket, false AS backwards, regexp_full_match(filename || '[0-9', '.*[-]2.*\.[mj].*') AS dash FROM media_files")
+    joined = t.media_files.join(
+        t.storage_locations.select(
+            F.col("id").alias("storage_location_id"),
+            F.col("path").alias("root"),
+            paths.glob_regexes(F.col("exclude_globs")).alias("globs"),
+        ),
+        "storage_location_id",
+    )
+    return joined.select(
+        "id", "path", paths.matches_any(paths.relative(F.col("path"), F.col("root")), F.col("globs")).alias("excluded")
+    )
+
+
+GLOBS = {
+    "unclosed": "*[0-9",
+    "literal": "doc-[[]*",
+    "negated": "doc-[!0-4]*",
+    "bracket": "doc-[]1]*.t?t",
+    "backwards": "doc-[9-0]*",
+    "dash": "*[-]2*.[mj]*",
+}
+
+
+@query(
+    r"SELECT id, filename || '[0-9' AS name, true AS unclosed, false AS literal, regexp_full_match(filename || '[0-9', 'doc-[^0-4].*') AS negated, false AS bracket, false AS backwards, regexp_full_match(filename || '[0-9', '.*[-]2.*\.[mj].*') AS dash FROM media_files"
+)
 def glob_cases(t: Tables) -> DataFrame:
     """Patterns with brackets that are closed, unclosed, negated, and ranges that run backwards."""
     name = F.concat("filename", F.lit("[0-9"))
     hit = lambda g: paths.matches_any(F.col("name"), F.array(paths.glob_regex(F.lit(g))))
-    return t.media_files.select("id", name.alias("name")).select("id", "name", *[hit(g).alias(k) for k, g in GLOBS.items()])
+    return t.media_files.select("id", name.alias("name")).select(
+        "id", "name", *[hit(g).alias(k) for k, g in GLOBS.items()]
+    )
 
 
 @query(f"""

@@ -41,33 +41,59 @@ _PAD = "from_hex(array_to_string([format('{{:02X}}', xor(('0x' || substr(rpad(up
     SELECT r.id AS record_id, k.id AS key_version_id, sha256(op || from_hex(sha256(ip || encode('content-id:' || r.sha256)))) AS content_id FROM backup_records r, k WHERE r.sha256 IS NOT NULL AND NOT (r.id % 3 = 0 AND k.id = 2)"""
 )
 def content_ids(t: Tables) -> DataFrame:
-    present = t.backup_records.filter("id % 3 = 0").select(F.col("id").alias("record_id"), F.lit(2).cast("long").alias("key_version_id"))
+    present = t.backup_records.filter("id % 3 = 0").select(
+        F.col("id").alias("record_id"), F.lit(2).cast("long").alias("key_version_id")
+    )
     return content.content_ids(t.backup_records, t.backup_key_versions, present)
 
 
 def _sealed(t: Tables) -> DataFrame:
     """Each record's path sealed under a key of its archive location, with its hash as context."""
-    keyed = t.backup_records.join(F.broadcast(t.backup_key_versions.select((F.col("id") - 1).alias("destination_id"), F.unhex("master_key").alias("key"))), "destination_id")
+    keyed = t.backup_records.join(
+        F.broadcast(
+            t.backup_key_versions.select((F.col("id") - 1).alias("destination_id"), F.unhex("master_key").alias("key"))
+        ),
+        "destination_id",
+    )
     nonce = F.unhex(F.substring(F.md5(F.col("id").cast("string")), 1, 24))
-    return keyed.select("id", "destination_id", "sha256", "local_path", content.seal(F.col("local_path"), F.col("key"), nonce, F.col("sha256")).alias("token"))
+    return keyed.select(
+        "id",
+        "destination_id",
+        "sha256",
+        "local_path",
+        content.seal(F.col("local_path"), F.col("key"), nonce, F.col("sha256")).alias("token"),
+    )
 
 
 @query("SELECT id, CASE WHEN destination_id = 1 THEN '' ELSE local_path END AS path FROM backup_records")
 def open_index(t: Tables) -> DataFrame:
     """What the keys but number 2 open; a wrong key gives nothing."""
-    keys = t.backup_key_versions.select((F.col("id") - 1).alias("destination_id"), F.when(F.col("id") == 2, F.unhex(F.sha2(F.lit("wrong"), 256))).otherwise(F.unhex("master_key")).alias("key"))
-    return _sealed(t).join(F.broadcast(keys), "destination_id").select("id", F.coalesce(content.unseal(F.col("token"), F.col("key"), F.col("sha256")), F.lit("")).alias("path"))
+    keys = t.backup_key_versions.select(
+        (F.col("id") - 1).alias("destination_id"),
+        F.when(F.col("id") == 2, F.unhex(F.sha2(F.lit("wrong"), 256))).otherwise(F.unhex("master_key")).alias("key"),
+    )
+    return _sealed(t).join(F.broadcast(keys), "destination_id").select(
+        "id", F.coalesce(content.unseal(F.col("token"), F.col("key"), F.col("sha256")), F.lit("")).alias("path")
+    )
 
 
-@query("SELECT doc_id AS id, doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 AS whole, CASE WHEN doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 THEN $SHA(text) ELSE '' END AS sha256 FROM documents")
+@query(
+    "SELECT doc_id AS id, doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 AS whole, CASE WHEN doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 THEN $SHA(text) ELSE '' END AS sha256 FROM documents"
+)
 def blob_roundtrip(t: Tables) -> DataFrame:
-    """Contents encrypted in chunks of 512 bytes and opened again; of every fifth one the first chunk of several is lost on the way."""
-    files = _files(t).withColumn("key", F.unhex(F.sha2(F.col("id").cast("string"), 256))).withColumn("prefix", F.unhex(F.substring(F.md5(F.col("id").cast("string")), 1, 8)))
+    """Contents encrypted in chunks of 512 bytes and opened again; of every fifth one the first chunk of several is
+    lost on the way.
+    """
+    files = _files(t).withColumn("key", F.unhex(F.sha2(F.col("id").cast("string"), 256))).withColumn(
+        "prefix", F.unhex(F.substring(F.md5(F.col("id").cast("string")), 1, 8))
+    )
     chunks = content.encrypt_blob(files, 512)
     several = F.conv(F.hex(F.substring("header", 13, 8)), 16, 10).cast("long") > 512
     kept = chunks.filter(~((F.col("id") % 5 == 3) & (F.col("i") == 0) & several))
     back = content.decrypt_blob(kept)
-    return back.select("id", F.col("content").isNotNull().alias("whole"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"))
+    return back.select(
+        "id", F.col("content").isNotNull().alias("whole"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256")
+    )
 
 
 def _packed(t: Tables) -> DataFrame:
@@ -84,21 +110,31 @@ def gzip_plan(t: Tables) -> DataFrame:
 def gzip_ends(t: Tables) -> DataFrame:
     """The trailers of what was compressed, against the contents' own CRC and size."""
     ends = content.gzip_ends(_packed(t)).filter("gzip")
-    return ends.join(_files(t), "id").select("id", (F.col("crc") == F.crc32("content")).alias("crc_right"), (F.col("plain_size") == F.octet_length("content")).alias("size_right"))
+    return ends.join(_files(t), "id").select(
+        "id",
+        (F.col("crc") == F.crc32("content")).alias("crc_right"),
+        (F.col("plain_size") == F.octet_length("content")).alias("size_right"),
+    )
 
 
 @query()
 def prepare_plan(t: Tables) -> DataFrame:
     files = t.media_files.select("path", "sha256", "id", "extension")
-    once = files.groupBy("sha256").agg(F.min_by(F.struct("id", "extension"), "path").alias("f")).select("sha256", "f.id", "f.extension").join(_files(t), "id").select(F.col("sha256").alias("id"), "extension", "content")
+    once = files.groupBy("sha256").agg(F.min_by(F.struct("id", "extension"), "path").alias("f")).select(
+        "sha256", "f.id", "f.extension"
+    ).join(_files(t), "id").select(F.col("sha256").alias("id"), "extension", "content")
     return content.prepare_plan(files, content.gzip_plan(once))
 
 
-@query("SELECT m.path, $SHA('id:' || m.sha256) || '.file' AS member, (n + 20 + greatest((n + 1023) // 1024, 1) * 16)::BIGINT AS stored_size FROM media_files m JOIN (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) d ON d.doc_id = m.id")
+@query(
+    "SELECT m.path, $SHA('id:' || m.sha256) || '.file' AS member, (n + 20 + greatest((n + 1023) // 1024, 1) * 16)::BIGINT AS stored_size FROM media_files m JOIN (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) d ON d.doc_id = m.id"
+)
 def prepare_sealed(t: Tables) -> DataFrame:
     """Contents as they are, encrypted once for each hash in chunks of 1024 bytes."""
     files = t.media_files.select("path", "sha256", "id")
-    once = files.groupBy("sha256").agg(F.min_by("id", "path").alias("id")).join(_files(t), "id").select(F.col("sha256").alias("id"), F.col("content").alias("stored"))
+    once = files.groupBy("sha256").agg(F.min_by("id", "path").alias("id")).join(_files(t), "id").select(
+        F.col("sha256").alias("id"), F.col("content").alias("stored")
+    )
     key, prefix = F.unhex(F.sha2(F.lit("key"), 256)), F.unhex(F.substring("id", 1, 8))
     return content.prepare_sealed(files, once, key, prefix, F.sha2(F.concat(F.lit("id:"), "id"), 256), 1024)
 
@@ -111,22 +147,30 @@ _TARS = f"""
 
 
 def _archived(t: Tables) -> DataFrame:
-    sizes = t.media_files.select("id", "source").join(t.documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("n_bytes")), "id")
+    sizes = t.media_files.select("id", "source").join(
+        t.documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("n_bytes")), "id"
+    )
     dealt = content.deal_to_archives(sizes, "source", "id", ARCHIVE_BYTES)
-    members = _files(t).join(dealt.select("id", "archive"), "id").select("archive", F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("member"), "content")
+    members = _files(t).join(dealt.select("id", "archive"), "id").select(
+        "archive", F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("member"), "content"
+    )
     return content.write_archives(members)
 
 
 @query(f"WITH {_TARS} SELECT archive, tar_size::BIGINT AS tar_size, members::BIGINT AS members FROM ta")
 def write_archives(t: Tables) -> DataFrame:
-    return _archived(t).select("archive", F.octet_length("tar").cast("long").alias("tar_size"), F.size("names").cast("long").alias("members"))
+    return _archived(t).select(
+        "archive", F.octet_length("tar").cast("long").alias("tar_size"), F.size("names").cast("long").alias("members")
+    )
 
 
 def _cut_out(t: Tables) -> DataFrame:
     """id and bytes of each member, cut out of the tars at the offsets read back."""
     each = _archived(t).select("tar", F.explode(F.arrays_zip("names", "offsets", "sizes")).alias("m"))
     ident = F.regexp_extract("m.names", "^doc-(.*)$", 1).cast("long")
-    return each.select(ident.alias("id"), F.expr("substring(tar, cast(m.offsets as int) + 1, cast(m.sizes as int))").alias("data"))
+    return each.select(
+        ident.alias("id"), F.expr("substring(tar, cast(m.offsets as int) + 1, cast(m.sizes as int))").alias("data")
+    )
 
 
 def _restored(t: Tables) -> DataFrame:
@@ -134,16 +178,30 @@ def _restored(t: Tables) -> DataFrame:
     cut = _cut_out(t)
     half = F.floor(F.octet_length("data") / 2).cast("int")
     first = cut.select("id", F.lit(1).alias("part"), F.substring(F.col("data"), F.lit(1), half).alias("data"))
-    rest = F.when(F.col("id") % 11 == 0, F.lit(b"?")).otherwise(F.substring(F.col("data"), half + 1, F.octet_length("data")))
+    rest = F.when(F.col("id") % 11 == 0, F.lit(b"?")).otherwise(
+        F.substring(F.col("data"), half + 1, F.octet_length("data"))
+    )
     parts = first.unionByName(cut.select("id", F.lit(2).alias("part"), rest.alias("data")))
-    expected = t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), F.lit(False).alias("compressed"))
+    expected = t.documents.select(
+        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), F.lit(False).alias("compressed")
+    )
     return content.restore(parts, expected)
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 AND octet_length(encode(text)) > 200 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents")
+@query(
+    "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 AND octet_length(encode(text)) > 200 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents"
+)
 def verify_ends(t: Tables) -> DataFrame:
-    """Shallow verification with bytes: the ends of each stored member, 100 bytes each, against the local file's. Of every eleventh longer one the tail is damaged."""
-    stored = _cut_out(t).select("id", F.when((F.col("id") % 11 == 0) & (F.octet_length("data") > 200), F.concat(F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3), F.lit(b"\0\0\0"))).otherwise(F.col("data")).alias("content"))
+    """Shallow verification with bytes: the ends of each stored member, 100 bytes each, against the local file's. Of
+    every eleventh longer one the tail is damaged.
+    """
+    stored = _cut_out(t).select(
+        "id",
+        F.when(
+            (F.col("id") % 11 == 0) & (F.octet_length("data") > 200),
+            F.concat(F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3), F.lit(b"\0\0\0")),
+        ).otherwise(F.col("data")).alias("content"),
+    )
     return ledger.verify_ends(stored.select(F.col("id").cast("string").alias("key"), "content"), _files(t), 100)
 
 
@@ -152,6 +210,10 @@ def restore_check(t: Tables) -> DataFrame:
     return _restored(t).select("id", "verdict")
 
 
-@query("SELECT CASE WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'match' END AS verdict, count(*)::BIGINT AS files FROM documents GROUP BY 1")
+@query(
+    "SELECT CASE WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'match' END AS verdict, count(*)::BIGINT AS files FROM documents GROUP BY 1"
+)
 def verify_deep(t: Tables) -> DataFrame:
-    return _restored(t).groupBy(F.when(F.col("verdict") == "ok", "match").otherwise("mismatch").alias("verdict")).agg(F.count(F.lit(1)).alias("files"))
+    return _restored(t).groupBy(
+        F.when(F.col("verdict") == "ok", "match").otherwise("mismatch").alias("verdict")
+    ).agg(F.count(F.lit(1)).alias("files"))

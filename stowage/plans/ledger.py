@@ -15,15 +15,23 @@ U = paths.UUID
 _TRUST = "tr AS (SELECT * FROM backup_archives WHERE archive_id IS NOT NULL AND indexed_at IS NOT NULL)"
 
 
-@query("SELECT key, size, coalesce(storage_class, '-') AS storage_class FROM object_listing WHERE starts_with(key, 'vault/O/')")
+@query(
+    "SELECT key, size, coalesce(storage_class, '-') AS storage_class FROM object_listing WHERE starts_with(key, 'vault/O/')"
+)
 def listing_prefix(t: Tables) -> DataFrame:
-    return t.object_listing.filter(F.startswith("key", F.lit("vault/O/"))).select("key", "size", F.coalesce("storage_class", F.lit("-")).alias("storage_class"))
+    return t.object_listing.filter(F.startswith("key", F.lit("vault/O/"))).select(
+        "key", "size", F.coalesce("storage_class", F.lit("-")).alias("storage_class")
+    )
 
 
-@query("SELECT DISTINCT string_split(substr(key, 7), '/')[1] AS folder FROM object_listing WHERE starts_with(key, 'vault/') AND contains(substr(key, 7), '/')")
+@query(
+    "SELECT DISTINCT string_split(substr(key, 7), '/')[1] AS folder FROM object_listing WHERE starts_with(key, 'vault/') AND contains(substr(key, 7), '/')"
+)
 def listing_subfolders(t: Tables) -> DataFrame:
     rest = F.substring("key", F.lit(7), F.length("key"))
-    return t.object_listing.filter(F.startswith("key", F.lit("vault/"))).filter(F.contains(rest, F.lit("/"))).select(F.split(rest, "/")[0].alias("folder")).distinct()
+    return t.object_listing.filter(F.startswith("key", F.lit("vault/"))).filter(F.contains(rest, F.lit("/"))).select(
+        F.split(rest, "/")[0].alias("folder")
+    ).distinct()
 
 
 @query(f"""
@@ -32,7 +40,19 @@ def listing_subfolders(t: Tables) -> DataFrame:
 """)
 def ledger_parts(t: Tables) -> DataFrame:
     parts = ledger.ledger_parts(t.backup_records, t.backup_record_archives, t.backup_archives)
-    text = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["part_index"].cast("string"), p["path"], p["archive_offset"].cast("string"), p["archive_length"].cast("string"))), "|")
+    text = F.array_join(
+        F.transform(
+            "parts",
+            lambda p: F.concat_ws(
+                ":",
+                p["part_index"].cast("string"),
+                p["path"],
+                p["archive_offset"].cast("string"),
+                p["archive_length"].cast("string"),
+            ),
+        ),
+        "|",
+    )
     return parts.select("id", "media_file_id", text.alias("parts"), "stored_bytes")
 
 
@@ -68,16 +88,22 @@ _MERGED = f"""
 """
 
 
-@query(f'WITH {_MERGED} SELECT backup_archive_id, min(o) AS "offset", max(e) - min(o) AS length FROM g GROUP BY backup_archive_id, run')
+@query(
+    f'WITH {_MERGED} SELECT backup_archive_id, min(o) AS "offset", max(e) - min(o) AS length FROM g GROUP BY backup_archive_id, run'
+)
 def merge_ranges(t: Tables) -> DataFrame:
     return ledger.merge_ranges(_wanted(t), GAP)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, (doc_id % 50)::BIGINT AS \"offset\", 40::BIGINT AS length, lower(hex(encode(text)[(doc_id % 50) + 1 : (doc_id % 50) + 40])) AS data FROM documents")
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS key, (doc_id % 50)::BIGINT AS \"offset\", 40::BIGINT AS length, lower(hex(encode(text)[(doc_id % 50) + 1 : (doc_id % 50) + 40])) AS data FROM documents"
+)
 def range_read(t: Tables) -> DataFrame:
     key = F.col("doc_id").cast("string").alias("key")
     ranges = t.documents.select(key, (F.col("doc_id") % 50).alias("offset"), F.lit(40).cast("long").alias("length"))
-    return ledger.range_read(ranges, t.documents.select(key, F.col("text").cast("binary").alias("content"))).withColumn("data", F.lower(F.hex("data")))
+    return ledger.range_read(
+        ranges, t.documents.select(key, F.col("text").cast("binary").alias("content"))
+    ).withColumn("data", F.lower(F.hex("data")))
 
 
 _FOUND = f"""
@@ -95,26 +121,38 @@ def inventory_reconcile(t: Tables) -> DataFrame:
     return ledger.inventory(t.object_listing, t.backup_archives)
 
 
-@query(f"WITH {_FOUND} SELECT f.key AS archive_key, x.key AS index_key FROM f JOIN x ON x.folder = f.folder AND x.ident = f.ident")
+@query(
+    f"WITH {_FOUND} SELECT f.key AS archive_key, x.key AS index_key FROM f JOIN x ON x.folder = f.folder AND x.ident = f.ident"
+)
 def inventory_pairs(t: Tables) -> DataFrame:
     archives = t.backup_archives.select(F.col("path").alias("archive_key"))
     listed = t.object_listing.select("key").distinct()
-    tracked = t.object_listing.filter(paths.archive_parts(F.col("key"))[1].isNotNull()).select(F.col("key").alias("archive_key")).unionByName(archives).distinct()
-    pairs = tracked.join(listed.withColumnRenamed("key", "archive_key"), "archive_key", "left_semi").withColumn("index_key", paths.index_key(F.col("archive_key")))
+    tracked = t.object_listing.filter(
+        paths.archive_parts(F.col("key"))[1].isNotNull()
+    ).select(F.col("key").alias("archive_key")).unionByName(archives).distinct()
+    pairs = tracked.join(
+        listed.withColumnRenamed("key", "archive_key"), "archive_key", "left_semi"
+    ).withColumn("index_key", paths.index_key(F.col("archive_key")))
     return pairs.join(listed.withColumnRenamed("key", "index_key"), "index_key", "left_semi")
 
 
-@query(f"WITH {_FOUND} SELECT count(*)::BIGINT AS found_count, sum(size)::BIGINT AS found_size, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x WHERE x.folder = f.folder AND x.ident = f.ident))::BIGINT AS no_index_count FROM f")
+@query(
+    f"WITH {_FOUND} SELECT count(*)::BIGINT AS found_count, sum(size)::BIGINT AS found_size, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x WHERE x.folder = f.folder AND x.ident = f.ident))::BIGINT AS no_index_count FROM f"
+)
 def discover_report(t: Tables) -> DataFrame:
     return ledger.discover_report(t.object_listing)
 
 
-@query("SELECT regexp_extract(path, '^(.*/)[^/]*$', 1) AS prefix, count(*)::BIGINT AS archives FROM backup_archives GROUP BY 1")
+@query(
+    "SELECT regexp_extract(path, '^(.*/)[^/]*$', 1) AS prefix, count(*)::BIGINT AS archives FROM backup_archives GROUP BY 1"
+)
 def prefix_counts(t: Tables) -> DataFrame:
     return ledger.prefix_counts(t.backup_archives)
 
 
-@query("SELECT a.id, coalesce(k.id, (SELECT max(id) FROM backup_key_versions WHERE retired_at IS NULL)) AS key_id FROM backup_archives a LEFT JOIN backup_key_versions k ON k.id = a.key_version_id")
+@query(
+    "SELECT a.id, coalesce(k.id, (SELECT max(id) FROM backup_key_versions WHERE retired_at IS NULL)) AS key_id FROM backup_archives a LEFT JOIN backup_key_versions k ON k.id = a.key_version_id"
+)
 def archive_key(t: Tables) -> DataFrame:
     return ledger.archive_key(t.backup_archives, t.backup_key_versions)
 
@@ -127,7 +165,12 @@ _ENTRIES = """
 
 def _entries(t: Tables) -> DataFrame:
     e = discovery.entries(discovery.parse_index(t.index_documents))
-    return e.select("archive_id", F.col("key").alias("entry_key"), F.col("entry.offset").alias("entry_offset"), F.col("entry.compression").alias("entry_compression"))
+    return e.select(
+        "archive_id",
+        F.col("key").alias("entry_key"),
+        F.col("entry.offset").alias("entry_offset"),
+        F.col("entry.compression").alias("entry_compression"),
+    )
 
 
 def _content_id(sha256: str = "sha256"):
@@ -139,8 +182,12 @@ def _content_id(sha256: str = "sha256"):
     FROM backup_record_archives l JOIN tr ON tr.id = l.backup_archive_id JOIN backup_records r ON r.id = l.backup_record_id LEFT JOIN ee ON ee.archive_id = tr.archive_id AND ee.entry_key = CASE WHEN tr.encrypted THEN $SHA('id:' || r.sha256) ELSE r.sha256 END
 """)
 def index_entry_lookup(t: Tables) -> DataFrame:
-    found = ledger.index_entry_lookup(t.backup_records, t.backup_record_archives, t.backup_archives, _entries(t), _content_id())
-    return found.select("backup_record_id", "part_index", "archive_id", F.coalesce("entry_offset", F.lit(-1)).alias("entry_offset"))
+    found = ledger.index_entry_lookup(
+        t.backup_records, t.backup_record_archives, t.backup_archives, _entries(t), _content_id()
+    )
+    return found.select(
+        "backup_record_id", "part_index", "archive_id", F.coalesce("entry_offset", F.lit(-1)).alias("entry_offset")
+    )
 
 
 _VERDICTS = f"""
@@ -155,12 +202,36 @@ _VERDICTS = f"""
 
 
 def _verdicts(t: Tables) -> DataFrame:
-    """The index documents are parsed once and kept as narrow rows, with one of null key for each document, so that an index without the entry differs from none."""
+    """The index documents are parsed once and kept as narrow rows, with one of null key for each document, so that an
+    index without the entry differs from none.
+    """
     parsed = discovery.parse_index(t.index_documents).filter("archive_id is not null")
-    entry = F.explode(F.concat(F.map_entries(F.when(F.col("bad"), F.create_map().cast("map<string," + discovery.ENTRY + ">")).otherwise(F.col("files"))), F.array(F.lit(None).cast("struct<key:string,value:" + discovery.ENTRY + ">"))))
-    rows = parsed.select("archive_id", entry.alias("e")).select("archive_id", F.col("e.key").alias("entry_key"), F.col("e.value.offset").alias("entry_offset"), F.col("e.value.compression").alias("entry_compression"))
+    entry = F.explode(
+        F.concat(
+            F.map_entries(
+                F.when(
+                    F.col("bad"), F.create_map().cast("map<string," + discovery.ENTRY + ">")
+                ).otherwise(F.col("files"))
+            ),
+            F.array(F.lit(None).cast("struct<key:string,value:" + discovery.ENTRY + ">")),
+        )
+    )
+    rows = parsed.select("archive_id", entry.alias("e")).select(
+        "archive_id",
+        F.col("e.key").alias("entry_key"),
+        F.col("e.value.offset").alias("entry_offset"),
+        F.col("e.value.compression").alias("entry_compression"),
+    )
     local = t.media_files.select(F.col("id").alias("media_file_id"), (F.col("id") % 8 != 3).alias("same"))
-    return ledger.verify_shallow(t.backup_records, t.backup_record_archives, t.backup_archives, t.object_listing, settle(rows, "index-entries"), _content_id(), local)
+    return ledger.verify_shallow(
+        t.backup_records,
+        t.backup_record_archives,
+        t.backup_archives,
+        t.object_listing,
+        settle(rows, "index-entries"),
+        _content_id(),
+        local,
+    )
 
 
 @query(f"WITH {_VERDICTS} SELECT id, verdict FROM u")
@@ -173,7 +244,9 @@ def verify_counts(t: Tables) -> DataFrame:
     return _verdicts(t).groupBy("verdict").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query(f"WITH {_VERDICTS} SELECT r.id, coalesce(u.verdict, r.verify_status) AS verify_status, u.verdict IS NOT NULL AS verified FROM backup_records r LEFT JOIN u ON u.id = r.id")
+@query(
+    f"WITH {_VERDICTS} SELECT r.id, coalesce(u.verdict, r.verify_status) AS verify_status, u.verdict IS NOT NULL AS verified FROM backup_records r LEFT JOIN u ON u.id = r.id"
+)
 def verify_apply(t: Tables) -> DataFrame:
     return ledger.verify_apply(t.backup_records, _verdicts(t))
 
@@ -185,7 +258,9 @@ def verify_apply(t: Tables) -> DataFrame:
     SELECT id, CASE WHEN rid IS NULL THEN 'failed' WHEN coalesce(loc >= st, false) THEN 'skipped' ELSE 'restore' END AS action, coalesce(rid, -1) AS record_id, coalesce(aid, -1) AS archive_id, coalesce(off, -1) AS archive_offset FROM z
 """)
 def restore_plan(t: Tables) -> DataFrame:
-    return ledger.restore_plan(t.media_files.select("id", "path"), t.backup_records, t.backup_record_archives, t.backup_archives, t.listing)
+    return ledger.restore_plan(
+        t.media_files.select("id", "path"), t.backup_records, t.backup_record_archives, t.backup_archives, t.listing
+    )
 
 
 @query(f"""
@@ -197,7 +272,9 @@ def restore_results(t: Tables) -> DataFrame:
     files = t.media_files.select("id", "path")
     plan = ledger.restore_plan(files, t.backup_records, t.backup_record_archives, t.backup_archives, t.listing)
     status = F.when(F.col("action") == "restore", "restored").otherwise(F.col("action"))
-    detail = F.when(F.col("action") == "failed", "no completed backup").when(F.col("action") == "skipped", "local file is newer").otherwise("")
+    detail = F.when(F.col("action") == "failed", "no completed backup").when(
+        F.col("action") == "skipped", "local file is newer"
+    ).otherwise("")
     return files.join(plan, "id").select("path", status.alias("status"), detail.alias("detail"))
 
 
@@ -209,7 +286,9 @@ def upload_confirm(t: Tables) -> DataFrame:
     return ledger.upload_confirm(t.backup_archives, t.object_listing)
 
 
-@query("SELECT m.id, m.size_bytes, least(m.size_bytes, 65536) AS first_length, CASE WHEN m.size_bytes <= 131072 THEN 1 ELSE 2 END AS ranges FROM media_files m")
+@query(
+    "SELECT m.id, m.size_bytes, least(m.size_bytes, 65536) AS first_length, CASE WHEN m.size_bytes <= 131072 THEN 1 ELSE 2 END AS ranges FROM media_files m"
+)
 def sample_ranges(t: Tables) -> DataFrame:
     want = scalars.wanted_ranges(F.col("size_bytes"), F.lit(False), SAMPLE, BUDGET)
     first = F.when(F.size(want) == 1, F.least("size_bytes", F.lit(65536))).otherwise(want[0]["length"])

@@ -10,7 +10,9 @@ from stowage.plans.registry import query
 from stowage.sources.views import Tables
 
 
-@query("SELECT id, CASE WHEN storage_location_id = 102 AND starts_with(path, '/mnt/src1/en/') THEN '/vol/english' || substr(path, 13) ELSE path END AS path FROM media_files")
+@query(
+    "SELECT id, CASE WHEN storage_location_id = 102 AND starts_with(path, '/mnt/src1/en/') THEN '/vol/english' || substr(path, 13) ELSE path END AS path FROM media_files"
+)
 def rewrite_prefix(t: Tables) -> DataFrame:
     return mutations.rewrite_prefix(t.media_files, 102, "/mnt/src1/en", "/vol/english").select("id", "path")
 
@@ -39,24 +41,44 @@ def clear_failed(t: Tables) -> DataFrame:
     return mutations.clear_failed(t.backup_runs)[1]
 
 
-@query("SELECT id, password, CAST(coalesce(retired_at, 1650000000) AS BIGINT) AS retired_at FROM backup_key_versions UNION ALL SELECT (SELECT max(id) + 1 FROM backup_key_versions), 'new secret', NULL")
+@query(
+    "SELECT id, password, CAST(coalesce(retired_at, 1650000000) AS BIGINT) AS retired_at FROM backup_key_versions UNION ALL SELECT (SELECT max(id) + 1 FROM backup_key_versions), 'new secret', NULL"
+)
 def rotate_key(t: Tables) -> DataFrame:
-    return mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000).select("id", "password", "retired_at")
+    return mutations.rotate_key(
+        t.backup_key_versions, "new secret", "salt", 1_650_000_000
+    ).select("id", "password", "retired_at")
 
 
-@query("SELECT r.id AS record_id, (SELECT max(id) + 1 FROM backup_key_versions) AS key_version_id, $SHA('new secret:salt' || ':' || r.sha256) AS content_id FROM backup_records r WHERE r.sha256 IS NOT NULL")
+@query(
+    "SELECT r.id AS record_id, (SELECT max(id) + 1 FROM backup_key_versions) AS key_version_id, $SHA('new secret:salt' || ':' || r.sha256) AS content_id FROM backup_records r WHERE r.sha256 IS NOT NULL"
+)
 def rotate_backfill(t: Tables) -> DataFrame:
-    """After a rotation every record gets a content id under the new key; a digest stands for the keyed one, which content_ids makes."""
+    """After a rotation every record gets a content id under the new key; a digest stands for the keyed one, which
+    content_ids makes.
+    """
     rotated = mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000)
     made = F.sha2(F.concat("password", F.lit(":"), "kdf_salt", F.lit(":"), "sha256"), 256)
-    return mutations.backfill(t.backup_records, rotated, made, t.backup_records.select(F.col("id").alias("record_id"), F.lit(1).cast("long").alias("key_version_id")))
+    return mutations.backfill(
+        t.backup_records,
+        rotated,
+        made,
+        t.backup_records.select(F.col("id").alias("record_id"), F.lit(1).cast("long").alias("key_version_id")),
+    )
 
 
 @query("SELECT id, status, 0 AS retries, CAST(NULL AS VARCHAR) AS note FROM backup_runs")
 def evolve_schema(t: Tables) -> DataFrame:
-    return mutations.evolve_schema(t.backup_runs.select("id", "status"), {"retries": ("int", 0), "note": ("string", None), "Status": ("string", "x")})
+    return mutations.evolve_schema(
+        t.backup_runs.select("id", "status"),
+        {"retries": ("int", 0), "note": ("string", None), "Status": ("string", "x")},
+    )
 
 
-@query("SELECT id, CASE media_type WHEN 'movies' THEN 'video' WHEN 'documents' THEN 'text' ELSE media_type END AS media_type FROM media_files")
+@query(
+    "SELECT id, CASE media_type WHEN 'movies' THEN 'video' WHEN 'documents' THEN 'text' ELSE media_type END AS media_type FROM media_files"
+)
 def rename_types(t: Tables) -> DataFrame:
-    return mutations.rename_values(t.media_files.select("id", "media_type"), "media_type", {"movies": "video", "documents": "text"})
+    return mutations.rename_values(
+        t.media_files.select("id", "media_type"), "media_type", {"movies": "video", "documents": "text"}
+    )

@@ -18,17 +18,23 @@ def storage_totals(t: Tables) -> DataFrame:
     return reports.storage_totals(t.media_files)
 
 
-@query("SELECT media_type, count(*)::BIGINT AS files, sum(size_bytes)::BIGINT AS bytes FROM media_files GROUP BY media_type")
+@query(
+    "SELECT media_type, count(*)::BIGINT AS files, sum(size_bytes)::BIGINT AS bytes FROM media_files GROUP BY media_type"
+)
 def storage_by_type(t: Tables) -> DataFrame:
     return reports.storage_by_type(t.media_files)
 
 
-@query("SELECT count(*) FILTER (status = 'queued')::BIGINT AS queued, count(*) FILTER (status = 'running')::BIGINT AS running, count(*) FILTER (status = 'failed')::BIGINT AS failed FROM backup_runs WHERE kind IN ('backup', 'restore')")
+@query(
+    "SELECT count(*) FILTER (status = 'queued')::BIGINT AS queued, count(*) FILTER (status = 'running')::BIGINT AS running, count(*) FILTER (status = 'failed')::BIGINT AS failed FROM backup_runs WHERE kind IN ('backup', 'restore')"
+)
 def activity_summary(t: Tables) -> DataFrame:
     return reports.activity_summary(t.backup_runs)
 
 
-@query("SELECT id, CASE WHEN is_backup_target THEN 'archive' WHEN untracked THEN 'untracked library' ELSE 'library' END AS class FROM storage_locations")
+@query(
+    "SELECT id, CASE WHEN is_backup_target THEN 'archive' WHEN untracked THEN 'untracked library' ELSE 'library' END AS class FROM storage_locations"
+)
 def location_classes(t: Tables) -> DataFrame:
     return reports.location_classes(t.storage_locations)
 
@@ -41,12 +47,16 @@ def library_coverage(t: Tables) -> DataFrame:
     return reports.library_coverage(t.media_files, t.backup_records, t.storage_locations)
 
 
-@query(f"SELECT coalesce(storage_class, 'UNKNOWN') AS tier, count(*)::BIGINT AS archives, sum(size)::BIGINT AS bytes FROM object_listing WHERE regexp_matches(key, '{UUID}\\.tar$') GROUP BY 1")
+@query(
+    f"SELECT coalesce(storage_class, 'UNKNOWN') AS tier, count(*)::BIGINT AS archives, sum(size)::BIGINT AS bytes FROM object_listing WHERE regexp_matches(key, '{UUID}\\.tar$') GROUP BY 1"
+)
 def inventory_tiers(t: Tables) -> DataFrame:
     return reports.inventory_tiers(t.object_listing)
 
 
-@query("SELECT k.id, row_number() OVER (ORDER BY k.created_at, k.id)::INTEGER AS version, k.retired_at IS NULL AS current, (SELECT count(*) FROM backup_archives a WHERE a.key_version_id = k.id)::BIGINT AS archives FROM backup_key_versions k")
+@query(
+    "SELECT k.id, row_number() OVER (ORDER BY k.created_at, k.id)::INTEGER AS version, k.retired_at IS NULL AS current, (SELECT count(*) FROM backup_archives a WHERE a.key_version_id = k.id)::BIGINT AS archives FROM backup_key_versions k"
+)
 def key_history(t: Tables) -> DataFrame:
     return reports.key_history(t.backup_key_versions, t.backup_archives)
 
@@ -66,12 +76,16 @@ def skip_counts(t: Tables) -> DataFrame:
     return reports.skip_counts(t.backup_runs)
 
 
-@query("SELECT DISTINCT 'genre' AS facet, genre AS value FROM media_files WHERE coalesce(genre, '') <> '' UNION ALL SELECT DISTINCT 'media_type', media_type FROM media_files WHERE coalesce(media_type, '') <> ''")
+@query(
+    "SELECT DISTINCT 'genre' AS facet, genre AS value FROM media_files WHERE coalesce(genre, '') <> '' UNION ALL SELECT DISTINCT 'media_type', media_type FROM media_files WHERE coalesce(media_type, '') <> ''"
+)
 def facets(t: Tables) -> DataFrame:
     return reports.facets(t.media_files)
 
 
-@query("SELECT count(*)::BIGINT AS files, max(scanned_at) AS last_scan, count(*) FILTER (watched)::BIGINT AS watched FROM media_files")
+@query(
+    "SELECT count(*)::BIGINT AS files, max(scanned_at) AS last_scan, count(*) FILTER (watched)::BIGINT AS watched FROM media_files"
+)
 def catalog_scalars(t: Tables) -> DataFrame:
     return reports.catalog_scalars(t.media_files)
 
@@ -84,14 +98,20 @@ def archive_rows(t: Tables) -> DataFrame:
     return reports.archive_rows(t.storage_locations, t.backup_archives)
 
 
-@query("SELECT id, CASE WHEN files_failed = 0 THEN 'done' WHEN files_done > 0 THEN 'partial' ELSE 'failed' END AS outcome FROM backup_runs")
+@query(
+    "SELECT id, CASE WHEN files_failed = 0 THEN 'done' WHEN files_done > 0 THEN 'partial' ELSE 'failed' END AS outcome FROM backup_runs"
+)
 def run_outcome(t: Tables) -> DataFrame:
     return reports.run_outcome(t.backup_runs)
 
 
-@query("SELECT m.id, m.path, m.filename, m.genre, m.media_type, m.size_bytes FROM media_files m JOIN storage_locations l ON l.id = m.storage_location_id WHERE m.media_type = 'documents' AND m.genre = 'en' AND l.name = 'src5' AND m.filename ILIKE '%DOC-%5%'")
+@query(
+    "SELECT m.id, m.path, m.filename, m.genre, m.media_type, m.size_bytes FROM media_files m JOIN storage_locations l ON l.id = m.storage_location_id WHERE m.media_type = 'documents' AND m.genre = 'en' AND l.name = 'src5' AND m.filename ILIKE '%DOC-%5%'"
+)
 def catalog_search(t: Tables) -> DataFrame:
-    return reports.catalog_search(t.media_files, t.storage_locations, "documents", "en", "src5", "DOC-%5").select("id", "path", "filename", "genre", "media_type", "size_bytes")
+    return reports.catalog_search(
+        t.media_files, t.storage_locations, "documents", "en", "src5", "DOC-%5"
+    ).select("id", "path", "filename", "genre", "media_type", "size_bytes")
 
 
 @query("SELECT id, genre, filename FROM media_files ORDER BY genre NULLS LAST, filename, id LIMIT 20 OFFSET 40")
@@ -104,7 +124,9 @@ def catalog_page(t: Tables) -> DataFrame:
     SELECT CASE WHEN len(string_split(rel, '/')) > 2 THEN 'folder' ELSE 'file' END AS kind, string_split(rel, '/')[2] AS name, count(*)::BIGINT AS files FROM r WHERE starts_with(rel, 'src0/') GROUP BY 1, 2
 """)
 def folder_view(t: Tables) -> DataFrame:
-    return reports.folder_view(t.media_files.select(paths.relative(F.col("path"), F.lit("/mnt")).alias("rel_path")), "src0")
+    return reports.folder_view(
+        t.media_files.select(paths.relative(F.col("path"), F.lit("/mnt")).alias("rel_path")), "src0"
+    )
 
 
 @query("""
@@ -117,7 +139,9 @@ def scan_message(t: Tables) -> DataFrame:
     return reports.scan_message(changed.select("storage_location_id", "filename"))
 
 
-@query("SELECT r.id, l.name AS library, r.status, r.started_us FROM backup_runs r JOIN storage_locations l ON l.id = r.source_location_id WHERE r.kind = 'backup' ORDER BY r.started_us DESC, r.id DESC LIMIT 25")
+@query(
+    "SELECT r.id, l.name AS library, r.status, r.started_us FROM backup_runs r JOIN storage_locations l ON l.id = r.source_location_id WHERE r.kind = 'backup' ORDER BY r.started_us DESC, r.id DESC LIMIT 25"
+)
 def recent_runs(t: Tables) -> DataFrame:
     return reports.recent_runs(t.backup_runs, t.storage_locations, "backup")
 
@@ -147,10 +171,14 @@ def run_progress(t: Tables) -> DataFrame:
 """)
 def stalled_runs(t: Tables) -> DataFrame:
     silent = F.lit(NOW_US) - F.coalesce("heartbeat_us", "started_us")
-    return t.backup_runs.filter((F.col("status") == "running") & (silent > 120_000_000)).select("id", silent.alias("silent_us"))
+    return t.backup_runs.filter(
+        (F.col("status") == "running") & (silent > 120_000_000)
+    ).select("id", silent.alias("silent_us"))
 
 
-@query("SELECT m.id AS media_file_id, l.name AS library, a.name AS archive FROM media_files m LEFT JOIN storage_locations l ON l.id = m.storage_location_id LEFT JOIN storage_locations a ON a.id = l.archive_location_id")
+@query(
+    "SELECT m.id AS media_file_id, l.name AS library, a.name AS archive FROM media_files m LEFT JOIN storage_locations l ON l.id = m.storage_location_id LEFT JOIN storage_locations a ON a.id = l.archive_location_id"
+)
 def file_archive(t: Tables) -> DataFrame:
     return reports.file_archive(t.media_files, t.storage_locations)
 
@@ -158,7 +186,9 @@ def file_archive(t: Tables) -> DataFrame:
 _ELIGIBLE = "EXISTS (SELECT 1 FROM backup_records r WHERE r.media_file_id = m.id AND r.destination_id = l.archive_location_id AND r.status = 'done')"
 
 
-@query(f"SELECT m.id AS media_file_id, {_ELIGIBLE} AS eligible FROM media_files m JOIN storage_locations l ON l.id = m.storage_location_id")
+@query(
+    f"SELECT m.id AS media_file_id, {_ELIGIBLE} AS eligible FROM media_files m JOIN storage_locations l ON l.id = m.storage_location_id"
+)
 def eligible_split(t: Tables) -> DataFrame:
     return reports.eligible_split(t.media_files, t.backup_records, t.storage_locations)
 

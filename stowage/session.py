@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: what isn't a function of the rows alone, such as a partition number, then stays the same."""
+    """df written to the shared folder and read again: what isn't a function of the rows alone, such as a partition
+    number, then stays the same.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """The catalog's tables as views over the given tables, one definition for Spark and for SQL engines.
 
-A view is SQL text in the common part of both dialects; $SHA, $LIST, $MICROS and $UUID stand for what they spell differently.
+A view is SQL text in the common part of both dialects; $SHA, $LIST, $MICROS and $UUID stand for what they spell
+differently.
 """
 
 from __future__ import annotations
@@ -129,13 +130,23 @@ def _uuid(x: str) -> str:
 
 
 def spark_sql(sql: str) -> str:
-    for name, make in (("SHA", lambda x: f"sha2({x}, 256)"), ("LIST", lambda x: f"array_join(array_sort(collect_list({x})), ',')"), ("MICROS", lambda x: f"unix_micros(CAST({x} AS TIMESTAMP))"), ("UUID", _uuid)):
+    for name, make in (
+        ("SHA", lambda x: f"sha2({x}, 256)"),
+        ("LIST", lambda x: f"array_join(array_sort(collect_list({x})), ',')"),
+        ("MICROS", lambda x: f"unix_micros(CAST({x} AS TIMESTAMP))"),
+        ("UUID", _uuid),
+    ):
         sql = _macro(sql, name, make)
     return sql
 
 
 def duck_sql(sql: str) -> str:
-    for name, make in (("SHA", lambda x: f"sha256({x})"), ("LIST", lambda x: f"array_to_string(list_sort(list({x})), ',')"), ("MICROS", lambda x: f"epoch_us({x})"), ("UUID", _uuid)):
+    for name, make in (
+        ("SHA", lambda x: f"sha256({x})"),
+        ("LIST", lambda x: f"array_to_string(list_sort(list({x})), ',')"),
+        ("MICROS", lambda x: f"epoch_us({x})"),
+        ("UUID", _uuid),
+    ):
         sql = _macro(sql, name, make)
     return sql
 
@@ -177,6 +188,10 @@ class Tables:
         if name not in VIEWS:
             raise AttributeError(name)
         sql = VIEWS[name]
-        ctes = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in BASE if any(re.search(rf"\b{t}\b", VIEWS[v]) for v in [*needed(sql), name])]
+        ctes = [
+            f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in BASE if any(
+                re.search(rf"\b{t}\b", VIEWS[v]) for v in [*needed(sql), name]
+            )
+        ]
         ctes += [f"{v} AS ({spark_sql(VIEWS[v])})" for v in needed(sql) if v != name]
         return self.spark.sql(f"WITH {', '.join(ctes)} {spark_sql(sql)}")

@@ -18,13 +18,24 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize(
-    ("n", "text"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (5 * 1024**3, "5.0 GB"), (2 * 1024**5, "2.0 PB"), (int(585.25 * 1024), "585.2 KB")]
+    ("n", "text"), [
+        (0, "0 B"),
+        (1023, "1023 B"),
+        (1024, "1.0 KB"),
+        (1536, "1.5 KB"),
+        (5 * 1024**3, "5.0 GB"),
+        (2 * 1024**5, "2.0 PB"),
+        (int(585.25 * 1024), "585.2 KB"),
+    ]
 )
 def test_format_bytes(spark, n, text):
     assert one(spark, scalars.format_bytes(F.lit(n).cast("long"))) == text
 
 
-@pytest.mark.parametrize(("s", "text"), [(5, "5 sec"), (59.4, "59 sec"), (120, "2 min"), (7200, "2.0 hr"), (47 * 3600, "47.0 hr"), (72 * 3600, "3.0 days")])
+@pytest.mark.parametrize(
+    ("s", "text"),
+    [(5, "5 sec"), (59.4, "59 sec"), (120, "2 min"), (7200, "2.0 hr"), (47 * 3600, "47.0 hr"), (72 * 3600, "3.0 days")],
+)
 def test_format_duration(spark, s, text):
     assert one(spark, scalars.format_duration(F.lit(float(s)))) == text
 
@@ -76,7 +87,12 @@ def test_classify_boundaries(spark):
     ],
 )
 def test_next_occurrence(spark, frequency, at, days, after, expected):
-    got = one(spark, scalars.next_occurrence(F.lit(after).cast("timestamp"), F.lit(frequency), F.lit(at), F.lit(days).cast("string")))
+    got = one(
+        spark,
+        scalars.next_occurrence(
+            F.lit(after).cast("timestamp"), F.lit(frequency), F.lit(at), F.lit(days).cast("string")
+        ),
+    )
     assert got == datetime.fromisoformat(expected)
 
 
@@ -96,9 +112,67 @@ def test_hmac(spark):
 
 
 def test_globs_match_as_the_shell_does(spark):
-    """Classes, negated ones, brackets that aren't closed, ranges that run backwards, and signs that mean something in expressions."""
-    globs = ["*.tmp", "a/*", "?.txt", "[ab]c*", "[!a]b", "x.(y)+", "*", "[abc", "a[!b", "[]a]x", "[!]a]x", "[z-a]x", "[!z-a]x", "[a-c-e]x", "[--a]x", "[a&&b]x", "[^a]b", "[\\]x", "a{1}$", "[", "[]", "[!]", "**/.x/**", "é?", "[à-é]x"]
-    names = ["x.tmp", "a/b/c.tmp", "a/", "b.txt", "bb.txt", "ac1", "zb", "ab", "x.(y)+", "", "[abc", "a[!b", "]x", "ax", "bx", "ex", "-x", "&x", "^b", "\\x", "a{1}$", "[", "[]", "[!]", "q/.x/y", "éa", "èx", "a\nb", "x\n"]
+    """Classes, negated ones, brackets that aren't closed, ranges that run backwards, and signs that mean something in
+    expressions.
+    """
+    globs = [
+        "*.tmp",
+        "a/*",
+        "?.txt",
+        "[ab]c*",
+        "[!a]b",
+        "x.(y)+",
+        "*",
+        "[abc",
+        "a[!b",
+        "[]a]x",
+        "[!]a]x",
+        "[z-a]x",
+        "[!z-a]x",
+        "[a-c-e]x",
+        "[--a]x",
+        "[a&&b]x",
+        "[^a]b",
+        "[\\]x",
+        "a{1}$",
+        "[",
+        "[]",
+        "[!]",
+        "**/.x/**",
+        "é?",
+        "[à-é]x",
+    ]
+    names = [
+        "x.tmp",
+        "a/b/c.tmp",
+        "a/",
+        "b.txt",
+        "bb.txt",
+        "ac1",
+        "zb",
+        "ab",
+        "x.(y)+",
+        "",
+        "[abc",
+        "a[!b",
+        "]x",
+        "ax",
+        "bx",
+        "ex",
+        "-x",
+        "&x",
+        "^b",
+        "\\x",
+        "a{1}$",
+        "[",
+        "[]",
+        "[!]",
+        "q/.x/y",
+        "éa",
+        "èx",
+        "a\nb",
+        "x\n",
+    ]
     pairs = [(g, n) for g in globs for n in names]
     table = spark.createDataFrame(pairs, "g string, n string")
     got = [(r["g"], r["n"]) for r in table.filter(F.rlike("n", paths.glob_regex(F.col("g")))).collect()]
@@ -106,7 +180,9 @@ def test_globs_match_as_the_shell_does(spark):
 
 
 def test_a_bad_pattern_stops_no_library(spark):
-    table = spark.createDataFrame([("[abc\n*.tmp", "x.tmp"), ("[abc", "[abc"), (None, "y"), ("", "z")], "globs string, path string")
+    table = spark.createDataFrame(
+        [("[abc\n*.tmp", "x.tmp"), ("[abc", "[abc"), (None, "y"), ("", "z")], "globs string, path string"
+    )
     hit = paths.matches_any(F.col("path"), paths.glob_regexes(F.col("globs")))
     assert [r[0] for r in table.select(hit).collect()] == [True, True, False, False]
 
@@ -124,9 +200,16 @@ def test_paths(spark):
     assert one(spark, paths.folder_category(F.lit("d"))) is None
     assert one(spark, paths.swap_prefix(F.lit("/media/x"), F.lit("/data"), F.lit("/y"))) is None
     ident = "0123abcd-0123-0123-0123-0123456789ab"
-    for path, index in ((f"p/archives/{ident}.tar", f"p/index/{ident}.json"), (f"p/{ident}.tar", f"p/{ident}.json"), (f"{ident}.tar", f"{ident}.json"), ("p/x.tar", None)):
+    for path, index in (
+        (f"p/archives/{ident}.tar", f"p/index/{ident}.json"),
+        (f"p/{ident}.tar", f"p/{ident}.json"),
+        (f"{ident}.tar", f"{ident}.json"),
+        ("p/x.tar", None),
+    ):
         assert one(spark, paths.index_key(F.lit(path))) == index
-    for path, problem in (("good-bucket/a", None), ("Bad/a", "bucket"), ("ab/x", "bucket"), ("good-bucket/../x", "parent"), ("", "empty")):
+    for path, problem in (
+        ("good-bucket/a", None), ("Bad/a", "bucket"), ("ab/x", "bucket"), ("good-bucket/../x", "parent"), ("", "empty")
+    ):
         assert one(spark, paths.path_error(F.lit(path))) == problem
 
 
@@ -163,7 +246,22 @@ def test_bucket_paths_are_taken_apart(spark, path, expected):
     assert one(spark, paths.path_error(p, expected[0] or None)) is None
 
 
-@pytest.mark.parametrize(("path", "kind"), [("", "gs"), ("my-bucket", "gs"), ("s3://b/x", "gs"), ("gs://", "gs"), ("gs://A_Bucket", "gs"), ("gs://a", "gs"), ("gs://-bad", "gs"), ("gs://bad-/x", "gs"), ("s3://under_score", "s3"), ("gs://good/../x", "gs"), (None, "gs")])
+@pytest.mark.parametrize(
+    ("path", "kind"),
+    [
+        ("", "gs"),
+        ("my-bucket", "gs"),
+        ("s3://b/x", "gs"),
+        ("gs://", "gs"),
+        ("gs://A_Bucket", "gs"),
+        ("gs://a", "gs"),
+        ("gs://-bad", "gs"),
+        ("gs://bad-/x", "gs"),
+        ("s3://under_score", "s3"),
+        ("gs://good/../x", "gs"),
+        (None, "gs"),
+    ],
+)
 def test_bad_bucket_paths_are_refused(spark, path, kind):
     assert one(spark, paths.path_error(F.lit(path).cast("string"), kind)) is not None
 
