@@ -40,7 +40,8 @@ def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> Dat
     """Write df as a Parquet table in the shared folder and read it again. buckets: into how many, by which column.
 
     This cuts the lineage, so a lost executor never repeats more than one step, and gives adaptive execution
-    plain tables to join, whose skewed partitions it can split. The shuffle files of the write are let go. drop() deletes the table.
+    plain tables to join, whose skewed partitions it can split. The shuffle files of the write are let go. drop()
+    deletes the table.
     """
     spark = df.sparkSession
     full = f"{database(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"

@@ -36,12 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(_down(moved.union(least.select("a", F.col("m").alias("b")))), "edges")
         drop(large, least)
     roots = now.groupBy("a").agg(F.min("b").alias("root"))
-    return nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(roots, F.col("node") == F.col("a"), "left").select(
+        "node", F.coalesce("root", "node").alias("root")
+    )
 
 
 def _down(edges: DataFrame) -> DataFrame:
     """Each link once, from the larger to the smaller end."""
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+    return edges.select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    ).filter(F.col("a") != F.col("b")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

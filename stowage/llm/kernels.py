@@ -51,7 +51,9 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         array = array.fill_null(b"")
     _, offsets, data = array.buffers()
     wide = np.int64 if pa.types.is_large_binary(array.type) else np.int32
-    at = np.frombuffer(offsets, wide)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, wide)[
+        array.offset : array.offset + len(array) + 1
+    ].astype(np.int64) if len(array) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
@@ -89,7 +91,9 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             total, carry = np.uint64(0), np.uint64(1)
             for a in range(base, int(ends[lo]), CHUNK):
                 piece = per_byte[raw[a : min(a + CHUNK, int(ends[lo]))]]
-                total = np.uint64((int(total) + int(carry) * int((piece * power[: len(piece)]).sum(dtype=np.uint64))) & _MASK)
+                total = np.uint64(
+                    (int(total) + int(carry) * int((piece * power[: len(piece)]).sum(dtype=np.uint64))) & _MASK
+                )
                 carry = np.uint64((int(carry) * int(power[CHUNK])) & _MASK)
             out[lo], hi = total, lo + 1
         else:
@@ -134,7 +138,9 @@ def sliding(x: np.ndarray, width: int, combine: np.ufunc, fill: int) -> np.ndarr
 
 
 def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of x[i : i + width] stands, for each i; of equals the first. Past the end nothing is looked at."""
+    """Where the least of x[i : i + width] stands, for each i; of equals the first. Past the end nothing is looked
+    at.
+    """
     at, have = np.arange(len(x)), 1
     while have < width:
         step = min(have, width - have)

@@ -2,16 +2,22 @@
 
 A text is a bag of byte trigrams over lower-cased letters (all else is one blank), hashed and taken relative to its
 number. A one-versus-one vote of linear SVMs chooses the family; within a family of several languages another
-one-versus-one vote chooses the language, so machines only ever separate what is close. Languages of no known family are one family together.
+one-versus-one vote chooses the language, so machines only ever separate what is close. Languages of no known family
+are one family together.
 
-The machines are fitted on at most `sample` labelled texts (a documented bound, chosen by hash within each language) of at most `languages`
-languages, those with most texts (a documented bound too, since machines grow with its square), with the squared hinge loss and a fixed number of
+The machines are fitted on at most `sample` labelled texts (a documented bound, chosen by hash within each language) of
+at most `languages`
+languages, those with most texts (a documented bound too, since machines grow with its square), with the squared hinge
+loss and a fixed number of
 accelerated gradient steps. All machines are one weight matrix, so scoring reads
 each byte of a text once, on the executors.
 
-Defined cases: a null text, or one without a letter (a character of Unicode's letter categories), is `und` with score 0; with no labelled text everything
-is `und`; with a single language everything else is that language. Names with equal votes are told apart by the sum of their margins, then by
-order. Repeated rows and ids are rows of their own, and a text of any length is read whole. An empty table gives no rows. Only id, text and label columns are read,
+Defined cases: a null text, or one without a letter (a character of Unicode's letter categories), is `und` with score
+0; with no labelled text everything
+is `und`; with a single language everything else is that language. Names with equal votes are told apart by the sum of
+their margins, then by
+order. Repeated rows and ids are rows of their own, and a text of any length is read whole. An empty table gives no
+rows. Only id, text and label columns are read,
 so extra columns can't clash.
 """
 
@@ -53,7 +59,9 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of the trigrams of all documents that have a letter in the middle; documents begin and end in a blank."""
+    """(bucket, document) of the trigrams of all documents that have a letter in the middle; documents begin and end in
+    a blank.
+    """
     x = _FOLD[raw]
     upper = np.zeros(len(x), bool)
     upper[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)  # accented capitals of Latin-1
@@ -73,7 +81,9 @@ def has_letter(text: bytes) -> bool:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 120) -> np.ndarray:
-    """Weights of a linear SVM: squared hinge loss, accelerated gradient descent. The last column of x is the constant one."""
+    """Weights of a linear SVM: squared hinge loss, accelerated gradient descent. The last column of x is the constant
+    one.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v = np.random.default_rng(3).random(x.shape[1]).astype(np.float32)
     for _ in range(12):
@@ -96,7 +106,9 @@ class Model:
     def __init__(self, x: np.ndarray, labels: list[str]) -> None:
         self.languages = sorted(set(labels))
         family = lambda code: FAMILY_OF.get(code, "other")
-        self.families = {f: [c for c in self.languages if family(c) == f] for f in sorted({family(c) for c in self.languages})}
+        self.families = {
+            f: [c for c in self.languages if family(c) == f] for f in sorted({family(c) for c in self.languages})
+        }
         self.machines: list[tuple[str, str, str]] = [("", a, b) for a, b in combinations(self.families, 2)]
         self.machines += [(f, a, b) for f, codes in self.families.items() for a, b in combinations(codes, 2)]
         own = np.array(labels)
@@ -106,13 +118,17 @@ class Model:
             of = own if group else kin
             rows = (of == a) | (of == b)
             columns.append(_svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
-        self.weights = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros((BUCKETS + 1, 0), np.float32)
+        self.weights = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros(
+            (BUCKETS + 1, 0), np.float32
+        )
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[str, float]]:
         n = len(offsets) - 1
         bucket, doc = trigrams(raw, offsets)
         bounds = np.searchsorted(doc, np.arange(n + 1))
-        margins = np.stack([K.doc_sums(self.weights[bucket, m], bounds) for m in range(len(self.machines))], axis=1) if self.machines else np.zeros((n, 0))
+        margins = np.stack(
+            [K.doc_sums(self.weights[bucket, m], bounds) for m in range(len(self.machines))], axis=1
+        ) if self.machines else np.zeros((n, 0))
         margins = SCALE * margins / np.maximum(1, np.diff(bounds))[:, None] + self.weights[-1]
         return [self._decide(row) for row in margins]
 
@@ -137,16 +153,26 @@ class Model:
         return best, float(1 / (1 + np.exp(-3 * min(weakest[best], 20.0))))
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 2_400, languages: int = 200) -> Model | None:
-    """A model of at most `sample` labelled rows of the `languages` commonest languages, as many of each where there are enough. None without labels."""
+def fit(
+    df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 2_400, languages: int = 200
+) -> Model | None:
+    """A model of at most `sample` labelled rows of the `languages` commonest languages, as many of each where there
+    are enough. None without labels.
+    """
     known = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(F.col("count").desc(), label_col).limit(min(languages, sample)).collect()}
+    counts = {
+        r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(
+            F.col("count").desc(), label_col
+        ).limit(min(languages, sample)).collect()
+    }
     if not counts:
         return None
     each = max(1, sample // len(counts))
     draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_000))
     share = F.create_map(*[F.lit(v) for label, n in counts.items() for v in (label, min(1.0, 1.5 * each / n))])
-    rows = known.withColumn("_draw", draw).filter(F.col("_draw") < F.lit(1_000_000) * F.coalesce(share[F.col(label_col)], F.lit(0.0)))
+    rows = known.withColumn("_draw", draw).filter(
+        F.col("_draw") < F.lit(1_000_000) * F.coalesce(share[F.col(label_col)], F.lit(0.0))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +182,21 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 bags = [np.bincount(bucket[a:b], minlength=BUCKETS).astype(np.float32) / max(1, b - a) for a, b in zip(bounds, bounds[1:])]
                 some = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([b.astype("<f2").tobytes() if b.any() else None for b in bags], pa.binary())], ["draw", "label", "bag"])
-
-    bags = rows.select("_draw", F.col(label_col).alias("label"), text_bytes(text_col).alias("text")).mapInArrow(run, "draw long, label string, bag binary").filter("bag is not null")
-    taken = bags.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("draw", F.xxhash64("bag")))).filter(F.col("r") <= each)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0),
+                        some.column(1),
+                        pa.array([b.astype("<f2").tobytes() if b.any() else None for b in bags], pa.binary()),
+                    ],
+                    ["draw", "label", "bag"],
+                )
+
+    bags = rows.select(
+        "_draw", F.col(label_col).alias("label"), text_bytes(text_col).alias("text")
+    ).mapInArrow(run, "draw long, label string, bag binary").filter("bag is not null")
+    taken = bags.withColumn(
+        "r", F.row_number().over(Window.partitionBy("label").orderBy("draw", F.xxhash64("bag")))
+    ).filter(F.col("r") <= each)
     got = sorted((r["label"], r["draw"], bytes(r["bag"])) for r in taken.collect())
     if not got:
         return None
@@ -182,6 +219,15 @@ def predict(df: DataFrame, model: Model | None, id_col: str, text_col: str) -> D
                 lettered = [has_letter(data[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 said = shared.value.predict(part, offsets) if shared.value else [("und", 0.0)] * (hi - lo)
                 said = [s if ok else ("und", 0.0) for s, ok in zip(said, lettered)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [id_col, "lang_pred", "score"])
-
-    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array([s[0] for s in said], pa.string()),
+                        pa.array([s[1] for s in said], pa.float64()),
+                    ],
+                    [id_col, "lang_pred", "score"],
+                )
+
+    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(
+        run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
+    )

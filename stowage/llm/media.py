@@ -5,9 +5,12 @@ the structure (chunk lengths, checksums, block chains, header fields) to the med
 stands in other data by chance is rejected. What is valid corrects the declared type and gives the medium's place; media
 inside another medium or behind foreign bytes are carved out.
 
-Defined cases: a null blob has no media; a null declared type is never right; a truncated medium is not valid; media that
-end at the same place are reported outermost first. A null or empty text is stored as 192 blanks with n_bytes 0; a text of any length is one medium;
-null and repeated ids are rows of their own, and equal texts are stored alike. The stored form that op4 tells of is the medium, which a cell holds behind foreign bytes.
+Defined cases: a null blob has no media; a null declared type is never right; a truncated medium is not valid; media
+that
+end at the same place are reported outermost first. A null or empty text is stored as 192 blanks with n_bytes 0; a text
+of any length is one medium;
+null and repeated ids are rows of their own, and equal texts are stored alike. The stored form that op4 tells of is the
+medium, which a cell holds behind foreign bytes.
 Only the named columns are read, so extra ones can't clash. An empty table gives no rows.
 """
 
@@ -105,7 +108,9 @@ def _jpeg_end(b: bytes, at: int) -> int:
         place += 2 + struct.unpack_from(">H", b, place + 2)[0]
         if mark == 0xDA:
             scans += 1
-            while (place := b.find(b"\xff", place)) >= 0 and place + 1 < len(b) and (b[place + 1] == 0 or 0xD0 <= b[place + 1] <= 0xD7):
+            while (place := b.find(b"\xff", place)) >= 0 and place + 1 < len(b) and (
+                b[place + 1] == 0 or 0xD0 <= b[place + 1] <= 0xD7
+            ):
                 place += 2
             if place < 0:
                 return 0
@@ -162,10 +167,15 @@ def sniff(df: DataFrame, id_col: str, blob_col: str, declared_col: str) -> DataF
                         out.append((declared, kind, at, end - at, depth, kind == declared, blob[at:end]))
                 columns = list(zip(*out)) or [[]] * 7
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "declared", "type", "start", "length", "depth", "declared_right", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                    ["id", "declared", "type", "start", "length", "depth", "declared_right", "media"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(declared_col).alias("declared")).mapInArrow(run, f"id {kind}, declared string, type string, start long, length long, depth int, declared_right boolean, media binary")
+    return df.select(
+        F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(declared_col).alias("declared")
+    ).mapInArrow(run, f"id {kind}, declared string, type string, start long, length long, depth int, declared_right boolean, media binary")
 
 
 # -- payloads as 8-bit samples
@@ -176,14 +186,35 @@ def encode(payload: bytes, kind: str) -> bytes:
     rows = len(payload) // UNIT
     if kind == "wav":
         fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 16_000, 16_000, 1, 8)
-        return struct.pack("<4sI4s", b"RIFF", 4 + len(fmt) + 8 + len(payload), b"WAVE") + fmt + struct.pack("<4sI", b"data", len(payload)) + payload
+        return struct.pack(
+            "<4sI4s", b"RIFF", 4 + len(fmt) + 8 + len(payload), b"WAVE"
+        ) + fmt + struct.pack("<4sI", b"data", len(payload)) + payload
     if kind == "bmp":
-        return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(payload), 0, 54, 40, 64, -rows, 1, 24, 0, len(payload), 2835, 2835, 0, 0) + payload
+        return struct.pack(
+            "<2sIIIIiiHHIIiiII",
+            b"BM",
+            54 + len(payload),
+            0,
+            54,
+            40,
+            64,
+            -rows,
+            1,
+            24,
+            0,
+            len(payload),
+            2835,
+            2835,
+            0,
+            0,
+        ) + payload
     if kind == "png":
         chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
         lines = np.zeros((rows, UNIT + 1), np.uint8)
         lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, UNIT)
-        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, rows, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+        return b"\x89PNG\r\n\x1a\n" + chunk(
+            b"IHDR", struct.pack(">IIBBBBB", 64, rows, 8, 2, 0, 0, 0)
+        ) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
     raise ValueError(kind)
 
 
@@ -197,7 +228,9 @@ def decode(media: bytes, kind: str) -> bytes:
         return media[place + 8 : place + 8 + struct.unpack_from("<I", media, place + 4)[0]]
     if kind == "bmp":
         start, width, height = struct.unpack_from("<I", media, 10)[0], *struct.unpack_from("<ii", media, 18)
-        rows = np.frombuffer(media, np.uint8, (width * 3 + 3) // 4 * 4 * abs(height), start).reshape(abs(height), -1)[:, : width * 3]
+        rows = np.frombuffer(
+            media, np.uint8, (width * 3 + 3) // 4 * 4 * abs(height), start
+        ).reshape(abs(height), -1)[:, : width * 3]
         return (rows if height < 0 else rows[::-1]).tobytes()
     if kind == "png":
         place, packed, width = 8, [], struct.unpack_from(">I", media, 16)[0]
@@ -221,7 +254,9 @@ def features(samples: bytes, kind: str) -> str:
         return f"wav;seconds={len(x) / 16_000:.3f};mean={x.mean(dtype=np.float64):.3f};crossings={crossings}"
     image = x.reshape(-1, 64, 3)
     edges = int(np.abs(np.diff(image.astype(np.int16), axis=1)).sum(dtype=np.int64))
-    return f"{kind};64x{len(image)};rgb=" + ",".join(f"{m:.3f}" for m in image.mean(axis=(0, 1), dtype=np.float64)) + f";edges={edges}"
+    return f"{kind};64x{len(image)};rgb=" + ",".join(
+        f"{m:.3f}" for m in image.mean(axis=(0, 1), dtype=np.float64)
+    ) + f";edges={edges}"
 
 
 def _stored(payload: bytes) -> tuple[str, bytes]:
@@ -245,10 +280,15 @@ def store_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for text in some.column(1).to_pylist():
                     kind, cell = _stored(text + b" " * (-len(text) % UNIT if text else UNIT))
                     n.append(len(text)), declared.append(kind), cells.append(cell)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(declared), pa.array(cells, pa.binary())], ["id", "n_bytes", "declared", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(n, pa.int64()), pa.array(declared), pa.array(cells, pa.binary())],
+                    ["id", "n_bytes", "declared", "cell"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, declared string, cell binary")
+    return df.select(
+        F.col(id_col).alias("id"), text_bytes(text_col).alias("text")
+    ).mapInArrow(run, f"id {kind}, n_bytes long, declared string, cell binary")
 
 
 def read_back(stored: DataFrame, id_col: str) -> DataFrame:
@@ -262,14 +302,46 @@ def read_back(stored: DataFrame, id_col: str) -> DataFrame:
             for kind, medium in zip(batch.column(1).to_pylist(), batch.column(2)):
                 medium = medium.as_py()
                 payload = decode(medium, kind)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), features(payload, kind)))
+                out.append(
+                    (
+                        len(payload),
+                        hashlib.sha256(payload).hexdigest(),
+                        zlib.crc32(payload[-16:]),
+                        len(medium),
+                        hashlib.sha256(medium).hexdigest(),
+                        features(payload, kind),
+                    )
+                )
             columns = list(zip(*out)) or [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             ident = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ident.field(0), ident.field(1), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(1), batch.column(3)], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "declared_right"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ident.field(0),
+                    ident.field(1),
+                    *(pa.array(c, k) for c, k in zip(columns, kinds)),
+                    batch.column(1),
+                    batch.column(3),
+                ],
+                [
+                    id_col,
+                    "n_bytes",
+                    "payload_bytes",
+                    "payload_sha256",
+                    "tail_crc32",
+                    "media_bytes",
+                    "media_sha256",
+                    "feature",
+                    "media_type",
+                    "declared_right",
+                ],
+            )
 
     kind = stored.schema["id"].dataType.simpleString()
-    return media.select("id", "type", "media", "declared_right").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, declared_right boolean")
+    return media.select("id", "type", "media", "declared_right").mapInArrow(
+        run,
+        f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, declared_right boolean",
+    )
 
 
 def texts_as_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

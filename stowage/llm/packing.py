@@ -1,8 +1,10 @@
 """Operator 3: best-fit packing with certified bin counts.
 
-1. Texts become token ids and an end id; only longer documents are cut, and only the first piece of one is shorter than the capacity.
+1. Texts become token ids and an end id; only longer documents are cut, and only the first piece of one is shorter
+   than the capacity.
 2. Pieces are dealt by hash to groups of bounded size. Each group packs by best-fit decreasing.
-3. Dual-feasible functions give each group a lower bound on its bins. A group that meets it is done: no packing is better.
+3. Dual-feasible functions give each group a lower bound on its bins. A group that meets it is done: no packing is
+   better.
 4. Bins that are full are done too. The other bins of groups with a gap go, whole, to new groups, which pack what
    they got anew and keep the result only if it has fewer bins. Rounds go on until all groups meet their bounds or a
    round saves less than `least_gain` of the bins it looked at.
@@ -37,11 +39,21 @@ def encoder(ranks_file: bytes, end_of_text: str = "<|endoftext|>") -> tiktoken.E
     key = hashlib.md5(ranks_file).hexdigest()
     if key not in _ENCODERS:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
+        _ENCODERS[key] = tiktoken.Encoding(
+            key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)}
+        )
     return _ENCODERS[key]
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    vocabulary: str,
+    capacity: int = 2048,
+    end_id: int = 0,
+    with_ids: bool = False,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the pieces of each document.
 
     vocabulary: a rank file on the driver; its bytes go to the executors.
@@ -54,29 +66,41 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                tokens = np.append(encode.encode_to_numpy(text.as_py().decode("utf-8", "replace"), allowed_special="all"), end_id).astype("<u4")
+                tokens = np.append(
+                    encode.encode_to_numpy(text.as_py().decode("utf-8", "replace"), allowed_special="all"), end_id
+                ).astype("<u4")
                 head = len(tokens) % capacity
                 for k, lo in enumerate(([0] if head else []) + list(range(head, len(tokens), capacity))):
                     part = tokens[lo : lo + (head if head and not lo else capacity)]
-                    row.append(i), piece.append(k), start.append(lo), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                    row.append(i), piece.append(k), start.append(lo), length.append(len(part)), crc.append(
+                        zlib.crc32(part.tobytes())
+                    )
                     if with_ids:
                         ids.append(part.astype(np.int64))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            columns = [
+                batch.column(0).take(pa.array(row, pa.int64())),
+                pa.array(piece, pa.int32()),
+                *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+            ]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
+        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    )
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best bound on the number of bins from three families of dual-feasible functions.
 
-    With f dual feasible, no bin holds items whose f sums to over 1, so the rounded-up sum of f is a bound. For a threshold k:
+    With f dual feasible, no bin holds items whose f sums to over 1, so the rounded-up sum of f is a bound. For a
+    threshold k:
     sizes over capacity - k count as a whole bin and sizes under k as nothing (k up to half the capacity); the
-    same with sizes over half the capacity counted as a bin each; and x -> floor((n + 1) x) / n for small n, where (n + 1) x is no whole number.
+    same with sizes over half the capacity counted as a bin each; and x -> floor((n + 1) x) / n for small n, where (n +
+    1) x is no whole number.
     """
     if not len(lengths):
         return 0
@@ -103,7 +127,9 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item by best-fit decreasing. Bins with room lie by their room; a bit mask finds the least that is enough."""
+    """(bin, offset) of each item by best-fit decreasing. Bins with room lie by their room; a bit mask finds the least
+    that is enough.
+    """
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     by_room: dict[int, list[int]] = {}
     mask = used = 0
@@ -141,29 +167,50 @@ def _packer(capacity: int, round_no: int):
             names = (round_no << 56) | (int(key[0]) << 28) | bins
         _, inverse = np.unique(names, return_inverse=True)
         full = np.bincount(inverse, weights=lengths)[inverse] == capacity
-        return g.assign(sequence_id=names, offset=offsets, sealed=full | (n_bins == bound))[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sealed"]]
+        return g.assign(sequence_id=names, offset=offsets, sealed=full | (n_bins == bound))[
+            ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sealed"]
+        ]
 
     return pack
 
 
 def group_count(rows: int, group_rows: int, least_rows: int = 512, groups: int = 48) -> int:
-    """As many groups as keep a cluster busy, but none of under least_rows, and more if a group would exceed group_rows."""
+    """As many groups as keep a cluster busy, but none of under least_rows, and more if a group would exceed
+    group_rows.
+    """
     return max(1, min(groups, rows // least_rows), -(-rows // group_rows))
 
 
-def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 32_768, rounds: int = 8, least_gain: float = 0.0001) -> DataFrame:
+def pack(
+    parts: DataFrame, capacity: int = 2048, group_rows: int = 32_768, rounds: int = 8, least_gain: float = 0.0001
+) -> DataFrame:
     """The written table `parts` (see pieces) with sequence_id and offset."""
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = _PLACED.format(kind=kind)
-    open_rows, done, was = parts.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), [], None
+    open_rows, done, was = parts.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        F.lit(0).cast("long").alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    ), [], None
     for r in range(rounds):
         n = open_rows.count()
         if not n:
             break
         by = F.xxhash64("doc_id", "piece", "ids_crc32") if not r else F.xxhash64("sequence_id", F.lit(r))
         groups = group_count(n, group_rows)
-        placed = cut(open_rows.withColumn("g", F.pmod(by, F.lit(groups))).groupBy("g").applyInPandas(_packer(capacity, r), schema), "packed")
-        bins, done_bins = placed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("sealed"), F.col("sequence_id")))).first()
+        placed = cut(
+            open_rows.withColumn(
+                "g", F.pmod(by, F.lit(groups))
+            ).groupBy("g").applyInPandas(_packer(capacity, r), schema),
+            "packed",
+        )
+        bins, done_bins = placed.agg(
+            F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("sealed"), F.col("sequence_id")))
+        ).first()
         done.append(placed.filter("sealed"))
         open_rows = placed.filter("not sealed").drop("sealed")
         if groups == 1 or was is not None and was - bins <= least_gain * bins:

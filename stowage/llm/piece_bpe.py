@@ -1,19 +1,29 @@
 """Operator 9: SentencePiece encoding and decoding of BPE models with a prefix table.
 
-A merge-type BPE encoding has the property that each prefix of a text has one encoding, that of the text's own tokens where
-they end there, so it is enough to know each prefix's last token. An Aho-Corasick automaton gives the tokens that end at a position; the
-last token of the prefix is the one that is compatible with the last token of the prefix before it: a pair is compatible if
-encoding its two texts together gives the pair again. Ids are then recovered from the end backwards. No merge queue runs over
+A merge-type BPE encoding has the property that each prefix of a text has one encoding, that of the text's own tokens
+where
+they end there, so it is enough to know each prefix's last token. An Aho-Corasick automaton gives the tokens that end
+at a position; the
+last token of the prefix is the one that is compatible with the last token of the prefix before it: a pair is
+compatible if
+encoding its two texts together gives the pair again. Ids are then recovered from the end backwards. No merge queue
+runs over
 the text, so the work is linear in its length.
 
-Between two characters that stand side by side in no piece nothing ever merges. So texts fall into segments at such places, which are
-encoded on their own; both the words between space marks and their segments are kept in bounded tables by each Python worker.
-Runs of space marks all have one score, the worst, so they merge last and from the left: a stack of the lengths merged so far gives them. The last
+Between two characters that stand side by side in no piece nothing ever merges. So texts fall into segments at such
+places, which are
+encoded on their own; both the words between space marks and their segments are kept in bounded tables by each Python
+worker.
+Runs of space marks all have one score, the worst, so they merge last and from the left: a stack of the lengths merged
+so far gives them. The last
 mark of a run belongs to the following word if that word takes it.
 
-Decoding maps ids to pieces, bytes of fallback pieces to characters, marks to spaces, and drops the space that encoding puts
-first. Defined cases: null and empty texts have the end id alone and decode to the empty text; a null id is kept; repeated rows and ids are
-rows of their own; a text of any length is encoded whole, in time linear in it; an empty table gives no rows. Only id and text are read, so extra columns can't clash.
+Decoding maps ids to pieces, bytes of fallback pieces to characters, marks to spaces, and drops the space that encoding
+puts
+first. Defined cases: null and empty texts have the end id alone and decode to the empty text; a null id is kept;
+repeated rows and ids are
+rows of their own; a text of any length is encoded whole, in time linear in it; an empty table gives no rows. Only id
+and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -46,7 +56,9 @@ class Codec:
         model.ParseFromString(model_file)
         norm, train = model.normalizer_spec, model.trainer_spec
         if train.model_type != train.BPE or not train.byte_fallback or norm.precompiled_charsmap or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or train.treat_whitespace_as_suffix:
-            raise ValueError("only BPE models with byte fallback, identity normalisation and a leading mark are handled")
+            raise ValueError(
+                "only BPE models with byte fallback, identity normalisation and a leading mark are handled"
+            )
         self.pieces = [p.piece for p in model.pieces]
         self.bytes_from = next(i for i, p in enumerate(model.pieces) if p.type == BYTE)
         self.byte_of = {i: int(p.piece[3:-1], 16) for i, p in enumerate(model.pieces) if p.type == BYTE}
@@ -56,7 +68,9 @@ class Codec:
         self.runs = {len(p): i for p, i in self.id_of.items() if p.strip(MARK) == ""}
         others = [x for p, x in self.score.items() if len(p) > 1 and p.strip(MARK)]
         worst = {self.score[MARK * n] for n in self.runs if n > 1}
-        if any(MARK in p[1:] and p.strip(MARK) for p in self.id_of) or len(worst) > 1 or worst and others and max(worst) >= min(others) or 1 not in self.runs:
+        if any(
+            MARK in p[1:] and p.strip(MARK) for p in self.id_of
+        ) or len(worst) > 1 or worst and others and max(worst) >= min(others) or 1 not in self.runs:
             raise ValueError("a piece spans a space mark, or runs of marks don't merge last")
         for n in self.runs:
             if n > 1:
@@ -69,13 +83,16 @@ class Codec:
         self.automaton.make_automaton()
         self.neighbours = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
         lines = any("\n" in p for p in self.neighbours)
-        # a word: marks and what follows up to the next mark; a line end is a word of its own if no piece joins it to anything
+        # a word: marks and what follows up to the next mark; a line end is a word of its own if no piece joins it to
+        # anything
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if lines else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.words = _Words(self)
         self.segments = _Segments(self)
 
     def merged(self, text: str) -> list[str]:
-        """BPE by its definition, for texts of two pieces at most: the best-scored neighbours merge, the left ones first."""
+        """BPE by its definition, for texts of two pieces at most: the best-scored neighbours merge, the left ones
+        first.
+        """
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -158,7 +175,9 @@ class Codec:
     def encode_segment(self, segment: str) -> list[int]:
         out = []
         for token in self.tokens(segment):
-            out += [token] if token < FOREIGN else [self.bytes_from + b for b in chr(token - FOREIGN).encode("utf-8", "surrogatepass")]
+            out += [token] if token < FOREIGN else [
+                self.bytes_from + b for b in chr(token - FOREIGN).encode("utf-8", "surrogatepass")
+            ]
         return out
 
     def decode_ids(self, ids: list[int]) -> str:
@@ -227,7 +246,9 @@ def codec(model_file: bytes) -> Codec:
 
 
 def encode_documents(df: DataFrame, id_col: str, text_col: str, model: str, with_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded). model: a file on the driver; its bytes go to the executors."""
+    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded). model: a file on the driver; its bytes go to the
+    executors.
+    """
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -243,7 +264,12 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, model: str, with
                 if with_ids:
                     ids_out.append([int(i) for i in ids.split()])
                     texts.append(decoded)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            columns = [
+                batch.column(0),
+                pa.array(n, pa.int64()),
+                pa.array(ids_sha, pa.string()),
+                pa.array(text_sha, pa.string()),
+            ]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts, pa.string())]
@@ -251,4 +277,7 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, model: str, with
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(
+        run,
+        f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids,
+    )

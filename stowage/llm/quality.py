@@ -1,13 +1,21 @@
-"""Operator 10: a quality classifier, logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
-
-A text is cut into runs of letters and digits and runs of signs. Features are the hashed n-grams of one and two runs, of one to
-three run shapes (capitals, lower case, digits, the signs themselves), and of whether a run repeats the one before. A feature's value is
-its count over the number of runs. Training is FTRL-Proximal (per-coordinate rates, L1 and L2) over at most `sample` labelled
-texts of at most `sample_bytes` in all, documented bounds, in an order set by hash; each text is taken whole. A score is one sparse dot product, taken on the executors in vectorised runs.
-
-Defined cases: null and empty texts have only the constant feature, hence a fixed score; rows without a label train nothing; with no labels at all
-every score is 0.5; repeated labels of one id count once, the smaller; of several texts of one labelled id the smallest trains. For scores repeated rows and ids
-are rows of their own, a text of any length is read whole, and only id and text are read, so extra columns can't clash. An empty table gives no rows.
+"""Operator 10: a quality classifier, logistic regression over hashed word n-grams, trained by
+follow-the-regularised-leader.
+
+A text is cut into runs of letters and digits and runs of signs. Features are the hashed n-grams of one and two runs,
+of one to
+three run shapes (capitals, lower case, digits, the signs themselves), and of whether a run repeats the one before. A
+feature's value is
+its count over the number of runs. Training is FTRL-Proximal (per-coordinate rates, L1 and L2) over at most `sample`
+labelled
+texts of at most `sample_bytes` in all, documented bounds, in an order set by hash; each text is taken whole. A score
+is one sparse dot product, taken on the executors in vectorised runs.
+
+Defined cases: null and empty texts have only the constant feature, hence a fixed score; rows without a label train
+nothing; with no labels at all
+every score is 0.5; repeated labels of one id count once, the smaller; of several texts of one labelled id the smallest
+trains. For scores repeated rows and ids
+are rows of their own, a text of any length is read whole, and only id and text are read, so extra columns can't clash.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,7 +59,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         shape_bits = have @ np.array([1, 2, 4]) + 8 * first_capital + 16 * rest_capital
     signs = _KIND[raw[starts]] == 2 if len(starts) else np.zeros(0, bool)
     size = np.minimum(ends - starts, 4)
-    shapes = K.mix(np.where(signs, words, (shape_bits * 8 + np.where(signs, size, 0)).astype(np.uint64)) + np.uint64(77))
+    shapes = K.mix(
+        np.where(signs, words, (shape_bits * 8 + np.where(signs, size, 0)).astype(np.uint64)) + np.uint64(77)
+    )
     left = np.repeat(first[1:], n) - np.arange(len(words))
     same = np.zeros(len(words), np.uint64)
     same[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
@@ -62,7 +72,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             found.append((K.ngram_hashes(values, m)[ok] + np.uint64(1000 * kind + m), doc[ok]))
     found.append((same + np.uint64(5000), doc))
     mask = np.uint64((1 << BITS) - 1)
-    return np.concatenate([K.mix(h) & mask for h, _ in found]).astype(np.int64), np.concatenate([d for _, d in found]), n
+    return np.concatenate(
+        [K.mix(h) & mask for h, _ in found]
+    ).astype(np.int64), np.concatenate([d for _, d in found]), n
 
 
 class Ftrl:
@@ -74,7 +86,9 @@ class Ftrl:
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        return np.where(
+            np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        )
 
     def learn(self, at: np.ndarray, value: np.ndarray, label: int, weight: float) -> None:
         w = self.weights(at)
@@ -83,8 +97,19 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 6_000, epochs: int = 4, sample_bytes: int = 64 << 20) -> np.ndarray | None:
-    """Weights from at most `sample` texts of df that have a label 0 or 1, and no more than fill `sample_bytes`, the first whatever its size."""
+def fit(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str,
+    text_col: str,
+    label_col: str,
+    sample: int = 6_000,
+    epochs: int = 4,
+    sample_bytes: int = 64 << 20,
+) -> np.ndarray | None:
+    """Weights from at most `sample` texts of df that have a label 0 or 1, and no more than fill `sample_bytes`, the
+    first whatever its size.
+    """
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_mark"))
     n = marks.count()
     if not n:
@@ -106,13 +131,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                     ids.append(i.astype("<i4").tobytes())
                     counts.append((c / max(1, r)).astype("<f4").tobytes())
                 some = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["draw", "mark", "feature", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+                    ["draw", "mark", "feature", "value"],
+                )
 
     # the broadcast side has at most `sample` rows of an id and two numbers
-    labelled = df.join(F.broadcast(drawn), id_col).select("_draw", F.col(id_col).alias("id"), F.col("_mark").cast("int").alias("mark"), text_bytes(text_col).alias("text"))
+    labelled = df.join(F.broadcast(drawn), id_col).select(
+        "_draw", F.col(id_col).alias("id"), F.col("_mark").cast("int").alias("mark"), text_bytes(text_col).alias("text")
+    )
     texts = cut(labelled.groupBy("_draw", "id", "mark").agg(F.min("text").alias("text")), "labelled")
     upto = F.sum(F.octet_length("text")).over(Window.orderBy("_draw", "id"))  # over at most `sample` rows
-    within = texts.select("id", (upto - F.octet_length("text")).alias("before"), upto.alias("upto")).filter((F.col("upto") <= sample_bytes) | (F.col("before") == 0))
+    within = texts.select(
+        "id", (upto - F.octet_length("text")).alias("before"), upto.alias("upto")
+    ).filter((F.col("upto") <= sample_bytes) | (F.col("before") == 0))
     rows = texts.join(F.broadcast(within.select("id")), "id", "left_semi").select("_draw", "mark", "text")
     got = rows.mapInArrow(run, "draw long, mark int, feature binary, value binary").toArrow().to_pylist()
     drop(texts)
@@ -125,7 +157,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     for _ in range(epochs):
         for k in order.permutation(len(examples)):
             _, mark, at, value = examples[k]
-            model.learn(np.append(np.frombuffer(at, "<i4"), CONSTANT), np.append(np.frombuffer(value, "<f4") * SCALE, 1.0), mark, weight[mark])
+            model.learn(
+                np.append(np.frombuffer(at, "<i4"), CONSTANT),
+                np.append(np.frombuffer(value, "<f4") * SCALE, 1.0),
+                mark,
+                weight[mark],
+            )
     return model.weights().astype(np.float32)
 
 
@@ -142,6 +179,11 @@ def score(df: DataFrame, weights: np.ndarray | None, id_col: str, text_col: str)
                 total = np.bincount(doc, weights=w[feature], minlength=hi - lo)
                 out.append(SCALE * total / np.maximum(1, runs) + w[CONSTANT])
             margin = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))), pa.float64())], [id_col, "score"])
-
-    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))), pa.float64())],
+                [id_col, "score"],
+            )
+
+    return df.select(id_col, text_bytes(text_col).alias("_text")).mapInArrow(
+        run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double"
+    )

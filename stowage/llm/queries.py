@@ -23,7 +23,9 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken")
+    )
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod("doc_id", 3) == 1
     model = langid.fit(docs.filter(~held_out), "doc_id", "text", "lang")
-    return langid.predict(docs, model, "doc_id", "text").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, "doc_id", "text").select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,20 +55,37 @@ def op8_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_bpe.encode_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model")
+    )
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc32_mod("doc_id", 4) == 2
-    weights = quality.fit(docs.select("doc_id", "text").filter(~held_out), labels.filter(~held_out), "doc_id", "text", "quality")
+    weights = quality.fit(
+        docs.select("doc_id", "text").filter(~held_out), labels.filter(~held_out), "doc_id", "text", "quality"
+    )
     scored = quality.score(docs, weights, "doc_id", "text")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_extendible_sharding, op2_simhash_near_dedup, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_language_id, op7_warc, op8_bm25_top_k, op9_sentencepiece, op10_quality_classifier)
+    for f in (
+        op1_extendible_sharding,
+        op2_simhash_near_dedup,
+        op3_best_fit_packing,
+        op4_media_columns,
+        op5_substring_dedup,
+        op6_language_id,
+        op7_warc,
+        op8_bm25_top_k,
+        op9_sentencepiece,
+        op10_quality_classifier,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,23 +1,35 @@
 """Operator 5: substring dedup by level-wise doubling.
 
-A window is `length` consecutive words of one document. A word goes if a window that covers it also starts in a document with a smaller id.
-
-Levels have lengths from about 7 words on, each at most twice the one before, up to `length` (7, 13; or 7, 13, 25, 50). A window of the
-full length stands for one window of each level in it: at the first level the one with the least hash, at later levels the one that starts there, or ends
-where the full window ends if it would go beyond. The choice depends on the full window's words alone, so wherever those repeat, what it stands for
-repeats too. The first level has one row for a few words only, and windows found in one document only go. Each next level forms only windows of those
-full windows whose window of the level before repeats elsewhere, twice as long; the loop ends when no candidates are left, or with windows of the full
-length, of which those are kept that a smaller id has too. Those are told apart by 128 bits, shorter ones by 64, where a false equal only costs work.
+A window is `length` consecutive words of one document. A word goes if a window that covers it also starts in a
+document with a smaller id.
+
+Levels have lengths from about 7 words on, each at most twice the one before, up to `length` (7, 13; or 7, 13, 25, 50).
+A window of the
+full length stands for one window of each level in it: at the first level the one with the least hash, at later levels
+the one that starts there, or ends
+where the full window ends if it would go beyond. The choice depends on the full window's words alone, so wherever
+those repeat, what it stands for
+repeats too. The first level has one row for a few words only, and windows found in one document only go. Each next
+level forms only windows of those
+full windows whose window of the level before repeats elsewhere, twice as long; the loop ends when no candidates are
+left, or with windows of the full
+length, of which those are kept that a smaller id has too. Those are told apart by 128 bits, shorter ones by 64, where
+a false equal only costs work.
 Last, each document drops the words under its surviving windows.
 
-A document whose whole text a smaller id has too loses all its words (if it has a window at all) and takes part in no level, so a group of copies is one document.
-Texts are shuffled once, to buckets by id; levels exchange (id, hash) only. A window in a large share of all documents would bring all its rows to one task. A
-sample of documents names such keys (at most HOT_KEYS, broadcast). They repeat, so they survive without being gathered: their rows are salted. At
-the last level their least id is pre-aggregated. What the sample misses only makes a larger group; results don't depend on it.
+A document whose whole text a smaller id has too loses all its words (if it has a window at all) and takes part in no
+level, so a group of copies is one document.
+Texts are shuffled once, to buckets by id; levels exchange (id, hash) only. A window in a large share of all documents
+would bring all its rows to one task. A
+sample of documents names such keys (at most HOT_KEYS, broadcast). They repeat, so they survive without being gathered:
+their rows are salted. At
+the last level their least id is pre-aggregated. What the sample misses only makes a larger group; results don't depend
+on it.
 
 Defined cases: null and empty texts have no words; a null id is kept whole and counts as no earlier document; rows with
 one id are one document for the comparison of ids, so they don't take words from each other; a repeat inside a document
-stays; a text of any length is taken whole. Only id and text are read, so extra columns can't clash. An empty table gives no rows.
+stays; a text of any length is taken whole. Only id and text are read, so extra columns can't clash. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +46,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from stowage.llm import kernels as K
 from stowage.llm.common import cut, drop, text_bytes
 
-#: A key is hot if so many documents of the sample have it; the sample is one in 64 of the documents, SAMPLE_DOCS at least.
+#: A key is hot if so many documents of the sample have it; the sample is one in 64 of the documents, SAMPLE_DOCS at
+#: least.
 SAMPLE_DOCS, HOT_IN_SAMPLE, HOT_KEYS = 8_192, 12, 200_000
 LEAST = 7
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
@@ -67,12 +80,16 @@ class Words:
         hashes = K.ngram_hashes(self.hash, size)
         if size == self.length:
             return hashes[self.rows]
-        least = K.leftmost_least(hashes if not level else K.ngram_hashes(self.hash, sizes[0]), self.length - sizes[0] + 1)[self.rows]
+        least = K.leftmost_least(
+            hashes if not level else K.ngram_hashes(self.hash, sizes[0]), self.length - sizes[0] + 1
+        )[self.rows]
         return hashes[np.minimum(least, self.rows + self.length - size)]
 
     def full(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each full window."""
-        return K.ngram_hashes(self.hash, self.length)[self.rows], K.ngram_hashes(K.mix(self.hash ^ OTHER), self.length)[self.rows]
+        return K.ngram_hashes(self.hash, self.length)[self.rows], K.ngram_hashes(
+            K.mix(self.hash ^ OTHER), self.length
+        )[self.rows]
 
 
 def _distinct(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -104,7 +121,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.R
 
 
 def _windows(joined: DataFrame, length: int, level: int) -> DataFrame:
-    """(id, h), and g at the last level: the windows that documents (id, text, and from the second level on the surviving set of the level before) stand for."""
+    """(id, h), and g at the last level: the windows that documents (id, text, and from the second level on the
+    surviving set of the level before) stand for.
+    """
     sizes = levels(length)
     last = level == len(sizes) - 1
 
@@ -142,7 +161,10 @@ def _covered(words: Words, sets: pa.ListArray) -> np.ndarray:
 def _hot(sample: DataFrame, key: list[str]) -> DataFrame:
     """At most HOT_KEYS keys that many documents of the sample have, as a written table."""
     counts = sample.groupBy(*key).count().filter(F.col("count") >= HOT_IN_SAMPLE)
-    return cut(counts.orderBy(F.col("count").desc(), *key).limit(HOT_KEYS).select(*key, F.lit(True).alias("hot")), "hot-windows")
+    return cut(
+        counts.orderBy(F.col("count").desc(), *key).limit(HOT_KEYS).select(*key, F.lit(True).alias("hot")),
+        "hot-windows",
+    )
 
 
 def _in_several(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -150,7 +172,9 @@ def _in_several(rows: DataFrame, hot: DataFrame) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(8192))).otherwise(F.lit(-1))
     key = Window.partitionBy("h", "salt")
     salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", salt)
-    return salted.withColumn("a", F.min("id").over(key)).withColumn("b", F.max("id").over(key)).filter("hot or a < b").select("id", "h")
+    return salted.withColumn(
+        "a", F.min("id").over(key)
+    ).withColumn("b", F.max("id").over(key)).filter("hot or a < b").select("id", "h")
 
 
 def _in_smaller(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -163,23 +187,36 @@ def _in_smaller(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """docs (id, text as bytes, and others) with ids, in buckets by id, and copy: whether a smaller id has the same text. Texts are shuffled here and nowhere else."""
+    """docs (id, text as bytes, and others) with ids, in buckets by id, and copy: whether a smaller id has the same
+    text. Texts are shuffled here and nowhere else.
+    """
     known = docs.filter("id is not null").withColumn("digest", F.md5("text"))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
     digests = cut(known.select("id", "digest"), "digests")
-    first = cut(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first"), "firsts")
-    later = digests.join(first, "digest").filter("id > first").groupBy("id").agg(F.collect_set("digest").alias("copied"))
+    first = cut(
+        digests.groupBy("digest").agg(
+            F.min("id").alias("first"), F.max("id").alias("last")
+        ).filter("first < last").select("digest", "first"),
+        "firsts",
+    )
+    later = digests.join(first, "digest").filter("id > first").groupBy("id").agg(
+        F.collect_set("digest").alias("copied")
+    )
     copies = cut(later, "copies")
     copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)).alias("copy")
-    marked = known.repartition(parts, "id").join(copies.repartition(parts, "id"), "id", "left").select(*docs.columns, copy)
+    marked = known.repartition(parts, "id").join(
+        copies.repartition(parts, "id"), "id", "left"
+    ).select(*docs.columns, copy)
     table = cut(marked, "texts", (parts, "id"))
     drop(digests, first, copies)
     return table
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame | None:
-    """(id, set of hash pairs) for the documents of texts (see bucketed) that repeat full windows of smaller ids; None if none does."""
+    """(id, set of hash pairs) for the documents of texts (see bucketed) that repeat full windows of smaller ids; None
+    if none does.
+    """
     sizes, own = levels(length), texts.filter("not copy").select("id", "text")
     total = texts.count()
     in_sample = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, total // max(SAMPLE_DOCS, total >> 6)))) == 0
@@ -187,13 +224,18 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame | None:
     for level in range(len(sizes)):
         last, key = level == len(sizes) - 1, ["h", "g"] if level == len(sizes) - 1 else ["h"]
         if level:
-            rows = cut(_windows(own.join(found.hint("shuffle_hash"), "id").select("id", "text", "windows"), length, level), "windows")
+            rows = cut(
+                _windows(own.join(found.hint("shuffle_hash"), "id").select("id", "text", "windows"), length, level),
+                "windows",
+            )
             hot = _hot(rows.filter(in_sample), key)
         else:
             rows = _windows(own, length, level)
             hot = _hot(_windows(own.filter(in_sample), length, level), key)
         kept = _in_smaller(rows, hot) if last else _in_several(rows, hot)
-        now = cut(kept.groupBy("id").agg(F.collect_set(F.struct(*key) if last else F.col("h")).alias("windows")), "repeated")
+        now = cut(
+            kept.groupBy("id").agg(F.collect_set(F.struct(*key) if last else F.col("h")).alias("windows")), "repeated"
+        )
         drop(rows, hot, found)
         found = now
         if found.isEmpty():
@@ -210,7 +252,9 @@ def _with_gone(docs: DataFrame, length: int) -> DataFrame:
     if found is None:
         joined = texts.select(*docs.columns, "copy", none)
     else:
-        joined = texts.join(found.hint("shuffle_hash"), "id", "left").select(*docs.columns, "copy", F.col("windows").alias("gone"))
+        joined = texts.join(found.hint("shuffle_hash"), "id", "left").select(
+            *docs.columns, "copy", F.col("windows").alias("gone")
+        )
     return joined.unionByName(docs.filter("id is null").select(*docs.columns, F.lit(False).alias("copy"), none))
 
 
@@ -238,11 +282,15 @@ def dedup_words(df: DataFrame, id_col: str, text_col: str, length: int = 13) ->
                 else:
                     text = b" ".join(data[words.starts[lo] : words.ends[hi - 1]].split()) if hi > lo else b""
                 sha.append(hashlib.sha256(text).hexdigest())
-            columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            columns = [
+                batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())
+            ]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_removed", "kept_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return _with_gone(docs, length).mapInArrow(run, f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_gone(docs, length).mapInArrow(
+        run, f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string"
+    )
 
 
 def cut_repeats(df: DataFrame, id_col: str, text_col: str, length: int = 50) -> DataFrame:
@@ -257,13 +305,17 @@ def cut_repeats(df: DataFrame, id_col: str, text_col: str, length: int = 50) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, words in _runs(batches, length):
-            bare, data, texts = _bare(words, batch.column(3), batch.column(4)), raw.tobytes(), batch.column(1).to_pylist()
+            bare, data, texts = _bare(
+                words, batch.column(3), batch.column(4)
+            ), raw.tobytes(), batch.column(1).to_pylist()
             changed = np.unique(words.doc[bare])
             for d in changed.tolist():
                 lo, hi = words.first[d], words.first[d + 1]
                 keep = np.flatnonzero(~bare[lo:hi]) + lo
                 breaks = np.flatnonzero(np.diff(keep) != 1) + 1
-                texts[d] = b" ".join(data[words.starts[r[0]] : words.ends[r[-1]]] for r in np.split(keep, breaks) if len(r))
+                texts[d] = b" ".join(
+                    data[words.starts[r[0]] : words.ends[r[-1]]] for r in np.split(keep, breaks) if len(r)
+                )
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.binary())], ["row", "text"])
 
     made = _with_gone(docs, length).mapInArrow(run, schema)

@@ -30,11 +30,29 @@ TEXTS = [
 
 
 def awkward(spark):
-    """Nulls, empty and very long texts, ties, repeated rows and ids, and columns whose names clash with the operators' own."""
+    """Nulls, empty and very long texts, ties, repeated rows and ids, and columns whose names clash with the operators'
+    own.
+    """
     df = spark.createDataFrame(TEXTS, "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    clash = ["id", "key", "h", "fingerprint", "component_id", "n_bytes", "root", "cell", "a", "b", "gone", "score", "sequence_id", "_text", "word"]
+    clash = [
+        "id",
+        "key",
+        "h",
+        "fingerprint",
+        "component_id",
+        "n_bytes",
+        "root",
+        "cell",
+        "a",
+        "b",
+        "gone",
+        "score",
+        "sequence_id",
+        "_text",
+        "word",
+    ]
     return df.withColumns({c: F.lit("clash") for c in clash}).repartition(3)
 
 
@@ -47,7 +65,10 @@ def simhash(text, size=4):
     w = words(w)
     if not w:
         return 0
-    h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + size]).encode(), 42) for i in range(max(1, len(w) - size + 1))], "<u8")
+    h = np.array(
+        [xxhash.xxh64_intdigest(" ".join(w[i : i + size]).encode(), 42) for i in range(max(1, len(w) - size + 1))],
+        "<u8",
+    )
     return sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
 
 

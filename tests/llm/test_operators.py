@@ -37,8 +37,12 @@ def docs(spark):
 
 @pytest.mark.parametrize("bits", [3, 20])
 def test_shards_fit(spark, bits):
-    rows = [(1, "x" * 50)] * 60 + [(2, f"{i:050d}") for i in range(60)] + [(i, "y" * 30) for i in range(10, 80)] + [(None, None), (None, "z"), (500, "g" * 5000), (501, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("clash")).withColumn("h", F.lit("clash"))
+    rows = [(1, "x" * 50)] * 60 + [(2, f"{i:050d}") for i in range(60)] + [(i, "y" * 30) for i in range(10, 80)] + [
+        (None, None), (None, "z"), (500, "g" * 5000), (501, "")
+    ]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string"
+    ).withColumn("root", F.lit("clash")).withColumn("h", F.lit("clash"))
     got = sharding.assign_shards(df, "doc_id", "text", 400, bits).toPandas()
     assert Counter(got.n_bytes) == Counter(len(t or "") for _, t in rows)
     for _, g in got.groupby(["shard_prefix", "shard_part"]):
@@ -90,12 +94,16 @@ def test_trees_find_all_pairs(spark):
 
 @pytest.mark.parametrize("same", [21, 35, 60])
 def test_dense_blocks_are_split_by_other_bits_and_in_the_end_dealt(spark, same):
-    """Points that agree in the bits of one block, of two, or nearly all: the links are still exact, and no group holds all of them."""
+    """Points that agree in the bits of one block, of two, or nearly all: the links are still exact, and no group holds
+    all of them.
+    """
     rng = np.random.default_rng(same)
     order = [b for k in range(3) for b in range(k, 64, 3)]  # the first block's bits first
     free = sum(1 << b for b in order[same:])
     base = rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(free)
-    near = base[:250] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(250)], np.uint64)
+    near = base[:250] ^ np.array(
+        [sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(250)], np.uint64
+    )
     points = np.unique(np.concatenate([base, near]))
     df = spark.createDataFrame([(bytearray(int(p).to_bytes(8, "big")),) for p in points], "fingerprint binary")
     edges = simhash.link(df, simhash.block_masks(1, 3), 1, 4, leaf=8)
@@ -112,12 +120,16 @@ def test_dense_blocks_are_split_by_other_bits_and_in_the_end_dealt(spark, same):
 
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (None, 3)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {
+        r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    }
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {500: 500}
 
 
 def test_near_copies_are_caught_and_others_left(spark):
-    """Pairs from 0.8 up, by how many of 300 words are changed, against a comparison of all pairs; SimHash alone misses many of them."""
+    """Pairs from 0.8 up, by how many of 300 words are changed, against a comparison of all pairs; SimHash alone misses
+    many of them.
+    """
     rng = np.random.default_rng(2)
     rows = []
     for d in range(60):
@@ -151,10 +163,16 @@ def test_pieces_and_packing(spark):
         cuts = [0, *range(len(ids) % 256 or 256, len(ids) + 1, 256)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             expected[(ident, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
-    got = Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in parts.itertuples())
+    got = Counter(
+        (
+            None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32
+        ) for r in parts.itertuples()
+    )
     assert got == expected
     placed = packing.pack_documents(awkward(spark), "doc_id", "text", RANKS, 256).toPandas()
-    assert Counter(zip(placed.piece, placed.start, placed.ids_crc32)) == Counter(zip(parts.piece, parts.start, parts.ids_crc32))
+    assert Counter(
+        zip(placed.piece, placed.start, placed.ids_crc32)
+    ) == Counter(zip(parts.piece, parts.start, parts.ids_crc32))
     for _, g in placed.sort_values("offset").groupby("sequence_id"):
         assert (g.offset == g.length.cumsum() - g.length).all()
         assert g.length.sum() <= 256
@@ -162,10 +180,15 @@ def test_pieces_and_packing(spark):
 
 
 def test_groups_exchange_bins_and_come_close_to_the_bound(spark):
-    """Many groups: every piece is placed once, later rounds save bins, and the whole is near the bound of all pieces together."""
+    """Many groups: every piece is placed once, later rounds save bins, and the whole is near the bound of all pieces
+    together.
+    """
     rng = np.random.default_rng(3)
     lengths = np.concatenate([rng.integers(1, 2049, 6_000), rng.integers(300, 420, 3_000)])
-    parts = spark.createDataFrame([(i, 0, 0, int(x), i) for i, x in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    parts = spark.createDataFrame(
+        [(i, 0, 0, int(x), i) for i, x in enumerate(lengths)],
+        "doc_id long, piece int, start long, length long, ids_crc32 long",
+    )
     bins = {}
     for rounds in (1, 8):
         got = packing.pack(parts, 2048, group_rows=600, rounds=rounds).toPandas()
@@ -183,7 +206,9 @@ def test_bounds_hold_and_packing_meets_them():
     rng = np.random.default_rng(1)
     for capacity, sizes in ((10, [6, 6, 6, 4, 4, 4]), (10, [4, 4, 4, 3, 3, 3]), (12, [7, 7, 5, 5, 6]), (10, [])):
         lengths = np.array(sizes, np.int64)
-        assert packing.lower_bound(lengths, capacity) <= (packing.best_fit(lengths, capacity)[0].max() + 1 if sizes else 0)
+        assert packing.lower_bound(lengths, capacity) <= (
+            packing.best_fit(lengths, capacity)[0].max() + 1 if sizes else 0
+        )
     assert packing.lower_bound(np.array([6] * 5), 10) == 5
     assert packing.lower_bound(np.array([4] * 6), 10) == 3
     lengths = rng.integers(1, 2049, 20_000)
@@ -216,14 +241,23 @@ def test_sniffing_corrects_carves_and_rejects(spark, kind):
     assert media.find_media(medium[:-1]) == []
     outer = media.encode(medium + b"\0" * (-len(medium) % 192), "wav")
     assert [m[2:] for m in media.find_media(outer)] == [("wav", 0), (kind, 1)]
-    rows = spark.createDataFrame([(1, "gif", bytearray(b"??" + medium)), (2, None, None), (3, kind, bytearray(medium))], "id long, declared string, blob binary")
-    assert sorted((r["id"], r["type"], r["start"], r["declared_right"]) for r in media.sniff(rows, "id", "blob", "declared").collect()) == [(1, kind, 2, False), (3, kind, 0, True)]
+    rows = spark.createDataFrame(
+        [(1, "gif", bytearray(b"??" + medium)), (2, None, None), (3, kind, bytearray(medium))],
+        "id long, declared string, blob binary",
+    )
+    assert sorted(
+        (
+            r["id"], r["type"], r["start"], r["declared_right"]
+        ) for r in media.sniff(rows, "id", "blob", "declared").collect()
+    ) == [(1, kind, 2, False), (3, kind, 0, True)]
 
 
 def test_gif_and_jpeg_are_followed_to_their_ends():
     gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00" + b"\0" * 6 + b"\x21\xf9\x04\0\0\0\0\0" + b"\x2c\0\0\0\0\x01\0\x01\0\0\x02\x02\x44\x01\x00\x3b"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x01\x02\xff\x00\x03\xff\xd9"
-    assert media.find_media(b"x" + gif + jpeg) == [(1, 1 + len(gif), "gif", 0), (1 + len(gif), 1 + len(gif) + len(jpeg), "jpeg", 0)]
+    assert media.find_media(b"x" + gif + jpeg) == [
+        (1, 1 + len(gif), "gif", 0), (1 + len(gif), 1 + len(gif) + len(jpeg), "jpeg", 0)
+    ]
 
 
 # -- 5
@@ -251,7 +285,9 @@ def _plain_dedup(rows, length):
 @pytest.mark.parametrize("length", [2, 5, 7, 13, 50, 100])
 def test_repeated_words_go(spark, length):
     got = substring.dedup_words(awkward(spark), "doc_id", "text", length).toPandas()
-    assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == _plain_dedup(TEXTS, length)
+    assert Counter(
+        (None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()
+    ) == _plain_dedup(TEXTS, length)
     assert substring.dedup_words(awkward(spark).limit(0), "doc_id", "text").count() == 0
 
 
@@ -266,7 +302,9 @@ def test_levels_double():
 
 @pytest.mark.parametrize("length", [8, 13, 30])
 def test_windows_at_every_place_and_of_every_length(spark, length):
-    """Passages of 1 to 60 words of a small vocabulary, at all places of documents, with repeats inside them; and copies of whole documents."""
+    """Passages of 1 to 60 words of a small vocabulary, at all places of documents, with repeats inside them; and
+    copies of whole documents.
+    """
     rng = np.random.default_rng(length)
     pool = [[f"p{k}w{x}" for x in rng.integers(0, 12, size)] for k, size in enumerate(range(1, 61))]
     rows = []
@@ -274,11 +312,17 @@ def test_windows_at_every_place_and_of_every_length(spark, length):
         text = []
         for _ in range(rng.integers(1, 5)):
             chosen = pool[rng.integers(0, len(pool))]
-            text += chosen[: rng.integers(1, len(chosen) + 1)] + [f"x{rng.integers(0, 40)}" for _ in range(rng.integers(0, 9))]
+            text += chosen[: rng.integers(1, len(chosen) + 1)] + [
+                f"x{rng.integers(0, 40)}" for _ in range(rng.integers(0, 9))
+            ]
         rows.append((int(rng.integers(0, 120)), " ".join(text)))
     rows += [(i + 200, rows[i][1]) for i in range(0, 60, 3)] + [(None, rows[5][1])]
-    got = substring.dedup_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", length).toPandas()
-    assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == _plain_dedup(rows, length)
+    got = substring.dedup_words(
+        spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", length
+    ).toPandas()
+    assert Counter(
+        (None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()
+    ) == _plain_dedup(rows, length)
 
 
 def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
@@ -286,9 +330,20 @@ def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(substring, "SAMPLE_DOCS", 100)
     monkeypatch.setattr(substring, "HOT_IN_SAMPLE", 3)
     common = " ".join(f"c{i}" for i in range(20))
-    rows = [(i, f"{common} own{i} text{i}" if i % 3 == 0 else " ".join(f"r{i}x{j}" for j in range(30)) + (" " + common if i % 7 == 0 else "")) for i in range(400)]
-    got = substring.dedup_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 13).toPandas()
-    assert Counter((int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == _plain_dedup(rows, 13)
+    rows = [
+        (
+            i,
+            f"{common} own{i} text{i}" if i % 3 == 0 else " ".join(f"r{i}x{j}" for j in range(30)) + (
+                " " + common if i % 7 == 0 else ""
+            ),
+        ) for i in range(400)
+    ]
+    got = substring.dedup_words(
+        spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 13
+    ).toPandas()
+    assert Counter(
+        (int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()
+    ) == _plain_dedup(rows, 13)
 
 
 def test_cutting_keeps_the_rest_as_it_was(spark):
@@ -325,12 +380,19 @@ def test_language_edge_cases(spark):
     single = langid.fit(d.filter("lang = 'en'"), "doc_id", "text", "lang")
     assert {r["lang_pred"] for r in langid.predict(d, single, "doc_id", "text").collect()} == {"en"}
     assert langid.predict(d.limit(0), model, "doc_id", "text").count() == 0
-    unknown = langid.fit(d.filter("lang in ('en', 'fr')").withColumn("lang", F.when(F.col("lang") == "en", "x1").otherwise("x2")), "doc_id", "text", "lang")
+    unknown = langid.fit(
+        d.filter("lang in ('en', 'fr')").withColumn("lang", F.when(F.col("lang") == "en", "x1").otherwise("x2")),
+        "doc_id",
+        "text",
+        "lang",
+    )
     assert unknown.families == {"other": ["x1", "x2"]}
 
 
 def test_letters_are_those_of_unicode():
-    assert [langid.has_letter(t.encode()) for t in ("½ ² ①", "12 _", "", "日", "ª", "ß1", "a", "\u0301", "!")] == [False, False, False, True, True, True, True, False, False]
+    assert [
+        langid.has_letter(t.encode()) for t in ("½ ² ①", "12 _", "", "日", "ª", "ß1", "a", "\u0301", "!")
+    ] == [False, False, False, True, True, True, True, False, False]
 
 
 def test_languages_are_predicted_as_a_plain_loop_does(spark):
@@ -338,7 +400,11 @@ def test_languages_are_predicted_as_a_plain_loop_does(spark):
     d = docs(spark)
     model = langid.fit(d, "doc_id", "text", "lang")
     rows = [(i, t) for i, (_, t) in enumerate(TEXTS)] + [(100 + i, r["text"]) for i, r in enumerate(d.limit(40).collect())]
-    got = {r["n"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "n long, text string"), model, "n", "text").collect()}
+    got = {
+        r["n"]: (r["lang_pred"], r["score"]) for r in langid.predict(
+            spark.createDataFrame(rows, "n long, text string"), model, "n", "text"
+        ).collect()
+    }
 
     def fold(text):
         out = []
@@ -359,7 +425,9 @@ def test_languages_are_predicted_as_a_plain_loop_does(spark):
         margins, count = np.zeros(len(model.machines)), 0
         for k, b in enumerate(x):
             if b != 32:
-                code = ((x[k - 1] if k else 32) << 16 | b << 8 | (x[k + 1] if k + 1 < len(x) else 32)) * 2_654_435_761 & 0xFFFFFFFF
+                code = (
+                    (x[k - 1] if k else 32) << 16 | b << 8 | (x[k + 1] if k + 1 < len(x) else 32)
+                ) * 2_654_435_761 & 0xFFFFFFFF
                 margins += model.weights[code >> 19]
                 count += 1
         margins = langid.SCALE * margins / max(1, count) + model.weights[-1]
@@ -385,11 +453,17 @@ def test_scores_are_plain_sums_and_training_a_plain_loop(spark, monkeypatch):
     rows = [(i, t) for i, (_, t) in enumerate(TEXTS) if i != 9]
     rng = np.random.default_rng(1)
     weights = rng.normal(size=quality.CONSTANT + 1).astype(np.float32)
-    got = {r["n"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "n long, text string"), weights, "n", "text").collect()}
+    got = {
+        r["n"]: r["score"] for r in quality.score(
+            spark.createDataFrame(rows, "n long, text string"), weights, "n", "text"
+        ).collect()
+    }
     for n, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         feature, _, runs = quality.features(raw, np.array([0, len(raw)]))
-        margin = sum(quality.SCALE * float(weights[f]) for f in feature.tolist()) / max(1, int(runs[0])) + float(weights[quality.CONSTANT])
+        margin = sum(
+            quality.SCALE * float(weights[f]) for f in feature.tolist()
+        ) / max(1, int(runs[0])) + float(weights[quality.CONSTANT])
         assert got[n] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))), rel=1e-4)
     model, z, s = quality.Ftrl(), {}, {}
     for _ in range(50):
@@ -398,7 +472,9 @@ def test_scores_are_plain_sums_and_training_a_plain_loop(spark, monkeypatch):
         w = {}
         for i in at.tolist():
             zi, ni = z.get(i, 0.0), s.get(i, 0.0)
-            w[i] = 0.0 if abs(zi) <= model.l1 else -(zi - np.sign(zi) * model.l1) / ((model.beta + ni**0.5) / model.alpha + model.l2)
+            w[i] = 0.0 if abs(zi) <= model.l1 else -(zi - np.sign(zi) * model.l1) / (
+                (model.beta + ni**0.5) / model.alpha + model.l2
+            )
         p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in zip(at.tolist(), value))))
         for i, v in zip(at.tolist(), value):
             g = (p - label) * v
@@ -447,10 +523,36 @@ def test_quality_edge_cases(spark):
 
 def test_archives(spark, tmp_path):
     body = "p" * 1500
-    rows = [(1, "u1", body), (2, "u2", body), (3, "u3", body), (4, None, "short"), (5, "u5", "short"), (6, "u6", None), (None, "u7", "é" * 700), (8, "u8", "é" * 700), (9, "bad\r\nurl", "\r\n\r\nWARC/1.0\r\n")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("payload", F.lit("clash"))
-    got = {(r["page_id"], r["record_type"], r["refers_to"]): r for r in warc.archive_pages(pages, "page_id", "url", "html").collect()}
-    assert set(got) == {(1, "revisit", 3), (2, "revisit", 3), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 8), (8, "response", None), (9, "response", None)}
+    rows = [
+        (1, "u1", body),
+        (2, "u2", body),
+        (3, "u3", body),
+        (4, None, "short"),
+        (5, "u5", "short"),
+        (6, "u6", None),
+        (None, "u7", "é" * 700),
+        (8, "u8", "é" * 700),
+        (9, "bad\r\nurl", "\r\n\r\nWARC/1.0\r\n"),
+    ]
+    pages = spark.createDataFrame(
+        rows, "page_id long, url string, html string"
+    ).withColumn("digest", F.lit("clash")).withColumn("payload", F.lit("clash"))
+    got = {
+        (
+            r["page_id"], r["record_type"], r["refers_to"]
+        ): r for r in warc.archive_pages(pages, "page_id", "url", "html").collect()
+    }
+    assert set(got) == {
+        (1, "revisit", 3),
+        (2, "revisit", 3),
+        (3, "response", None),
+        (4, "response", None),
+        (5, "response", None),
+        (6, "response", None),
+        (None, "revisit", 8),
+        (8, "response", None),
+        (9, "response", None),
+    }
     for (ident, _, _), r in got.items():
         data = (next(b for i, _, b in rows if i == ident) or "").encode()
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
@@ -464,20 +566,36 @@ def test_archives(spark, tmp_path):
 def test_streams_of_several_members_and_odd_headers_are_read_whole(spark):
     import gzip
 
-    made = [warc.record(f"id-{i}", f"http://x/{i}", f"body {i}".encode(), hashlib.sha1(f"body {i}".encode()).hexdigest(), None) for i in range(3)]
+    made = [
+        warc.record(
+            f"id-{i}", f"http://x/{i}", f"body {i}".encode(), hashlib.sha1(f"body {i}".encode()).hexdigest(), None
+        ) for i in range(3)
+    ]
     made[1] = made[1].replace(b"WARC-Date:", b"X-Odd: caf\xe9\r\nWARC-Date:")
-    streams = [b"".join(map(gzip.compress, made)) + b"\0" * 7, gzip.compress(b"".join(made)), gzip.compress(made[0] + made[1]) + gzip.compress(made[2])]
-    archives = spark.createDataFrame([(str(k), bytearray(x)) for k, x in enumerate(streams)], "archive string, stream binary")
+    streams = [
+        b"".join(map(gzip.compress, made)) + b"\0" * 7,
+        gzip.compress(b"".join(made)),
+        gzip.compress(made[0] + made[1]) + gzip.compress(made[2]),
+    ]
+    archives = spark.createDataFrame(
+        [(str(k), bytearray(x)) for k, x in enumerate(streams)], "archive string, stream binary"
+    )
     found = warc.read_records(warc.normalise(archives)).collect()
-    assert Counter((r["archive"], r["record_id"]) for r in found) == Counter((str(k), f"<urn:page:id-{i}>") for k in range(3) for i in range(3))
+    assert Counter((r["archive"], r["record_id"]) for r in found) == Counter(
+        (str(k), f"<urn:page:id-{i}>") for k in range(3) for i in range(3)
+    )
     with pytest.raises(ValueError, match="cut off"):
         warc.inflate(gzip.compress(made[0])[:-3])
 
 
 def test_ids_of_other_types_come_back(spark):
     body = "q" * 1200
-    for kind, ids in (("string", ["a>b", "none", "x y+%", "é", None]), ("int", [1, 2, -3, None]), ("decimal(12,2)", ["1.50", "2.00"])):
-        pages = spark.createDataFrame([(i, body) for i in ids], "page_id string, html string").select(F.col("page_id").cast(kind), "html", F.lit("u").alias("url"))
+    for kind, ids in (
+        ("string", ["a>b", "none", "x y+%", "é", None]), ("int", [1, 2, -3, None]), ("decimal(12,2)", ["1.50", "2.00"])
+    ):
+        pages = spark.createDataFrame([(i, body) for i in ids], "page_id string, html string").select(
+            F.col("page_id").cast(kind), "html", F.lit("u").alias("url")
+        )
         got = warc.archive_pages(pages, "page_id", "url", "html").collect()
         assert Counter(r["page_id"] for r in got) == Counter(r["page_id"] for r in pages.collect())
         top = max(r["page_id"] for r in got if r["page_id"] is not None)
@@ -489,7 +607,14 @@ def test_ids_of_other_types_come_back(spark):
 
 def test_search_is_exact(spark):
     texts = [(i, t) for i, t in TEXTS if i is not None]
-    got = bm25.top_k(awkward(spark), awkward(spark).filter("doc_id % 2 = 0").dropDuplicates(["doc_id"]), "doc_id", "text", k=3, entries=40).collect()
+    got = bm25.top_k(
+        awkward(spark),
+        awkward(spark).filter("doc_id % 2 = 0").dropDuplicates(["doc_id"]),
+        "doc_id",
+        "text",
+        k=3,
+        entries=40,
+    ).collect()
     bags = [(i, Counter(words((t or "").lower()))) for i, t in texts]
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
     df = Counter(w for _, b in bags for w in b)
@@ -497,15 +622,29 @@ def test_search_is_exact(spark):
         asked = set(next(b for i, b in bags if i == q))
         scored = []
         for i, b in bags:
-            s = sum(int(np.rint(1e6 * (np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))))) for w in asked & b.keys())
+            s = sum(
+                int(
+                    np.rint(
+                        1e6 * (
+                            np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (
+                                b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)
+                            )
+                        )
+                    )
+                ) for w in asked & b.keys()
+            )
             if s:
                 scored.append((-s, i))
-        assert [(-r["score"], r["doc_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == sorted(scored)[:3]
+        assert [
+            (-r["score"], r["doc_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q
+        ] == sorted(scored)[:3]
     assert bm25.top_k(awkward(spark).limit(0), awkward(spark).limit(0), "doc_id", "text").count() == 0
 
 
 def test_search_skips_blocks_and_shards_share_thresholds(spark, monkeypatch):
-    """Shards of 512 documents, several blocks of queries, two waves: equal to a search that scores everything, and most blocks are skipped."""
+    """Shards of 512 documents, several blocks of queries, two waves: equal to a search that scores everything, and
+    most blocks are skipped.
+    """
     rng = np.random.default_rng(8)
     common = [f"c{i}" for i in range(40)]
     texts = []
@@ -515,7 +654,9 @@ def test_search_skips_blocks_and_shards_share_thresholds(spark, monkeypatch):
     bags = [Counter(t.split()) for t in texts]
     df = Counter(w for b in bags for w in b)
     n, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
-    weight = [{w: int(np.rint(1e6 * (np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))))) for w, c in b.items()} for b in bags]
+    weight = [
+        {w: int(np.rint(1e6 * (np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))))) for w, c in b.items()} for b in bags
+    ]
     monkeypatch.setattr(bm25, "SHARD", 512)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {}
@@ -524,7 +665,9 @@ def test_search_skips_blocks_and_shards_share_thresholds(spark, monkeypatch):
     for q in range(0, 3_000, 20):
         scored = sorted((-s, i) for i, w in enumerate(weight) if (s := sum(w.get(x, 0) for x in bags[q])))[:10]
         assert [x[1:] for x in sorted(got[q])] == scored
-    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])
+    docs = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"]
+    )
     lists = [bm25._distinct(d, w) for _, d, w, _ in bm25._bags(docs)]
     assert len(lists) == 6  # the same shards, here by hand
     word = np.unique(np.concatenate([w for _, w, _ in lists]))
@@ -532,7 +675,16 @@ def test_search_skips_blocks_and_shards_share_thresholds(spark, monkeypatch):
     own = [bm25._distinct(d, w)[1] for _, d, w, _ in bm25._bags(docs.slice(700, 1))][0]
     block = bm25.Queries(np.zeros(len(own), np.int64), own.view(np.int64), counts[np.searchsorted(word, own)], n, mean)
     scored, plain = [], bm25.Search._score
-    monkeypatch.setattr(bm25.Search, "_score", lambda self, shard, a, w, s, wanted: scored.append(wanted.sum()) or plain(self, shard, a, w, s, wanted))
+    monkeypatch.setattr(
+        bm25.Search,
+        "_score",
+        lambda self,
+        shard,
+        a,
+        w,
+        s,
+        wanted: scored.append(wanted.sum()) or plain(self, shard, a, w, s, wanted),
+    )
     search = bm25.Search(block, 10)
     for made in _index_rows(docs):
         search.shard(bm25.Shard(made, block))
@@ -565,12 +717,18 @@ def test_pieces_as_the_library_makes_them(spark):
         ids = library.encode(text or "", add_eos=True)
         by_text[(tuple(ids), library.decode(ids))] += 1
     assert Counter((tuple(r["ids"]), r["decoded"]) for r in got) == by_text
-    assert all(r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest() for r in got)
+    assert all(
+        r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(
+            " ".join(map(str, r["ids"])).encode()
+        ).hexdigest() for r in got
+    )
     assert piece_bpe.encode_documents(awkward(spark).limit(0), "doc_id", "text", PIECES).count() == 0
 
 
 def test_pieces_of_odd_texts():
-    """Runs of spaces of every length, every piece of the model, and 50,000 mixtures, as the library encodes and decodes them."""
+    """Runs of spaces of every length, every piece of the model, and 50,000 mixtures, as the library encodes and
+    decodes them.
+    """
     import random
 
     import sentencepiece
@@ -579,8 +737,27 @@ def test_pieces_of_odd_texts():
     codec = piece_bpe.codec(open(PIECES, "rb").read())
     rng, known = random.Random(9), list(codec.id_of)
     signs = list("  \n\t▁abcdeTh.,'!1290-_é日²½①ⅷ/\\(){}[]<>=+*&^%$#@~`|:;\"?\u00a0\u200b\u0301\ufb01\U0001f600\0\x7f\ufffd\ufeff")
-    code = ["    ", "\n", "        ", "if x:", "return ", "²", "².", "//", "--", "self._x", "foo(bar)", "== ", " " * 15, " " * 31]
-    texts = [t for k in range(1, 101) for t in (" " * k, "a" + " " * k + "b", " " * k + "b", "a" + " " * k, "\n" + " " * k + "²x", "▁" * k + "a")]
+    code = [
+        "    ",
+        "\n",
+        "        ",
+        "if x:",
+        "return ",
+        "²",
+        "².",
+        "//",
+        "--",
+        "self._x",
+        "foo(bar)",
+        "== ",
+        " " * 15,
+        " " * 31,
+    ]
+    texts = [
+        t for k in range(1, 101) for t in (
+            " " * k, "a" + " " * k + "b", " " * k + "b", "a" + " " * k, "\n" + " " * k + "²x", "▁" * k + "a"
+        )
+    ]
     texts += [t for p in known for t in (p, "x" + p + ".")]
     for n in range(50_000):
         from_, longest = (signs, 40) if n % 3 == 0 else (known, 12) if n % 3 == 1 else (code, 12)
