@@ -10,18 +10,18 @@ from stowage.session import settle
 
 #: The extensions of each media type, and those that are never content.
 EXTENSIONS = {
-    "movies": "mp4 m4v mkv avi mov wmv",
-    "music": "mp3 flac m4a aac wav ogg wma",
-    "photos": "jpg jpeg png gif heic heif tiff bmp raw cr2 nef dng",
-    "documents": "pdf doc docx txt md epub rtf odt xls xlsx ppt pptx",
+    "movies": ("mp4", "m4v", "mkv", "avi", "mov", "wmv"),
+    "music": ("mp3", "flac", "m4a", "aac", "wav", "ogg", "wma"),
+    "photos": ("jpg", "jpeg", "png", "gif", "heic", "heif", "tiff", "bmp", "raw", "cr2", "nef", "dng"),
+    "documents": ("pdf", "doc", "docx", "txt", "md", "epub", "rtf", "odt", "xls", "xlsx", "ppt", "pptx"),
 }
-IGNORED = "nfo mbcopy tmp"
+IGNORED = ("nfo", "mbcopy", "tmp")
 
 
 def type_of_extension() -> Column:
     """A map of extension to the media type that owns it."""
     return F.create_map(
-        *[F.lit(x) for kind, names in EXTENSIONS.items() for name in names.split() for x in (name, kind)]
+        *[F.lit(x) for kind, names in EXTENSIONS.items() for name in names for x in (name, kind)]
     )
 
 
@@ -49,7 +49,7 @@ def gate_and_tag(listing: DataFrame, locations: DataFrame) -> DataFrame:
     )
     owner = F.try_element_at(type_of_extension(), F.col("extension"))
     joined = named.join(known, "storage_location_id").withColumn("owner", owner).filter(
-        ~F.col("extension").isin(*IGNORED.split())
+        ~F.col("extension").isin(*IGNORED)
     )
     kept = joined.filter((F.col("library_type") == "files") | (F.col("owner") == F.col("library_type")))
     return kept.withColumn(

@@ -26,7 +26,12 @@ from stowage.operators.ordered import running
 SAMPLE = 1 << 20
 MIN_SAVING = 0.05
 #: Extensions whose files are compressed already.
-COMPRESSED = "mp4 m4v mkv avi mov wmv flv webm mpg mpeg ts m2ts vob 3gp jpg jpeg png gif webp heic heif avif jp2 mp3 m4a aac ogg opus flac wma zip gz tgz bz2 xz zst 7z rar lz4 docx xlsx pptx odt ods odp epub jar apk"
+COMPRESSED = (
+    "mp4", "m4v", "mkv", "avi", "mov", "wmv", "flv", "webm", "mpg", "mpeg", "ts", "m2ts", "vob", "3gp", "jpg", "jpeg",
+    "png", "gif", "webp", "heic", "heif", "avif", "jp2", "mp3", "m4a", "aac", "ogg", "opus", "flac", "wma", "zip",
+    "gz", "tgz", "bz2", "xz", "zst", "7z", "rar", "lz4", "docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "jar",
+    "apk",
+)
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -34,17 +39,20 @@ def content_hash(files: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def fingerprint(content: pd.Series) -> pd.Series:
-    """BLAKE2b-256 over the size as text, the first MiB, and the last MiB that isn't in the first."""
+def _blake2b(head: pd.Series, tail: pd.Series) -> pd.Series:
+    digests = [None if a is None else hashlib.blake2b(bytes(a) + bytes(b), digest_size=32).hexdigest() for a, b in zip(head, tail)]
+    return pd.Series(digests)
 
-    def one(data: bytes) -> str:
-        h = hashlib.blake2b(str(len(data)).encode(), digest_size=32)
-        h.update(data[:SAMPLE])
-        if len(data) > SAMPLE:
-            h.update(data[max(len(data) - SAMPLE, SAMPLE) :])
-        return h.hexdigest()
 
-    return content.map(one, na_action="ignore")
+def fingerprint(content: str) -> Column:
+    """BLAKE2b-256 over the size as text, the first MiB, and the last MiB that isn't in the first.
+
+    The two ends are cut out by Spark, so at most 2 MiB of a content go to a Python worker, whatever its size.
+    """
+    size = F.octet_length(content)
+    from_ = F.greatest(size - SAMPLE, F.lit(SAMPLE)) + 1
+    head = F.concat(size.cast("string").cast("binary"), F.substring(F.col(content), F.lit(1), F.lit(SAMPLE)))
+    return _blake2b(head, F.substring(F.col(content), from_, F.lit(SAMPLE)))
 
 
 CASTAGNOLI = 0x82F63B78  # a fixed value: the polynomial of CRC32C, its bits reversed
@@ -191,27 +199,33 @@ def decrypt_blob(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
 
 
 def gzip_plan(files: DataFrame) -> DataFrame:
-    """id, extension, content -> id, stored (bytes), compressed: gzip where it saves 5 % or more; extensions decide
-    first.
+    """id, extension, content -> id, stored (bytes), compressed: gzip where it saves 5 % or more.
+
+    Contents whose extension says that they are compressed already stay in Spark; only the others go to Python workers.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for ident, gated, data in frame[["id", "gated", "content"]].itertuples(index=False):
+            for ident, data in frame[["id", "content"]].itertuples(index=False):
                 data = bytes(data)
-                sample = data[:SAMPLE] + (
-                    data[len(data) // 2 : len(data) // 2 + SAMPLE] if len(data) > 4 * SAMPLE else b""
-                )
+                middle = len(data) // 2
+                sample = data[:SAMPLE] + (data[middle : middle + SAMPLE] if len(data) > 4 * SAMPLE else b"")
                 stored = data
-                if not gated and data and len(zlib.compress(sample, 6)) <= len(sample) * (1 - MIN_SAVING):
+                if data and len(zlib.compress(sample, 6)) <= len(sample) * (1 - MIN_SAVING):
                     packed = gzip.compress(data, 6, mtime=0)
                     stored = packed if len(packed) <= len(data) * (1 - MIN_SAVING) else data
                 out.append((ident, stored, stored is not data))
             yield pd.DataFrame(out, columns=["id", "stored", "compressed"])
 
-    gated = files.select("id", F.col("extension").isin(*COMPRESSED.split()).alias("gated"), "content")
-    return gated.mapInPandas(run, f"id {files.schema['id'].dataType.simpleString()}, stored binary, compressed boolean")
+    gated = F.coalesce(F.col("extension").isin(*COMPRESSED), F.lit(False))
+    kind = files.schema["id"].dataType.simpleString()
+    tried = files.filter(~gated).select("id", "content").mapInPandas(
+        run, f"id {kind}, stored binary, compressed boolean"
+    )
+    return tried.unionByName(
+        files.filter(gated).select("id", F.col("content").alias("stored"), F.lit(False).alias("compressed"))
+    )
 
 
 def gzip_ends(stored: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from stowage.plans.registry import query
 from stowage.session import shared_dir
 from stowage.sources.views import Tables
 
-_TYPES = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names.split())}) THEN '{kind}'" for kind, names in catalog.EXTENSIONS.items()) + " END"
+_TYPES = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names)}) THEN '{kind}'" for kind, names in catalog.EXTENSIONS.items()) + " END"
 _GATED = f"""
     n AS (SELECT s.path, s.size, s.storage_location_id, string_split(s.path, '/')[-1] AS filename, lower(regexp_extract(string_split(s.path, '/')[-1], '^.+\\.([^./]*)$', 1)) AS ext FROM listing s),
     g AS (SELECT n.*, l.path AS root, l.media_type AS lt, {_TYPES} AS owner FROM n JOIN storage_locations l ON l.id = n.storage_location_id),
