@@ -37,17 +37,17 @@ from stowage.llm.common import text_bytes
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
-    "germanic": "af da de en fy is lb nl no nb nn sv yi",
-    "romance": "ca es fr gl it oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "baltic": "lt lv",
-    "celtic": "br cy ga gd",
-    "uralic": "et fi hu",
-    "turkic": "az kk ky tr tt uz",
-    "indo-aryan": "bn gu hi mr ne pa ur",
-    "semitic": "am ar he mt",
+    "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "nb", "nn", "sv", "yi"),
+    "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
+    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("br", "cy", "ga", "gd"),
+    "uralic": ("et", "fi", "hu"),
+    "turkic": ("az", "kk", "ky", "tr", "tt", "uz"),
+    "indo-aryan": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
+    "semitic": ("am", "ar", "he", "mt"),
 }
-FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 BUCKETS = 8_192
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 SCALE = 100.0
