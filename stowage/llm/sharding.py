@@ -3,7 +3,8 @@
 A row's key hashes to 60 bits. The directory is indexed by the leading bits; a bucket of more than the byte limit
 splits on one more bit, and only that bucket, so a row's shard is the shortest prefix of its hash whose bucket fits.
 All the depths of a round come from one pre-aggregated histogram of `bits` bits: rows are read once, and the shuffle
-has at most one row for each task and prefix. Buckets that are still too large after a round go on with the next bits.
+has at most one row for each task and prefix. Buckets that are still too large after a round go on with the next bits,
+no more of them than the largest needs.
 
 Defined cases: a null text has 0 bytes; a null key hashes like the empty text; a row that alone exceeds the limit
 is a shard of its own. Rows with one and the same hash (a key that holds many rows) can't be told apart by more bits;
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut
+from stowage.llm.common import cut, drop
 
 HASH_BITS = 60
 
@@ -80,13 +81,15 @@ def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20
         F.xxhash64(F.col(key), F.col(text)).alias("whole"),
     )
     rows, done = cut(base.withColumn("root", F.lit("")), "shard-rows"), None
-    low, rehashed = 0, False
+    low, rehashed, wish = 0, False, bits
     while True:
-        step = min(bits, HASH_BITS - low)
+        step = min(wish, HASH_BITS - low)
         shift = HASH_BITS - low - step
         cell = F.shiftright("h", shift)
         cells = cut(
-            rows.groupBy("root", cell.alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")),
+            rows.groupBy("root", cell.alias("cell")).agg(
+                F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), (F.min("h") == F.max("h")).alias("one_hash")
+            ),
             "shard-cells",
         )
         found = cut(_round(cells, low, step, limit), "shard-directory")
@@ -107,6 +110,13 @@ def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20
             return _named(done, key)
         left = joined.filter(F.col("s").isNull()).select("id", "n_bytes", "h", "whole", "root")
         low += step
+        # the next round asks for the bits that its largest bucket needs, as its rows would soon be cells of their own;
+        # where all that is left are buckets of one hash, more bits don't help
+        rest = cells.join(found.select("root", "cell"), ["root", "cell"], "left_anti")
+        most, one_hash = rest.agg(F.max("b"), F.bool_and("one_hash")).first()
+        wish = min(bits, (most // limit).bit_length() + 2)
+        if one_hash:
+            low = HASH_BITS
         if low == HASH_BITS:
             if rehashed:
                 return _named(done.unionByName(_numbered(cut(left, "shard-copies"), limit)), key)
@@ -115,6 +125,7 @@ def assign_shards(df: DataFrame, key: str, text: str, limit: int, bits: int = 20
                 "root", F.concat("root", F.lpad(F.conv(F.col("h").cast("string"), 10, 2), HASH_BITS, "0"), F.lit("/"))
             ).withColumn("h", hash60(F.col("whole").cast("string")))
             low, rehashed = 0, True
+        drop(cells)
         rows = cut(left, "shard-rows")
 
 
