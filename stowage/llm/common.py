@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -56,6 +57,7 @@ def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> Dat
         spark.conf.set(LET_GO, before)
     out = spark.table(full)
     out.cut_table = full
+    gc.collect()  # plans of steps that are through, which Python's references keep alive in the driver
     return out
 
 

@@ -197,12 +197,17 @@ def fit(
     taken = bags.withColumn(
         "r", F.row_number().over(Window.partitionBy("label").orderBy("draw", F.xxhash64("bag")))
     ).filter(F.col("r") <= each)
-    got = sorted((r["label"], r["draw"], bytes(r["bag"])) for r in taken.collect())
-    if not got:
+    got = taken.select("label", "draw", "bag").toArrow()
+    if not got.num_rows:
         return None
-    x = np.ones((len(got), BUCKETS + 1), np.float32)
-    x[:, :-1] = np.frombuffer(b"".join(g[2] for g in got), "<f2").reshape(len(got), BUCKETS).astype(np.float32) * SCALE
-    return Model(x, [g[0] for g in got])
+    # one copy of the bags only is held beside what the machines are fitted on
+    labels, draws, bag = got.column("label").to_pylist(), got.column("draw").to_pylist(), got.column("bag")
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], draws[i], bag[i].as_py()))
+    x = np.ones((len(order), BUCKETS + 1), np.float32)
+    for k, i in enumerate(order):
+        x[k, :-1] = np.frombuffer(bag[i].as_buffer(), "<f2")
+    x[:, :-1] *= SCALE
+    return Model(x, [labels[i] for i in order])
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str, text_col: str) -> DataFrame:

@@ -146,17 +146,20 @@ def fit(
         "id", (upto - F.octet_length("text")).alias("before"), upto.alias("upto")
     ).filter((F.col("upto") <= sample_bytes) | (F.col("before") == 0))
     rows = texts.join(F.broadcast(within.select("id")), "id", "left_semi").select("_draw", "mark", "text")
-    got = rows.mapInArrow(run, "draw long, mark int, feature binary, value binary").toArrow().to_pylist()
+    got = rows.mapInArrow(run, "draw long, mark int, feature binary, value binary").toArrow()
     drop(texts)
-    examples = sorted((r["draw"], r["mark"], bytes(r["feature"]), bytes(r["value"])) for r in got)
+    draws, marks_of = got.column("draw").to_pylist(), got.column("mark").to_pylist()
+    at, values = got.column("feature"), got.column("value")
+    order = sorted(range(len(draws)), key=lambda i: (draws[i], marks_of[i], at[i].as_py(), values[i].as_py()))
+    examples = [(marks_of[i], at[i].as_buffer(), values[i].as_buffer()) for i in order]
     if not examples:
         return None
-    good = sum(m for _, m, _, _ in examples)
+    good = sum(m for m, _, _ in examples)
     weight = {1: len(examples) / (2 * max(1, good)), 0: len(examples) / (2 * max(1, len(examples) - good))}
-    model, order = Ftrl(), np.random.default_rng(17)
+    model, shuffle = Ftrl(), np.random.default_rng(17)
     for _ in range(epochs):
-        for k in order.permutation(len(examples)):
-            _, mark, at, value = examples[k]
+        for k in shuffle.permutation(len(examples)):
+            mark, at, value = examples[k]
             model.learn(
                 np.append(np.frombuffer(at, "<i4"), CONSTANT),
                 np.append(np.frombuffer(value, "<f4") * SCALE, 1.0),
