@@ -20,9 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = cut(_down(edges), "edges")
-    before = None
-    while (state := _state(now)) != before:
-        before = state
+    while not _stars_only(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: neighbours above a vertex go to the least of its neighbourhood
@@ -48,5 +46,9 @@ def _down(edges: DataFrame) -> DataFrame:
     ).filter(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has either one link down, to a root, or only links from above: then all roots are found."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
