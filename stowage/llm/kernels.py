@@ -145,7 +145,7 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     while have < width:
         step = min(have, width - have)
         moved = at.copy()
-        moved[: len(x) - step] = at[step:]
+        moved[: max(0, len(x) - step)] = at[step:]
         at = np.where(x[moved] < x[at], moved, at)
         have += step
     return at

@@ -54,3 +54,12 @@ def test_sliding():
 @given(TEXT)
 def test_fingerprints(text):
     assert xxh64_fingerprint(text.encode(), 4) == simhash(text)
+
+
+def test_the_leftmost_least_of_each_stretch():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 5, 12, 60):
+        x = rng.integers(0, 6, n).astype(np.uint64)
+        for width in (1, 2, 7, 38, 100):
+            got = K.leftmost_least(x, width)
+            assert got.tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(n)]

@@ -291,6 +291,17 @@ def test_repeated_words_go(spark, length):
     assert substring.dedup_words(awkward(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_tables_of_few_words_keep_them(spark):
+    """Fewer words than a window, in all of a table."""
+    rows = [(1, "a b"), (2, "a b"), (3, "c d e f g h i"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for length in (13, 50):
+        got = substring.dedup_words(df, "doc_id", "text", length).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == _plain_dedup(
+            rows, length
+        )
+
+
 def test_levels_double():
     for length in range(1, 200):
         sizes = substring.levels(length)
