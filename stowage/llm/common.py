@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,9 @@ def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> Dat
         spark.conf.set(LET_GO, before)
     out = spark.table(full)
     out.cut_table = full
-    gc.collect()  # plans of steps that are through, which Python's references keep alive in the driver
+    # plans of steps that are through, which Python's references keep alive in the driver, and memory that Arrow holds back
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     return out
 
 
