@@ -38,8 +38,11 @@ def database(spark: SparkSession) -> str:
     return name
 
 
-def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+def cut(
+    df: DataFrame, name: str, buckets: tuple[int, str] | None = None, folders: str | None = None
+) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again. buckets: into how many, by which column.
+    folders: a column of few values; a filter on it reads its folder only.
 
     This cuts the lineage, so a lost executor never repeats more than one step, and gives adaptive execution
     plain tables to join, whose skewed partitions it can split. The shuffle files of the write are let go. drop()
@@ -50,6 +53,8 @@ def cut(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> Dat
     writer = df.write.format("parquet").option("compression", "zstd")
     if buckets:
         writer = writer.bucketBy(*buckets)
+    if folders:
+        writer = writer.partitionBy(folders)
     before = spark.conf.get(LET_GO, "false")
     spark.conf.set(LET_GO, "true")
     try:

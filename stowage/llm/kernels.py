@@ -151,6 +151,19 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def word_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray = WORD) -> pa.Array:
+    """The runs that spans() found with these kinds as a binary array, to be told apart by their bytes."""
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    kept = np.ascontiguousarray(raw[kinds[raw] > 0])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values (rows) by document; first has one more entry than documents."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)

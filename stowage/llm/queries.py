@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bm25, langid, media, packing, piece_bpe, quality, sharding, simhash, substring, warc
+from stowage.llm import (
+    bm25, collocations, fertility, langid, lexical, media, packing, piece_bpe, quality, sharding, simhash, substring, warc,
+)
 from stowage.llm.common import crc32_mod, table
 
 SHARD_BYTES = 1 << 20
@@ -72,6 +74,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.ranked(docs, items, "doc_id", "text", "item_id", "text", k=10)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, ranks = (public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return fertility.judge(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", pieces, ranks)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"), "text", "lang", least=100, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bm25_top_k,
         op9_sentencepiece,
         op10_quality_classifier,
+        op11_ranked_lexical_search,
+        op12_quality_rules,
+        op13_phrase_collocations,
     )
 }
 
@@ -126,4 +145,30 @@ ORACLE_SQL: dict[str, str] = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
     """,
+    "op11_ranked_lexical_search": r"""
+        WITH x AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM documents),
+             g AS (SELECT count(*)::BIGINT AS big_n, sum(len(a))::BIGINT AS big_l FROM x WHERE len(a) > 0),
+             t AS (SELECT i, term, any_value(doc_id) AS doc_id, any_value(n) AS n, count(*) AS tf FROM (SELECT i, doc_id, len(a) AS n, unnest(a) AS term FROM x) GROUP BY i, term),
+             w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, g GROUP BY term),
+             q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+             s AS (SELECT item_id, i, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))))::BIGINT AS score
+                   FROM q JOIN w ON w.term = q.term JOIN t ON t.term = q.term, g GROUP BY item_id, i),
+             r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_phrase_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             a AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS a FROM p),
+             w AS (SELECT lang, k, array_to_string(a[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, a, k, unnest(generate_series(1, len(a) - k + 1)) AS i FROM a, generate_series(1, 5) AS t(k) WHERE len(a) >= k)),
+             n AS (SELECT lang, count(*) AS n FROM w WHERE k = 1 GROUP BY lang),
+             f AS (SELECT lang, any_value(k) AS k, phrase, count(*) AS f FROM w GROUP BY lang, phrase HAVING count(*) >= 100),
+             c AS (SELECT f.lang, f.phrase, f.f AS a, j, string_split(f.phrase, ' ') AS v FROM f, generate_series(1, 4) AS t(j) WHERE f.k > 1 AND j < f.k),
+             s AS (SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+                   FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(v[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(v[j + 1 : len(v)], ' ') JOIN n ON n.lang = c.lang),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+             o AS (SELECT lang, array_to_string(v[i : i + m - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, string_split(phrase, ' ') AS v, f, m, unnest(generate_series(1, k - m + 1)) AS i FROM f, generate_series(2, 4) AS t(m) WHERE m < k) GROUP BY 1, 2),
+             e AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100 * o.f < 100 * b.a),
+             z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+        SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM z WHERE rank <= 2000
+    """,
 }
