@@ -52,7 +52,7 @@ class Words:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> None:
         part = K.LOWER[raw]
         starts, ends, first = K.spans(part, offsets, WORDS)
-        coded = K.word_array(part, starts, ends, WORDS).dictionary_encode()
+        coded = K.word_array(part, starts, ends).dictionary_encode()
         names = langs.dictionary_encode()
         self.words, self.langs = coded.dictionary, names.dictionary
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))

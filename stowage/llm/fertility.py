@@ -143,7 +143,7 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, tokens: Vocabularies) -> dict
     lines, line_ends, line_first = K.spans(raw, offsets, LINE)
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, lines)
     line_doc = np.repeat(np.arange(n_docs), np.diff(line_first))
-    line = K.word_array(raw, lines, line_ends, LINE).dictionary_encode().indices.to_numpy().astype(np.int64)
+    line = K.word_array(raw, lines, line_ends).dictionary_encode().indices.to_numpy().astype(np.int64)
     key = np.unique((line_doc * (len(lines) + 1) + line)[worded])
     out["n_dup_lines"] = np.bincount(line_doc[worded], minlength=n_docs) - np.bincount(key // (len(lines) + 1), minlength=n_docs)
     out["n_repeat_words"] = _per_doc(repeated_words(word, doc), first)

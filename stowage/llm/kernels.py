@@ -7,14 +7,13 @@ many documents one after another, so its cost doesn't depend on how the bytes ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
-_B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
+_C = 0xC2B2AE3D27D4EB4F
 WORD = np.ones(256, np.uint8)
 WORD[[9, 10, 11, 12, 13, 32]] = 0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,16 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    per_byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B))
-    power, inverse = np.empty(CHUNK + 1, np.uint64), np.empty(CHUNK + 1, np.uint64)
-    inv = pow(_B, -1, 1 << 64)
-    power[0] = inverse[0] = 1
-    power[1:], inverse[1:] = np.uint64(_B), np.uint64(inv)
-    return per_byte, np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-
-
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary array, and where each value starts (one more entry than values)."""
     if isinstance(array, pa.ChunkedArray):
@@ -79,48 +68,50 @@ def spans(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORD) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes from starts to ends, which don't overlap, as a binary array."""
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    kept = np.ascontiguousarray(raw[np.cumsum(inside[:-1], dtype=np.int8) > 0])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
+def word_hash_pairs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit XXH3 of each word; each distinct word is hashed once."""
+    coded = word_array(raw, starts, ends).dictionary_encode()
+    digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    of = coded.indices.to_numpy()
+    return both[of, 0], both[of, 1]
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, taken from running sums, then mixed."""
-    per_byte, power, inverse = _tables()
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        base = int(starts[lo])
-        hi = int(np.searchsorted(ends, base + CHUNK, "right"))
-        if hi <= lo:  # one word longer than a chunk
-            total, carry = np.uint64(0), np.uint64(1)
-            for a in range(base, int(ends[lo]), CHUNK):
-                piece = per_byte[raw[a : min(a + CHUNK, int(ends[lo]))]]
-                total = np.uint64(
-                    (int(total) + int(carry) * int((piece * power[: len(piece)]).sum(dtype=np.uint64))) & _MASK
-                )
-                carry = np.uint64((int(carry) * int(power[CHUNK])) & _MASK)
-            out[lo], hi = total, lo + 1
-        else:
-            piece = raw[base : int(ends[hi - 1])]
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(per_byte[piece] * power[: len(piece)], out=sums[1:])
-            s = starts[lo:hi] - base
-            out[lo:hi] = (sums[ends[lo:hi] - base] - sums[s]) * inverse[s]
-        lo = hi
-    return mix(out + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word."""
+    return word_hash_pairs(raw, starts, ends)[0]
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; the last n - 1 entries are not meaningful.
 
-    Built by doubling: the value at twice a length is made from two values at that length.
+    Built by doubling: the value at twice a length is mixed from two values at that length, so no sums of words cancel.
     """
-    total, length, level, step = np.zeros(len(words), np.uint64), 0, words, 1
+    total, length, level, step = words.copy(), 0, words, 1
     rest = n
     while rest:
         if rest & 1:
-            total[: max(0, len(words) - length)] += level[length:] * np.uint64(pow(_C, length, 1 << 64))
+            if length:
+                kept = max(0, len(words) - length)
+                total[:kept] = mix(total[:kept] * np.uint64(_C) + level[length:])
+            else:
+                total = level.copy()
             length += step
         rest >>= 1
         if rest:
             wider = level.copy()
-            wider[:-step] += level[step:] * np.uint64(pow(_C, step, 1 << 64))
+            wider[:-step] = mix(level[:-step] * np.uint64(_C) + level[step:])
             level, step = wider, step * 2
     return mix(total)
 
@@ -151,14 +142,6 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def word_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray = WORD) -> pa.Array:
-    """The runs that spans() found with these kinds as a binary array, to be told apart by their bytes."""
-    offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(ends - starts, out=offsets[1:])
-    kept = np.ascontiguousarray(raw[kinds[raw] > 0])
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
-
-
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after another."""
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))

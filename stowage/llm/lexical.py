@@ -51,7 +51,7 @@ def _terms(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
             part, offsets = K.LOWER[raw[at[a] : at[b]]], at[a : b + 1] - at[a]
             starts, ends, first = K.spans(part, offsets, TERM)
             n = np.diff(first)
-            yield batch.slice(a, b - a), np.repeat(np.arange(b - a), n), K.word_array(part, starts, ends, TERM), n
+            yield batch.slice(a, b - a), np.repeat(np.arange(b - a), n), K.word_array(part, starts, ends), n
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,13 +11,16 @@
 
 No group is larger than `group_rows` on average, so no task grows with the table. A piece is in one place only, and
 rounds move bins, never drop them. Defined cases: a null or empty text is the end id alone; a null id and repeated
-ids are kept as rows of their own; an empty table gives no rows.
+ids are kept as rows of their own, dealt by row and not by what is in it; a text of any length is encoded whole, long runs
+of blanks too; pieces of equal length are interchangeable; only id and text are read, so extra columns can't clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +48,31 @@ def encoder(ranks_file: bytes, end_of_text: str = "<|endoftext|>") -> tiktoken.E
     return _ENCODERS[key]
 
 
+#: Blanks as the pattern's \s has them, and how many in a row are taken out of the text before the pattern sees it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{BLANKS}]{{{10_000},}}")
+
+
+def token_ids(encode: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text. Of a long run of blanks the pattern's engine would keep a way back for each; by its rule such a run
+    is one piece but for its last blank, which goes with the word after it, and whole at the end of the text or before a mark.
+    """
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end()
+        if end < len(text) and not text.startswith(tuple(encode.special_tokens_set), end):
+            end -= 1
+        out.append(encode.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        out.append(np.array(_blanks(encode, text[run.start() : end]), np.uint32))
+        at = end
+    out.append(encode.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out)
+
+
+def _blanks(encode: tiktoken.Encoding, run: str) -> list[int]:
+    return encode._encode_single_piece(run)
+
+
 def pieces(
     df: DataFrame,
     id_col: str,
@@ -66,9 +94,7 @@ def pieces(
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                tokens = np.append(
-                    encode.encode_to_numpy(text.as_py().decode("utf-8", "replace"), allowed_special="all"), end_id
-                ).astype("<u4")
+                tokens = np.append(token_ids(encode, text.as_py().decode("utf-8", "replace")), end_id).astype("<u4")
                 head = len(tokens) % capacity
                 for k, lo in enumerate(([0] if head else []) + list(range(head, len(tokens), capacity))):
                     part = tokens[lo : lo + (head if head and not lo else capacity)]
@@ -200,7 +226,8 @@ def pack(
         n = open_rows.count()
         if not n:
             break
-        by = F.xxhash64("doc_id", "piece", "ids_crc32") if not r else F.xxhash64("sequence_id", F.lit(r))
+        # a written table's rows keep their order, so a row's number in it deals equal rows to different groups
+        by = F.xxhash64(F.monotonically_increasing_id()) if not r else F.xxhash64("sequence_id", F.lit(r))
         groups = group_count(n, group_rows)
         placed = cut(
             open_rows.withColumn(

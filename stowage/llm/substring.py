@@ -13,8 +13,8 @@ repeats too. The first level has one row for a few words only, and windows found
 level forms only windows of those
 full windows whose window of the level before repeats elsewhere, twice as long; the loop ends when no candidates are
 left, or with windows of the full
-length, of which those are kept that a smaller id has too. Those are told apart by 128 bits, shorter ones by 64, where
-a false equal only costs work.
+length, of which those are kept that a smaller id has too. Those are told apart by 128 bits, made from the 128-bit XXH3 of
+each word; shorter ones by 64, where a false equal only costs work.
 Last, each document drops the words under its surviving windows.
 
 A document whose whole text a smaller id has too loses all its words (if it has a window at all) and takes part in no
@@ -51,7 +51,6 @@ from stowage.llm.common import cut, drop, text_bytes
 SAMPLE_DOCS, HOT_IN_SAMPLE, HOT_KEYS = 8_192, 12, 200_000
 LEAST = 7
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
-OTHER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def levels(length: int) -> list[int]:
@@ -68,7 +67,7 @@ class Words:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int) -> None:
         self.length = length
         self.starts, self.ends, self.first = K.spans(raw, offsets)
-        self.hash = K.word_hashes(raw, self.starts, self.ends)
+        self.hash, self.other = K.word_hash_pairs(raw, self.starts, self.ends)
         n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(n)), n)
         left = np.repeat(self.first[1:], n) - np.arange(len(self.hash))  # words from here to the document's end
@@ -86,10 +85,9 @@ class Words:
         return hashes[np.minimum(least, self.rows + self.length - size)]
 
     def full(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each full window."""
-        return K.ngram_hashes(self.hash, self.length)[self.rows], K.ngram_hashes(
-            K.mix(self.hash ^ OTHER), self.length
-        )[self.rows]
+        """Two hashes of each full window, one from each half of its words' hashes."""
+        one, two = (K.ngram_hashes(h, self.length) for h in (self.hash, self.other))
+        return one[self.rows], two[self.rows]
 
 
 def _distinct(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
