@@ -10,8 +10,8 @@ a phrase's occurrences within pieces of one language. Frequent are phrases of 1
 3. A phrase is active for as many steps as there are shards, which sees each shard once, so its count is exact. Then it is
    closed: kept if frequent, else forgotten. Steps go on until no phrase is active and none can become so.
 
-Marks are a table of 2^bits bytes, whatever the corpus: a phrase's hash gives a place, the byte the first step that its
-extensions may be counted in. A place that two phrases share only makes extensions active that needn't be; when a
+Marks are a table of 2^bits bytes, whatever the corpus, broadcast packed: a phrase's hash gives a place, the byte the first
+step that its extensions may be counted in. A place that two phrases share only makes extensions active that needn't be; when a
 phrase is active still depends on its words alone and it is still counted for one full round. Nothing else is hashed:
 phrases are grouped and kept by their words. Counts are summed in each batch, then in each task, then shuffled.
 
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +95,21 @@ class Words:
         return pc.binary_join_element_wise(text, names, pa.scalar(b"\n", pa.binary())).view(pa.string())
 
 
-def _scan(shard: DataFrame, marks: np.ndarray, step: int, shards: int) -> DataFrame:
+_OPENED: list = [None, None]
+
+
+def _opened(packed: bytes, size: int) -> np.ndarray:
+    """The table of marks, unpacked once in a worker for all tasks of a step."""
+    if _OPENED[0] != packed:
+        _OPENED[:] = packed, np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8)
+    return _OPENED[1]
+
+
+def _scan(shard: DataFrame, marks: Broadcast, bits: int, step: int, shards: int) -> DataFrame:
     """(phrase, tag, n): what a step counts. tag holds the phrase's place, the step it became active in and its length."""
-    shared, bits = shard.sparkSession.sparkContext.broadcast(marks), int(len(marks)).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = _opened(marks.value, 1 << bits)
         for batch in batches:
             raw, offsets = K.flat(batch.column(1))
             for lo, hi in K.parts(offsets, PART_BYTES):
@@ -152,13 +162,15 @@ def frequent_phrases(
     while step < latest + shards:
         if latest + shards >= NEVER:
             raise ValueError(f"{shards} shards are too many")
-        found = _scan(dealt.filter(F.col("shard") == step % shards).select("lang", "text"), marks, step, shards)
+        shared = docs.sparkSession.sparkContext.broadcast(pa.compress(marks, "zstd", asbytes=True))
+        found = _scan(dealt.filter(F.col("shard") == step % shards).select("lang", "text"), shared, bits, step, shards)
         found = found.select("phrase", "tag", "n", F.lit(0).cast("long").alias("was"))
         if counted is not None:
             still = counted.filter(start + (shards - 1) >= step)
             found = found.unionByName(still.select("phrase", "tag", "n", F.col("n").alias("was")))
         now = cut(found.groupBy("phrase", "tag").agg(F.sum("n").alias("n"), F.sum("was").alias("was")), "counted")
         drop(counted)
+        shared.destroy()
         counted = now
         places = _set_places(counted.filter((F.col("n") >= least) & (F.col("was") < least) & (length < LONGEST)))
         places = places[marks[places] == NEVER]
@@ -170,10 +182,11 @@ def frequent_phrases(
         if step == shards - 1:  # words are closed
             totals = cut(closed.filter(length == 1).groupBy(lang.alias("lang")).agg(F.sum("n").alias("n")), "totals")
         step += 1
-    drop(counted, dealt)
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
+    out = cut(out, "phrases")
+    drop(counted, dealt, *kept)
     return out, totals
 
 
