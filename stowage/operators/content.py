@@ -9,19 +9,20 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
-import tarfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from stowage.functions import scalars
 from stowage.operators.ordered import running
+from stowage.sources import objects
 
 SAMPLE = 1 << 20
 MIN_SAVING = 0.05
@@ -72,62 +73,60 @@ def _zeros_operator(length: int) -> np.ndarray:
     multiplied like a power.
     """
     table = _crc_table()
-
-    def apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return tables[0][x & 0xFF] ^ tables[1][x >> 8 & 0xFF] ^ tables[2][x >> 16 & 0xFF] ^ tables[3][x >> 24]
-
     units = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
     power = np.stack([table[u & 0xFF] ^ (u >> 8) for u in units])
     total = units
     while length:
         if length & 1:
-            total = np.stack([apply(power, t) for t in total])
-        power = np.stack([apply(power, p) for p in power])
+            total = np.stack([_mapped(power, t) for t in total])
+        power = np.stack([_mapped(power, p) for p in power])
         length >>= 1
     return total
 
 
-@F.pandas_udf(StringType())
-def crc32c(content: pd.Series) -> pd.Series:
-    """Base64 of the big-endian CRC32C (Castagnoli), as object stores report it.
+def _mapped(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return tables[0][x & 0xFF] ^ tables[1][x >> 8 & 0xFF] ^ tables[2][x >> 16 & 0xFF] ^ tables[3][x >> 24]
+
 
-    Contents are cut into lanes of LANE bytes from their ends; all lanes of all rows advance together, a byte a step,
-    and a row's lanes are then
-    joined from left to right by the map that LANE zero bytes are.
+def _registers(content: pd.Series, start: int) -> np.ndarray:
+    """The CRC register after each content, from a start; that start for null.
+
+    Contents are cut into lanes of LANE bytes from their ends; all lanes of all rows advance together, a byte a step, and a
+    row's lanes are then joined from left to right by the map that LANE zero bytes are.
     """
     table, shift = _crc_table(), _zeros_operator(LANE)
-    rows = [i for i, c in enumerate(content) if c is not None]
-    out: list[str | None] = [None] * len(content)
-    sizes = np.array([len(content.iloc[i]) for i in rows], np.int64)
+    sizes = np.array([0 if c is None else len(c) for c in content], np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.uint32)
     lanes = np.maximum(1, -(-sizes // LANE))
     first = np.cumsum(lanes) - lanes
     block = np.zeros((int(lanes.sum()), LANE), np.uint8)
-    for k, i in enumerate(rows):
-        block[first[k] : first[k] + lanes[k]].reshape(-1)[
-            int(lanes[k]) * LANE - int(sizes[k]) :
-        ] = np.frombuffer(content.iloc[i], np.uint8)
+    for k, c in enumerate(content):
+        if sizes[k]:
+            block[first[k] : first[k] + lanes[k]].reshape(-1)[int(lanes[k]) * LANE - int(sizes[k]) :] = np.frombuffer(c, np.uint8)
     crc = np.zeros(len(block), np.uint32)
-    skip = np.zeros(len(block), np.int64)  # a row's first lane is short: it starts where its bytes do, from all ones
-    skip[first] = lanes * LANE - sizes
-    fresh = np.argsort(skip[first], kind="stable")
-    begun = np.sort(skip[first], kind="stable")
+    skip = lanes * LANE - sizes  # a row's first lane is short: it starts where its bytes do
+    fresh = np.argsort(skip, kind="stable")
+    begun = np.sort(skip, kind="stable")
     by_step = np.ascontiguousarray(block.T)
     for at in range(LANE):
         lo, hi = np.searchsorted(begun, [at, at + 1])
-        crc[first[fresh[lo:hi]]] = 0xFFFFFFFF
+        crc[first[fresh[lo:hi]]] = start
         crc = table[(crc ^ by_step[at]) & 0xFF] ^ (crc >> np.uint32(8))
         crc[first[fresh[hi:]]] = 0
-    crc[first[sizes == 0]] = 0xFFFFFFFF
+    crc[first[sizes == 0]] = start
     total = crc[first]
     for step in range(1, int(lanes.max(initial=1))):
         live = np.flatnonzero(lanes > step)
-        x = total[live]
-        total[live] = shift[0][x & 0xFF] ^ shift[1][x >> 8 & 0xFF] ^ shift[2][x >> 16 & 0xFF] ^ shift[3][x >> 24] ^ crc[
-            first[live] + step
-        ]
-    for k, i in enumerate(rows):
-        out[i] = base64.b64encode(int(total[k] ^ 0xFFFFFFFF).to_bytes(4, "big")).decode()
-    return pd.Series(out)
+        total[live] = _mapped(shift, total[live]) ^ crc[first[live] + step]
+    return total
+
+
+@F.pandas_udf(StringType())
+def crc32c(content: pd.Series) -> pd.Series:
+    """Base64 of the big-endian CRC32C (Castagnoli), as object stores report it."""
+    told = _registers(content, 0xFFFFFFFF) ^ np.uint32(0xFFFFFFFF)
+    return pd.Series([None if c is None else base64.b64encode(int(x).to_bytes(4, "big")).decode() for c, x in zip(content, told)])
 
 
 def content_ids(records: DataFrame, keys: DataFrame, present: DataFrame, label: str = "content-id:") -> DataFrame:
@@ -281,47 +280,159 @@ def deal_to_archives(members: DataFrame, group: str, order: str, archive_bytes:
     return placed.select(*members.columns, F.concat_ws("-", group, number).alias("archive"))
 
 
-def write_archives(members: DataFrame) -> DataFrame:
-    """One PAX tar for each archive (archive, member, content): archive, tar, and the offsets read back from it."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
-        with tarfile.open(fileobj=buffer, mode="w", format=tarfile.PAX_FORMAT) as tar:
-            for name, data in frame.sort_values("member")[["member", "content"]].itertuples(index=False):
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        buffer.seek(0)
-        with tarfile.open(fileobj=buffer) as tar:
-            read = [(m.name, m.offset_data, m.size) for m in tar]
-        return pd.DataFrame(
-            [(key[0], buffer.getvalue(), [n for n, _, _ in read], [o for _, o, _ in read], [s for _, _, s in read])],
-            columns=["archive", "tar", "names", "offsets", "sizes"],
-        )
-
-    return members.groupBy("archive").applyInPandas(
-        run,
-        f"archive {members.schema['archive'].dataType.simpleString()}, tar binary, names array<string>, offsets array<long>, sizes array<long>",
-    )
-
+def prepare(files: DataFrame, chunk: int) -> DataFrame:
+    """The stored form of contents: compressed where that saves 5 %, then sealed where a key is given.
 
-def restore(parts: DataFrame, expected: DataFrame) -> DataFrame:
-    """id, verdict, content from parts (id, part, data) in order; a verdict other than ok comes without content.
-
-    expected: id, sha256, compressed.
+    files: id, extension, content, key and prefix (of the seal; null: none). Returns id, stored, compressed, sealed. Each content
+    goes through both steps by itself; a sealed one's chunks are put together again in their order.
     """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        row = frame.sort_values("part")
-        data = b"".join(row["data"])
+    kept = files.select("id", F.col("key"), "prefix")
+    packed = gzip_plan(files.select("id", "extension", "content")).join(kept, "id")
+    open_, closed = packed.filter("key is null"), packed.filter("key is not null")
+    chunks = encrypt_blob(closed.select("id", F.col("stored").alias("content"), "key", "prefix"), chunk)
+    blobs = chunks.groupBy("id").agg(
+        F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("i", "sealed"))).alias("c")
+    ).select("id", F.concat("header", F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["sealed"])), ""))).alias("stored"))
+    sealed = closed.select("id", "compressed").join(blobs, "id").select("id", "stored", "compressed", F.lit(True).alias("sealed"))
+    return open_.select("id", "stored", "compressed", F.lit(False).alias("sealed")).unionByName(sealed)
+
+
+def opened(streams: DataFrame) -> DataFrame:
+    """The rows of read_streams with `plain`, their bytes without the seal, null where they don't open. streams also have `key`."""
+    nonce = F.concat(F.substring("head", 5, 4), F.unhex(F.lpad(F.hex(F.col("i")), 16, "0")))
+    chunk = F.try_aes_decrypt(F.concat(nonce, "data"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("head"))
+    return streams.withColumn("plain", F.when(F.col("key").isNull(), F.col("data")).otherwise(chunk)).drop("data", "key")
+
+
+class _Inflate:
+    """Gzip members of a stream, a block at a time."""
+
+    def __init__(self) -> None:
+        self.member, self.ended = zlib.decompressobj(31), False
+
+    def take(self, data: bytes) -> Iterator[bytes]:
+        while data:
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+            yield self.member.decompress(data, objects.BLOCK)
+            data = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+        while not self.member.eof and (more := self.member.decompress(b"", objects.BLOCK)):
+            yield more
+
+    def whole(self) -> bool:
+        return self.member.eof
+
+
+class _Checked:
+    """One id's bytes on their way: hashed, and written under a name of their own if there is a target."""
+
+    def __init__(self, compressed: bool, sha256: str | None, target) -> None:
+        self.inflate, self.sha, self.wanted, self.bytes = _Inflate() if compressed else None, hashlib.sha256(), sha256, 0
+        self.plain_size, self.opened, self.next, self.missing, self.broken, self.file = None, 0, 0, False, False, target
+
+    def take(self, i: int, head: bytes, plain: bytes | None, gone: bool) -> None:
+        self.missing = self.missing or gone
+        self.broken = self.broken or plain is None or i != self.next or bool(head) and head[:4] != MAGIC
+        self.next += 1
+        if head:
+            self.plain_size = int.from_bytes(head[12:20], "big")
+        if self.broken:
+            return
+        self.opened += len(plain)
         try:
-            plain = gzip.decompress(data) if row["compressed"].iloc[0] else data
-            verdict = "ok" if hashlib.sha256(plain).hexdigest() == row["sha256"].iloc[0] else "mismatch"
-        except (OSError, EOFError, zlib.error):
-            plain, verdict = None, "mismatch"
-        return pd.DataFrame(
-            [(key[0], verdict, plain if verdict == "ok" else None)], columns=["id", "verdict", "content"]
-        )
-
+            for data in self.inflate.take(plain) if self.inflate else (plain,):
+                self.sha.update(data)
+                self.bytes += len(data)
+                if self.file:
+                    self.file.write(data)
+        except zlib.error:
+            self.broken = True
+
+    def verdict(self) -> str:
+        if self.missing:
+            return "missing"
+        whole = (self.plain_size in (None, self.opened)) and (self.inflate is None or self.inflate.whole())
+        return "ok" if whole and not self.broken and self.sha.hexdigest() == self.wanted else "mismatch"
+
+
+def restore_streams(parts: DataFrame, root: str, target: str | None = None) -> DataFrame:
+    """id, verdict (ok, mismatch or missing) and bytes of what is stored in parts below the root, decoded and hashed as a stream; with
+    a target, what is ok is written there, a file named by `name`.
+
+    parts: id, part, key, offset, length, whole (see objects.read_streams), and of each id sha256, compressed, seal (the
+    key, null: none) and name. Bytes go through in order: read by ranges, opened by Spark chunk by chunk, then inflated and hashed.
+    Nothing is shuffled after the parts were sorted, so no object, of any size or number of parts, is ever whole.
+    """
+    given = parts.withColumn("sealed", F.col("seal").isNotNull()).withColumnRenamed("seal", "key_bytes")
+    streams = objects.read_streams(given, root).withColumnRenamed("key_bytes", "key")
+    rows = opened(streams.withColumn("gone", F.col("data").isNull())).select("id", "i", "head", "plain", "gone", "sha256", "compressed", "name")
     kind = parts.schema["id"].dataType.simpleString()
-    return parts.join(expected, "id").groupBy("id").applyInPandas(run, f"id {kind}, verdict string, content binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(target) if target else (None, "")
+        now, state, done, schema = None, None, [], None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field("id"), ("verdict", pa.string()), ("bytes", pa.int64())])
+            for k in range(batch.num_rows):  # a block at a time, not the batch's all at once
+                ident, i, head, plain, gone, sha256, compressed, name = (batch.column(c)[k].as_py() for c in range(8))
+                if state is None or ident != now:
+                    if state:
+                        done.append(_closed(now, state))
+                    file = objects.Writing(store, f"{base}/{name}") if target else None
+                    now, state = ident, _Checked(bool(compressed), sha256, file)
+                state.take(i, head, plain, gone)
+            if len(done) > 1000:
+                yield _rows(done, schema)
+                done = []
+        if state:
+            done.append(_closed(now, state))
+        if done:
+            yield _rows(done, schema)
+
+    def _closed(ident, state: _Checked) -> tuple:
+        verdict = state.verdict()
+        if state.file:
+            state.file.done() if verdict == "ok" else state.file.undo()
+        return ident, verdict, state.bytes if verdict == "ok" else 0
+
+    def _rows(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    return rows.mapInArrow(run, f"id {kind}, verdict string, bytes long")
+
+
+def crc32c_of_pieces(pieces: DataFrame) -> DataFrame:
+    """id, size, crc32c (as object stores report it) of contents given in pieces: id, offset, data, in any order and cutting.
+
+    A checksum is linear: the whole's is the exclusive or of its pieces', each moved by the zero bytes after it, and of what the
+    register's first ones become. So pieces are summed up where they are, in any number of tasks, and 12 bytes each are
+    shuffled. Pieces that leave gaps or overlap give null.
+    """
+    size = F.octet_length("data").cast("long")
+    ends = pieces.groupBy("id").agg(F.max(F.col("offset") + size).alias("size"), F.sum(size).alias("covered"))
+    each = pieces.select("id", "offset", size.alias("n"), crc_register("data").alias("register"))
+    joined = each.join(ends, "id")
+    moved = joined.select("id", "size", "covered", crc_moved(F.col("register"), F.col("size") - F.col("offset") - F.col("n")).alias("x"))
+    summed = moved.groupBy("id", "size", "covered").agg(F.bit_xor("x").alias("x"))
+    whole = F.col("x").bitwiseXOR(crc_moved(F.lit((1 << 32) - 1).cast("long"), F.col("size"))).bitwiseXOR(F.lit((1 << 32) - 1).cast("long"))
+    told = F.base64(F.unhex(F.lpad(F.hex(whole), 8, "0")))
+    return summed.select("id", "size", F.when(F.col("size") == F.col("covered"), told).alias("crc32c"))
+
+
+@F.pandas_udf(LongType())
+def crc_register(data: pd.Series) -> pd.Series:
+    """The register that starts at 0 after the bytes of each row; null for null."""
+    return pd.Series([None if c is None else int(r) for c, r in zip(data, _registers(data, 0))], dtype="Int64")
+
+
+@F.pandas_udf(LongType())
+def crc_moved(register: pd.Series, zeros: pd.Series) -> pd.Series:
+    """What a register becomes by so many zero bytes: a power of one linear map, taken bit by bit of the number for all rows."""
+    x, n = register.to_numpy(np.int64).astype(np.uint32), zeros.to_numpy(np.int64).copy()
+    power = _zeros_operator(1)
+    while n.any():
+        odd = (n & 1).astype(bool)
+        x[odd] = _mapped(power, x[odd])
+        n >>= 1
+        power = np.stack([_mapped(power, p) for p in power])
+    return pd.Series(x.astype(np.int64))

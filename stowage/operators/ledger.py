@@ -4,14 +4,16 @@ verification.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from stowage.functions import paths, scalars
 from stowage.session import settle
+from stowage.sources import objects
 
 MERGE_GAP = 256 * 1024
 
@@ -78,6 +80,7 @@ def wanted_pieces(
         "backup_archive_id",
         (F.col("archive_offset") + F.col("lo") - F.col("from")).alias("offset"),
         (F.col("hi") - F.col("lo")).alias("length"),
+        F.col("lo").alias("at"),
     )
 
 
@@ -95,43 +98,6 @@ def merge_ranges(pieces: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
     ).select("backup_archive_id", "offset", (F.col("end") - F.col("offset")).alias("length"))
 
 
-def range_read(ranges: DataFrame, objects: DataFrame) -> DataFrame:
-    """The bytes of each range (object key, offset, length), where objects (key, content) is a table of stored objects.
-
-    Objects that aren't a table are read by range_read_files, which sorts the ranges by object and opens each once.
-    """
-    joined = ranges.join(objects, "key")
-    return joined.select(
-        "key",
-        "offset",
-        "length",
-        F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("data"),
-    )
-
-
-def range_read_files(ranges: DataFrame, root: str) -> DataFrame:
-    """The same from files below a URI that executors reach: ranges of one object are read in one task, from one
-    opening.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root)
-        name, handle = None, None
-        for frame in frames:
-            data = []
-            for key, offset, length in frame[["key", "offset", "length"]].itertuples(index=False):
-                if key != name:
-                    name, handle = key, store.open_input_file(f"{base}/{key}")
-                data.append(handle.read_at(int(length), int(offset)))
-            yield frame[["key", "offset", "length"]].assign(data=data)
-
-    return ranges.repartition("key").sortWithinPartitions("key", "offset").mapInPandas(
-        run, "key string, offset long, length long, data binary"
-    )
-
-
 def _named_objects(listing: DataFrame) -> DataFrame:
     """key, size, folder, ident, is_archive of the listed archive and index objects, from one pass over the listing."""
     (folder, ident), (ifolder, iident) = paths.archive_parts(F.col("key")), paths.index_parts(F.col("key"))
@@ -211,6 +177,7 @@ def verify_shallow(
     entries: DataFrame,
     content_id: Column,
     local: DataFrame,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """One verdict a record: the first failing check of its archives in order.
 
@@ -219,7 +186,7 @@ def verify_shallow(
     still the one that was stored (changed). entries: archive_id, entry_key, entry_offset, entry_compression, a written
     table with a row of null key for an index
     without entries; it and the listing are read once and an archive is judged once, before the links meet it. local:
-    media_file_id, same (null: gone).
+    media_file_id, same (null: gone). ends: backup_record_id, sound (see sampled_ends), the bytes' own step, before the last.
     """
     found = listing.select(
         F.col("key").alias("path"), F.col("size").alias("object_size"), F.col("crc32c").alias("object_crc")
@@ -252,44 +219,112 @@ def verify_shallow(
     )
     first = joined.groupBy("backup_record_id").agg(F.min(ranked).alias("bad"))
     whole = records.join(first, F.col("id") == F.col("backup_record_id")).join(local, "media_file_id", "left")
+    sound = F.lit(True)
+    if ends is not None:
+        whole = whole.join(ends.select(F.col("backup_record_id").alias("id"), "sound"), "id", "left")
+        sound = F.coalesce("sound", F.lit(True))
     verdict = F.when(F.col("sha256").isNull(), "mismatch").when(
         F.col("bad").isNotNull(), F.col("bad.verdict")
-    ).when(~F.col("same"), "changed").otherwise("match")
+    ).when(~sound, "mismatch").when(~F.col("same"), "changed").otherwise("match")
     return whole.select("id", verdict.alias("verdict"))
 
 
-def verify_ends(stored: DataFrame, local: DataFrame, sample: int) -> DataFrame:
-    """id, verdict: whether what shallow verification reads of each stored object (key, content) equals the local
-    file's (id, content) bytes there.
+def read_ends(
+    records: DataFrame, links: DataFrame, archives: DataFrame, root: str, sample: int = scalars.MIB, budget: int = 4 * scalars.MIB
+) -> DataFrame:
+    """backup_record_id, total, head, tail, requests: the ends of each record's stored bytes, read below the root.
 
-    Only the wanted ranges of an object are taken, merged where they touch, and joined to the same ranges of the file.
-    Verdicts: match, mismatch (other bytes or size), missing.
+    The ranges that all records want of an archive meet in one task, which reads what lies near each other by one request
+    and hands each record its own pieces; pieces of split records are put together in their order. head is the whole
+    where that is what is wanted, and then tail too. A record whose bytes aren't all there has null ends; one that isn't
+    sampled, a sealed one over the budget, has no row.
     """
-    sized = local.select(
-        "id",
-        F.col("id").cast("string").alias("key"),
-        F.col("content").alias("own"),
-        F.octet_length("content").cast("long").alias("size"),
-    )
-    want = F.explode(scalars.wanted_ranges(F.col("size"), F.lit(False), sample, 4 * sample))
-    ranges = sized.filter("size > 0").select(F.col("key").alias("backup_archive_id"), want.alias("w")).select(
-        "backup_archive_id", F.col("w.start").alias("offset"), F.least("w.length", F.lit(1 << 31)).alias("length")
-    )
-    merged = merge_ranges(ranges, gap=0).withColumnRenamed("backup_archive_id", "key")
-    read = range_read(merged, stored).withColumnRenamed("data", "there")
-    here = F.substring("own", F.col("offset").cast("int") + 1, F.col("length").cast("int"))
-    compared = read.join(sized.select("key", "own"), "key").groupBy("key").agg(
-        F.bool_and(F.col("there") == here).alias("same")
-    )
-    sizes = stored.select("key", F.octet_length("content").cast("long").alias("stored_size"))
-    judged = sized.select("id", "key", "size").join(sizes, "key", "left").join(compared, "key", "left")
-    right = (F.col("stored_size") == F.col("size")) & F.coalesce("same", F.lit(True))
-    return judged.select(
-        "id",
-        F.when(F.col("stored_size").isNull(), "missing").when(right, "match").otherwise("mismatch").alias("verdict"),
+    wanted = wanted_pieces(records, links, archives, sample, budget)
+    keyed = wanted.join(archives.select(F.col("id").alias("backup_archive_id"), F.col("path").alias("key")), "backup_archive_id")
+    read = objects.read_ranges(keyed.select("key", "offset", "length", "backup_record_id", "at"), root)
+    totals = links.groupBy("backup_record_id").agg(F.sum("archive_length").alias("total"))
+    piece = F.struct("at", "length", "data")
+    held = read.groupBy("backup_record_id").agg(
+        F.array_sort(F.collect_list(piece)).alias("pieces"),
+        F.bool_and(F.coalesce(F.octet_length("data") == F.col("length"), F.lit(False))).alias("all"),
+        F.sum("requests").alias("requests"),
+    ).join(totals, "backup_record_id")  # at most twice the sample or the budget of a record
+    joined = lambda pieces: F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p["data"])), ""))
+    split = held.withColumn("two", F.col("total") > F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["length"]))
+    head = F.filter("pieces", lambda p: ~F.col("two") | (p["at"] < sample))
+    tail = F.filter("pieces", lambda p: ~F.col("two") | (p["at"] >= F.col("total") - sample))
+    return split.select(
+        "backup_record_id", "total", F.when(F.col("all"), joined(head)).alias("head"), F.when(F.col("all"), joined(tail)).alias("tail"), "requests"
     )
 
 
+@F.pandas_udf(BinaryType())
+def _inflated_start(head: pd.Series) -> pd.Series:
+    """What the start of a gzip stream inflates to; null if it isn't one."""
+    out = []
+    for data in head:
+        try:
+            out.append(None if data is None else zlib.decompressobj(31).decompress(bytes(data), 1 << 20))
+        except zlib.error:
+            out.append(None)
+    return pd.Series(out, dtype=object)
+
+
+def _number(column: Column, at: Column | int, n: int, little: bool = False) -> Column:
+    """The n bytes from at (from 1) on as a number."""
+    places = range(n - 1, -1, -1) if little else range(n)
+    digits = F.concat(*(F.hex(F.substring(column, F.lit(at) + k, F.lit(1))) for k in places))
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def sampled_ends(
+    ends: DataFrame, records: DataFrame, local: DataFrame, header: int = objects.HEADER, tag: int = objects.TAG, magic: bytes = b"SBE1"
+) -> DataFrame:
+    """backup_record_id, sound: whether the sampled ends of what is stored (see read_ends) are what they should be.
+
+    records: id, compressed, seal (the key of its seal, null: none). local: backup_record_id, size, crc, content of the file as it was
+    stored; no row where it is gone or changed, and then only the form is judged. Sealed bytes must have a right header and total,
+    and their first and last chunk must open; compressed ones must have a gzip frame that inflates and whose trailer has the file's
+    checksum and size; then both ends must be the file's bytes.
+    """
+    both = ends.join(records.select(F.col("id").alias("backup_record_id"), "compressed", "seal"), "backup_record_id").join(
+        local.select("backup_record_id", F.col("size").alias("own_size"), F.col("crc").alias("own_crc"), F.col("content").alias("own")),
+        "backup_record_id", "left",
+    )
+    blob, sealed = F.col("head"), F.col("seal").isNotNull()
+    top, chunk, plain = F.substring(blob, 1, header), _number(blob, 9, 4), _number(blob, 13, 8)
+    n = F.greatest(F.ceil(F.col("plain_size") / F.col("chunk")), F.lit(1))
+    formed = (F.substring(blob, 1, 4) == F.lit(magic)) & (F.col("chunk") > 0) & (F.col("total") == header + F.col("plain_size") + n * tag)
+    told = both.withColumn("chunk", F.when(sealed, chunk)).withColumn("plain_size", F.when(sealed, plain)).withColumn("n", F.when(sealed, n))
+
+    def opened(i: Column) -> Column:
+        at = header + 1 + i * (F.col("chunk") + tag)
+        size = F.least(F.col("chunk"), F.col("plain_size") - i * F.col("chunk")) + tag
+        nonce = F.concat(F.substring(blob, 5, 4), F.unhex(F.lpad(F.hex(i.cast("long")), 16, "0")))
+        piece = F.substring(blob, at.cast("int"), size.cast("int"))
+        return F.try_aes_decrypt(F.concat(nonce, piece), F.col("seal"), F.lit("GCM"), F.lit("DEFAULT"), top)
+
+    right = sealed & F.coalesce(formed, F.lit(False))
+    plainly = told.select(
+        "backup_record_id", "compressed", "own_size", "own_crc", "own",
+        F.when(right, opened(F.lit(0).cast("long"))).when(~sealed, blob).alias("first"),
+        # two chunks: a gzip trailer may lie across the last cut
+        F.when(right & (F.col("n") > 1), F.concat(opened(F.col("n") - 2), opened(F.col("n") - 1))).when(right, opened(F.col("n") - 1)).when(~sealed, F.col("tail")).alias("last"),
+        F.when(right, F.col("plain_size")).when(~sealed, F.col("total")).alias("stream"),
+    )
+    first, last, stream = F.col("first"), F.col("last"), F.col("stream")
+    inflated = plainly.withColumn("start", F.when(F.col("compressed"), _inflated_start(first)))
+    at_start = lambda c, own: F.substring(own, F.lit(1), F.octet_length(c)) == c
+    end = F.octet_length(last)
+    gone = F.col("own_size").isNull()
+    as_is = gone | (F.col("own_size") == stream) & at_start(first, F.col("own")) & (F.substring(F.col("own"), (stream - end + 1).cast("int"), end) == last)
+    trailer = (_number(last, end - 7, 4, little=True) == F.col("own_crc")) & (_number(last, end - 3, 4, little=True) == F.col("own_size") % (1 << 32))
+    frame = (F.hex(F.substring(first, 1, 2)) == "1F8B") & (stream >= 18) & (end >= 8) & F.col("start").isNotNull()
+    packed = frame & (gone | trailer & at_start(F.col("start"), F.col("own")))
+    sound = first.isNotNull() & last.isNotNull() & F.when(F.col("compressed"), packed).otherwise(as_is)
+    return inflated.select("backup_record_id", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
 def verify_apply(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The next records: a verdict replaces verify_status where there is one."""
     return records.join(verdicts.select("id", "verdict"), "id", "left").select(

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
 from stowage.operators import catalog
 from stowage.plans.registry import query
-from stowage.session import shared_dir
 from stowage.sources.views import Tables
 
 _TYPES = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names)}) THEN '{kind}'" for kind, names in catalog.EXTENSIONS.items()) + " END"
@@ -25,28 +22,9 @@ def _gated(t: Tables) -> DataFrame:
     return catalog.gate_and_tag(t.listing, t.storage_locations)
 
 
-@query(
-    "SELECT source, lang AS category, count(*)::BIGINT AS documents, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2"
-)
-def scan_folder(t: Tables) -> DataFrame:
-    """A real scan: the documents are written as text files below a folder for each source and language, and the folder
-    is listed. No content is read.
-    """
-    root = f"{shared_dir(t.spark)}/library-{uuid.uuid4().hex}"
-    texts = t.documents.filter("source is not null and lang is not null")
-    texts.select("source", "lang", "text").write.partitionBy("source", "lang").option("lineSep", "\n").text(root)
-    listed = catalog.list_files(t.spark, root)
-    part = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]*)/", 1))
-    found = listed.groupBy(
-        part("source").alias("source"), part("lang").alias("category")
-    ).agg(F.sum("size").alias("bytes"))
-    counts = texts.groupBy("source", F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("documents"))
-    return counts.join(found, ["source", "category"]).select("source", "category", "documents", "bytes")
-
-
 @query("SELECT path, size, mtime_ns FROM listing")
 def scan_listing(t: Tables) -> DataFrame:
-    """A listing that the caller supplies; catalog.list_files makes one of a folder."""
+    """A listing that the caller supplies; sources.listing makes one of a folder."""
     return t.listing.select("path", "size", "mtime_ns")
 
 

@@ -24,11 +24,28 @@ def fingerprint(t: Tables) -> DataFrame:
     return _files(t).select("id", content.fingerprint("content").alias("fingerprint"))
 
 
-@query()
+_CRC_TABLE = "[" + ", ".join(str(x) for x in content._crc_table().tolist()) + "]"
+_CRC = f"""
+    b AS (SELECT doc_id AS id, octet_length(encode(text)) AS n, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, {_CRC_TABLE}[(xor(a, x) & 255) + 1]::BIGINT)) AS r FROM documents),
+    c AS (SELECT id, n, base64(unhex(format('{{:08X}}', xor(r, 4294967295::BIGINT)))) AS crc FROM b)
+"""
+
+
+@query(f"WITH {_CRC} SELECT id, crc AS crc32c FROM c")
 def crc32c(t: Tables) -> DataFrame:
     return _files(t).select("id", content.crc32c("content").alias("crc32c"))
 
 
+@query(f"WITH {_CRC} SELECT id, n::BIGINT AS size, crc AS crc32c FROM c")
+def crc32c_pieces(t: Tables) -> DataFrame:
+    """The same from pieces of 700 bytes, checksummed apart and put together in no order."""
+    size = F.octet_length("content")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(700)))
+    cut = _files(t).select("id", "content", at.alias("at"))
+    pieces = cut.select("id", F.col("at").cast("long").alias("offset"), F.substring("content", F.col("at") + 1, F.lit(700)).alias("data"))
+    return content.crc32c_of_pieces(pieces.repartition("offset"))
+
+
 _PAD = "from_hex(array_to_string([format('{{:02X}}', xor(('0x' || substr(rpad(upper(master_key), 128, '0'), i, 2))::INTEGER, {pad})) for i in generate_series(1, 127, 2)], ''))".replace("{{", "{").replace("}}", "}")
 
 
@@ -137,83 +154,3 @@ def prepare_sealed(t: Tables) -> DataFrame:
     )
     key, prefix = F.unhex(F.sha2(F.lit("key"), 256)), F.unhex(F.substring("id", 1, 8))
     return content.prepare_sealed(files, once, key, prefix, F.sha2(F.concat(F.lit("id:"), "id"), 256), 1024)
-
-
-ARCHIVE_BYTES = 1 << 20
-_TARS = f"""
-    w AS (SELECT source || '-' || (sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text))) // {ARCHIVE_BYTES} AS archive, octet_length(encode(text)) AS n FROM documents),
-    ta AS (SELECT archive, (sum(512 + (n + 511) // 512 * 512) + 1024 + 10239) // 10240 * 10240 AS tar_size, count(*) AS members FROM w GROUP BY archive)
-"""
-
-
-def _archived(t: Tables) -> DataFrame:
-    sizes = t.media_files.select("id", "source").join(
-        t.documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("n_bytes")), "id"
-    )
-    dealt = content.deal_to_archives(sizes, "source", "id", ARCHIVE_BYTES)
-    members = _files(t).join(dealt.select("id", "archive"), "id").select(
-        "archive", F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("member"), "content"
-    )
-    return content.write_archives(members)
-
-
-@query(f"WITH {_TARS} SELECT archive, tar_size::BIGINT AS tar_size, members::BIGINT AS members FROM ta")
-def write_archives(t: Tables) -> DataFrame:
-    return _archived(t).select(
-        "archive", F.octet_length("tar").cast("long").alias("tar_size"), F.size("names").cast("long").alias("members")
-    )
-
-
-def _cut_out(t: Tables) -> DataFrame:
-    """id and bytes of each member, cut out of the tars at the offsets read back."""
-    each = _archived(t).select("tar", F.explode(F.arrays_zip("names", "offsets", "sizes")).alias("m"))
-    ident = F.regexp_extract("m.names", "^doc-(.*)$", 1).cast("long")
-    return each.select(
-        ident.alias("id"), F.expr("substring(tar, cast(m.offsets as int) + 1, cast(m.sizes as int))").alias("data")
-    )
-
-
-def _restored(t: Tables) -> DataFrame:
-    """Members in two parts each; of every eleventh the second one has another content."""
-    cut = _cut_out(t)
-    half = F.floor(F.octet_length("data") / 2).cast("int")
-    first = cut.select("id", F.lit(1).alias("part"), F.substring(F.col("data"), F.lit(1), half).alias("data"))
-    rest = F.when(F.col("id") % 11 == 0, F.lit(b"?")).otherwise(
-        F.substring(F.col("data"), half + 1, F.octet_length("data"))
-    )
-    parts = first.unionByName(cut.select("id", F.lit(2).alias("part"), rest.alias("data")))
-    expected = t.documents.select(
-        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), F.lit(False).alias("compressed")
-    )
-    return content.restore(parts, expected)
-
-
-@query(
-    "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 AND octet_length(encode(text)) > 200 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents"
-)
-def verify_ends(t: Tables) -> DataFrame:
-    """Shallow verification with bytes: the ends of each stored member, 100 bytes each, against the local file's. Of
-    every eleventh longer one the tail is damaged.
-    """
-    stored = _cut_out(t).select(
-        "id",
-        F.when(
-            (F.col("id") % 11 == 0) & (F.octet_length("data") > 200),
-            F.concat(F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3), F.lit(b"\0\0\0")),
-        ).otherwise(F.col("data")).alias("content"),
-    )
-    return ledger.verify_ends(stored.select(F.col("id").cast("string").alias("key"), "content"), _files(t), 100)
-
-
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict FROM documents")
-def restore_check(t: Tables) -> DataFrame:
-    return _restored(t).select("id", "verdict")
-
-
-@query(
-    "SELECT CASE WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'match' END AS verdict, count(*)::BIGINT AS files FROM documents GROUP BY 1"
-)
-def verify_deep(t: Tables) -> DataFrame:
-    return _restored(t).groupBy(
-        F.when(F.col("verdict") == "ok", "match").otherwise("mismatch").alias("verdict")
-    ).agg(F.count(F.lit(1)).alias("files"))

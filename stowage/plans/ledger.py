@@ -79,7 +79,7 @@ def _wanted(t: Tables) -> DataFrame:
 
 @query(f'WITH {_PIECES} SELECT backup_record_id, backup_archive_id, o AS "offset", len AS length FROM p')
 def wanted_ranges(t: Tables) -> DataFrame:
-    return _wanted(t)
+    return _wanted(t).drop("at")
 
 
 _MERGED = f"""
@@ -95,17 +95,6 @@ def merge_ranges(t: Tables) -> DataFrame:
     return ledger.merge_ranges(_wanted(t), GAP)
 
 
-@query(
-    "SELECT CAST(doc_id AS VARCHAR) AS key, (doc_id % 50)::BIGINT AS \"offset\", 40::BIGINT AS length, lower(hex(encode(text)[(doc_id % 50) + 1 : (doc_id % 50) + 40])) AS data FROM documents"
-)
-def range_read(t: Tables) -> DataFrame:
-    key = F.col("doc_id").cast("string").alias("key")
-    ranges = t.documents.select(key, (F.col("doc_id") % 50).alias("offset"), F.lit(40).cast("long").alias("length"))
-    return ledger.range_read(
-        ranges, t.documents.select(key, F.col("text").cast("binary").alias("content"))
-    ).withColumn("data", F.lower(F.hex("data")))
-
-
 _FOUND = f"""
     f AS (SELECT key, CASE WHEN regexp_matches(key, '^((?:.*/)?)archives/({U})\\.tar$') THEN regexp_extract(key, '^((?:.*/)?)archives/', 1) ELSE regexp_extract(key, '^((?:.*/)?)({U})\\.tar$', 1) END AS folder, regexp_extract(key, '({U})\\.tar$', 1) AS ident, size FROM object_listing WHERE regexp_matches(key, '^(?:.*/)?{U}\\.tar$')),
     x AS (SELECT key, CASE WHEN regexp_matches(key, '^((?:.*/)?)index/({U})\\.json$') THEN regexp_extract(key, '^((?:.*/)?)index/', 1) ELSE regexp_extract(key, '^((?:.*/)?)({U})\\.json$', 1) END AS folder, regexp_extract(key, '({U})\\.json$', 1) AS ident FROM object_listing WHERE regexp_matches(key, '^(?:.*/)?{U}\\.json$'))

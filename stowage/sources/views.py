@@ -80,6 +80,12 @@ VIEWS: dict[str, str] = {
     """,
     "backup_key_versions": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS password, md5(r_name) AS kdf_salt, 1600000000 + r_regionkey * 1000 AS created_at, CASE WHEN r_regionkey < 4 THEN 1600000500 + r_regionkey * 1000 END AS retired_at, $SHA(r_name || ':' || md5(r_name)) AS master_key FROM region",
     "heartbeats": "SELECT event_id, user_id AS run_id, event_type AS phase, CAST(floor(value * 100) AS BIGINT) AS done, $MICROS(ts) AS at_us FROM events",
+    "progress_beats": """
+        SELECT event_id * 4 + k AS beat_id, CASE WHEN event_id % 20 = 3 THEN NULL WHEN event_id % 20 = 7 THEN -user_id ELSE user_id END AS run_id,
+               CASE WHEN event_id % 50 = 11 THEN NULL WHEN event_type IN ('view', 'click', 'purchase') THEN 'uploading' ELSE 'hashing' END AS phase,
+               CAST(floor(value * 100) AS BIGINT) + k AS done, event_id % 10 = 9 AND k = 1 AS flush, $MICROS(ts) + k * 400000 AS at_us
+        FROM events, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS burst
+    """,
     "backup_runs": """
         SELECT run_id AS id, CASE run_id % 3 WHEN 0 THEN 'backup' WHEN 1 THEN 'restore' ELSE 'sync' END AS kind, 100 + run_id % 20 + 1 AS source_location_id, run_id % 5 AS destination_location_id,
                CASE phase WHEN 'view' THEN 'running' WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status,

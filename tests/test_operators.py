@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import backup, catalog, content, discovery, ledger, mutations, ordered, reports
-from stowage.streaming import progress
 
 
 def rows(df):
@@ -105,27 +104,6 @@ def test_archives_are_bounded_whatever_the_group(spark):
     assert sum(r["n"] for r in got) == 1001
 
 
-def test_beats_of_any_span_and_order_are_kept(spark, tmp_path):
-    """1000 beats over 200 days in 130 files: none is late."""
-    from stowage.plans import streams
-    from stowage.sources.views import Tables
-
-    day = "event_id long, user_id long, event_type string, value double, ts timestamp"
-    made = spark.range(1000).select(
-        F.col("id").alias("event_id"),
-        (F.col("id") % 9).alias("user_id"),
-        F.lit("view").alias("event_type"),
-        F.lit(1.0).alias("value"),
-        F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919 % 1000) * 17_280).alias("ts"),
-    )
-    made.repartition(130).write.parquet(str(tmp_path / "events.parquet"))
-    assert spark.read.schema(day).parquet(str(tmp_path / "events.parquet")).count() == 1000
-    got = streams.run_to_end(
-        Tables(spark, str(tmp_path)), lambda s, lateness: progress.throttle(streams._beats(s), lateness=lateness)
-    )
-    assert got.agg(F.sum("beats")).first()[0] == 1000
-
-
 def test_inventory_case(spark):
     a, b, c = (f"{k}0000000-0000-0000-0000-000000000000" for k in "abc")
     listing = spark.createDataFrame(
@@ -373,34 +351,3 @@ def test_rotating_to_the_same_key_changes_nothing(spark):
     )
     assert rows(mutations.rotate_key(keys, "p", "s", 9)) == rows(keys)
     assert [r["retired_at"] for r in mutations.rotate_key(keys, "q", "s", 9).orderBy("id").collect()] == [9, None]
-
-
-def test_batch_twins_of_streams_agree(spark):
-    beats = spark.createDataFrame(
-        [
-            (1, 7, "a", 5, "2024-01-01 00:00:00"),
-            (2, 7, "a", 6, "2024-01-01 00:00:00.5"),
-            (3, 7, "a", 9, "2024-01-01 00:01:59"),
-            (4, 7, "b", 1, "2024-01-01 00:05:00"),
-        ],
-        "event_id long, run_id long, phase string, done long, ts string",
-    ).withColumn("ts", F.col("ts").cast("timestamp"))
-    assert rows(progress.silences(beats)) == rows(progress.silences_by_gap(beats))
-    assert [r["done"] for r in progress.throttle(beats).orderBy("start_us").collect()] == [6, 9, 1]
-
-
-def test_restore_reports_damage_without_content(spark):
-    data = b"hello world"
-    parts = spark.createDataFrame(
-        [(1, 2, data[5:]), (1, 1, data[:5]), (2, 1, b"bad"), (3, 1, b"not gzip")], "id long, part int, data binary"
-    )
-    sha = hashlib.sha256(data).hexdigest()
-    expected = spark.createDataFrame(
-        [(1, sha, False), (2, sha, False), (3, sha, True)], "id long, sha256 string, compressed boolean"
-    )
-    got = {
-        r["id"]: (
-            r["verdict"], r["content"] and bytes(r["content"])
-        ) for r in content.restore(parts, expected).collect()
-    }
-    assert got == {1: ("ok", data), 2: ("mismatch", None), 3: ("mismatch", None)}

@@ -12,7 +12,8 @@ import stowage.plans.ledger
 import stowage.plans.mutations
 import stowage.plans.reports
 import stowage.plans.scalars
-import stowage.plans.streams  # noqa: F401
+import stowage.plans.streams
+import stowage.plans.vault  # noqa: F401
 from stowage.plans.registry import QUERIES, SQL
 from tests.conftest import SMALL, values
 
