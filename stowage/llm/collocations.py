@@ -3,7 +3,8 @@
 Texts, A-Z lower-cased, are split at `[.,;:!?\\x0A-\\x0D]` into pieces and those at blanks and tabs into words. f(phrase) counts
 a phrase's occurrences within pieces of one language. Frequent are phrases of 1 to 5 words with f >= least.
 
-1. The corpus is dealt to shards, folders of one table. A step scans one shard, and steps go round the shards.
+1. The corpus is tokenised once and dealt to shards, folders of one table. A step scans one shard, and steps go round the
+   shards.
 2. Words are counted from step 0 on. When a phrase has reached `least` in what was scanned of it so far, it is marked;
    a longer phrase becomes active in the step after both its subphrases, all but its last word and all but its first, are
    marked. So lengths interleave: pairs of common words are counted from the second shard on.
@@ -47,51 +48,84 @@ SPLITS = np.zeros(256, np.uint8)
 SPLITS[[10, 11, 12, 13, 33, 44, 46, 58, 59, 63]] = 1
 
 
+TOKENS = "shard int, words binary, ends binary, hashes binary, langs binary, lang_ends binary, word binary, lang binary, left binary"
+
+
+def _packed(raw: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> list[bytes]:
+    """Documents as their distinct words and languages, and for each word occurrence the number of both and how many words
+    the piece has from there on, LONGEST at most."""
+    part = K.LOWER[raw]
+    starts, ends, first = K.spans(part, offsets, WORDS)
+    coded, names = K.word_array(part, starts, ends).dictionary_encode(), langs.dictionary_encode()
+    flat, at = K.flat(coded.dictionary)
+    name_bytes, name_at = K.flat(names.dictionary.cast(pa.binary()))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    piece = np.cumsum(SPLITS[part])[starts] + doc if len(starts) else doc
+    left = np.zeros(len(piece), np.uint8)
+    for k in range(LONGEST, 0, -1):
+        same = piece[k - 1 :] == piece[: max(0, len(piece) - k + 1)]
+        left[: len(same)] = np.maximum(left[: len(same)], same * np.uint8(k))
+    lang = names.indices.to_numpy()[doc]
+    cells = flat, at[1:].astype("<i4"), K.word_hashes(flat, at[:-1], at[1:]), name_bytes, name_at[1:].astype("<i4"), coded.indices.to_numpy().astype("<i4"), lang.astype("<i4"), left
+    return [np.ascontiguousarray(c).tobytes() for c in cells]
+
+
+def tokenised(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (lang, text as bytes), packed: documents that come together are dealt to the shards in turn, a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            _, at = K.flat(batch.column(1))
+            for lo, hi in K.parts(at, PART_BYTES):
+                for shard in range(shards):
+                    some = batch.slice(lo, hi - lo).take(pa.array(np.arange((shard - turn) % shards, hi - lo, shards)))
+                    if some.num_rows:
+                        raw, offsets = K.flat(some.column(1))
+                        cells = _packed(raw, offsets, some.column(0))
+                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names)
+                turn += hi - lo
+
+    names = [f.strip().split(" ")[0] for f in TOKENS.split(",")]
+    return rows.mapInArrow(run, TOKENS)
+
+
+def _binary(cell: pa.Scalar, ends: pa.Scalar) -> pa.Array:
+    """The values that lie one after another in a cell."""
+    offsets = np.concatenate([[0], np.frombuffer(ends.as_buffer(), "<i4")]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), cell.as_buffer()])
+
+
 class Words:
-    """The words of a run of documents: numbers for (language, word), hashes, and the number of the piece of each."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> None:
-        part = K.LOWER[raw]
-        starts, ends, first = K.spans(part, offsets, WORDS)
-        coded = K.word_array(part, starts, ends).dictionary_encode()
-        names = langs.dictionary_encode()
-        self.words, self.langs = coded.dictionary, names.dictionary
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        self.lang = names.indices.to_numpy()[doc].astype(np.int64)
-        self.word = coded.indices.to_numpy().astype(np.int64)
-        self.number = self.word * max(1, len(self.langs)) + self.lang
-        self.piece = np.cumsum(SPLITS[part])[starts] + doc if len(starts) else doc
-        flat, at = K.flat(self.words)
-        self.hash = K.word_hashes(flat, at[:-1], at[1:])[self.word]
-        seeds = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in self.langs], np.uint64)
-        self.seed = seeds[self.lang]
+    """The words of packed documents: numbers for (language, word), hashes, and how many words follow in the piece."""
 
-    def places(self, k: int, bits: int) -> np.ndarray:
-        """The place in the table of marks of the k words from each position on."""
-        return (K.mix(K.ngram_hashes(self.hash, k) + self.seed * np.uint64(2 * k + 1)) >> np.uint64(64 - bits)).astype(np.int64)
+    def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        get = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+        self.words, self.langs = _binary(row["words"], row["ends"]), _binary(row["langs"], row["lang_ends"])
+        self.word, self.lang, self.left = get("word", "<i4").astype(np.int64), get("lang", "<i4"), get("left", np.uint8)
+        self.width = len(self.words) * max(1, len(self.langs))
+        seeds = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in self.langs], np.uint64)
+        self.seed = seeds[self.lang] if len(seeds) else np.zeros(0, np.uint64)
+        self.hash = get("hashes", "<u8")[self.word]
 
-    def whole(self, k: int) -> np.ndarray:
-        """Where k words of one piece start."""
-        last = np.arange(len(self.word)) + k - 1
-        inside = last < len(self.word)
-        return inside & (self.piece[np.where(inside, last, 0)] == self.piece)
+    def number(self, at: np.ndarray) -> np.ndarray:
+        return self.word[at] * max(1, len(self.langs)) + self.lang[at]
 
     def counts(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the phrases of k words from the positions at on, each once: where it is, and how often."""
-        rank = self.number[at]
-        width = len(self.words) * max(1, len(self.langs))
+        """Of the phrases of k words from the positions at on, each once: which position, and how often."""
+        rank = self.number(at)
         for j in range(1, k):
             if j > 1:
                 rank = np.unique(rank, return_inverse=True)[1]
-            rank = rank * width + self.number[at + j]
+            rank = rank * self.width + self.number(at + j)
         _, one, n = np.unique(rank, return_index=True, return_counts=True)
-        return at[one], n
+        return one, n
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """The phrases at these positions, a line feed, and the language."""
         columns = [self.words.take(pa.array(self.word[at + j])) for j in range(k)]
         text = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if k > 1 else columns[0]
-        names = self.langs.cast(pa.binary()).take(pa.array(self.lang[at]))
+        names = self.langs.take(pa.array(self.lang[at]))
         return pc.binary_join_element_wise(text, names, pa.scalar(b"\n", pa.binary())).view(pa.string())
 
 
@@ -111,30 +145,43 @@ def _scan(shard: DataFrame, marks: Broadcast, bits: int, step: int, shards: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _opened(marks.value, 1 << bits)
         for batch in batches:
-            raw, offsets = K.flat(batch.column(1))
-            for lo, hi in K.parts(offsets, PART_BYTES):
-                words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], batch.column(0).slice(lo, hi - lo))
-                before = None
-                for k in range(1, LONGEST + 1):
-                    whole = words.whole(k)
-                    if not whole.any():
-                        break
-                    start = np.zeros(len(whole), np.uint8)
-                    if before is not None:  # both shorter ones must be marked
-                        marked = table[before]
-                        start[:-1] = np.maximum(marked[:-1], marked[1:])
-                        start[-1] = NEVER
-                    place = words.places(k, bits) if k < LONGEST else np.zeros(len(whole), np.int64)
-                    before = place
-                    at = np.flatnonzero(whole & (start <= step) & (step < start.astype(np.int64) + shards))
-                    if len(at):
-                        at, n = words.counts(at, k)
-                        tag = place[at] | start[at].astype(np.int64) << 40 | np.int64(k) << 48
-                        yield pa.RecordBatch.from_arrays([words.phrases(at, k), pa.array(tag), pa.array(n)], ["phrase", "tag", "n"])
+            for i in range(batch.num_rows):
+                words = Words({name: batch.column(name)[i] for name in batch.schema.names})
+                yield from _active(words, table, bits, step, shards)
 
     return shard.mapInArrow(run, "phrase string, tag long, n long")
 
 
+def _active(words: Words, table: np.ndarray, bits: int, step: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """The counts of the active phrases. A phrase can only be active, or begin a longer one that is, where both its subphrases
+    are marked, so each length looks at the positions only that the one before has left."""
+    at, state = np.arange(len(words.word)), words.hash + words.seed
+    start = np.zeros(len(at), np.uint8)
+    for k in range(1, LONGEST + 1):
+        if not len(at):
+            return
+        place = np.zeros(len(at), np.int64)
+        if k < LONGEST:
+            place = (K.mix(state + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
+        active = np.flatnonzero((start <= step) & (step < start.astype(np.int64) + shards))
+        if len(active):
+            one, n = words.counts(at[active], k)
+            which = active[one]
+            tag = place[which] | start[which].astype(np.int64) << 40 | np.int64(k) << 48
+            yield pa.RecordBatch.from_arrays([words.phrases(at[which], k), pa.array(tag), pa.array(n)], ["phrase", "tag", "n"])
+        if k == LONGEST:
+            return
+        # a place that is marked for another phrase may be so before this one's own parts are
+        since = np.maximum(table[place], start)
+        there = np.flatnonzero(since != NEVER)
+        mark = np.full(len(words.word) + 1, NEVER, np.uint8)
+        mark[at[there]] = since[there]
+        there = there[(words.left[at[there]] > k) & (mark[at[there] + 1] != NEVER)]
+        at, state = at[there], state[there]
+        start = np.maximum(since[there], mark[at + 1])
+        state = K.mix(state * np.uint64(0xC2B2AE3D27D4EB4F) + words.hash[at + k])
+
+
 def _set_places(phrases: DataFrame) -> np.ndarray:
     """The places of the tags of phrases, as bitmaps of 32,768 places that Spark makes."""
     place = (F.col("tag").bitwiseAND(F.lit((1 << 40) - 1)) + 1).alias("place")
@@ -151,11 +198,8 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, n) of the frequent phrases of 1 to 5 words, and (lang, n) with all word occurrences."""
     text = text_bytes(text_col)
-    rows = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"),
-        F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
-    )
-    dealt = cut(rows.filter(F.octet_length("text") > 0), "shards", folders="shard")
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    dealt = cut(tokenised(rows.filter(F.octet_length("text") > 0), shards), "shards", folders="shard")
     length, start = F.shiftright("tag", 48), F.shiftright("tag", 40).bitwiseAND(F.lit(255))
     marks, latest, step = np.full(1 << bits, NEVER, np.uint8), 0, 0
     counted, kept, totals = None, [], None
@@ -163,7 +207,7 @@ def frequent_phrases(
         if latest + shards >= NEVER:
             raise ValueError(f"{shards} shards are too many")
         shared = docs.sparkSession.sparkContext.broadcast(pa.compress(marks, "zstd", asbytes=True))
-        found = _scan(dealt.filter(F.col("shard") == step % shards).select("lang", "text"), shared, bits, step, shards)
+        found = _scan(dealt.filter(F.col("shard") == step % shards).drop("shard"), shared, bits, step, shards)
         found = found.select("phrase", "tag", "n", F.lit(0).cast("long").alias("was"))
         if counted is not None:
             still = counted.filter(start + (shards - 1) >= step)
