@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.operators import patterns
 from stowage.session import settle
 
 #: The extensions of each media type, and those that are never content.
@@ -205,12 +206,9 @@ def watch_counts(items: DataFrame, files: DataFrame, before: str, after: str) ->
     )
 
 
-def watch_library(files: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
-    """The first prefix of a short list that a path starts with names its library."""
-    chain = F.lit(None).cast("string")
-    for prefix, name in reversed(prefixes):
-        chain = F.when(F.startswith("path", F.lit(prefix)), name).otherwise(chain)
-    return files.select("id", chain.alias("library"))
+def watch_library(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The first prefix of a list (n, prefix, name) that a path starts with names its library."""
+    return patterns.first_prefix(files.select("id", "path"), prefixes).withColumnRenamed("name", "library")
 
 
 def nfo_fields(sidecars: DataFrame, column: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.functions import paths
+from stowage.functions import paths, scalars
 
 
 def rewrite_prefix(files: DataFrame, location: int, before: str, after: str) -> DataFrame:
@@ -100,6 +102,17 @@ def backfill(records: DataFrame, keys: DataFrame, content_id: Column, present: D
     return missing.select("record_id", "key_version_id", content_id.alias("content_id"))
 
 
+def backfill_keyed(records: DataFrame, keys: DataFrame, present: DataFrame, label: str = "content-id:") -> DataFrame:
+    """backfill with the keyed ids themselves: HMAC-SHA-256 of the label and the hash under the current version's master_key (bytes).
+
+    The pads are taken once, for the one current key, before records meet it.
+    """
+    inner, outer = scalars.hmac_pads(F.col("master_key"))
+    current = keys.filter("retired_at is null").select("id", "retired_at", inner.alias("inner"), outer.alias("outer"))
+    made = scalars.hmac_with_pads(F.col("inner"), F.col("outer"), F.concat(F.lit(label), "sha256"))
+    return backfill(records, current, made, present)
+
+
 def evolve_schema(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """Adds the columns that are missing, with their defaults; what exists stays as it is."""
     have = {c.lower() for c in table.columns}
@@ -113,19 +126,36 @@ def rename_values(table: DataFrame, column: str, names: dict[str, str]) -> DataF
 
 
 def publish(spark: SparkSession, snapshot: DataFrame, root: str, name: str, version: int) -> str:
-    """Writes a snapshot as a new version directory, then moves the pointer to it; a reader sees one version or the
-    other, and a failed write nothing.
+    """Writes a snapshot as a new version folder, then a marker of it; a reader sees the version before or the whole new one,
+    and a failed write nothing.
 
-    There is one writer for each table.
+    A marker is written under another name and renamed to the version's own, so there is always one to read and none is ever
+    half there. Versions count up; there is one writer for each table.
     """
     path = f"{root}/{name}/v={version}"
     snapshot.write.mode("errorifexists").parquet(path)
-    spark.range(1).select(
-        F.lit(version).alias("version")
-    ).coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_current")
+    store, folder = _hadoop(spark, f"{root}/{name}/_versions")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    own, final = jvm.Path(folder, f".{uuid.uuid4().hex}"), jvm.Path(folder, f"{version:020d}")
+    store.create(own, True).close()
+    if not store.rename(own, final):
+        store.delete(own, False)
+        raise FileExistsError(f"version {version} of {name} is published already")
     return path
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    """The file system of a folder, by whatever store its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> int:
+    """The greatest version that has a marker."""
+    store, folder = _hadoop(spark, f"{root}/{name}/_versions")
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    return max(int(n) for n in names if n.isdigit())
+
+
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version int").json(f"{root}/{name}/_current").first()["version"]
-    return spark.read.parquet(f"{root}/{name}/v={version}")
+    return spark.read.parquet(f"{root}/{name}/v={current_version(spark, root, name)}")

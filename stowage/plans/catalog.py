@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
-from stowage.operators import catalog
+from stowage.operators import catalog, patterns
 from stowage.plans.registry import query
 from stowage.sources.views import Tables
 
@@ -174,7 +174,43 @@ PREFIXES = [("/mnt/src1/en", "English one"), ("/mnt/src1", "One and teens"), ("/
     "SELECT id, CASE " + " ".join(f"WHEN starts_with(path, '{p}') THEN '{n}'" for p, n in PREFIXES) + " END AS library FROM media_files"
 )
 def watch_library(t: Tables) -> DataFrame:
-    return catalog.watch_library(t.media_files, PREFIXES)
+    rows = [(n, p, name) for n, (p, name) in enumerate(PREFIXES)]
+    return catalog.watch_library(t.media_files, t.spark.createDataFrame(rows, "n int, prefix string, name string"))
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey AS n, '/mnt/src' || o_orderkey % 23 || CASE o_orderkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '/' || substr('endefres', 1 + 2 * (o_orderkey % 4)::INTEGER, 2) ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '/doc-' || o_orderkey % 10 ELSE '' END AS prefix FROM orders)
+    SELECT m.id, arg_min(p.n, p.n) AS library FROM media_files m LEFT JOIN p ON starts_with(m.path, p.prefix) GROUP BY m.id
+""")
+def watch_library_rows(t: Tables) -> DataFrame:
+    """The same with a prefix for each order; its number is the library's name."""
+    key = F.col("o_orderkey")
+    lang = F.concat(F.lit("/"), F.substring(F.lit("endefres"), (1 + 2 * (key % 4)).cast("int"), F.lit(2)))
+    prefix = F.concat(
+        F.lit("/mnt/src"), (key % 23).cast("string"), F.when(key % 3 == 0, "/").when(key % 3 == 1, lang).otherwise(""),
+        F.when(key % 5 == 0, F.concat(F.lit("/doc-"), (key % 10).cast("string"))).otherwise(""),
+    )
+    return catalog.watch_library(t.media_files, t.orders.select(key.alias("n"), prefix.alias("prefix"), key.alias("name")))
+
+
+@query(r"""
+    WITH p AS (SELECT p_partkey AS n, p_partkey % 7 AS list, CASE p_partkey % 4 WHEN 0 THEN '*/doc-' || p_partkey % 97 || '.*' WHEN 1 THEN '*[!3]' || p_partkey % 89 || '?m*' WHEN 2 THEN 'src?/' || substr('endefres', 1 + 2 * (p_partkey % 4)::INTEGER, 2) || '/*' || p_partkey % 83 || '.tx[st]' ELSE '*' || substr('mp3pdfjpg', 1 + 3 * (p_partkey % 3)::INTEGER, 3) || p_partkey % 5 END AS pat FROM part),
+         r AS (SELECT n, list, pat, '(?s)' || replace(replace(replace(replace(pat, '.', '\.'), '[!3]', '[^3]'), '*', '.*'), '?', '.') AS regex FROM p),
+         m AS (SELECT id, id % 7 AS list, substr(path, 6) AS path FROM media_files)
+    SELECT m.id, min(r.n) AS n, arg_min(r.pat, r.n) AS pattern FROM m JOIN r ON r.list = m.list AND regexp_full_match(m.path, r.regex) GROUP BY m.id
+""")
+def glob_rows(t: Tables) -> DataFrame:
+    """Patterns as rows, one for each part, in seven lists; the first that matches a file's path below the root."""
+    n = F.col("p_partkey")
+    number = lambda k: (n % k).cast("string")
+    glob = (
+        F.when(n % 4 == 0, F.concat(F.lit("*/doc-"), number(97), F.lit(".*")))
+        .when(n % 4 == 1, F.concat(F.lit("*[!3]"), number(89), F.lit("?m*")))
+        .when(n % 4 == 2, F.concat(F.lit("src?/"), F.substring(F.lit("endefres"), (1 + 2 * (n % 4)).cast("int"), F.lit(2)), F.lit("/*"), number(83), F.lit(".tx[st]")))
+        .otherwise(F.concat(F.lit("*"), F.substring(F.lit("mp3pdfjpg"), (1 + 3 * (n % 3)).cast("int"), F.lit(3)), number(5)))
+    )
+    files = t.media_files.select("id", (F.col("id") % 7).alias("list"), F.substring("path", 6, 1 << 20).alias("path"))
+    return patterns.first_glob(files, t.part.select(n.alias("n"), (n % 7).alias("list"), glob.alias("pattern")))
 
 
 _NFO = """

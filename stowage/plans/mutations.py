@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.operators import mutations
-from stowage.plans.registry import query
+from stowage.plans.registry import query, sha256_pad
 from stowage.sources.views import Tables
 
 
@@ -50,21 +50,20 @@ def rotate_key(t: Tables) -> DataFrame:
     ).select("id", "password", "retired_at")
 
 
+_NEW = "new secret:salt"
+_PADS = [sha256_pad(_NEW, pad) for pad in (0x36, 0x5C)]
+
+
 @query(
-    "SELECT r.id AS record_id, (SELECT max(id) + 1 FROM backup_key_versions) AS key_version_id, $SHA('new secret:salt' || ':' || r.sha256) AS content_id FROM backup_records r WHERE r.sha256 IS NOT NULL"
+    f"SELECT r.id AS record_id, (SELECT max(id) + 1 FROM backup_key_versions) AS key_version_id, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode('content-id:' || r.sha256)))) AS content_id FROM backup_records r WHERE r.sha256 IS NOT NULL AND r.id % 3 <> 0"
 )
 def rotate_backfill(t: Tables) -> DataFrame:
-    """After a rotation every record gets a content id under the new key; a digest stands for the keyed one, which
-    content_ids makes.
-    """
-    rotated = mutations.rotate_key(t.backup_key_versions, "new secret", "salt", 1_650_000_000)
-    made = F.sha2(F.concat("password", F.lit(":"), "kdf_salt", F.lit(":"), "sha256"), 256)
-    return mutations.backfill(
-        t.backup_records,
-        rotated,
-        made,
-        t.backup_records.select(F.col("id").alias("record_id"), F.lit(1).cast("long").alias("key_version_id")),
-    )
+    """After a rotation every record gets its keyed content id under the new key, from its hash alone; every third has it already."""
+    rotated = mutations.rotate_key(t.backup_key_versions.drop("master_key"), "new secret", "salt", 1_650_000_000)
+    keyed = rotated.withColumn("master_key", F.unhex(F.sha2(F.concat_ws(":", "password", "kdf_salt"), 256)))
+    newest = rotated.agg(F.max("id").alias("key_version_id"))
+    present = t.backup_records.filter("id % 3 = 0").select(F.col("id").alias("record_id")).crossJoin(F.broadcast(newest))
+    return mutations.backfill_keyed(t.backup_records, keyed, present)
 
 
 @query("SELECT id, status, 0 AS retries, CAST(NULL AS VARCHAR) AS note FROM backup_runs")

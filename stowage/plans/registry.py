@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def sha256_pad(secret: str, pad: int) -> str:
+    """In hex, the block that the SHA-256 of a secret, as an HMAC key, makes with a pad byte."""
+    return bytes(b ^ pad for b in hashlib.sha256(secret.encode()).digest().ljust(64, b"\0")).hex().upper()
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a function of the tables under its name. sql may refer to the views of sources/views.py."""
 

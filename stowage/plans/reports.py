@@ -119,6 +119,14 @@ def catalog_page(t: Tables) -> DataFrame:
     return reports.page_of(t.media_files.select("id", "genre", "filename"), 3)
 
 
+@query("""
+    WITH o AS (SELECT id, genre, filename, row_number() OVER (ORDER BY genre NULLS LAST, filename, id) - 1 AS n, count(*) OVER () AS total FROM media_files)
+    SELECT id, genre, filename FROM o WHERE n // 20 = ((total + 19) // 20 + 1) // 2 - 1
+""")
+def catalog_page_middle(t: Tables) -> DataFrame:
+    return reports.page_of(t.media_files.select("id", "genre", "filename"), None)
+
+
 @query("""
     WITH r AS (SELECT substr(path, 6) AS rel FROM media_files)
     SELECT CASE WHEN len(string_split(rel, '/')) > 2 THEN 'folder' ELSE 'file' END AS kind, string_split(rel, '/')[2] AS name, count(*)::BIGINT AS files FROM r WHERE starts_with(rel, 'src0/') GROUP BY 1, 2
