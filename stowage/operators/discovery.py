@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import scalars
 from stowage.operators.catalog import numbered_after
+from stowage.session import settle
 
 ENTRY = "struct<size:bigint,mtime:string,member:string,offset:bigint,paths:array<string>,paths_enc:string,compression:string,part:bigint,parts:bigint,sha256_enc:string>"
 INDEX = f"v int, archive_id string, object string, type string, created_at string, size bigint, files map<string,{ENTRY}>, key_scheme string, key_check string, encrypted boolean"
@@ -54,40 +57,40 @@ def open_entries(each: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.withColumn("sha256", real).withColumn("paths", paths).drop("own_key")
 
 
-def discover(each: DataFrame, listing: DataFrame) -> DataFrame:
+@dataclass
+class Found:
+    """What index documents tell of stored content. files: sha256, size_bytes, compression, paths, mtime_ns, and how many parts and
+    copies there are. parts, a row each however many a hash has: sha256, size_bytes, part, archive_id, offset, type, encrypted, object.
+    """
+
+    files: DataFrame
+    parts: DataFrame
+
+
+def discover(each: DataFrame, listing: DataFrame) -> Found:
     """Files by content hash, from entries (see entries) with sha256 and paths whose archive object is listed.
 
     All entries of a hash must agree in size, time and compression, or the file is dropped. Paths are the first ones
-    that can be read. The hash may be null where no key opens the entry; such entries have no identity and go.
+    that can be read. The hash may be null where no key opens the entry; such entries have no identity and go. Parts are kept
+    as rows: a content that very many archives hold, an empty file, is no list anywhere.
     """
     live = each.filter("sha256 is not null").join(
         listing.select(F.col("key").alias("object")).distinct(), "object", "left_semi"
     )
-    same = F.struct("entry.size", "entry.mtime", "entry.compression")
-    part = F.struct(
-        F.coalesce("entry.part", F.lit(0)).alias("part"),
-        "archive_id",
-        F.coalesce("entry.offset", F.lit(0)).alias("offset"),
-        "type",
-        "encrypted",
-        "object",
-    )
+    one = settle(live.select(
+        "sha256", "paths", "archive_id", "key", "type", "encrypted", "object", F.col("entry.size").alias("size_bytes"), F.col("entry.mtime").alias("mtime"),
+        F.col("entry.compression").alias("compression"), F.coalesce("entry.part", F.lit(0)).alias("part"), F.coalesce("entry.offset", F.lit(0)).alias("offset"),
+    ), "entries")
+    same = F.struct("size_bytes", "mtime", "compression")
     first_paths = F.min_by("paths", F.when(F.col("paths").isNotNull(), F.struct("archive_id", "key"))).alias("paths")
-    facts = [F.first(f"entry.{c}").alias(n) for c, n in (("size", "size_bytes"), ("mtime", "mtime"), ("compression", "compression"))]
-    grouped = live.groupBy("sha256").agg(
-        F.count_distinct(same).alias("kinds"), *facts, first_paths, F.array_sort(F.collect_list(part)).alias("parts")
-    )
-    whole = grouped.filter("kinds = 1 and size_bytes is not null").drop("kinds")
-    copies = F.size(F.array_distinct(F.transform("parts", lambda p: p["archive_id"]))).alias("copies")
-    return whole.select(
-        "sha256",
-        "size_bytes",
-        "compression",
-        "paths",
-        "parts",
-        scalars.mtime_to_ns(F.col("mtime")).alias("mtime_ns"),
-        copies,
+    facts = one.groupBy("sha256").agg(
+        F.min(same).alias("told"), F.max(same).alias("other"), first_paths, F.count(F.lit(1)).cast("int").alias("parts"), F.count_distinct("archive_id").cast("int").alias("copies")
     )
+    whole = settle(facts.filter(F.col("told").eqNullSafe(F.col("other")) & F.col("told.size_bytes").isNotNull()).select(
+        "sha256", "told.size_bytes", "told.compression", "paths", scalars.mtime_to_ns(F.col("told.mtime")).alias("mtime_ns"), "parts", "copies"
+    ), "contents")
+    parts = one.select("sha256", "size_bytes", "part", "archive_id", "offset", "type", "encrypted", "object")
+    return Found(whole, parts.join(whole.select("sha256"), "sha256", "left_semi"))
 
 
 def key_for_archive(parsed: DataFrame, keys: DataFrame, check_of: Column) -> DataFrame:
@@ -162,11 +165,9 @@ def sync_plan(discovered: DataFrame, files: DataFrame, records: DataFrame, root:
     return joined.select("sha256", "path", "size_bytes", status.alias("status"))
 
 
-def sync_archives(discovered: DataFrame, archives: DataFrame, listing: DataFrame) -> DataFrame:
+def sync_archives(found: Found, archives: DataFrame, listing: DataFrame) -> DataFrame:
     """Each archive that discovered content needs, once: known, new or vanished."""
-    needed = discovered.select(F.explode("parts").alias("p")).select(
-        F.col("p.archive_id").alias("archive_id")
-    ).distinct()
+    needed = found.parts.select("archive_id").distinct()
     known = archives.select("archive_id", "path").distinct()
     stored = listing.select(F.col("key").alias("path"), F.lit(True).alias("stored")).distinct()
     joined = needed.join(known, "archive_id", "left").join(stored, "path", "left")
@@ -178,13 +179,11 @@ def sync_archives(discovered: DataFrame, archives: DataFrame, listing: DataFrame
     )
 
 
-def without_vanished(discovered: DataFrame, states: DataFrame) -> DataFrame:
+def without_vanished(found: Found, states: DataFrame) -> Found:
     """The content none of whose archives has vanished (see sync_archives)."""
     gone = states.filter("state = 'vanished'").select("archive_id")
-    lost = discovered.select("sha256", F.explode("parts").alias("p")).select(
-        "sha256", F.col("p.archive_id").alias("archive_id")
-    ).join(gone, "archive_id", "left_semi")
-    return discovered.join(lost.select("sha256").distinct(), "sha256", "left_anti")
+    lost = settle(found.parts.join(gone, "archive_id", "left_semi").select("sha256").distinct(), "lost")
+    return Found(found.files.join(lost, "sha256", "left_anti"), found.parts.join(lost, "sha256", "left_anti"))
 
 
 def sync_apply(plan: DataFrame, files: DataFrame) -> DataFrame:
@@ -197,13 +196,11 @@ def sync_apply(plan: DataFrame, files: DataFrame) -> DataFrame:
     return kept.unionByName(numbered_after(files, new, "path").select("id", "path", "size_bytes", "sha256"))
 
 
-def sync_archive_rows(discovered: DataFrame, archives: DataFrame) -> DataFrame:
+def sync_archive_rows(found: Found, archives: DataFrame) -> DataFrame:
     """The archives table (id, archive_id, path, encrypted, archive_type) with a row for each archive that it didn't
     know, numbered in order of archive_id.
     """
-    part = discovered.select(F.explode("parts").alias("p")).select(
-        "p.archive_id", F.col("p.object").alias("path"), "p.encrypted", F.col("p.type").alias("archive_type")
-    )
+    part = found.parts.select("archive_id", F.col("object").alias("path"), "encrypted", F.col("type").alias("archive_type"))
     new = part.groupBy("archive_id").agg(
         *[F.min(c).alias(c) for c in ("path", "encrypted", "archive_type")]
     ).join(archives.select("archive_id"), "archive_id", "left_anti")
@@ -212,7 +209,7 @@ def sync_archive_rows(discovered: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def sync_members(
-    plan: DataFrame, discovered: DataFrame, files: DataFrame, archives: DataFrame, destination: int, max_size: int
+    plan: DataFrame, found: Found, files: DataFrame, archives: DataFrame, destination: int, max_size: int
 ) -> DataFrame:
     """What recovered paths hold in which archive, as members for backup.record_archives: a part of a split file has
     its own length, not the file's.
@@ -220,10 +217,7 @@ def sync_members(
     files and archives: the tables after sync_apply and sync_archive_rows. Of several copies of a part that of the
     smallest archive_id is linked.
     """
-    parts = discovered.select(
-        "sha256", "size_bytes", F.explode("parts").alias("p")
-    ).select("sha256", "size_bytes", "p.*")
-    one = parts.groupBy("sha256", "size_bytes", "part").agg(
+    one = found.parts.groupBy("sha256", "size_bytes", "part").agg(
         F.min_by(F.struct("archive_id", "offset", "type"), "archive_id").alias("c")
     ).select("sha256", "size_bytes", "part", "c.*")
     index = F.row_number().over(Window.partitionBy("sha256").orderBy("part")) - 1

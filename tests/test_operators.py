@@ -147,10 +147,12 @@ def test_index_documents(spark):
     assert [r["key"] for r in parsed.filter("bad").orderBy("key").collect()] == ["4", "5"]
     listing = spark.createDataFrame([("o/A.tar",), ("o/B.tar",), ("o/C.tar",)], "key string")
     each = discovery.entries(parsed).withColumn("sha256", F.col("key")).withColumn("paths", F.col("entry.paths"))
-    found = discovery.discover(each, listing).collect()
+    told = discovery.discover(each, listing)
+    found = told.files.collect()
     assert [
-        (r["sha256"], r["size_bytes"], r["mtime_ns"], r["paths"], len(r["parts"]), r["copies"]) for r in found
+        (r["sha256"], r["size_bytes"], r["mtime_ns"], r["paths"], r["parts"], r["copies"]) for r in found
     ] == [("h1", 3, 1_700_000_000 * 10**9, ["x"], 2, 2)]
+    assert rows(told.parts.select("sha256", "part", "archive_id", "offset")) == [("h1", 0, "A", 5), ("h1", 2, "B", 9)]
 
 
 def _index_members(spark, rows):
@@ -218,14 +220,6 @@ def test_folder_expand_is_by_component(spark):
     assert rows(catalog.folder_expand(files, spark.createDataFrame([("/a/b",)], "folder string"))) == [(1,), (3,)]
 
 
-def test_scan_lists_a_folder(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.mkv").write_bytes(b"12345")
-    (tmp_path / "b.nfo").write_bytes(b"1")
-    found = catalog.list_files(spark, str(tmp_path))
-    assert sorted((r["path"].rsplit("/", 1)[1], r["size"]) for r in found.collect()) == [("a.mkv", 5), ("b.nfo", 1)]
-
-
 def test_nfo_cases(spark):
     cases = [
         (1, "<movie><title>T</title><year>1999</year><rating>7.5</rating><runtime>90</runtime></movie>"),
