@@ -63,3 +63,18 @@ def test_the_leftmost_least_of_each_stretch():
         for width in (1, 2, 7, 38, 100):
             got = K.leftmost_least(x, width)
             assert got.tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(n)]
+
+
+def test_words_and_windows_that_cancel_in_sums_have_other_hashes():
+    """Thue-Morse words of two letters, and of two words: sums of powers of them are equal for 1024 of them."""
+    signs = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs))
+    raw = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    starts, ends, _ = K.spans(raw, np.array([0, len(raw)]))
+    a, b = K.word_hash_pairs(raw, starts, ends)
+    assert a[0] != a[1] and b[0] != b[1]
+    sentence = " ".join("ab"[s] for s in signs) + " " + " ".join("ba"[s] for s in signs)
+    raw = np.frombuffer(sentence.encode(), np.uint8)
+    starts, ends, _ = K.spans(raw, np.array([0, len(raw)]))
+    grams = K.ngram_hashes(K.word_hashes(raw, starts, ends), 1024)
+    assert grams[0] != grams[1024]

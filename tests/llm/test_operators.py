@@ -785,3 +785,45 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
     same = [codec.encode(f"word{i} otherword{i} the end") for i in range(20)]
     assert max(len(codec.words), len(codec.segments), len(codec.compatible)) <= 5
     assert same == [codec.encode(f"word{i} otherword{i} the end") for i in range(20)]
+
+
+# -- words and blanks that once broke operators
+
+MORSE = ["".join("ab"[bin(i).count("1") & 1 ^ flip] for i in range(1024)) for flip in (0, 1)]
+
+
+def test_words_that_sums_confuse_are_told_apart_by_windows_search_and_near_copies(spark):
+    from stowage.llm import jaccard
+
+    shared = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join([*shared, MORSE[i]])) for i in (0, 1)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.dedup_words(docs, "doc_id", "text", length=13).collect()] == [0, 0]
+    own = spark.createDataFrame([(0, MORSE[0]), (1, MORSE[1])], "doc_id long, text string")
+    found = bm25.top_k(own, own.filter("doc_id = 0"), "doc_id", "text").collect()
+    assert [r["doc_id"] for r in found] == [0]
+    pair = own.withColumnRenamed("doc_id", "n")
+    assert len({r["root"] for r in jaccard.groups(pair).collect()}) == 2
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000"])
+def test_long_runs_of_blanks_are_encoded_as_the_library_does(blank):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = packing.encoder(open(RANKS, "rb").read())
+    run = blank * (1_010_000 // len(blank))
+    for text in (run, f"{run}word", f"word{run}", f"word{run}word", f"a{run}'s<|endoftext|>{run}"):
+        assert packing.token_ids(encode, text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_rows_without_ids_are_dealt_to_all_groups(spark, monkeypatch):
+    parts = packing.pieces(spark.createDataFrame([(None, "same text")] * 4000, "doc_id long, text string").repartition(2), "doc_id", "text", RANKS)
+    sizes, packer = [], packing._packer
+
+    def counted(capacity, r):
+        inner = packer(capacity, r)
+        return lambda key, g: inner(key, g).assign(ids_crc32=len(g)) if not r else inner(key, g)
+
+    monkeypatch.setattr(packing, "_packer", counted)
+    sizes = [r["ids_crc32"] for r in packing.pack(packing.cut(parts, "pieces"), group_rows=500, rounds=1).collect()]
+    assert len(sizes) == 4000 and max(sizes) < 1000
