@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, scalars
+from stowage.operators import patterns
 from stowage.operators.catalog import numbered_after
 from stowage.operators.ordered import next_fit, running
 
@@ -46,11 +47,8 @@ def skip_reasons(
     force_all: bool = False,
 ) -> DataFrame:
     """id, path, reason: the first reason that applies, or candidate. before and after: listings round the reads."""
-    own = locations.select(
-        F.col("id").alias("storage_location_id"),
-        F.col("path").alias("root"),
-        paths.glob_regexes(F.col("exclude_globs")).alias("globs"),
-    )
+    own = locations.select(F.col("id").alias("storage_location_id"))
+    out = patterns.excluded(files, locations).select("id", F.lit(True).alias("excluded"))
     done = records.filter(F.col("destination_id") == destination).join(present, "id").select(
         F.col("media_file_id").alias("id"), F.col("mtime_ns").alias("stored_ns"), "present"
     )
@@ -58,13 +56,12 @@ def skip_reasons(
     later = after.select("path", F.col("size").alias("later_size"), F.col("mtime_ns").alias("later_ns"))
     joined = files.join(
         own, "storage_location_id"
-    ).join(done, "id", "left").join(seen, "path", "left").join(later, "path", "left")
-    excluded = paths.matches_any(paths.relative(F.col("path"), F.col("root")), F.col("globs"))
+    ).join(out, "id", "left").join(done, "id", "left").join(seen, "path", "left").join(later, "path", "left")
     same = is_unchanged(
         force_all, F.col("disk_ns"), F.col("disk_size"), F.col("stored_ns"), F.col("size_bytes"), F.col("present")
     )
     moved = ~F.col("disk_size").eqNullSafe(F.col("later_size")) | ~F.col("disk_ns").eqNullSafe(F.col("later_ns"))
-    reason = F.when(excluded, "excluded").when(F.col("is_missing"), "already_missing").when(
+    reason = F.when(F.col("excluded"), "excluded").when(F.col("is_missing"), "already_missing").when(
         F.col("disk_size").isNull(), "missing"
     ).when(same, "unchanged").when(moved, "changed_during_read").otherwise("candidate")
     return joined.select("id", "path", reason.alias("reason"))

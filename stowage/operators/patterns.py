@@ -78,6 +78,18 @@ def first_glob(files: DataFrame, patterns: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.min(F.struct("n", "pattern")).alias("first")).select("id", "first.n", "first.pattern")
 
 
+def excluded(files: DataFrame, locations: DataFrame) -> DataFrame:
+    """id, pattern: the first of its library's exclude patterns that a file's path below the library's root matches.
+
+    files: id, storage_location_id, path; locations: id, path, exclude_globs, a pattern a line.
+    """
+    lists = locations.select(F.col("id").alias("list"), F.posexplode(paths.glob_list(F.col("exclude_globs"))).alias("n", "pattern"))
+    roots = locations.filter("exclude_globs is not null").select(F.col("id").alias("storage_location_id"), F.col("path").alias("root"))
+    own = files.select("id", "storage_location_id", "path").join(roots, "storage_location_id")
+    rel = own.select("id", F.col("storage_location_id").alias("list"), paths.relative(F.col("path"), F.col("root")).alias("path"))
+    return first_glob(rel, lists).select("id", "pattern")
+
+
 def first_prefix(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     """id, name: the name of the first prefix that a file's path starts with, null without one.
 

@@ -258,17 +258,9 @@ def nfo_enrich(t: Tables) -> DataFrame:
            ELSE regexp_full_match(substr(m.path, length(m.source) + 7), '(?s)de/doc-.[05]\..*') END AS excluded FROM media_files m
 """)
 def exclude_globs(t: Tables) -> DataFrame:
-    joined = t.media_files.join(
-        t.storage_locations.select(
-            F.col("id").alias("storage_location_id"),
-            F.col("path").alias("root"),
-            paths.glob_regexes(F.col("exclude_globs")).alias("globs"),
-        ),
-        "storage_location_id",
-    )
-    return joined.select(
-        "id", "path", paths.matches_any(paths.relative(F.col("path"), F.col("root")), F.col("globs")).alias("excluded")
-    )
+    files = t.media_files.select("id", "storage_location_id", "path")
+    out = patterns.excluded(files, t.storage_locations).select("id", F.lit(True).alias("excluded"))
+    return files.join(out, "id", "left").select("id", "path", F.coalesce("excluded", F.lit(False)).alias("excluded"))
 
 
 GLOBS = {

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.operators import content, ledger
+from stowage.operators import content, ledger, mutations
 from stowage.plans.registry import query
 from stowage.session import settle, shared_dir
 from stowage.sources import events, listing, objects
@@ -256,3 +256,25 @@ def restore_check(t: Tables) -> DataFrame:
 @query("SELECT CASE WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'match' END AS verdict, count(*)::BIGINT AS files FROM documents GROUP BY 1")
 def verify_deep(t: Tables) -> DataFrame:
     return _restored(t).groupBy(F.when(F.col("verdict") == "ok", "match").otherwise("mismatch").alias("verdict")).agg(F.count(F.lit(1)).alias("files"))
+
+
+# -- versions of a table
+
+
+@query("SELECT id, path, size_bytes FROM media_files")
+def publish_catalog(t: Tables) -> DataFrame:
+    """The catalog published twice, without and with its missing files; a reader gets the last version that is whole."""
+    root, files = _root(t, "versions"), t.media_files.select("id", "path", "size_bytes", "is_missing")
+    mutations.publish(t.spark, files.filter("not is_missing"), root, "files", 1)
+    mutations.publish(t.spark, files, root, "files", 2)
+    files.limit(1).write.parquet(f"{root}/files/v=3")  # a writer that stopped before it published
+    return mutations.read_current(t.spark, root, "files").select("id", "path", "size_bytes")
+
+
+@query("SELECT true AS bounded")
+def verify_requests(t: Tables) -> DataFrame:
+    """Whether the vault's verification reads each archive by three requests at most, five more allowed in all."""
+    v = _vault(t)
+    ends = ledger.read_ends(v.records, v.links, v.archives, v.root, SAMPLE)
+    archives = v.archives.agg(F.count(F.lit(1)).alias("n"))
+    return ends.agg(F.sum("requests").alias("requests")).crossJoin(archives).select((F.col("requests") <= 3 * F.col("n") + 5).alias("bounded"))

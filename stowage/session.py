@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FOLDERS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,17 +28,29 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
-    return folder or tempfile.mkdtemp(prefix="stowage-")
+    """This application's folder in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
+        _FOLDERS[app] = f"{folder or tempfile.mkdtemp(prefix='stowage-')}/stowage-{app}"
+    return _FOLDERS[app]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what isn't a function of the rows alone, such as a partition
-    number, then stays the same.
+    number, then stays the same. What is settled stays until clear().
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the application has settled, stored and streamed; for the end of a job, or between jobs none of whose results
+    are still to be read."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

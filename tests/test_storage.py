@@ -256,3 +256,15 @@ def test_ends_of_split_sealed_and_compressed_records(spark, tmp_path):
     bad = {r.backup_record_id for r in ledger.sampled_ends(ends, records, other).collect() if not r.sound}
     assert bad == {0, 1, 2, 3}
     assert {r.sound for r in ledger.sampled_ends(ends, records, files.limit(0)).collect()} == {True}  # local files gone
+
+
+def test_what_was_settled_goes_when_it_is_cleared(spark):
+    from pathlib import Path
+
+    from stowage import session
+
+    kept = session.settle(spark.range(3), "some")
+    folder = Path(session.shared_dir(spark).removeprefix("file://"))
+    assert kept.count() == 3 and folder.is_dir()
+    session.clear(spark)
+    assert not folder.exists() and session.settle(spark.range(2), "some").count() == 2
