@@ -180,23 +180,6 @@ def encrypt_blob(files: DataFrame, chunk: int, magic: bytes = MAGIC) -> DataFram
     )
 
 
-def decrypt_blob(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
-    """id, content; null where the header isn't the format's, a chunk fails or is missing, or the total isn't what the
-    header says.
-    """
-    nonce = F.concat(F.substring("header", 5, 4), F.unhex(F.lpad(F.hex(F.col("i").cast("long")), 16, "0")))
-    opened = F.try_aes_decrypt(F.concat(nonce, "sealed"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("header"))
-    each = chunks.withColumn("plain", opened)
-    every = F.bool_and(F.col("plain").isNotNull()).alias("ok"), F.count(F.lit(1)).alias("n"), F.max("i").alias("last")
-    joined = each.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("i", "plain"))).alias("c"), *every)
-    whole = F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["plain"])), ""))
-    size = F.conv(F.hex(F.substring("header", 13, 8)), 16, 10).cast("long")
-    right = F.col("ok") & (
-        F.substring("header", 1, 4) == F.lit(magic)
-    ) & (F.col("n") == F.col("last") + 1) & (F.octet_length(whole) == size)
-    return joined.select("id", F.when(right, whole).alias("content"))
-
-
 def gzip_plan(files: DataFrame) -> DataFrame:
     """id, extension, content -> id, stored (bytes), compressed: gzip where it saves 5 % or more.
 
@@ -352,12 +335,18 @@ class _Checked:
         if self.missing:
             return "missing"
         whole = (self.plain_size in (None, self.opened)) and (self.inflate is None or self.inflate.whole())
-        return "ok" if whole and not self.broken and self.sha.hexdigest() == self.wanted else "mismatch"
+        self.broken = self.broken or not whole
+        return "ok" if not self.broken and self.sha.hexdigest() == self.wanted else "mismatch"
+
+    def digest(self) -> str | None:
+        """The hash of all bytes, after verdict(); null where they don't decode."""
+        return None if self.missing or self.broken else self.sha.hexdigest()
 
 
 def restore_streams(parts: DataFrame, root: str, target: str | None = None) -> DataFrame:
-    """id, verdict (ok, mismatch or missing) and bytes of what is stored in parts below the root, decoded and hashed as a stream; with
-    a target, what is ok is written there, a file named by `name`.
+    """id, verdict (ok, mismatch or missing), bytes and digest of what is stored in parts below the root, decoded and hashed as a
+    stream; with a target, what is ok is written there, a file named by `name`. The digest, a SHA-256, is there for all that decodes,
+    so without an expected hash this is how contents beyond a cell are hashed.
 
     parts: id, part, key, offset, length, whole (see objects.read_streams), and of each id sha256, compressed, seal (the
     key, null: none) and name. Bytes go through in order: read by ranges, opened by Spark chunk by chunk, then inflated and hashed.
@@ -372,7 +361,7 @@ def restore_streams(parts: DataFrame, root: str, target: str | None = None) -> D
         store, base = fs.FileSystem.from_uri(target) if target else (None, "")
         now, state, done, schema = None, None, [], None
         for batch in batches:
-            schema = pa.schema([batch.schema.field("id"), ("verdict", pa.string()), ("bytes", pa.int64())])
+            schema = pa.schema([batch.schema.field("id"), ("verdict", pa.string()), ("bytes", pa.int64()), ("digest", pa.string())])
             for k in range(batch.num_rows):  # a block at a time, not the batch's all at once
                 ident, i, head, plain, gone, sha256, compressed, name = (batch.column(c)[k].as_py() for c in range(8))
                 if state is None or ident != now:
@@ -393,12 +382,12 @@ def restore_streams(parts: DataFrame, root: str, target: str | None = None) -> D
         verdict = state.verdict()
         if state.file:
             state.file.done() if verdict == "ok" else state.file.undo()
-        return ident, verdict, state.bytes if verdict == "ok" else 0
+        return ident, verdict, state.bytes if verdict == "ok" else 0, state.digest()
 
     def _rows(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-    return rows.mapInArrow(run, f"id {kind}, verdict string, bytes long")
+    return rows.mapInArrow(run, f"id {kind}, verdict string, bytes long, digest string")
 
 
 def crc32c_of_pieces(pieces: DataFrame) -> DataFrame:

@@ -94,25 +94,6 @@ def open_index(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "SELECT doc_id AS id, doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 AS whole, CASE WHEN doc_id % 5 <> 3 OR octet_length(encode(text)) <= 512 THEN $SHA(text) ELSE '' END AS sha256 FROM documents"
-)
-def blob_roundtrip(t: Tables) -> DataFrame:
-    """Contents encrypted in chunks of 512 bytes and opened again; of every fifth one the first chunk of several is
-    lost on the way.
-    """
-    files = _files(t).withColumn("key", F.unhex(F.sha2(F.col("id").cast("string"), 256))).withColumn(
-        "prefix", F.unhex(F.substring(F.md5(F.col("id").cast("string")), 1, 8))
-    )
-    chunks = content.encrypt_blob(files, 512)
-    several = F.conv(F.hex(F.substring("header", 13, 8)), 16, 10).cast("long") > 512
-    kept = chunks.filter(~((F.col("id") % 5 == 3) & (F.col("i") == 0) & several))
-    back = content.decrypt_blob(kept)
-    return back.select(
-        "id", F.col("content").isNotNull().alias("whole"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256")
-    )
-
-
 def _packed(t: Tables) -> DataFrame:
     files = t.media_files.select("id", "extension").join(_files(t), "id")
     return content.gzip_plan(files)

@@ -200,6 +200,20 @@ def test_sealed_parts_open_across_their_cuts(spark, tmp_path, chunk):
     assert got[1] == "ok" and got[2] == got[3] == "mismatch" and got[4] in ("mismatch", "missing")
 
 
+def test_blobs_streamed_into_files_tell_damage(spark, tmp_path):
+    data = bytes(range(256)) * 5
+    files = spark.createDataFrame([(1, data, bytes(32), b"abcd"), (2, data, bytes(32), b"efgh"), (3, b"", bytes(32), b"ijkl"), (4, data, bytes(32), b"mnop")], "id long, content binary, key binary, prefix binary")
+    chunks = content.encrypt_blob(files, 500).withColumn("key", F.col("id").cast("string"))
+    heads = chunks.filter("i = 0").select("key", F.lit(-1).alias("i"), F.col("header").alias("data"))
+    kept = chunks.filter("not (id = 2 and i = 2) and not (id = 4 and i = 0)").select("key", "i", F.col("sealed").alias("data"))
+    put = {r.key: r.size for r in objects.put_streams(heads.unionByName(kept).repartition(3), str(tmp_path)).collect()}
+    assert put["1"] == 20 + len(data) + 3 * 16 and put["3"] == 36
+    sha = {1: data, 2: data, 3: b"", 4: data}
+    rows = [(i, 0, str(i), 0, put[str(i)], False, hashlib.sha256(sha[i]).hexdigest(), False, bytes(32), "") for i in sha]
+    got = {r.id: (r.verdict, r.digest) for r in content.restore_streams(parts_of(spark, rows), str(tmp_path)).collect()}
+    assert got == {i: ("ok", hashlib.sha256(sha[i]).hexdigest()) if i in (1, 3) else ("mismatch", None) for i in sha}
+
+
 def test_a_large_object_is_never_whole_in_a_worker(spark, tmp_path):
     """384 MB in parts of 16 MB: the workers' memory stays under what the object alone would take."""
     piece, n = os.urandom(1 << 20) * 16, 24
