@@ -221,7 +221,7 @@ def plain_collocations(docs, least, most):
     return {lang: [(r, p.decode(), -a, left, right, n[lang], -s) for r, (s, a, p, left, right) in enumerate(sorted(rows)[:most], 1)] for lang, rows in out.items() if rows}
 
 
-@pytest.mark.parametrize(("shards", "bits"), [(1, 25), (3, 25), (4, 4), (5, 12)])
+@pytest.mark.parametrize(("shards", "bits"), [(1, 25), (2, 4), (5, 12)])
 def test_collocations_are_those_of_a_plain_count(spark, shards, bits):
     rng = random.Random(shards)
     stock = ["in the end", "New York city", "a b c d e f", "so it goes", "naïve é", "x", "y", "z", "to be or not to be"]
