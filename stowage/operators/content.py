@@ -22,6 +22,7 @@ from pyspark.sql.types import LongType, StringType
 
 from stowage.functions import scalars
 from stowage.operators.ordered import running
+from stowage.session import settle
 from stowage.sources import objects
 
 SAMPLE = 1 << 20
@@ -263,6 +264,65 @@ def deal_to_archives(members: DataFrame, group: str, order: str, archive_bytes:
     return placed.select(*members.columns, F.concat_ws("-", group, number).alias("archive"))
 
 
+def gzip_files(files: DataFrame, root: str, target: str) -> DataFrame:
+    """key, size, compressed of files (key, extension) below the root, each compressed into a file of its key below the target where that saves
+    5 % or more; what isn't compressed stays where it is, and size is then its own.
+
+    gzip_plan for contents of any size: the first and the middle MiB say whether it is worth trying, then blocks go through the
+    compressor from file to file.
+    """
+    schema = pa.schema([("key", pa.string()), ("size", pa.int64()), ("compressed", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, base), (to, place) = fs.FileSystem.from_uri(root), fs.FileSystem.from_uri(target)
+        for batch in batches:
+            done = []
+            for key, gated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(f"{base}/{key}") as file:
+                    size = file.size()
+                    packed = None if gated else _gzip_file(file, size, to, f"{place}/{key}")
+                done.append((key, size if packed is None else packed, packed is not None))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    gated = F.coalesce(F.col("extension").isin(*COMPRESSED), F.lit(False))
+    return settle(files.select("key", gated.alias("gated")).mapInArrow(run, "key string, size long, compressed boolean"), "packed")
+
+
+def _gzip_file(file, size: int, store: fs.FileSystem, path: str) -> int | None:
+    """The size of what a file was compressed to; None where that isn't worth it, and nothing is left then."""
+    sample = file.read_at(min(SAMPLE, size), 0) + (file.read_at(SAMPLE, size // 2) if size > 4 * SAMPLE else b"")
+    if not size or len(zlib.compress(sample, 6)) > len(sample) * (1 - MIN_SAVING):
+        return None
+    packer, out = zlib.compressobj(6, zlib.DEFLATED, 31), objects.Writing(store, path)
+    for lo in range(0, size, objects.BLOCK):
+        out.write(packer.compress(file.read_at(min(objects.BLOCK, size - lo), lo)))
+    out.write(packer.flush())
+    if out.at > size * (1 - MIN_SAVING):
+        out.undo()
+        return None
+    out.done()
+    return out.at
+
+
+def seal_files(files: DataFrame, root: str, target: str, chunk: int, magic: bytes = MAGIC) -> DataFrame:
+    """key, size of files (key, size, seal: their key, prefix) below the root, sealed into files of the same keys below the target.
+
+    encrypt_blob for contents of any size: each file's chunks are read by ranges, sealed by Spark and streamed into its blob in one
+    pass, without a shuffle of what was read.
+    """
+    number = lambda n, width: F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
+    header = F.concat(F.lit(magic), "prefix", number(F.lit(chunk), 4), number(F.col("size"), 8))
+    last = F.greatest(F.floor((F.col("size") - 1) / chunk), F.lit(0))
+    each = files.select("key", "size", "seal", "prefix", header.alias("header"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    ranges = each.withColumn("offset", F.col("i") * chunk).withColumn("length", F.least(F.lit(chunk), F.col("size") - F.col("i") * chunk))
+    read = objects.read_ranges(ranges.drop("size"), root)
+    sealed = F.aes_encrypt(F.col("data"), F.col("seal"), F.lit("GCM"), F.lit("DEFAULT"), F.concat("prefix", number(F.col("i"), 8)), F.col("header"))
+    body = F.substring(sealed, F.lit(13), F.octet_length(sealed))
+    pieces = read.select("key", "i", F.when(F.col("i") == 0, F.concat("header", body)).otherwise(body).alias("data"))
+    return objects.put_streams(pieces, target, in_order=True)
+
+
 def prepare(files: DataFrame, chunk: int) -> DataFrame:
     """The stored form of contents: compressed where that saves 5 %, then sealed where a key is given.
 

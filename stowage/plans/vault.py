@@ -282,6 +282,33 @@ def blob_roundtrip(t: Tables) -> DataFrame:
     return back.select("id", F.col("digest").isNotNull().alias("whole"), F.coalesce("digest", F.lit("")).alias("sha256"))
 
 
+@query("SELECT doc_id AS id, doc_id % 3 <> 2 AS sealed, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, $SHA(coalesce(text, '')) AS sha256 FROM documents")
+def prepare_files(t: Tables) -> DataFrame:
+    """Files compressed where it saves, then two of three sealed, from file to file; and read back through both."""
+    root, packed_to, sealed_to = _root(t, "files"), _root(t, "packed"), _root(t, "sealed")
+    name, own = F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 256)
+    texts = _texts(t)
+    objects.put_objects(texts.select(name.alias("key"), "content"), root)
+    given = texts.select(name.alias("key"), F.when(F.col("id") % 2 == 1, "txt").otherwise("jpg").alias("extension"), F.when(F.col("id") % 3 != 2, F.unhex(own)).alias("seal"), F.unhex(F.substring(own, 1, 8)).alias("prefix"))
+    packed = content.gzip_files(given, root, packed_to).join(given, "key")
+    closed = packed.filter("seal is not null")
+    from_packed = content.seal_files(closed.filter("compressed"), packed_to, sealed_to, CHUNK)
+    sealed = from_packed.unionByName(content.seal_files(closed.filter("not compressed"), root, sealed_to, CHUNK))
+    bare = lambda some: packed.filter("seal is null").filter(some).select("key", "size", "compressed", "seal")
+    told = sealed.join(packed.select("key", "compressed", "seal"), "key")
+
+    def back(stored: DataFrame, where: str) -> DataFrame:
+        parts = stored.select(
+            F.col("key").cast("long").alias("id"), F.lit(0).alias("part"), "key", F.lit(0).cast("long").alias("offset"), F.col("size").alias("length"), F.lit(False).alias("whole"),
+            F.lit(None).cast("string").alias("sha256"), "compressed", "seal", F.lit("").alias("name"),
+        )
+        return content.restore_streams(parts, where).select("id", F.lit(where == sealed_to).alias("sealed"), "digest")
+
+    found = back(told, sealed_to).unionByName(back(bare("compressed"), packed_to)).unionByName(back(bare("not compressed"), root))
+    sizes = texts.select("id", F.octet_length("content").cast("long").alias("bytes"))
+    return found.join(sizes, "id").select("id", "sealed", "bytes", F.col("digest").alias("sha256"))
+
+
 @query("SELECT doc_id AS id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, $SHA(coalesce(text, '')) AS sha256 FROM documents")
 def content_hash_stream(t: Tables) -> DataFrame:
     """Hashes of objects read by ranges, in two pieces each, as contents beyond a cell are."""

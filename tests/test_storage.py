@@ -214,6 +214,25 @@ def test_blobs_streamed_into_files_tell_damage(spark, tmp_path):
     assert got == {i: ("ok", hashlib.sha256(sha[i]).hexdigest()) if i in (1, 3) else ("mismatch", None) for i in sha}
 
 
+def test_files_are_compressed_and_sealed_from_file_to_file(spark, tmp_path):
+    noise = os.urandom(300_000)
+    given = {"a/text": b"la la " * 400_000, "a/noise": noise, "empty": b"", "song.mp3": b"x" * 5000, "half": noise + b"z" * 20_000 + noise}
+    for k, data in given.items():
+        put(tmp_path, f"in/{k}", data)
+    files = spark.createDataFrame([(k, "mp3" if k == "song.mp3" else "txt", bytes(32), b"abcd") for k in given], "key string, extension string, seal binary, prefix binary")
+    packed = content.gzip_files(files, str(tmp_path / "in"), str(tmp_path / "packed"))
+    told = {r.key: (r.size, r.compressed) for r in packed.collect()}
+    assert {k for k, (_, c) in told.items() if c} == {"a/text"} and gzip.decompress((tmp_path / "packed/a/text").read_bytes()) == given["a/text"]
+    assert all(told[k][0] == len(given[k]) for k in given if k != "a/text") and os.listdir(tmp_path / "packed/a") == ["text"]
+    both = packed.join(files, "key")
+    for compressed, place in ((True, "packed"), (False, "in")):
+        some = both.filter(F.col("compressed") == compressed)
+        sealed = {r.key: r.size for r in content.seal_files(some, str(tmp_path / place), str(tmp_path / "sealed"), 4096).collect()}
+        assert sealed == {k: n + 20 + 16 * max(1, -(-n // 4096)) for k, (n, c) in told.items() if c == compressed}
+    rows = [(i, 0, k, 0, (tmp_path / "sealed" / k).stat().st_size, False, hashlib.sha256(given[k]).hexdigest(), told[k][1], bytes(32), "") for i, k in enumerate(given)]
+    assert {r.verdict for r in content.restore_streams(parts_of(spark, rows), str(tmp_path / "sealed")).collect()} == {"ok"}
+
+
 def test_a_large_object_is_never_whole_in_a_worker(spark, tmp_path):
     """384 MB in parts of 16 MB: the workers' memory stays under what the object alone would take."""
     piece, n = os.urandom(1 << 20) * 16, 24
