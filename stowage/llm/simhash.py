@@ -24,7 +24,7 @@ still too large is dealt as a grid, parts of its home points by parts of its vis
 
 Defined cases: null and empty texts have the zero fingerprint and link like any other; a null id gets a
 fingerprint and a component, but is never a component's id unless all its ids are null; rows with one id are separate
-rows; an empty
+rows; a text of any length is hashed whole; an empty
 table gives no rows. Only id and text are read, so extra columns can't clash.
 """
 

@@ -260,8 +260,9 @@ def archive_pages(pages: DataFrame, id_col: str, url_col: str, body_col: str, le
 
 
 def export_files(normalised: DataFrame, folder: str) -> DataFrame:
-    """Writes each archive as <folder>/<archive>.warc.gz with <archive>.idx beside it; folder: a URI that all executors
-    can write to.
+    """Writes each archive as <folder>/<archive>-<n>.warc.gz with an .idx of that name beside it; n is the row's number, so archives
+    of equal records are files of their own. folder: a URI that all executors can write to; normalised: a written table, whose rows keep
+    their numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def export_files(normalised: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             paths = []
             for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
+                name = f"{batch.column(0)[i].as_py()}-{batch.column('n')[i].as_py()}"
                 lines = "".join(
                     f"{e['record_id']} {e['type']} {e['offset']} {e['length']}\n" for e in batch.column(2)[i].as_py()
                 )
@@ -283,4 +284,4 @@ def export_files(normalised: DataFrame, folder: str) -> DataFrame:
                 paths.append(f"{base}/{name}.warc.gz")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["archive", "path"])
 
-    return normalised.mapInArrow(run, "archive string, path string")
+    return normalised.withColumn("n", F.monotonically_increasing_id()).mapInArrow(run, "archive string, path string")
