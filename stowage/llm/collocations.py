@@ -262,4 +262,4 @@ def top_collocations(docs: DataFrame, text_col: str, lang_col: str, least: int =
     """lang, rank (from 1), phrase, a, l, r, n, score: each language's first phrases by score, count and bytes."""
     scored = score_phrases(*frequent_phrases(docs, text_col, lang_col, least, shards, bits))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    return scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

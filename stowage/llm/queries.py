@@ -169,6 +169,6 @@ ORACLE_SQL: dict[str, str] = {
              o AS (SELECT lang, array_to_string(v[i : i + m - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, string_split(phrase, ' ') AS v, f, m, unnest(generate_series(1, k - m + 1)) AS i FROM f, generate_series(2, 4) AS t(m) WHERE m < k) GROUP BY 1, 2),
              e AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100 * o.f < 100 * b.a),
              z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
-        SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM z WHERE rank <= 2000
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM z WHERE rank <= 2000
     """,
 }
