@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: With this setting the shuffle files of a write go when the write is through.
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+COLLECT_EVERY = 8  # written tables
+_LIBC = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +66,24 @@ def cut(
         spark.conf.set(LET_GO, before)
     out = spark.table(full)
     out.cut_table = full
-    # plans of steps that are through, which Python's references keep alive in the driver, and memory that Arrow holds back
+    _give_back(spark)
+    return out
+
+
+_WRITTEN = 0
+
+
+def _give_back(spark: SparkSession) -> None:
+    """Let go of the plans of steps that are through, which Python's references keep alive in the driver, and of memory that Arrow
+    and the allocator hold back; now and then of the driver's own garbage, so that its heap needn't grow to its limit."""
+    global _WRITTEN
+    _WRITTEN += 1
     gc.collect()
     pa.default_memory_pool().release_unused()
-    return out
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+    if _WRITTEN % COLLECT_EVERY == 0:
+        spark._jvm.System.gc()
 
 
 def drop(*frames: DataFrame | None) -> None:
