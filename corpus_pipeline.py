@@ -58,9 +58,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each group of near-duplicates one row stays, of those with the smallest id.
 
-    Documents are linked that have 4/5 of their five-word shingles in common. Fingerprints propose links, each is
-    tested on the shingles, and a
-    prefix filter adds the pairs that 64 bits miss. Rows are told apart by a number of their own, so of repeated rows,
+    Documents are linked whose fingerprints of five-word shingles differ in at most 4 bits, and those that have 4/5 of these
+    shingles in common, which a prefix filter finds where 64 bits miss them. Rows are told apart by a number of their own, so of repeated rows,
     and of rows with a null id,
     one stays as of other copies; an id that isn't null is preferred. Texts without a word, null or empty, are alike:
     one of them stays.

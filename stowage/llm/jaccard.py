@@ -7,8 +7,10 @@
    such pair is missed
    at any number of points. The order takes common shingles last. They are named by a sample, which sets the
    size of
-   buckets and nothing else.
-3. Links that another search found (SimHash fingerprints, say) are tested first. Then a few rounds test each component
+   buckets and nothing else. Buckets of the same points (a passage's shingles, say) are one bucket. A pair whose first common
+   shingle is at i and j of m and n shares at most min(m - i, n - j), so a bucket far down in both prefixes pairs nobody.
+3. Links that another search found (SimHash fingerprints, say) come first, as they are or tested. While buckets would make many
+   pairs for their size, a few rounds test each component
    against the leaders of some of its buckets, as long as that joins components, so a dense bucket becomes few components at
    a linear cost; all links of a round are tested at once and components are found once a round. Last, all pairs of a bucket
    that are still in different components are tested. Pairs within one component can't change the groups and are left out.
@@ -40,8 +42,8 @@ from stowage.llm.components import components
 #: under 16 MB.
 SHARE, COMMON, MOST_COMMON = 4, 6, 2_000_000
 #: Rounds against leaders end when one joins fewer of its pairs than this share, or after so many; a component is tested
-#: against so many leaders a round.
-WORTH, STAR_ROUNDS, LEADERS = 0.1, 3, 4
+#: against so many leaders a round. No round is held where buckets make at most FEW pairs a row.
+WORTH, STAR_ROUNDS, LEADERS, FEW = 0.1, 3, 4, 4
 BINS = 256
 #: Bits of a shingle's hash that name its bucket: less to write, and shingles that share a bucket by chance only add
 #: candidates.
@@ -189,14 +191,37 @@ def _near_in_size(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _can_share(m: str, i: str, n: str, j: str):
+    """Whether sets of m and n shingles, the first common one at i and j (from 0) in the order, may be 4/5 alike."""
+    return 9 * F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) >= 4 * (F.col(m) + F.col(n))
+
+
+def _buckets(tokens: DataFrame) -> DataFrame:
+    """(h, p, size, at): the buckets of several points, those of the same points as one; at: where in a point's prefix the first
+    of them is. Buckets whose names are equal by chance are one too, which only adds candidates.
+    """
+    members = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("p")).alias("x"))
+    named = members.filter("k > 1").select("h", F.xxhash64("k", "x").alias("g"))
+    met = tokens.join(named, "h").groupBy("g", "p", "size").agg(F.min("at").alias("at"))
+    return met.withColumnRenamed("g", "h")
+
+
+def _few_pairs(buckets: DataFrame) -> bool:
+    """Whether the pairs of a bucket in different components are at most FEW for each row of the buckets (h, p, c)."""
+    members = buckets.groupBy("h", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    each = members.groupBy("h").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    rows, pairs = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return (pairs or 0) <= FEW * (rows or 0)
+
+
 def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Buckets (h, p, size) with the component c of each point, without those that lie in one component, as a written
+    """Buckets (h, p, size, at) with the component c of each point, without those that lie in one component, as a written
     table.
     """
     if roots is None:
         return cut(buckets.withColumn("c", F.col("p")), "open")
     named = buckets.join(roots.select(F.col("node").alias("p"), "root"), "p", "left")
-    named = cut(named.select("h", "p", "size", F.coalesce("root", "p").alias("c")), "named")
+    named = cut(named.select("h", "p", "size", "at", F.coalesce("root", "p").alias("c")), "named")
     several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
     out = cut(named.join(several, "h"), "open")
     drop(named)
@@ -224,28 +249,31 @@ def _crossed(buckets: DataFrame) -> DataFrame:
     parts = cut(buckets.groupBy("h", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "parts")
     other = parts.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     met = parts.join(other, "h").filter("c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo").select("h", "c", "d")
-    left = met.join(buckets.select("h", "c", "p", "size"), ["h", "c"]).select(
-        "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("d").alias("c")
+    left = met.join(buckets.select("h", "c", "p", "size", "at"), ["h", "c"]).select(
+        "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("d").alias("c")
     )
-    pairs = left.join(buckets.select("h", "c", "p", "size"), ["h", "c"]).filter(_near_in_size("size", "m"))
+    right = buckets.select("h", "c", "p", "size", "at")
+    pairs = left.join(right, ["h", "c"]).filter(_near_in_size("size", "m") & _can_share("m", "i", "size", "at"))
     out = cut(pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct(), "crossed")
     drop(parts)
     return out
 
 
-def groups(rows: DataFrame, size: int = 5, known: DataFrame | None = None) -> DataFrame:
+def groups(
+    rows: DataFrame, size: int = 5, known: DataFrame | None = None, linked: DataFrame | None = None
+) -> DataFrame:
     """(n, root) for the written table rows (n, text), n distinct: root is the smallest n of the group.
 
-    known: pairs (a, b) of numbers that are likely links; they are tested first and save rounds.
+    known: pairs (a, b) of numbers that are likely links; they are tested first and save rounds. linked: pairs (a, b) that are
+    links, whatever their shingles.
     """
     found = cut(prefixes(rows, size, common_shingles(rows, size)), "prefixes")
     points = found.groupBy("x", "y", "size").agg(F.min("n").alias("p"))
     same = cut(found.select("n", "x", "y", "size").join(points, ["x", "y", "size"]).select("n", "p"), "same")
     own = found.join(same.filter("n = p").select("n"), "n", "left_semi")
     sketched = cut(own.select(F.col("n").alias("p"), "size", "sketch"), "sketches")
-    tokens = own.select(F.explode("prefix").alias("h"), F.col("n").alias("p"), "size")
-    shared = tokens.groupBy("h").count().filter("count > 1").select("h")
-    buckets = cut(tokens.join(shared, "h"), "buckets")
+    tokens = own.select(F.posexplode("prefix").alias("at", "h"), F.col("n").alias("p"), "size")
+    buckets = cut(_buckets(tokens), "buckets")
     drop(found)
     tested, links, roots = None, None, None
 
@@ -257,30 +285,37 @@ def groups(rows: DataFrame, size: int = 5, known: DataFrame | None = None) -> Da
         if not n:
             return 0, 0
         new = _verify(pairs, sketched, rows, size)
-        tested, links = (pairs, new) if tested is None else (tested.union(pairs), links.union(new))
+        tested = pairs if tested is None else tested.union(pairs)
+        links = new if links is None else links.union(new)
         got = new.count()
         if got:
             drop(roots)
             roots = cut(components(links), "roots")
         return n, got
 
-    if known is not None:
+    def of_points(pairs: DataFrame) -> DataFrame:
         left, right = same.select(
             F.col("n").alias("a"), F.col("p").alias("pa")
         ), same.select(F.col("n").alias("b"), F.col("p").alias("pb"))
-        ends = known.join(left, "a").join(right, "b").filter("pa <> pb")
-        test(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        ends = pairs.join(left, "a").join(right, "b").filter("pa <> pb")
+        return ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+
+    if linked is not None:
+        links = cut(of_points(linked), "links")
+        roots = cut(components(links), "roots")
+    if known is not None:
+        test(of_points(known))
+    still = _open(buckets, roots)
+    drop(buckets)
     for turn in range(STAR_ROUNDS):
-        still = _open(buckets, roots)
-        drop(buckets)
-        buckets = still  # a bucket in one component stays in one
-        n, got = test(_stars(buckets, turn))
-        buckets = buckets.drop("c")
-        buckets.cut_table = still.cut_table
+        if _few_pairs(still):
+            break
+        n, got = test(_stars(still, turn))
+        if got:
+            buckets, still = still, _open(still.drop("c"), roots)  # a bucket in one component stays in one
+            drop(buckets)
         if got <= WORTH * n:
             break
-    still = _open(buckets, roots)
-    drop(buckets)
     test(_crossed(still))
     drop(still, sketched)
     if roots is None:

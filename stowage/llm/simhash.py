@@ -389,9 +389,9 @@ def candidate_links(rows: DataFrame, size: int = 5, within: int = 4) -> DataFram
 
 
 def near_copies(rows: DataFrame, size: int = 5) -> DataFrame:
-    """(n, root) for the written table rows (n, text): groups of rows whose shingle sets are 4/5 alike.
+    """(n, root) for the written table rows (n, text): groups of rows whose fingerprints link, or whose shingle sets are 4/5 alike.
 
-    The forest's links come first and each is tested on the shingle sets; since 64 bits miss many such pairs, a prefix
-    filter adds the rest (jaccard.py).
+    Fingerprints count a shingle as often as a text has it, so they link texts that are one passage many times over with another
+    tail, which sets tell apart. Since 64 bits miss many pairs of alike sets, a prefix filter adds those (jaccard.py).
     """
-    return jaccard.groups(rows, size, cut(candidate_links(rows, size), "candidates"))
+    return jaccard.groups(rows, size, linked=cut(candidate_links(rows, size), "linked"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm import jaccard
+from stowage.llm import jaccard, simhash
+from stowage.llm.common import cut
 from tests.llm.cases import TEXTS, groups, words
 
 
@@ -65,3 +66,28 @@ def test_sketches_lose_no_pair_and_long_texts_pass(spark, monkeypatch):
     known = spark.createDataFrame([(0, 1), (3, 5), (0, 2)], "a long, b long")
     got = {r["n"]: r["root"] for r in jaccard.groups(rows, known=known).collect()}
     assert [got[i] for i in range(len(given))] == list(groups([shingles(t) for t in given], alike))
+
+
+def test_a_shared_passage_makes_few_buckets_and_no_pair_is_missed(spark, monkeypatch):
+    """Texts of 130 words share passages of 50 two by two: many buckets of the same two texts become few."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    shared = [word(50) for _ in range(300)]
+    rows = [(i, " ".join(word(40) + shared[i // 2] + word(40))) for i in range(600)]
+    rows += [(600 + i, " ".join(shared[i] + word(3))) for i in range(40)]  # 46 of 49 shingles are a passage's
+    rows += [(640 + i, " ".join(word(2) + shared[i])) for i in range(40)]  # 46 of 51
+    buckets, merged = [], jaccard._buckets
+    monkeypatch.setattr(jaccard, "_buckets", lambda tokens: buckets.append((tokens.groupBy("h").count().filter("count > 1").count(), (out := merged(tokens)).select("h").distinct().count())) or out)
+    given = spark.createDataFrame(rows, "n long, text string")
+    got = {r["n"]: r["root"] for r in jaccard.groups(given).collect()}
+    assert [got[i] for i in range(680)] == list(groups([shingles(t) for _, t in rows], alike))
+    assert buckets[0][1] * 2 < buckets[0][0]
+
+
+def test_fingerprints_alone_link_what_sets_tell_apart(spark):
+    """A sentence 200 times over with two tails: nearly all words are the same, and fewer than half of the different shingles."""
+    tails = [" ".join(f"{c}{i}" for i in range(12)) for c in "xy"]
+    given = ["one sentence that is said again and again today " * 200 + t for t in tails] + ["quite another text of a few words"]
+    assert not alike(shingles(given[0]), shingles(given[1]))
+    rows = cut(spark.createDataFrame(list(enumerate(given)), "n long, text string"), "rows")
+    assert {r["n"]: r["root"] for r in simhash.near_copies(rows).collect()} == {0: 0, 1: 0, 2: 2}
