@@ -246,9 +246,11 @@ def _crossed(buckets: DataFrame) -> DataFrame:
     """All pairs of a bucket that are in different components. Components meet first, then their members, so no pair
     within one is made.
     """
-    parts = cut(buckets.groupBy("h", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "parts")
-    other = parts.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = parts.join(other, "h").filter("c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo").select("h", "c", "d")
+    bounds = F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(F.col("size") - F.col("at")).alias("rest")
+    parts = cut(buckets.groupBy("h", "c").agg(*bounds), "parts")
+    other = parts.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
+    near = "c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo and 9 * least(rest, rest2) >= 4 * (lo + lo2)"
+    met = parts.join(other, "h").filter(near).select("h", "c", "d")
     left = met.join(buckets.select("h", "c", "p", "size", "at"), ["h", "c"]).select(
         "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("d").alias("c")
     )

@@ -100,10 +100,27 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 120)
     return w
 
 
+def _packed(bag: np.ndarray) -> bytes:
+    """A bag without its empty buckets: their numbers, then as many values of two bytes."""
+    at = np.flatnonzero(bag)
+    return at.astype("<u2").tobytes() + bag[at].astype("<f2").tobytes()
+
+
+def _dense(bags: list[bytes], rows: np.ndarray) -> np.ndarray:
+    """Some of the bags as rows of a matrix, with the constant one."""
+    x = np.zeros((len(rows), BUCKETS + 1), np.float32)
+    for k, i in enumerate(rows.tolist()):
+        half = len(bags[i]) // 2
+        x[k, np.frombuffer(bags[i][:half], "<u2")] = np.frombuffer(bags[i][half:], "<f2")
+    x *= np.float32(SCALE)
+    x[:, -1] = 1
+    return x
+
+
 class Model:
     """All machines as one matrix (buckets x machines) with constants, and what each decides between."""
 
-    def __init__(self, x: np.ndarray, labels: list[str]) -> None:
+    def __init__(self, bags: list[bytes], labels: list[str]) -> None:
         self.languages = sorted(set(labels))
         family = lambda code: FAMILY_OF.get(code, "other")
         self.families = {
@@ -116,8 +133,8 @@ class Model:
         columns = []
         for group, a, b in self.machines:
             of = own if group else kin
-            rows = (of == a) | (of == b)
-            columns.append(_svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
+            rows = np.flatnonzero((of == a) | (of == b))
+            columns.append(_svm(_dense(bags, rows), np.where(of[rows] == a, 1, -1).astype(np.float32)))
         self.weights = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros(
             (BUCKETS + 1, 0), np.float32
         )
@@ -186,7 +203,7 @@ def fit(
                     [
                         some.column(0),
                         some.column(1),
-                        pa.array([b.astype("<f2").tobytes() if b.any() else None for b in bags], pa.binary()),
+                        pa.array([_packed(b) if b.any() else None for b in bags], pa.binary()),
                     ],
                     ["draw", "label", "bag"],
                 )
@@ -200,14 +217,11 @@ def fit(
     got = taken.select("label", "draw", "bag").toArrow()
     if not got.num_rows:
         return None
-    # one copy of the bags only is held beside what the machines are fitted on
-    labels, draws, bag = got.column("label").to_pylist(), got.column("draw").to_pylist(), got.column("bag")
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], draws[i], bag[i].as_py()))
-    x = np.ones((len(order), BUCKETS + 1), np.float32)
-    for k, i in enumerate(order):
-        x[k, :-1] = np.frombuffer(bag[i].as_buffer(), "<f2")
-    x[:, :-1] *= SCALE
-    return Model(x, [labels[i] for i in order])
+    # bags stay packed; only what one machine is fitted on is a matrix
+    labels, draws, bag = got.column("label").to_pylist(), got.column("draw").to_pylist(), got.column("bag").to_pylist()
+    del got
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], draws[i], bag[i]))
+    return Model([bag[i] for i in order], [labels[i] for i in order])
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str, text_col: str) -> DataFrame:

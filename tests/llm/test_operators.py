@@ -381,6 +381,16 @@ def test_language_of_held_out_documents(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
 
 
+
+def test_language_bags_are_packed_without_loss_and_a_machine_takes_its_own():
+    rng = np.random.default_rng(6)
+    bags = [np.where(rng.random(langid.BUCKETS) < 0.1, rng.random(langid.BUCKETS), 0).astype(np.float16).astype(np.float32) for _ in range(5)]
+    packed = [langid._packed(b) for b in bags]
+    assert max(map(len, packed)) < langid.BUCKETS
+    got = langid._dense(packed, np.array([3, 1]))
+    assert (got[:, :-1] == np.stack([bags[3], bags[1]]) * np.float32(langid.SCALE)).all() and (got[:, -1] == 1).all()
+
+
 def test_language_edge_cases(spark):
     d = docs(spark)
     model = langid.fit(d, "doc_id", "text", "lang")
