@@ -14,7 +14,14 @@
    against the leaders of some of its buckets, as long as that joins components, so a dense bucket becomes few components at
    a linear cost; all links of a round are tested at once and components are found once a round. Last, all pairs of a bucket
    that are still in different components are tested. Pairs within one component can't change the groups and are left out.
-4. A test takes two steps. A sketch counts a set's shingles in each of 256 bins; the sum of the bins' smaller counts
+4. Before that, a bucket that would still make more than MANY pairs a row (near copies of one text, alike to it but often not to each
+   other) is seen from a leader, one of its points, and all its points are tested against that. Sets of m and n shingles
+   that differ from the leader's in d and e shingles are 4/5 alike if they have (d + e - (m + n) / 9) / 2 of these differences in
+   common, or more. Where that is 0 or less both are alike to the leader, and are linked by it. All other pairs have a difference in
+   common, so points meet
+   in buckets of differences, rare ones first, by the same prefix filter (the sets themselves are their differences from an empty leader).
+   Buckets of one leader become one.
+5. A test takes two steps. A sketch counts a set's shingles in each of 256 bins; the sum of the bins' smaller counts
    bounds what two sets share,
    so pairs under it go without their sets being moved. What passes is tested on the whole sets.
 
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm import kernels as K
@@ -44,6 +51,8 @@ SHARE, COMMON, MOST_COMMON = 4, 6, 2_000_000
 #: Rounds against leaders end when one joins fewer of its pairs than this share, or after so many; a component is tested
 #: against so many leaders a round. No round is held where buckets make at most FEW pairs a row.
 WORTH, STAR_ROUNDS, LEADERS, FEW = 0.1, 3, 4, 4
+#: Buckets of more pairs a row than MANY are seen from a leader.
+MANY = 16
 BINS = 256
 #: Bits of a shingle's hash that name its bucket: less to write, and shingles that share a bucket by chance only add
 #: candidates.
@@ -191,37 +200,45 @@ def _near_in_size(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def _can_share(m: str, i: str, n: str, j: str):
-    """Whether sets of m and n shingles, the first common one at i and j (from 0) in the order, may be 4/5 alike."""
-    return 9 * F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) >= 4 * (F.col(m) + F.col(n))
+def _can_share(rest: str, need: str, rest2: str, need2: str):
+    """Whether two sets may be 4/5 alike that have a difference from their leader in common, this one and at most `rest` in all.
+
+    need: 9 times a set's differences, less its size. Without a leader the differences are the set, and need is 8 times its size.
+    """
+    return 18 * F.least(rest, rest2) >= F.col(need) + F.col(need2)
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """(h, p, size, at): the buckets of several points, those of the same points as one; at: where in a point's prefix the first
-    of them is. Buckets whose names are equal by chance are one too, which only adds candidates.
+    """(h, p, size, rest, need): the buckets of several points, those of the same points as one, with the most `rest` and the least `need`
+    that a point has in one of them. Buckets whose names are equal by chance are one too, which only adds candidates.
     """
     members = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("p")).alias("x"))
     named = members.filter("k > 1").select("h", F.xxhash64("k", "x").alias("g"))
-    met = tokens.join(named, "h").groupBy("g", "p", "size").agg(F.min("at").alias("at"))
+    met = tokens.join(named, "h").groupBy("g", "p", "size").agg(F.max("rest").alias("rest"), F.min("need").alias("need"))
     return met.withColumnRenamed("g", "h")
 
 
-def _few_pairs(buckets: DataFrame) -> bool:
-    """Whether the pairs of a bucket in different components are at most FEW for each row of the buckets (h, p, c)."""
+def _pairs_made(buckets: DataFrame) -> DataFrame:
+    """(h, n, pairs): each bucket's rows, and its pairs of points in different components."""
     members = buckets.groupBy("h", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
     each = members.groupBy("h").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    rows, pairs = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return each.select("h", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"))
+
+
+def _few_pairs(buckets: DataFrame) -> bool:
+    """Whether the pairs of a bucket in different components are at most FEW for each row of the buckets (h, p, c)."""
+    rows, pairs = _pairs_made(buckets).agg(F.sum("n"), F.sum("pairs")).first()
     return (pairs or 0) <= FEW * (rows or 0)
 
 
 def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Buckets (h, p, size, at) with the component c of each point, without those that lie in one component, as a written
+    """Buckets (h, p, size, rest, need) with the component c of each point, without those that lie in one component, as a written
     table.
     """
     if roots is None:
         return cut(buckets.withColumn("c", F.col("p")), "open")
     named = buckets.join(roots.select(F.col("node").alias("p"), "root"), "p", "left")
-    named = cut(named.select("h", "p", "size", "at", F.coalesce("root", "p").alias("c")), "named")
+    named = cut(named.select("h", "p", "size", "rest", "need", F.coalesce("root", "p").alias("c")), "named")
     several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
     out = cut(named.join(several, "h"), "open")
     drop(named)
@@ -242,20 +259,60 @@ def _stars(buckets: DataFrame, turn: int) -> DataFrame:
     return some.select(F.least("m.l", "m.p").alias("a"), F.greatest("m.l", "m.p").alias("b")).distinct()
 
 
+def _dense(buckets: DataFrame) -> DataFrame:
+    """The buckets that make more than MANY pairs a row, as a written table."""
+    many = _pairs_made(buckets).filter(F.col("pairs") > MANY * F.col("n")).select("h")
+    return cut(buckets.join(many, "h"), "dense")
+
+
+def _led(buckets: DataFrame) -> DataFrame:
+    """(l, ls, lc, p, size, c): the points of buckets with their leaders, the points of the least hash, so buckets that share many points
+    often have one leader; as a written table.
+    """
+    first = F.min(F.struct(F.xxhash64("p"), "p", "size", "c")).alias("m")
+    leader = buckets.groupBy("h").agg(first).select(
+        "h", F.col("m.p").alias("l"), F.col("m.size").alias("ls"), F.col("m.c").alias("lc")
+    )
+    return cut(buckets.join(leader, "h").select("l", "ls", "lc", "p", "size", "c").distinct(), "led")
+
+
+def _differences(led: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Buckets (h, p, size, rest, need) of the points led, by the shingles that a point or its leader has, but not both. Differences that a
+    leader's points have in common are ordered by how many have them; those of one point meet nobody.
+    """
+    asked = led.select(F.col("p").alias("n")).distinct()
+    sets = cut(whole_sets(rows.join(asked, "n", "left_semi"), size), "sets")
+    own = sets.select(F.col("n").alias("p"), F.col("shingles").alias("s"))
+    theirs = sets.select(F.col("n").alias("l"), F.col("shingles").alias("t"))
+    apart = F.concat(F.array_except("s", "t"), F.array_except("t", "s"))
+    each = led.join(own, "p").join(theirs, "l").select("l", "p", "size", apart.alias("d"))
+    each = cut(each.select("l", "p", "size", F.size("d").cast("long").alias("own"), F.explode("d").alias("x")), "apart")
+    drop(sets)
+    shared = each.groupBy("l", "x").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rest = F.row_number().over(Window.partitionBy("l", "p").orderBy(F.col("k").desc(), "x")).cast("long")
+    placed = each.join(shared, ["l", "x"]).withColumn("rest", rest).filter("4 * rest >= 4 * own - size")
+    out = cut(
+        _buckets(placed.select(F.xxhash64("l", "x").alias("h"), "p", "size", "rest", F.expr("9 * own - size").alias("need"))),
+        "differences",
+    )
+    drop(each)
+    return out
+
+
 def _crossed(buckets: DataFrame) -> DataFrame:
     """All pairs of a bucket that are in different components. Components meet first, then their members, so no pair
     within one is made.
     """
-    bounds = F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(F.col("size") - F.col("at")).alias("rest")
+    bounds = F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"), F.min("need").alias("need")
     parts = cut(buckets.groupBy("h", "c").agg(*bounds), "parts")
-    other = parts.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
-    near = "c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo and 9 * least(rest, rest2) >= 4 * (lo + lo2)"
-    met = parts.join(other, "h").filter(near).select("h", "c", "d")
-    left = met.join(buckets.select("h", "c", "p", "size", "at"), ["h", "c"]).select(
-        "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("d").alias("c")
+    other = parts.select("h", *(F.col(x).alias(y) for x, y in (("c", "d"), ("lo", "lo2"), ("hi", "hi2"), ("rest", "rest2"), ("need", "need2"))))
+    near = F.expr("c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo")
+    met = parts.join(other, "h").filter(near & _can_share("rest", "need", "rest2", "need2")).select("h", "c", "d")
+    right = buckets.select("h", "c", "p", "size", "rest", "need")
+    left = met.join(right, ["h", "c"]).select(
+        "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("rest").alias("rest2"), F.col("need").alias("need2"), F.col("d").alias("c")
     )
-    right = buckets.select("h", "c", "p", "size", "at")
-    pairs = left.join(right, ["h", "c"]).filter(_near_in_size("size", "m") & _can_share("m", "i", "size", "at"))
+    pairs = left.join(right, ["h", "c"]).filter(_near_in_size("size", "m") & _can_share("rest", "need", "rest2", "need2"))
     out = cut(pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct(), "crossed")
     drop(parts)
     return out
@@ -275,6 +332,7 @@ def groups(
     own = found.join(same.filter("n = p").select("n"), "n", "left_semi")
     sketched = cut(own.select(F.col("n").alias("p"), "size", "sketch"), "sketches")
     tokens = own.select(F.posexplode("prefix").alias("at", "h"), F.col("n").alias("p"), "size")
+    tokens = tokens.select("h", "p", "size", F.expr("size - at").alias("rest"), F.expr("8 * size").alias("need"))
     buckets = cut(_buckets(tokens), "buckets")
     drop(found)
     tested, links, roots = None, None, None
@@ -318,6 +376,16 @@ def groups(
             drop(buckets)
         if got <= WORTH * n:
             break
+    dense = _dense(still)
+    if not dense.isEmpty():
+        led = _led(dense)
+        star = led.filter((F.col("c") != F.col("lc")) & _near_in_size("size", "ls"))
+        test(star.select(F.least("l", "p").alias("a"), F.greatest("l", "p").alias("b")).distinct())
+        apart = _differences(led, rows, size)
+        others = still.join(dense.select("h").distinct(), "h", "left_anti").drop("c")
+        buckets, still = still, _open(others.unionByName(apart), roots)
+        drop(buckets, led, apart)
+    drop(dense)
     test(_crossed(still))
     drop(still, sketched)
     if roots is None:

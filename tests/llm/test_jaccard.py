@@ -84,6 +84,27 @@ def test_a_shared_passage_makes_few_buckets_and_no_pair_is_missed(spark, monkeyp
     assert buckets[0][1] * 2 < buckets[0][0]
 
 
+def test_near_copies_that_are_not_alike_meet_by_their_differences(spark, monkeypatch):
+    """Copies of one text, alike from three changed words on or fewer: most are alike to it, many to nobody, and some only to one copy,
+    with which they share changes. They have buckets in common, but few pairs are made, and none is missed.
+    """
+    rng = np.random.default_rng(5)
+    base, given = [f"w{i}" for i in range(150)], []
+    changed = lambda text, n: [f"new{rng.integers(0, 10**9)}" if i in at else w for at in [set(rng.choice(150, n, replace=False))] for i, w in enumerate(text)]
+    for k in range(200):
+        given.append(changed(base, k % 4))
+    for k in range(60):
+        given.append(changed(base, 6))
+    given += [changed(given[k], 1) for k in (3, 7, 11, 210, 211, 212, 250)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(given)]
+    made, crossed = [], jaccard._crossed
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "_crossed", lambda buckets: made.append((out := crossed(buckets)).count()) or out)
+    got = {r["n"]: r["root"] for r in jaccard.groups(spark.createDataFrame(rows, "n long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(groups([shingles(t) for _, t in rows], alike))
+    assert sum(made) < 5_000  # of 35,511
+
+
 def test_fingerprints_alone_link_what_sets_tell_apart(spark):
     """A sentence 200 times over with two tails: nearly all words are the same, and fewer than half of the different shingles."""
     tails = [" ".join(f"{c}{i}" for i in range(12)) for c in "xy"]
