@@ -300,21 +300,30 @@ def _differences(led: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
 
 def _crossed(buckets: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are in different components. Components meet first, then their members, so no pair
-    within one is made.
+    """All pairs of a bucket that are in different components and may be alike. Components meet first, so no pair within one is made; then
+    the profiles of the one that has fewer meet those of the other, a profile being all that is judged of a point. Points are named last, so
+    a large component isn't laid out for each point that only some of it, or none, may be alike to.
     """
+    judged = ("size", "rest", "need")
+
+    def second(df: DataFrame) -> DataFrame:
+        return df.select("h", *(F.col(x).alias(f"{x}2") for x in df.columns if x != "h"))
+
+    profiles = cut(buckets.select("h", "c", *judged).distinct(), "profiles")
     bounds = F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"), F.min("need").alias("need")
-    parts = cut(buckets.groupBy("h", "c").agg(*bounds), "parts")
-    other = parts.select("h", *(F.col(x).alias(y) for x, y in (("c", "d"), ("lo", "lo2"), ("hi", "hi2"), ("rest", "rest2"), ("need", "need2"))))
-    near = F.expr("c < d and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo")
-    met = parts.join(other, "h").filter(near & _can_share("rest", "need", "rest2", "need2")).select("h", "c", "d")
-    right = buckets.select("h", "c", "p", "size", "rest", "need")
-    left = met.join(right, ["h", "c"]).select(
-        "h", F.col("p").alias("a"), F.col("size").alias("m"), F.col("rest").alias("rest2"), F.col("need").alias("need2"), F.col("d").alias("c")
-    )
-    pairs = left.join(right, ["h", "c"]).filter(_near_in_size("size", "m") & _can_share("rest", "need", "rest2", "need2"))
-    out = cut(pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct(), "crossed")
-    drop(parts)
+    parts = cut(profiles.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), *bounds), "parts")
+    share = _can_share("rest", "need", "rest2", "need2")
+    near = F.expr("(k < k2 or k = k2 and c < c2) and 5 * hi >= 4 * lo2 and 5 * hi2 >= 4 * lo")
+    met = parts.join(second(parts), "h").filter(near & share).select("h", "c", "c2", "lo2", "hi2", "rest2", "need2")
+    near = F.expr("5 * size >= 4 * lo2 and 5 * hi2 >= 4 * size")
+    ones = met.join(profiles, ["h", "c"]).filter(near & share).select("h", "c", *judged, "c2")
+    both = ones.join(second(profiles), ["h", "c2"]).filter(_near_in_size("size", "size2") & share)
+    keys = ["c", *judged]
+    points = buckets.select("h", *keys, "p")
+    left = both.join(points, ["h", *keys]).select("h", *(f"{x}2" for x in keys), "p")
+    pairs = left.join(second(points), ["h", *(f"{x}2" for x in keys)])
+    out = cut(pairs.select(F.least("p", "p2").alias("a"), F.greatest("p", "p2").alias("b")).distinct(), "crossed")
+    drop(profiles, parts)
     return out
 
 

@@ -112,3 +112,40 @@ def test_fingerprints_alone_link_what_sets_tell_apart(spark):
     assert not alike(shingles(given[0]), shingles(given[1]))
     rows = cut(spark.createDataFrame(list(enumerate(given)), "n long, text string"), "rows")
     assert {r["n"]: r["root"] for r in simhash.near_copies(rows).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def joined(spark, since):
+    """The largest number of rows that a join has made in executions after the one of this number, and the last one's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    most = 0
+    for k in (k for k in ids if k > since):
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and (got := values.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(got.get().replace(",", "")))
+    return most, max(ids)
+
+
+def test_a_large_component_is_not_laid_out_for_each_point_it_meets(spark):
+    """A bucket has a component of 600 points, and 300 points for themselves that only a few of them may be alike to. The bounds of the
+    component let it meet each point; no join makes more rows than there are pairs that may be alike.
+    """
+    rng = np.random.default_rng(6)
+    draw = lambda n, c, rest, need: [(1, c or n + i, n + i, int(s), int(r), need) for i, (s, r) in enumerate(zip(rng.integers(90, 111, len(rest)), rest))]
+    rows = draw(1000, 1000, rng.integers(5, 20, 600), 34) + draw(2000, 2000, [60, 8], 400) + draw(3000, 0, rng.integers(25, 42, 300), 520)
+    rows[7] = (*rows[7][:4], 40, 34)
+    rows += [(2, *r[1:]) for r in rows[590:640]]
+    buckets = cut(spark.createDataFrame(rows, "h long, c long, p long, size long, rest long, need long"), "still")
+    want, made = set(), 0
+    for i, (h, c, p, size, rest, need) in enumerate(rows):
+        for h2, c2, p2, size2, rest2, need2 in rows[:i]:
+            if h == h2 and c != c2 and 5 * min(size, size2) >= 4 * max(size, size2) and 18 * min(rest, rest2) >= need + need2:
+                want.add((min(p, p2), max(p, p2)))
+                made += 1
+    _, before = joined(spark, 10**9)
+    got = {(r["a"], r["b"]) for r in jaccard._crossed(buckets).collect()}
+    assert got == want and 100 < len(want) < 1_000
+    assert joined(spark, before)[0] <= 2 * made
