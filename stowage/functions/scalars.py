@@ -15,11 +15,25 @@ def format_bytes(n: Column) -> Column:
     return out.otherwise(F.format_string("%.1f PB", F.bround(n / F.lit(float(1024**5)), 1)))
 
 
+def _one_decimal(x: Column) -> Column:
+    """A double of 1 and more with one decimal, by its exact value: 4.35, which is stored as a little less, is 4.3. bround goes
+    by the shortest text of a double, and takes that for a tie.
+    """
+    whole = F.floor(x)
+    tenths = ((x - whole) * F.lit(float(1 << 52))).cast("long") * 10  # exact: the last bit of what is 1 and more is 2^-52
+    digit, rest, half = F.shiftright(tenths, 52), tenths.bitwiseAND((1 << 52) - 1), 1 << 51
+    digit += ((rest > half) | ((rest == half) & (digit % 2 == 1))).cast("int")
+    return F.concat((whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+
+
 def format_duration(seconds: Column) -> Column:
     s = seconds.cast("double")
-    return F.when(s < 60, F.format_string("%d sec", F.bround(s).cast("long"))).when(
-        s < 3600, F.format_string("%d min", F.bround(s / 60).cast("long"))
-    ).when(s < 48 * 3600, F.format_string("%.1f hr", F.bround(s / 3600, 1))).otherwise(F.format_string("%.1f days", F.bround(s / 86400, 1)))
+    below = F.concat(F.when((s < 0) & (s >= -0.5), "-").otherwise(""), F.bround(s).cast("long").cast("string"), F.lit(" sec"))
+    return F.when(s.isNull(), None).when(F.isnan(s), "nan days").when(s == float("inf"), "inf days").when(s == float("-inf"), "-inf sec").when(
+        s < 60, below
+    ).when(s < 3600, F.concat(F.bround(s / 60).cast("long").cast("string"), F.lit(" min"))).when(
+        s < 48 * 3600, F.concat(_one_decimal(s / 3600), F.lit(" hr"))
+    ).otherwise(F.concat(_one_decimal(s / 86400), F.lit(" days")))
 
 
 def rfc3339(ns: Column) -> Column:
