@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, scalars
@@ -243,7 +243,8 @@ def build_index(t: Tables) -> DataFrame:
     """Plain and keyed archives. A digest stands for the sealed hash and paths, since SQL engines can't seal (see
     discover_sealed).
     """
-    one = t.index_entries.groupBy("archive_id", "object", F.col("archive_type").alias("type"), "encrypted", "sha256")
+    # dealt out once: groups of an archive and sums over it find their rows where they are
+    one = t.index_entries.repartition("archive_id").groupBy("archive_id", "object", F.col("archive_type").alias("type"), "encrypted", "sha256")
     members = one.agg(
         F.min("entry_size").alias("size"),
         F.min("entry_offset").alias("offset"),
@@ -260,11 +261,11 @@ def build_index(t: Tables) -> DataFrame:
         ), "compression": F.lit(None).cast("string"), "part": F.when(is_part, 1), "parts": F.when(is_part, 2),
         "key_check": F.substring(F.md5("archive_id"), 1, 16),
     })
-    sizes = members.groupBy("archive_id").agg(F.sum("size").alias("archive_size"))
-    named = sealed.withColumn(
+    size = F.sum("size").over(Window.partitionBy("archive_id"))
+    named = sealed.withColumn("archive_size", size).withColumn(
         "member", F.concat(F.coalesce("content_id", "sha256"), F.lit(".file"))
     ).withColumn("paths", F.when(~keyed, F.col("paths")))
-    return backup.build_index(named.join(sizes, "archive_id"))
+    return backup.build_index(named)
 
 
 @query("SELECT id, coalesce(encrypted, true) AS encrypted FROM storage_locations WHERE NOT is_backup_target")

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import io
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import stowage.plans.backup
+import stowage.plans.ledger  # noqa: F401
+from stowage.operators import discovery
+from stowage.plans.discovery import _discovered
+from stowage.plans.registry import QUERIES
+from stowage.session import settle, shared_dir
 from stowage.sources.views import BASE, PLANNED, VIEWS, Tables
 from tests.conftest import SMALL
 
@@ -54,3 +63,48 @@ def test_index_entries_travel_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not any("text#" in x for x in dealt)
     assert sum("local_path" in x for x in dealt) <= 2 and sum("l_partkey" in x for x in dealt) == 2
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_members_of_an_index_travel_once(unbroadcast):
+    """From where an archive's entries are to its document: one deal, by the archive."""
+    dealt = exchanges(QUERIES["build_index"](unbroadcast, SMALL))
+    assert sum("entry_size" in x or "paths" in x for x in dealt) == 1
+
+
+def test_entries_to_verify_travel_once_and_by_digest(unbroadcast):
+    dealt = exchanges(QUERIES["verify_shallow"](unbroadcast, SMALL))
+    assert not any("entry_key" in x for x in dealt) and sum("name#" in x for x in dealt) == 1
+
+
+def test_entries_are_discovered_narrow(unbroadcast):
+    """What is dealt by content holds no field of an entry that nothing reads, and is let go of before the listing is met."""
+    parsed = discovery.entries(discovery.parse_index(Tables(unbroadcast, SMALL).index_documents))
+    assert "paths_enc" in parsed.schema["entry"].dataType.simpleString()
+    found = _discovered(Tables(unbroadcast, SMALL))
+    assert not any("index_documents" in x or "l_orderkey" in x for x in exchanges(found.parts))
+    folder = Path(shared_dir(unbroadcast))
+    named = sorted(folder.glob("named-*"), key=lambda p: p.stat().st_mtime)[-1]
+    assert "paths_enc" not in unbroadcast.read.parquet(str(named)).schema["entry"].dataType.simpleString()
+
+
+def test_settled_rows_let_go_of_their_shuffles(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(3)
+    own = {str(b) for b in str(disk.getAllBlocks().mkString(",")).split(",")}
+    settle(spark.range(1000).repartition(4, "id"), "rows")
+    for _ in range(20):
+        left = {b for b in str(disk.getAllBlocks().mkString(",")).split(",") if b.startswith("shuffle_")} - own
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left
