@@ -40,17 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that the garbage collectors of Python and of the driver find unused."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what isn't a function of the rows alone, such as a partition
-    number, then stays the same. What is settled stays until clear(). The shuffles that made it are let go of: Spark deletes the files
-    of those that the driver's garbage collector finds unused.
+    number, then stays the same. What is settled stays until clear(). The shuffles of what was settled before are let go of.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _let_go(df.sparkSession)
     df.write.parquet(path, compression="zstd")  # hashes and ids are text: half of what snappy leaves
     time.sleep(0.3)  # until then Spark's own listeners hold the plan
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    df.sparkSession._jvm.System.gc()
+    _let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import io
 import time
+import uuid
 from pathlib import Path
 
 import pytest
@@ -95,16 +95,18 @@ def test_entries_are_discovered_narrow(unbroadcast):
     assert "paths_enc" not in unbroadcast.read.parquet(str(named)).schema["entry"].dataType.simpleString()
 
 
-def test_settled_rows_let_go_of_their_shuffles(spark):
+def test_settled_rows_let_go_of_the_shuffles_before(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(3)
-    own = {str(b) for b in str(disk.getAllBlocks().mkString(",")).split(",")}
-    settle(spark.range(1000).repartition(4, "id"), "rows")
+    held = lambda: {b for b in str(disk.getAllBlocks().mkString(",")).split(",") if b.startswith("shuffle_")}
+    before = held()
+    spark.range(1000).repartition(4, "id").write.parquet(f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}")
+    first = held() - before
+    assert first
+    time.sleep(1)
+    for name in ("some", "more"):
+        settle(spark.range(10), name)
     for _ in range(20):
-        left = {b for b in str(disk.getAllBlocks().mkString(",")).split(",") if b.startswith("shuffle_")} - own
-        if not left:
+        if not first & held():
             break
         time.sleep(0.5)
-    assert not left
+    assert not first & held()
