@@ -8,6 +8,7 @@ import hashlib
 import os
 import random
 import tarfile
+from pathlib import Path
 
 import pytest
 from pyarrow import fs
@@ -330,3 +331,17 @@ def test_what_was_settled_goes_when_it_is_cleared(spark):
     assert kept.count() == 3 and folder.is_dir()
     session.clear(spark)
     assert not folder.exists() and session.settle(spark.range(2), "some").count() == 2
+
+
+def test_the_vault_keeps_one_copy_of_contents(spark):
+    """As prepared; pieces and members are taken from there, and what else is settled has no content."""
+    from stowage.plans import vault
+    from stowage.session import shared_dir
+    from stowage.sources.views import Tables
+    from tests.conftest import SMALL
+
+    folder = Path(shared_dir(spark))
+    before = set(folder.glob("*-*")) if folder.exists() else set()
+    vault._vault(Tables(spark, SMALL))
+    held = [p.name.split("-")[0] for p in set(folder.glob("*-*")) - before if list(p.glob("*.parquet")) and {"content", "stored"} & set(spark.read.parquet(str(p)).columns)]
+    assert held == ["prepared"]
